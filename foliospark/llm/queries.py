@@ -25,6 +25,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from . import html_text
+
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-text counts and the verdict of the base rule and of the host's shrunken rate."""
     from . import quality_rules
@@ -61,10 +68,32 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b LEFT JOIN r USING (source)
 """
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and their capture index written, then every record read back through the index."""
+    from . import warc
+
+    scratch = Scratch(spark, "op10")
+    archives = warc.write(_read(spark, sf_dir, "pages"), scratch)
+    index = warc.build_index(spark, archives, scratch)
+    return warc.read_back(spark, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_html_text": op6_html_text,
     "op8_quality_rules": op8_quality_rules,
+    "op10_warc": op10_warc,
 }
 
-ORACLES = {"op8_quality_rules": OP8_SQL}
+ORACLES = {"op8_quality_rules": OP8_SQL, "op10_warc": OP10_SQL}
