@@ -11,6 +11,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a probabilistic suffix tree learned from the texts not held out."""
+    from . import suffix_tree
+
+    return suffix_tree.score(_read(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the rank file and decoded again."""
     from . import bpe
@@ -89,6 +96,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 QUERIES = {
+    "op2_suffix_tree": op2_suffix_tree,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
