@@ -18,6 +18,13 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(_read(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2,048 ids along the Hilbert curve."""
+    from . import packing
+
+    return packing.pack(_read(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the rank file and decoded again."""
     from . import bpe
@@ -97,6 +104,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 QUERIES = {
     "op2_suffix_tree": op2_suffix_tree,
+    "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
