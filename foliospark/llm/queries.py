@@ -11,6 +11,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its class of near-duplicates."""
+    from . import near_dup
+
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a probabilistic suffix tree learned from the texts not held out."""
     from . import suffix_tree
@@ -36,7 +43,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram with its suffix sums: an answer for every context limit."""
     from . import token_counts
 
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"))
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +110,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
