@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import Scratch
 
 #: Lengths per block of the two-level suffix sum.
 BLOCK = 1024
@@ -95,6 +96,6 @@ def quantile(sums: DataFrame, q: float) -> int | None:
     return sums.where(at >= F.lit(q) * F.col("total_docs")).agg(F.min("n_tokens").alias("x")).first()["x"]
 
 
-def token_counts(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Histogram and suffix sums of all documents."""
-    return suffix_sums(histogram(docs, rank_file, pattern))
+def token_counts(docs: DataFrame, scratch: Scratch, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Histogram and suffix sums of all documents; the histogram is written, so texts are encoded once."""
+    return suffix_sums(scratch.save(histogram(docs, rank_file, pattern), "lengths"))
