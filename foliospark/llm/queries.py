@@ -89,6 +89,25 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b LEFT JOIN r USING (source)
 """
 
+def op9_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.93 or more within its label, and its class."""
+    from . import embedding_dup
+
+    return embedding_dup.near_duplicates(_read(spark, sf_dir, "embeddings"), Scratch(spark, "op9"))
+
+
+OP9_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(id, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id WHERE r.c < p.b),
+c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives and their capture index written, then every record read back through the index."""
     from . import warc
@@ -117,7 +136,8 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
     "op8_quality_rules": op8_quality_rules,
+    "op9_embedding_dup": op9_embedding_dup,
     "op10_warc": op10_warc,
 }
 
-ORACLES = {"op8_quality_rules": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op8_quality_rules": OP8_SQL, "op9_embedding_dup": OP9_SQL, "op10_warc": OP10_SQL}
