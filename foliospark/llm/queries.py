@@ -53,6 +53,13 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weak label, its score and whether it is kept."""
+    from . import weak_labels
+
+    return weak_labels.classify(_read(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-text counts and the verdict of the base rule and of the host's shrunken rate."""
     from . import quality_rules
@@ -135,6 +142,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_html_text": op6_html_text,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_dup": op9_embedding_dup,
     "op10_warc": op10_warc,
