@@ -54,6 +54,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rejected ids up to this many are broadcast (8 MB of longs); beyond it rows and ids meet in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``gone(doc_id)``.
+
+    Rows keep their own columns and never multiply; a row without id stays.
+    """
+    ids = scratch.save(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), name)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component_id)``.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, without
 
 #: A text fails the base rule with fewer words, or with a larger share of repeated words.
 MIN_WORDS = 50
@@ -137,8 +137,7 @@ def verdicts(docs: DataFrame, scratch: Scratch, host: str = "source", max_rate:
 def keep_documents(docs: DataFrame, scratch: Scratch, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only.
 
-    Verdicts are joined back by ``doc_id``: ids of rejected rows are few and are
-    anti-joined, so kept rows (those with a null id included, judged kept) never repeat.
+    Host verdicts reach the documents through the ids of the rejected.  Rows with a null
+    id stay.
     """
-    out = verdicts(docs, scratch, host).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"] == out["__id"], "left_anti")
+    return without(docs, verdicts(docs, scratch, host).where("NOT kept").select("doc_id"), scratch, "rule-rejects")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, without
 
 #: Hashed features of the scorer.
 DIMS = 1 << 14
@@ -234,5 +234,4 @@ def classify(docs: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, least:
 
 def keep_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their own columns only; rows without id stay."""
-    gone = classify(docs, scratch).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return without(docs, classify(docs, scratch).where("NOT kept").select("doc_id"), scratch, "classifier-rejects")
