@@ -7,6 +7,7 @@ are laid end to end into sequences along it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,11 +27,13 @@ END_ID = 1
 #: Buckets of the hashed document vector, dimensions it is projected to, and bits of each.
 BUCKETS, DIMS, BITS = 256, 3, 16
 SEED = 7
-#: Words whose ids a worker remembers; it forgets all of them beyond.
-CACHE_WORDS = 500_000
+#: Words whose ids a worker remembers; it forgets those not met lately beyond.
+CACHE_WORDS = 1_400_000
 
-# no text can hold it as a word of its own and be cached, see Tokenizer.learn
+# parts words from each other when many are encoded at once
 _FENCE = "☃"
+# Marks at a word's end after a letter or digit are one match of the pattern by themselves.
+_TAIL = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@|]+)", re.S)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,9 +45,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Tokenizer:
     """Ids of whole texts, by a cache of words.
 
-    The tokenizer drops white space before it merges and no match of its pattern spans it, so a
-    text's ids are those of its words between ASCII white space, one after another.  A new
-    word costs one encoding, done for many at once with a fence between them.
+    The tokenizer lower-cases and drops white space before it merges, and no match of its
+    pattern spans white space, so a text's ids are those of its words between ASCII white space,
+    one after another, in either case of A-Z.  A new word costs one encoding, done for many at
+    once with a fence between them.
     """
 
     def __init__(self, path: str):
@@ -57,14 +61,37 @@ class Tokenizer:
         self.size = self.library.get_vocab_size()
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.fence = np.array(self._ids(_FENCE), self.type)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+        """Make sure that ``known`` has these words."""
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        new: set[bytes] = set()
+        for w in words:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif m := _TAIL.fullmatch(w):
+                parts[w] = m.groups()
+                new.update(m.groups())
+            else:
+                new.add(w)
+        for w in new:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+        self._encode([w for w in new if w not in known])
+        for w, (head, tail) in parts.items():
+            known[w] = known[head] + known[tail]
+
+    def _encode(self, words: list[bytes]) -> None:
         mark, single, many = self.fence.tobytes(), [], []
         for w in words:
             (single if len(w) > 200 or _FENCE.encode() in w else many).append(w)
@@ -80,8 +107,9 @@ class Tokenizer:
                 single += part
                 continue
             starts, ends = np.concatenate([[0], cuts + k]), np.concatenate([cuts, [len(ids)]])
-            for w, a, z in zip(part, starts.tolist(), ends.tolist(), strict=True):
-                got = ids[a:z].tobytes()
+            data, width = ids.tobytes(), ids.itemsize
+            for w, a, z in zip(part, (starts * width).tolist(), (ends * width).tolist(), strict=True):
+                got = data[a:z]
                 if mark in got:
                     single.append(w)
                 else:
@@ -92,13 +120,11 @@ class Tokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, ``END_ID`` last."""
         end = np.array([END_ID], self.type).tobytes()
-        split = [(t or "").encode().split() for t in texts]
-        fresh = set(chain.from_iterable(split)).difference(self.known)
-        if fresh:
-            before = len(self.known)
-            self.learn(fresh)
-            if len(self.known) < before:  # forgotten meanwhile
-                self.learn(set(chain.from_iterable(split)).difference(self.known))
+        split = [(t or "").encode().lower().split() for t in texts]
+        before, every = self.known, set(chain.from_iterable(split))
+        self.learn(every.difference(before))
+        if self.known is not before:  # a new generation began: it needs the words known before, too
+            self.learn(every.difference(self.known))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, self.type) for words in split]
 
