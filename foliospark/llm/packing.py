@@ -7,7 +7,6 @@ are laid end to end into sequences along it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +31,21 @@ CACHE_WORDS = 1_400_000
 
 # parts words from each other when many are encoded at once
 _FENCE = "☃"
-# Marks at a word's end after a letter or digit are one match of the pattern by themselves.
-_TAIL = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@|]+)", re.S)
+# Marks at a word's end after a letter or digit are one match of the pattern by themselves;
+# an apostrophe is left out, for it may begin a contraction.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _head(word: bytes) -> bytes | None:
+    """A word without its last marks, if these are a match by themselves."""
+    head = word.rstrip(_MARKS)
+    if len(head) == len(word) or not head:
+        return None
+    # the two-byte letters from U+00C0 to U+00FF, which are all letters but two
+    if head[-1] in _PLAIN or (len(head) > 1 and head[-2] == 0xC3 and head[-1] not in (0x97, 0xB7)):
+        return head
+    return None
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -63,6 +75,10 @@ class Tokenizer:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.fence = np.array(self._ids(_FENCE), self.type)
+        # the last token of a match says so, where the vocabulary marks word ends
+        self.ends = np.zeros(self.size + 2, bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -78,9 +94,11 @@ class Tokenizer:
             ids = older.get(w)
             if ids is not None:
                 known[w] = ids
-            elif m := _TAIL.fullmatch(w):
-                parts[w] = m.groups()
-                new.update(m.groups())
+            elif head := _head(w):
+                tail = w[len(head) :]
+                parts[w] = (head, tail)
+                new.add(head)
+                new.add(tail)
             else:
                 new.add(w)
         for w in new:
@@ -92,6 +110,25 @@ class Tokenizer:
             known[w] = known[head] + known[tail]
 
     def _encode(self, words: list[bytes]) -> None:
+        """Words of letters alone are one match each and end where a token ends a match; others
+        are parted by a fence."""
+        texts = [w.decode() for w in words]
+        plain = [len(w) <= 200 and t.isalpha() for w, t in zip(words, texts, strict=True)]
+        letters = [w for w, ok in zip(words, plain, strict=True) if ok]
+        others = [w for w, ok in zip(words, plain, strict=True) if not ok]
+        for at in range(0, len(letters), 2000):
+            part = letters[at : at + 2000]
+            ids = np.array(self._ids(b" ".join(part).decode()), self.type)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                others += part
+                continue
+            data, width = ids.tobytes(), ids.itemsize
+            bounds = [0, *(cuts * width).tolist()]
+            self.known.update(zip(part, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
+        self._fenced(others)
+
+    def _fenced(self, words: list[bytes]) -> None:
         mark, single, many = self.fence.tobytes(), [], []
         for w in words:
             (single if len(w) > 200 or _FENCE.encode() in w else many).append(w)
@@ -125,7 +162,8 @@ class Tokenizer:
         self.learn(every.difference(before))
         if self.known is not before:  # a new generation began: it needs the words known before, too
             self.learn(every.difference(self.known))
-        get = self.known.__getitem__
+        # a table of this call's words is small enough to stay near the processor
+        get = dict(zip(every, map(self.known.__getitem__, every), strict=True)).__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, self.type) for words in split]
 
 
