@@ -23,7 +23,7 @@ def tokens(clauses: DataFrame, pattern: str = TOKEN) -> DataFrame:
     of their lengths is where each match starts."""
     t = F.coalesce("text", F.lit(""))
     found = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(F.regexp_replace(t, pattern, ""), ""), lambda x: F.length(x))
+    gaps = F.transform(F.split(F.regexp_replace(t, pattern, "\ue000"), "\ue000"), lambda x: F.length(x))
     rows = clauses.select("id", "contract_id", F.posexplode(F.arrays_zip(found.alias("token"), F.slice(gaps, 1, F.size(found)).alias("gap"))).alias("pos", "z"))
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("id", "contract_id", "pos", F.col("z.token").alias("token"), F.col("z.gap").alias("gap"))

@@ -186,12 +186,12 @@ def verify_steps(steps: DataFrame, texts: DataFrame, reach: int = 250) -> DataFr
     known = spark.createDataFrame([(r["effective"], r["pct"], "(?i)" + "|".join(f"(?:{p})" for p in date_patterns(r["effective"])) if date_patterns(r["effective"]) else None, percent_pattern(r["pct"])) for r in pairs], "effective string, pct double, on string, rate string")
     rows = steps.withColumn("pct", F.col("pct").cast("double")).join(known, ["effective", "pct"], "left").join(texts.select("contract_id", F.regexp_replace("text", r"[\s ]+", " ").alias("flat")), "contract_id", "left")
     # a run before each date and a run after it: the date itself is inside the window
-    marked = F.split(F.regexp_replace("flat", F.expr("concat('(', `on`, ')')"), "$1"), "")
+    marked = F.split(F.regexp_replace("flat", F.expr("concat('(', `on`, ')')"), "\ue000$1\ue001"), "\ue000")
     windows = F.transform(
         F.sequence(F.lit(1), F.size(marked) - 1),
         lambda i: F.concat(
-            F.right(F.translate(F.array_join(F.slice(marked, 1, i), ""), "", ""), F.lit(reach)),
-            F.left(F.translate(F.array_join(F.slice(marked, i + 1, 1_000_000), ""), "", ""), F.length(F.element_at(F.split(F.get(marked, i), ""), 1)) + reach),
+            F.right(F.translate(F.array_join(F.slice(marked, 1, i), ""), "\ue001", ""), F.lit(reach)),
+            F.left(F.translate(F.array_join(F.slice(marked, i + 1, 1_000_000), ""), "\ue001", ""), F.length(F.element_at(F.split(F.get(marked, i), "\ue001"), 1)) + reach),
         ),
     )
     ok = F.when(F.size(marked) > 1, F.exists(windows, lambda w: F.regexp_like(w, F.col("rate")))).otherwise(F.lit(False))
