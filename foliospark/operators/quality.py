@@ -31,22 +31,31 @@ def tokens(clauses: DataFrame, pattern: str = TOKEN) -> DataFrame:
     return rows.withColumn("start", F.col("stop") - F.length("token"))
 
 
-def stems(token: Column) -> Column:
-    """A token and what it could be an inflection of."""
-    t = F.regexp_replace(F.lower(token), r"^['’\-]+|['’\-]+$", "")
-    cut = lambda n: F.substring(t, F.lit(1), F.length(t) - n)
-    rules = [("s", 1, ""), ("es", 2, ""), ("ed", 2, ""), ("ed", 1, ""), ("ing", 3, ""), ("ing", 3, "e"), ("ly", 2, ""), ("'s", 2, ""), ("ies", 3, "y")]
-    forms = [F.when(t.endswith(end), F.concat(cut(n), F.lit(put))) for end, n, put in rules]
-    return F.array_distinct(F.filter(F.array(t, *forms), lambda x: x.isNotNull() & (x != "")))
+def inflected(words: DataFrame) -> DataFrame:
+    """``word``: words and their regular inflections.
+
+    The dictionary is spelled out once instead of every token being taken apart, so a token, or a
+    candidate for one, is checked by one key."""
+    w = F.col("word")
+    but_last = F.substring(w, F.lit(1), F.length(w) - 1)
+    forms = F.array(
+        w, *[F.concat(w, F.lit(end)) for end in ("s", "es", "ed", "ing", "ly", "'s")],
+        F.when(w.endswith("e"), F.concat(w, F.lit("d"))), F.when(w.endswith("e"), F.concat(but_last, F.lit("ing"))), F.when(w.endswith("y"), F.concat(but_last, F.lit("ies"))),
+    )
+    return words.select(F.explode(forms).alias("word")).where("word IS NOT NULL AND word <> ''").distinct()
+
+
+def bare(token: Column) -> Column:
+    """A token in lower case without marks at its edges."""
+    return F.regexp_replace(F.lower(token), r"^['’\-]+|['’\-]+$", "")
 
 
 def known(rows: DataFrame, column: str, words: DataFrame, flag: str = "known") -> DataFrame:
-    """Rows with a flag: whether the token or a stem of it is among ``words(word)``.
+    """Rows with a flag: whether the token is among ``words(word)`` or an inflection of one.
 
-    Stems of distinct tokens meet the words by key; nothing is broadcast by force."""
-    variants = rows.select(F.col(column).alias("__t")).distinct().withColumn("word", F.explode(stems(F.col("__t"))))
-    hit = variants.join(words.select("word").distinct(), "word", "left_semi").select("__t").distinct().withColumn(flag, F.lit(True))
-    return rows.join(hit, F.col(column) == F.col("__t"), "left").drop("__t").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    One left join by key; nothing is broadcast by force."""
+    listed = inflected(words).select(F.col("word").alias("__w"), F.lit(True).alias(flag))
+    return rows.join(listed, bare(F.col(column)) == F.col("__w"), "left").drop("__w").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def eligible(rows: DataFrame, least: int) -> DataFrame:
