@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 #: Texts longer than this many characters are encoded in segments.
@@ -77,6 +79,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
     """``(id, ids array<int>)`` for every row; a null text is the empty text, which has no ids."""
     rank_file, pattern = rank_file or rank_path(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for b in batches:
@@ -91,6 +94,7 @@ def decode_documents(encoded: DataFrame, rank_file: str | None = None, pattern:
     """``(id, decoded binary)`` from ``(id, ids)``; null ids decode to null."""
     rank_file, pattern = rank_file or rank_path(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for b in batches:
@@ -110,6 +114,7 @@ def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | Non
     """
     rank_file, pattern = rank_file or rank_path(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for b in batches:
@@ -129,6 +134,7 @@ def count_tokens(docs: DataFrame, rank_file: str | None = None, pattern: str | N
     """``doc_id, n_tokens`` for every row."""
     rank_file, pattern = rank_file or rank_path(), pattern or default_pattern()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for b in batches:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from contextlib import suppress
+from functools import wraps
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +18,27 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most, while an operator of this subpackage runs.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(run):
+    """A task function that gives memory back when it ends, for workers are used again."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Parquet tables in the folder that all executors share (``spark.checkpoint.dir``).
 
@@ -22,6 +49,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        # whole texts are wide rows: fewer of them a batch bound what JVM and Python hold at once
+        if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
             top = _own_dir(spark)
@@ -73,31 +103,33 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most: int =
     """Connected components of ``edges(a long, b long)`` as ``(id, component_id)``.
 
     Only vertices with an edge are returned; ``component_id`` is the smallest id of
-    the component.  Each round gives a vertex the smallest label among its neighbours
-    and then follows that label once more, so long chains halve; labels are written
-    out between rounds.  A hot vertex is a hot join key only, which AQE splits,
-    and the minimum is taken map-side first.
+    the component.  By contraction: every vertex points to the neighbour (or itself) whose
+    hash is least, edges are drawn between what their ends point to, and what is left, a
+    fraction of it, goes on until no edge is left; then the pointers are followed back.  Each
+    round is written out.  A hot vertex is a hot join key only, which AQE splits,
+    and minima are taken map-side first.
     """
-    spark = scratch.spark
-    both = scratch.save(
-        edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        f"{name}-edges",
-    )
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("l")), f"{name}-0")
-    for k in range(1, most + 1):
-        near = both.join(labels.select(F.col("id").alias("b"), "l"), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        step = step.join(jump, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("l"), "was")
-        fresh = scratch.save(step, f"{name}-{k}")
-        moved = fresh.where("l <> was").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
-        labels = fresh.select("id", "l")
-        if not moved:
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    left = scratch.save(edges.where("a <> b").select(*ends("a", "b")).distinct(), f"{name}-edges-0")
+    found: DataFrame | None = None
+    for k in range(most):
+        near = left.select("a", rank("b").alias("r")).union(left.select(F.col("b").alias("a"), rank("a").alias("r")))
+        points = scratch.save(near.groupBy(F.col("a").alias("v")).agg(F.least(rank("a"), F.min("r"))["v"].alias("to")), f"{name}-points-{k}")
+        if found is None:
+            found = points.select(F.col("v").alias("id"), "to")
+        else:
+            found = found.join(points.select(F.col("v").alias("to"), F.col("to").alias("__next")), "to", "left").select("id", F.coalesce("__next", "to").alias("to"))
+        drawn = left.join(points.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(points.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        left = scratch.save(drawn.where("x <> y").select(*ends("x", "y")).distinct(), f"{name}-edges-{k + 1}")
+        scratch.drop(f"{name}-edges-{k}")
+        if not left.limit(1).count():
             break
     else:
-        raise RuntimeError(f"components: labels still move after {most} rounds")
-    return labels.select("id", F.col("l").alias("component_id"))
+        raise RuntimeError(f"components: edges are left after {most} rounds")
+    roots = scratch.save(found, f"{name}-roots")
+    least = roots.groupBy("to").agg(F.min("id").alias("component_id"))
+    return scratch.save(roots.join(least, "to").select("id", "component_id"), f"{name}-components")
 
 
 class Forest:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, shuffle_width
+from .common import Forest, Scratch, components, lean, shuffle_width
 
 #: Cosine from which vectors of a label are linked.
 COSINE = 0.93
@@ -106,6 +106,7 @@ def _read(vectors: DataFrame) -> DataFrame:
 def _assign(reps: DataFrame, forest, depths, names: list[str]) -> DataFrame:
     """A row for each leaf a vector reaches, with all its leaves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, common = forest.value
         for b in batches:
@@ -217,6 +218,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     met = met.select("grp", "leaf", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"), "rep", "mult", "leaves", "v")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 4):
             out = _leaf([(r[1], *r[4:]) for r in rows], least)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Blocks of at least so many characters can be decided by their stop words alone.
 LONG_CHARS = 70
 #: Share of stop words from which a long block is text.
@@ -303,6 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Pages are independent, so this is one pass without a shuffle; memory follows the longest page.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(cell.as_py()) for cell in b.column(2)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components
+from .common import BROADCAST_IDS, Forest, Scratch, components, lean, without
 
 #: Words of a shingle, and the similarity in hundredths from which documents are linked.
 SHINGLE = 5
@@ -38,8 +38,6 @@ CLOSE = 46
 BLOCK, BLOCK_BYTES = 256, 48_000_000
 #: Pivots that meet every block of a large group.
 LEADERS = 16
-#: Candidate documents up to this many ids are broadcast to the scan of texts; beyond it they join by shuffle.
-BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20240607)
 _ODD = lambda n: _RNG.integers(1, 1 << 63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -61,7 +59,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words met in a task; emptied when it has grown large."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -105,6 +103,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, f1, f2`` (fingerprint of the set), ``paths`` (a node per tree), ``sketch``."""
     picked = docs.select("doc_id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
@@ -128,12 +127,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
     """Rows that share their first ``keys`` columns, from rows sorted by them."""
     now, rows = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:keys] != now:
-                if rows:
-                    yield rows
-                now, rows = row[:keys], []
-            rows.append(row)
+        # a few rows at a time: each may hold the set of a long text
+        for at in range(0, b.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                if row[:keys] != now:
+                    if rows:
+                        yield rows
+                    now, rows = row[:keys], []
+                rows.append(row)
     if rows:
         yield rows
 
@@ -187,7 +188,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         nodes = scratch.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *least).where("c > 1"), f"sizes-{level}")
         sized = entries.join(nodes.select("node", "c"), "node")
         small = sized.where(F.col("c") <= NODE).join(sketches, "rep").select("node", "rep", "n", "sketch")
-        found.append(scratch.save(small.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _edges(_small_node(r) for r in _groups(it, 1)), "a long, b long").distinct(), f"found-{level}"))
+        found.append(scratch.save(small.repartition("node").sortWithinPartitions("node").mapInArrow(lean(lambda it: _edges(_small_node(r) for r in _groups(it, 1))), "a long, b long").distinct(), f"found-{level}"))
         large = nodes.where(F.col("c") > NODE)
         if not large.limit(1).count():
             break
@@ -196,7 +197,7 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
         met = sized.where(F.col("c") > NODE).join(pivots, "node").join(sketches, "rep").select("node", "rep", "n", "sketch", "pivots.rep", "pivots.n", "pivots.sketch")
         tested = scratch.save(_large_nodes(met.toDF("node", "rep", "n", "sketch", "p_rep", "p_n", "p_sketch"), level == LEVELS), f"large-{level}")
         found.append(tested.where("b IS NOT NULL").select("a", "b"))
-        entries = tested.where("node IS NOT NULL").select("node", F.col("a").alias("rep"))
+        entries = tested.select(F.explode("children").alias("node"), F.col("a").alias("rep"))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -204,11 +205,14 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _large_nodes(met: DataFrame, last: bool) -> DataFrame:
-    """Each document of a large node against the node's pivots: ``(a, b)`` where it may be
-    linked with one; and, unless it is close to one, ``(node, a)`` for its children.  A node of
-    the last level has pivots only; the other trees cover what its pivots miss."""
+    """Each document ``a`` of a large node against the node's pivots: the pivot ``b`` that it agrees
+    best with, if it may be linked with one; and, unless it is close to one, its ``children``.
+    A row a document, and a row where pivots join.  A node of the last level has pivots only; the
+    other trees cover what its pivots miss."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: dict[int, Forest] = {}  # which pivots of a node this task has joined already
         for b in batches:
             out = []
             for node, rep, n, sk, p_rep, p_n, p_sk in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -217,19 +221,26 @@ def _large_nodes(met: DataFrame, last: bool) -> DataFrame:
                 p_n = np.array(p_n)
                 fits = 100 * np.minimum(p_n, n) >= PERCENT * np.maximum(p_n, n)
                 linked = np.flatnonzero((agree >= AGREE) & fits).tolist()
-                # the pivot that agrees best holds the group together; a pivot is its own best
-                out += [(None, rep, p_rep[k]) for k in linked if p_rep[k] != rep]
-                if last or (fits & (agree >= CLOSE)).any() and rep not in p_rep:
-                    continue
-                seed = int(mix(np.array([node], "i8").view("u8"))[0])
-                for j in range(BRANCHES):
-                    c = (seed >> (8 * j)) % SKETCH
-                    child = int(mix(np.array([seed ^ (int(own[c]) << 20 | c << 8 | j)], "u8")).astype("i8")[0])
-                    out.append((child, rep, None))
+                b_rep = None
+                if linked:
+                    best = max(linked, key=lambda k: agree[k])
+                    if p_rep[best] != rep:
+                        b_rep = p_rep[best]
+                    if len(joined) > 10_000:
+                        joined.clear()
+                    forest = joined.setdefault(node, Forest(len(p_rep)))
+                    out += [(p_rep[best], p_rep[k], None) for k in linked if forest.join(best, k)]
+                children = None
+                if not last and (rep in p_rep or not (fits & (agree >= CLOSE)).any()):
+                    seed = int(mix(np.array([node], "i8").view("u8"))[0])
+                    at = [(seed >> (8 * j)) % SKETCH for j in range(BRANCHES)]
+                    children = mix(np.array([seed ^ (int(own[c]) << 20 | c << 8 | j) for j, c in enumerate(at)], "u8")).astype("i8")
+                if b_rep is not None or children is not None:
+                    out.append((rep, b_rep, children))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["node", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["a", "b", "children"])
 
-    return met.mapInArrow(run, "node long, a long, b long")
+    return met.mapInArrow(run, "a long, b long, children array<long>")
 
 
 class _Group:
@@ -286,7 +297,7 @@ def _two_sides(rows: list[tuple]) -> list[tuple[int, int]]:
 def _confirm(rows: DataFrame, keys: list[str], fields: list[str], work) -> DataFrame:
     dealt = rows.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys)
     n = len(keys)
-    return dealt.mapInArrow(lambda it: _edges(work([r[n:] for r in g]) for g in _groups(it, n)), "a long, b long")
+    return dealt.mapInArrow(lean(lambda it: _edges(work([r[n:] for r in g]) for g in _groups(it, n))), "a long, b long")
 
 
 def confirmed(sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -339,11 +350,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = candidates(reps.select("rep", "n", "paths", "sketch"), scratch)
     groups = scratch.save(components(scratch, pairs, "candidates").select(F.col("id").alias("rep"), F.col("component_id").alias("grp")), "groups")
     wanted = groups.join(reps.select("rep", "n", "sketch"), "rep")
+    # candidate documents are picked from the texts by a broadcast of checked size, else by shuffle
     side = groups.select(F.col("rep").alias("__rep"))
     if groups.count() <= BROADCAST_IDS:
         side = F.broadcast(side)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, F.col("doc_id") == F.col("__rep")).select("doc_id", "text")
 
+    @lean
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
@@ -367,5 +380,4 @@ def drop_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rows that repeat a kept id with the same text are one document and are kept as they are.
     """
-    gone = near_duplicates(docs, scratch).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return without(docs, near_duplicates(docs, scratch).where("NOT kept").select("doc_id"), scratch, "copies")

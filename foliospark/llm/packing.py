@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_width
+from .common import Scratch, lean, shuffle_width
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -27,7 +27,7 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 256, 3, 16
 SEED = 7
 #: Words whose ids a worker remembers; it forgets those not met lately beyond.
-CACHE_WORDS = 1_400_000
+CACHE_WORDS = 700_000
 
 # parts words from each other when many are encoded at once
 _FENCE = "☃"
@@ -83,31 +83,43 @@ class Tokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that ``known`` has these words."""
-        if len(self.known) + len(words) > CACHE_WORDS // 2:
+    def table(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of these words.  What is kept beyond the call are words without their last marks."""
+        if len(self.known) > CACHE_WORDS // 2:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        known, older, out = self.known, self.older, {}
+        parts: list[tuple[bytes, bytes, bytes]] = []
         new: set[bytes] = set()
+
+        def have(w: bytes) -> bytes | None:
+            ids = known.get(w)
+            if ids is None:
+                ids = older.get(w)
+                if ids is not None:
+                    known[w] = ids
+            return ids
+
         for w in words:
-            ids = older.get(w)
+            ids = have(w)
             if ids is not None:
-                known[w] = ids
-            elif head := _head(w):
-                tail = w[len(head) :]
-                parts[w] = (head, tail)
+                out[w] = ids
+                continue
+            head = _head(w)
+            if head is None:
+                new.add(w)
+                continue
+            tail = w[len(head) :]
+            parts.append((w, head, tail))
+            if have(head) is None:
                 new.add(head)
+            if have(tail) is None:
                 new.add(tail)
-            else:
-                new.add(w)
+        self._encode(list(new))
         for w in new:
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-        self._encode([w for w in new if w not in known])
-        for w, (head, tail) in parts.items():
-            known[w] = known[head] + known[tail]
+            out[w] = known[w]
+        for w, head, tail in parts:
+            out[w] = known[head] + known[tail]
+        return out
 
     def _encode(self, words: list[bytes]) -> None:
         """Words of letters alone are one match each and end where a token ends a match; others
@@ -158,12 +170,7 @@ class Tokenizer:
         """Ids of each text, ``END_ID`` last."""
         end = np.array([END_ID], self.type).tobytes()
         split = [(t or "").encode().lower().split() for t in texts]
-        before, every = self.known, set(chain.from_iterable(split))
-        self.learn(every.difference(before))
-        if self.known is not before:  # a new generation began: it needs the words known before, too
-            self.learn(every.difference(self.known))
-        # a table of this call's words is small enough to stay near the processor
-        get = dict(zip(every, map(self.known.__getitem__, every), strict=True)).__getitem__
+        get = self.table(set(chain.from_iterable(split))).__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, self.type) for words in split]
 
 
@@ -242,6 +249,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
     picked = docs.select("doc_id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches:
@@ -274,6 +282,7 @@ def pack(docs: DataFrame, scratch: Scratch, sequence: int = SEQUENCE, path: str
     id_type = dict(encoded.dtypes)["doc_id"]
     ordered = encoded.repartitionByRange(shuffle_width(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 #: Payloads shorter than this are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
@@ -69,13 +69,14 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 def url_key(url: str | None) -> str:
     """Reversed-host key: ``http://www.a.example.com:80/x?y`` is ``com,example,a)/x?y``.
 
-    Host in lower case, without ``www.``, user, default port or fragment; a null or
-    unparsable URL keeps what text it has.
+    Host in lower case, without ``www.``, user, default port or fragment; spaces and control
+    characters as percent signs, as records have them; an unparsable URL keeps its text.
     """
     if not url:
         return ""
+    url = _clean(url.strip())
     try:
-        p = urlsplit(url.strip())
+        p = urlsplit(url)
         host, port = (p.hostname or "").lower(), p.port
     except ValueError:
         return url
@@ -155,6 +156,7 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archives", date: str
     # a page repeated with another payload may carry a revisited id: the payload decides again below
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("body")).join(side, F.col("page_id") == F.col("__p"), "left").select("page_id", "url", "body", "refers_to", "refers_url")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -177,6 +179,7 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``key, date, page_id, url, archive, offset, length`` of every record in the archives."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive, content in zip(b.column(0), b.column(1), strict=True):
@@ -203,6 +206,7 @@ def build_index(spark: SparkSession, archives: str, scratch: Scratch, name: str
     entries = scratch.save(scan(spark, archives), f"{name}-entries")
     ordered = entries.repartitionByRange("key", "date", "page_id", "archive", "offset").sortWithinPartitions("key", "date", "page_id", "archive", "offset")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[str] = []
         for b in batches:
@@ -219,6 +223,7 @@ def build_index(spark: SparkSession, archives: str, scratch: Scratch, name: str
     path = scratch.path(name)
     ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", BLOCK_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/blocks")
 
+    @lean
     def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column(0), b.column(1), strict=True):
@@ -281,6 +286,7 @@ class CaptureIndex:
 def entries(spark: SparkSession, index: str) -> DataFrame:
     """All captures, read from the index blocks."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(1):
@@ -301,6 +307,7 @@ def read_back(spark: SparkSession, archives: str, index: str) -> DataFrame:
     wanted = entries(spark, index).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
     both = _archives(spark, archives).join(wanted, "archive").select("content", "at.offset", "at.length")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content, offsets, lengths in zip(*b.columns, strict=True):

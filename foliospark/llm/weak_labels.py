@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, without
+from .common import Scratch, lean, without
 
 #: Hashed features of the scorer.
 DIMS = 1 << 14
@@ -42,7 +42,7 @@ _SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"
 class Kinds(dict):
     """Kinds of words: a shape and what the labellers ask.  A kind is a small number."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
         self.known: dict[tuple, int] = {}
@@ -115,6 +115,7 @@ def read(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, votes, at, value`` of every text; a null text is empty."""
     picked = docs.select("doc_id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = Kinds()
         for b in batches:
@@ -142,7 +143,7 @@ class LabelModel:
     def __init__(self, counts: dict[str, int], rounds: int = 100):
         patterns = sorted(counts)
         n = np.array([counts[p] for p in patterns], float)
-        x = np.array([["gb-".index(v) for v in p] for p in patterns]).reshape(len(patterns), len(LABELLERS))
+        x = np.array([["gb-".index(v) for v in p] for p in patterns], int).reshape(len(patterns), len(LABELLERS))
         hot = np.eye(3)[x][:, :, :2]  # pattern, labeller, vote; no opinion is all zero
         bad = np.where((x == 1).any(axis=1), 0.9, 0.02)
         prior = np.array([[[2.0, 2.0]], [[8.0, 0.05]]])  # class bad, good; votes g, b
@@ -218,10 +219,14 @@ def classify(docs: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, least:
     counts = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
     model = LabelModel(counts)
     weak = {p: model.good(p) for p in counts}
-    drawn = rows.select("votes", "at", "value", F.xxhash64("doc_id", "at").alias("h")).orderBy("h", "votes").limit(fit_rows).collect()
+    # a share of the rows by hash, so each task sends what it has of the sample and no more
+    part = min(1.0, 1.3 * fit_rows / max(sum(counts.values()), 1))
+    drawn = rows.select("votes", "at", "value", F.xxhash64("doc_id", "at").alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000) + 1)
+    drawn = drawn.orderBy("h", "votes").limit(fit_rows).collect()
     scorer = Scorer([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["value"], "<f4")) for r in drawn], np.array([weak[r["votes"]] for r in drawn]))
     sent = spark.sparkContext.broadcast((weak, scorer))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, scorer = sent.value
         for b in batches:
