@@ -26,8 +26,8 @@ _EDGE = "(?:^|[^A-Za-z0-9])"
 
 @query(
     f"""
-WITH m AS (SELECT doc_id, source, text, lang, len(regexp_extract_all(text, '(?i){_EDGE}there')) AS n,
-                  len(regexp_extract_all(text, '(?i){_EDGE}license')) AS k FROM documents),
+WITH m AS (SELECT doc_id, source, text, lang, len(regexp_extract_all(text, '(?i){_EDGE}then')) AS n,
+                  len(regexp_extract_all(text, '(?i){_EDGE}thor')) AS k FROM documents),
 s AS (SELECT doc_id, source, (CASE WHEN lang = 'de' THEN 0.6 ELSE 1.0 END) *
              (least(n, 12) / (1 + length(text) / 12000.0) + least(k, 12) / (1 + length(text) / 12000.0)) AS score
       FROM m WHERE n > 0 AND k > 0),
@@ -36,7 +36,7 @@ SELECT source AS contract_id, doc_id, round(score, 6) AS score, CAST(rank AS INT
 """
 )
 def qry01_search(t: Tables) -> DataFrame:
-    out = search.results(clauses(t), QuerySpec("there license"))
+    out = search.results(clauses(t), QuerySpec("then thor"))
     return out.select("contract_id", F.col("clause_no").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "total")
 
 
