@@ -10,10 +10,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +33,17 @@ CACHE_WORDS = 700_000
 _FENCE = "☃"
 # Marks at a word's end after a letter or digit are one match of the pattern by themselves;
 # an apostrophe is left out, for it may begin a contraction.
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _head(word: bytes) -> bytes | None:
-    """A word without its last marks, if these are a match by themselves."""
+def _head(word: str) -> str | None:
+    """A word without its last marks, if these are a match by themselves: after an ASCII letter
+    or digit, or a letter from U+00C0 to U+00FF."""
     head = word.rstrip(_MARKS)
     if len(head) == len(word) or not head:
         return None
-    # the two-byte letters from U+00C0 to U+00FF, which are all letters but two
-    if head[-1] in _PLAIN or (len(head) > 1 and head[-2] == 0xC3 and head[-1] not in (0x97, 0xB7)):
-        return head
-    return None
+    last = head[-1]
+    return head if last.isalnum() and (last < "\x80" or "À" <= last <= "ÿ") else None
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -72,8 +70,8 @@ class Tokenizer:
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fence = np.array(self._ids(_FENCE), self.type)
         # the last token of a match says so, where the vocabulary marks word ends
         self.ends = np.zeros(self.size + 2, bool)
@@ -83,15 +81,16 @@ class Tokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def table(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of these words.  What is kept beyond the call are words without their last marks."""
+    def table(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  What is kept beyond the call are words without their last marks."""
         if len(self.known) > CACHE_WORDS // 2:
             self.older, self.known = self.known, {}
-        known, older, out = self.known, self.older, {}
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        new: set[bytes] = set()
+        known, older, out = self.known, self.older, [b""] * len(words)
+        parts: list[tuple[int, str, str]] = []
+        later: list[int] = []
+        new: set[str] = set()
 
-        def have(w: bytes) -> bytes | None:
+        def have(w: str) -> bytes | None:
             ids = known.get(w)
             if ids is None:
                 ids = older.get(w)
@@ -99,38 +98,41 @@ class Tokenizer:
                     known[w] = ids
             return ids
 
-        for w in words:
-            ids = have(w)
+        for i, w in enumerate(words):
+            ids = known.get(w)
+            if ids is None:
+                ids = have(w)
             if ids is not None:
-                out[w] = ids
+                out[i] = ids
                 continue
             head = _head(w)
             if head is None:
-                new.add(w)
+                if w:
+                    new.add(w)
+                    later.append(i)
                 continue
             tail = w[len(head) :]
-            parts.append((w, head, tail))
+            parts.append((i, head, tail))
             if have(head) is None:
                 new.add(head)
             if have(tail) is None:
                 new.add(tail)
         self._encode(list(new))
-        for w in new:
-            out[w] = known[w]
-        for w, head, tail in parts:
-            out[w] = known[head] + known[tail]
+        for i in later:
+            out[i] = known[words[i]]
+        for i, head, tail in parts:
+            out[i] = known[head] + known[tail]
         return out
 
-    def _encode(self, words: list[bytes]) -> None:
+    def _encode(self, words: list[str]) -> None:
         """Words of letters alone are one match each and end where a token ends a match; others
         are parted by a fence."""
-        texts = [w.decode() for w in words]
-        plain = [len(w) <= 200 and t.isalpha() for w, t in zip(words, texts, strict=True)]
-        letters = [w for w, ok in zip(words, plain, strict=True) if ok]
-        others = [w for w, ok in zip(words, plain, strict=True) if not ok]
+        letters, others = [], []
+        for w in words:
+            (letters if len(w) <= 200 and w.isalpha() else others).append(w)
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = np.array(self._ids(b" ".join(part).decode()), self.type)
+            ids = np.array(self._ids(" ".join(part)), self.type)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
                 others += part
@@ -140,13 +142,13 @@ class Tokenizer:
             self.known.update(zip(part, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=False))
         self._fenced(others)
 
-    def _fenced(self, words: list[bytes]) -> None:
+    def _fenced(self, words: list[str]) -> None:
         mark, single, many = self.fence.tobytes(), [], []
         for w in words:
-            (single if len(w) > 200 or _FENCE.encode() in w else many).append(w)
+            (single if len(w) > 200 or _FENCE in w else many).append(w)
         for at in range(0, len(many), 2000):
             part = many[at : at + 2000]
-            ids = np.array(self._ids(f" {_FENCE} ".join(w.decode() for w in part)), self.type)
+            ids = np.array(self._ids(f" {_FENCE} ".join(part)), self.type)
             k = len(self.fence)
             hit = np.ones(max(len(ids) - k + 1, 0), bool)
             for i, x in enumerate(self.fence):
@@ -164,14 +166,31 @@ class Tokenizer:
                 else:
                     self.known[w] = got
         for w in single:
-            self.known[w] = np.array(self._ids(w.decode()), self.type).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, ``END_ID`` last."""
-        end = np.array([END_ID], self.type).tobytes()
-        split = [(t or "").encode().lower().split() for t in texts]
-        get = self.table(set(chain.from_iterable(split))).__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, self.type) for words in split]
+            self.known[w] = np.array(self._ids(w), self.type).tobytes()
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, ``END_ID`` last.
+
+        Texts are lower-cased, split and numbered by distinct word in Arrow; only distinct words
+        meet the tables, and ids are gathered by word number."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        column = pc.ascii_lower(column).fill_null("")
+        for c in "\n\t\r\x0b\x0c":
+            if pc.any(pc.match_substring(column, c)).as_py():
+                column = pc.replace_substring(column, c, " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.flatten().dictionary_encode()
+        number = coded.indices.to_numpy()
+        table = self.table(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, table), "i8", len(table)) // np.dtype(self.type).itemsize
+        flat = np.frombuffer(b"".join(table), self.type)
+        each = sizes[number]
+        ends = np.cumsum(each)
+        first = (np.cumsum(sizes) - sizes)[number] - (ends - each)
+        ids = flat[np.repeat(first, each) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))]
+        end = np.array([END_ID], self.type)
+        return [np.concatenate([ids[a:z], end]) for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -179,18 +198,29 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def slices(cells, most: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    """Texts of a column, some megabytes at a time, each with the row it starts at."""
-    part, size, first = [], 0, 0
-    for k, cell in enumerate(cells):
-        text = cell.as_py()
-        part.append(text)
-        size += len(text or "")
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Both columns of some batches at a time: distinct words are fewer in more text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
         if size >= most:
-            yield first, part
-            part, size, first = [], 0, k + 1
-    if part:
-        yield first, part
+            yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
+
+
+def slices(column: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Texts of a column, some megabytes at a time, each with the row it starts at."""
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        done = sizes[first - 1] if first else 0
+        last = max(int(np.searchsorted(sizes, done + most, side="right")), first + 1)
+        yield first, column.slice(first, last - first)
+        first = last
 
 
 @lru_cache(maxsize=2)
@@ -252,11 +282,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for b in batches:
-            for first, texts in slices(b.column(1)):
+        for doc_ids, column in gathered(batches):
+            for first, texts in slices(column):
                 ids = tok.encode(texts)
                 keys = curve_keys(project(ids, tok.size))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "doc_tokens", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "doc_tokens", "curve", "ids"])
 
     return picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, doc_tokens long, curve long, ids binary")
 
