@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text
+from ..session import ship
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -127,6 +128,7 @@ def pdf_pages(spark: SparkSession, pattern: str, extract: Callable[[bytes], list
     ``extract`` turns a file's bytes into (text, number of tables) of each page; without one
     a PDF library is needed.  A file that is no PDF, or fails, gives no pages.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(pattern).where("length > 1000").select("path", "content")
     extract = extract or _plumber
 
