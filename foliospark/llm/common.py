@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The word separator of every contract here: ASCII white space only.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        ship(spark)
         # whole texts are wide rows: fewer of them a batch bound what JVM and Python hold at once
         if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
             spark.conf.set(_BATCH, BATCH_ROWS)
