@@ -47,7 +47,7 @@ _OUT_WORDS = frozenset(
     nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer footnav masthead topbar toolbar cookie cookies consent gdpr
     notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup login signin paywall
     comment comments commentlist disqus reply replies respond social share sharing sharebar related recommended recommendations widget widgets
-    pagination pager skip skiplink copyright disclaimer""".split()
+    pagination pager skip skiplink copyright disclaimer adsbygoogle outbrain taboola topnav subnav sitenav""".split()
 )
 _HEADER_WORDS = frozenset("header site-header page-header siteheader pageheader top-header global-header".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
