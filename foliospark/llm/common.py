@@ -106,7 +106,57 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", most: int =
     """Connected components of ``edges(a long, b long)`` as ``(id, component_id)``.
 
     Only vertices with an edge are returned; ``component_id`` is the smallest id of
-    the component.  By contraction: every vertex points to the neighbour (or itself) whose
+    the component.  Each task first joins the edges it has, which leaves at most one a vertex.
+    If then no more than ``LOCAL_EDGES`` are left (counted; 16 bytes each), one task on an
+    executor joins them all.  Beyond that the graph is contracted in rounds by shuffles.
+    """
+    thin = edges.where("a <> b").select("a", "b").mapInArrow(_stars(500_000), "a long, b long")
+    left = scratch.save(thin, f"{name}-edges")
+    if left.count() <= LOCAL_EDGES:
+        whole = left.coalesce(1).mapInArrow(_stars(None), "id long, component_id long")
+        return scratch.save(whole, f"{name}-components")
+    return _contract(scratch, left, name, most)
+
+
+#: Edges that one task may join at once, see ``components``.
+LOCAL_EDGES = 1_000_000
+
+
+def _stars(most: int | None):
+    """Edges of a task as (vertex, smallest vertex of its class); with ``most``, in runs of about so many
+    vertices and without the smallest vertices themselves."""
+
+    @lean
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up[x]) != x:
+                up[x] = x = up[y]
+            return x
+
+        def batch(names: list[str]) -> pa.RecordBatch:
+            rows = [(x, r) for x in up if (r := root(x)) != x or most is None]
+            columns = list(zip(*rows, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                up.setdefault(x, x)
+                up.setdefault(y, y)
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if most is not None and len(up) > most:
+                yield batch(["a", "b"])
+                up.clear()
+        yield batch(["a", "b"] if most is not None else ["id", "component_id"])
+
+    return run
+
+
+def _contract(scratch: Scratch, edges: DataFrame, name: str, most: int) -> DataFrame:
+    """Components by contraction: every vertex points to the neighbour (or itself) whose
     hash is least, edges are drawn between what their ends point to, and what is left, a
     fraction of it, goes on until no edge is left; then the pointers are followed back.  Each
     round is written out.  A hot vertex is a hot join key only, which AQE splits,
