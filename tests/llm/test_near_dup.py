@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from foliospark.llm import near_dup
+from foliospark.llm import common, near_dup
 from foliospark.llm.common import Scratch, components
 from tests.llm.helpers import SCHEMA, corpus, documents, words
 
@@ -88,8 +88,10 @@ def test_drop_keeps_columns_and_smallest(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, _ in rows if want[i][2])
 
 
+@pytest.mark.parametrize("local", [0, 10**6])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+def test_components(spark, seed, local, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     rng = random.Random(seed)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(7, 7)]
     near = defaultdict(set)
