@@ -28,8 +28,8 @@ from .common import Scratch, lean
 
 #: Payloads shorter than this are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
-#: Records per archive file at most, which bounds what a reading task holds.
-RECORDS_PER_FILE = 10_000
+#: Records and payload bytes per archive file at most (bytes on average), which bounds what a reading task holds.
+RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 128_000_000
 #: Captures per compressed index block.
 BLOCK_ROWS = 512
 #: Revisits up to this many rows (of three short columns) are broadcast; beyond it the join shuffles.
@@ -128,15 +128,20 @@ def parse(data: bytes) -> dict:
     return {"page_id": number(head["warc-record-id"]), "url": head.get("warc-target-uri"), "date": head["warc-date"], "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(head.get("warc-refers-to"))}
 
 
-def revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
+def digests(pages: DataFrame) -> DataFrame:
+    """``page_id, url, digest, n`` of every page's payload."""
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n"))
+
+
+def revisits(seen: DataFrame) -> DataFrame:
     """``page_id, refers_to, refers_url`` of the pages whose payload an earlier page holds.
 
     The smallest page_id of a payload of at least ``MIN_REVISIT_BYTES`` is its response.
     Minima are taken map-side, so a hot payload costs a row a task; its rows then meet
     that one row in a join, which is split where it is skewed.
     """
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    seen = scratch.save(pages.select("page_id", "url", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("n")).where(f"n >= {MIN_REVISIT_BYTES} AND page_id IS NOT NULL").drop("n"), "digests")
+    seen = seen.where(f"n >= {MIN_REVISIT_BYTES} AND page_id IS NOT NULL").drop("n")
     first = seen.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
     found = seen.join(first, "digest").where(F.col("page_id") > F.col("f.page_id"))
     return found.select("page_id", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url")).groupBy("page_id").agg(F.min(F.struct("refers_to", "refers_url")).alias("r")).select("page_id", "r.*")
@@ -149,7 +154,9 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archives", date: str
     with the smallest id is stored; rows that repeat its id are stored again.
     """
     spark = pages.sparkSession
-    again = scratch.save(revisits(pages, scratch), "revisits")
+    seen = scratch.save(digests(pages), "digests")
+    size = seen.agg(F.avg("n").alias("a")).first()["a"] or 0
+    again = scratch.save(revisits(seen), "revisits")
     side = again.select(F.col("page_id").alias("__p"), "refers_to", "refers_url")
     if again.count() <= BROADCAST_REVISITS:
         side = F.broadcast(side)
@@ -168,7 +175,7 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archives", date: str
 
     path = scratch.path(name)
     stored = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    stored.write.mode("overwrite").option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    stored.write.mode("overwrite").option("lineSep", RECORD_END.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / (size + 600))))).text(path)
     return path
 
 
