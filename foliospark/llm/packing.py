@@ -27,7 +27,7 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 256, 3, 16
 SEED = 7
 #: Words whose ids a worker remembers; it forgets those not met lately beyond.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 # parts words from each other when many are encoded at once
 _FENCE = "☃"
@@ -184,10 +184,16 @@ class Tokenizer:
         table = self.table(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, table), "i8", len(table)) // np.dtype(self.type).itemsize
         flat = np.frombuffer(b"".join(table), self.type)
-        each = sizes[number]
-        ends = np.cumsum(each)
-        first = (np.cumsum(sizes) - sizes)[number] - (ends - each)
-        ids = flat[np.repeat(first, each) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(sizes[number])
+        start = np.cumsum(sizes) - sizes
+        ids = np.empty(ends[-1] if len(ends) else 0, self.type)
+        done = 0
+        for at in range(0, len(number), 100_000):  # some words at a time, for indices are eight bytes an id
+            part = number[at : at + 100_000]
+            each = sizes[part]
+            n = int(each.sum())
+            ids[done : done + n] = flat[np.repeat(start[part] - (np.cumsum(each) - each), each) + np.arange(n)]
+            done += n
         bounds = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))]
         end = np.array([END_ID], self.type)
         return [np.concatenate([ids[a:z], end]) for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
@@ -198,7 +204,7 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 10_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Both columns of some batches at a time: distinct words are fewer in more text."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -212,7 +218,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Itera
         yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
 
 
-def slices(column: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 10_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Texts of a column, some megabytes at a time, each with the row it starts at."""
     sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
     first = 0
