@@ -22,6 +22,8 @@ from .common import lean
 LONG_CHARS = 70
 #: Share of stop words from which a long block is text.
 STOP_SHARE = 0.10
+#: Share of stop words in a page's long blocks from which the stop words are of its language.
+FIT_SHARE = 0.20
 #: Share of link characters above which a block is no text.
 LINK_SHARE = 0.5
 
@@ -49,7 +51,11 @@ _OUT_WORDS = frozenset(
     comment comments commentlist disqus reply replies respond social share sharing sharebar related recommended recommendations widget widgets
     pagination pager skip skiplink copyright disclaimer adsbygoogle outbrain taboola topnav subnav sitenav""".split()
 )
+#: Parts that end a name without saying what the element holds.
+_PLAIN_PARTS = frozenset("container wrapper wrap box block area inner list item items links buttons posts".split())
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 _HEADER_WORDS = frozenset("header site-header page-header siteheader pageheader top-header global-header".split())
+_EXCUSED = frozenset("has no with without is".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE = re.compile(r"=\s*([\"'])|>")
@@ -65,39 +71,87 @@ class Block:
     out: bool  # inside a menu, header, footer, advert, form, comment ...
     region: int  # number of the enclosing article or main element, 0 for none
     label: str = ""  # good, bad, or "" while open
+    named: int = 0  # number of the innermost element around it that is furniture by its name, 0 for none
 
 
-def _outside(name: str, attrs: str, region: int) -> bool:
-    """Whether an element is furniture by its tag, role, class or id."""
+def _outside(name: str, attrs: str, region: int) -> str:
+    """Whether an element is furniture: "sure" by its tag, role or style; "named" or "comments" by its
+    class or id, which what it holds can refute; or "".
+
+    A name counts as a whole or by its last part that says anything.  Headings have no such
+    names, and ids inside an article are made from its headings."""
     if name in _OUT_TAGS or (name == "header" and not region):
-        return True
+        return "sure"
     if not attrs or name in ("html", "body", "main"):
-        return False
+        return ""
+    found = ""
     for m in _NAMES.finditer(attrs):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "sure"
         if key == "role":
             if value.lower() in _OUT_ROLES:
-                return True
+                return "sure"
         elif key == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        elif key in ("class", "id"):
+                return "sure"
+        elif key in ("class", "id") and name not in _HEADINGS and not (key == "id" and region):
             for word in value.split():
                 word = _CAMEL.sub("-", word).lower()
-                if word in _HEADER_WORDS and not region:
-                    return True
+                if word in _COMMENT_WORDS:
+                    found = "comments"
+                elif word in _OUT_WORDS or (word in _HEADER_WORDS and not region):
+                    found = found or "named"
                 parts = re.split(r"[-_:]+", word)
-                if parts[0] in ("has", "no", "with", "is"):
+                if not _EXCUSED.isdisjoint(parts):
                     continue
                 if name == "article" and not region:
-                    if parts[0] in ("comment", "reply") or word in _OUT_WORDS:
-                        return True
-                elif any(x.rstrip("0123456789") in _OUT_WORDS for x in parts):
-                    return True
-    return False
+                    if parts[0] in ("comment", "reply"):
+                        found = found or "named"
+                    continue
+                while len(parts) > 1 and parts[-1].rstrip("0123456789") in _PLAIN_PARTS | {""}:
+                    parts.pop()
+                if parts[-1].rstrip("0123456789") in _OUT_WORDS:
+                    found = found or "named"
+    return found
+
+
+def _weights(found: list[Block]) -> tuple[list[int], bool]:
+    """What each long block with few links weighs, and whether the stop words fit the page:
+    its stop words if they do, its characters outside links if not."""
+    long = [(i, _WORD.findall(b.text.lower())) for i, b in enumerate(found) if not b.out and len(b.text) >= LONG_CHARS and b.link_chars <= LINK_SHARE * len(b.text.replace(" ", ""))]
+    stops = {i: sum(w in STOP_WORDS for w in words) for i, words in long}
+    fit = sum(stops.values()) >= FIT_SHARE * sum(len(words) for _, words in long)
+    out = [0] * len(found)
+    for i, words in long:
+        out[i] = stops[i] if fit else len(found[i].text) - found[i].link_chars
+    return out, fit
+
+
+def _judge_names(found: list[Block], named: list[tuple[int, str, int]]) -> None:
+    """Settle which elements named like furniture are furniture, and mark their blocks.
+
+    ``named``: by number, the named element around it, the kind of its name, and the region
+    it opened in.  A name is refuted by most of the page's text, or most of the text in
+    articles if the element opened outside them; comments may be longer than what
+    they comment on, if that is there."""
+    weights, _ = _weights(found)
+    all_, inside = [0] * len(named), [0] * len(named)
+    for b, w in zip(found, weights, strict=True):
+        all_[b.named] += w
+        inside[b.named] += w if b.region else 0
+    free = all_[0]
+    for k in range(len(named) - 1, 0, -1):
+        all_[named[k][0]] += all_[k]
+        inside[named[k][0]] += inside[k]
+    out = [False] * len(named)
+    for k in range(1, len(named)):
+        outer, kind, region = named[k]
+        refuted = 2 * all_[k] > all_[0] and not (kind == "comments" and free) or not region and 2 * inside[k] > inside[0] and kind != "comments"
+        out[k] = out[outer] or not refuted
+    for b in found:
+        b.out = b.out or out[b.named]
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -105,10 +159,11 @@ def blocks(page: str | None) -> list[Block]:
     h = page or ""
     low_quotes = {'"': True, "'": True}  # whether a closing quote can still be found
     found: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, out, region, in a link
+    stack: list[tuple[str, bool, int, bool, int]] = []  # name, out, region, in a link, named element
+    named: list[tuple[int, str, int]] = [(0, "", 0)]
     buf: list[str] = []
     linked: list[str] = []
-    out, region, link, regions = False, 0, False, 0
+    out, region, link, regions, inmost = False, 0, False, 0, 0
     heading = False
     at, n = 0, len(h)
 
@@ -124,14 +179,22 @@ def blocks(page: str | None) -> list[Block]:
         if buf:
             words = "".join(buf).split()
             if words:
-                found.append(Block(" ".join(words), sum(len(x) for x in "".join(linked).split()), heading, out, region))
+                found.append(Block(" ".join(words), sum(len(x) for x in "".join(linked).split()), heading, out, region, "", inmost))
             buf.clear()
             linked.clear()
         heading = False
 
     def restore() -> None:
-        nonlocal out, region, link
-        _, out, region, link = stack[-1] if stack else ("", False, 0, False)
+        nonlocal out, region, link, inmost
+        _, out, region, link, inmost = stack[-1] if stack else ("", False, 0, False, 0)
+
+    def enter(kind: str) -> None:
+        nonlocal out, inmost
+        if kind == "sure":
+            out = True
+        elif kind:
+            named.append((inmost, kind, region))
+            inmost = len(named) - 1
 
     while at < n:
         lt = h.find("<", at)
@@ -222,21 +285,24 @@ def blocks(page: str | None) -> list[Block]:
             if name in ("article", "main") and not out:
                 regions += 1
                 inner = regions
-            out = out or _outside(name, attrs, region)
+            if not out:
+                enter(_outside(name, attrs, region))
             region = inner
             heading = name in _HEADINGS
             if name == "body":
                 out = False
-            stack.append((name, out, region, link))
+            stack.append((name, out, region, link, inmost))
         elif name == "a":
             link = True
-            stack.append((name, out, region, True))
+            stack.append((name, out, region, True, inmost))
         else:
-            if attrs and not out and _outside(name, attrs, region):
+            if attrs and not out and (kind := _outside(name, attrs, region)):
                 flush()
-                out = True
-            stack.append((name, out, region, link))
+                enter(kind)
+            stack.append((name, out, region, link, inmost))
     flush()
+    if len(named) > 1:
+        _judge_names(found, named)
     return found
 
 

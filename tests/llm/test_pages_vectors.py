@@ -51,6 +51,22 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='social-history'><p>{LONG}</p></section><p class='comment-on-law'>{LONG}</p></article>", f"Related work\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+        (f"<h2 class='notice'>Notice period</h2><p>{LONG}</p>", f"Notice period\n\n{LONG}"),
+        (f"<div class='content-with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div id='layout-sidebar-right'><main><p>{LONG}</p></main><div class='sidebar'><p>{LONG}</p></div></div>", LONG),
+        (f"<div class='sidebar'><article><p>{LONG}</p></article></div><p>{LONG[:80]}</p>", LONG),
+        (f"<div class='page-overlay'><p>{LONG}</p><p>{LONG}</p></div><div class='share-buttons'>{LONG}</div>", f"{LONG}\n\n{LONG}"),
+        (f"<p>{LONG}</p><div class='ad-container'>{LONG}</div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_names_are_evidence(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_open_blocks_follow_their_neighbours():
     blocks = [html_text.Block("good", 0, False, False, 0, "good"), html_text.Block("s1", 0, False, False, 0), html_text.Block("l" * 100, 100, False, False, 0), html_text.Block("s2", 0, False, False, 0)]
     blocks[0].text = LONG
