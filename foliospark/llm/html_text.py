@@ -310,20 +310,23 @@ def classify(found: list[Block]) -> list[Block]:
     """Label blocks good or bad.
 
     Pass one.  Bad: furniture by its containers; more than half link text; outside every
-    article or main element where the page has such an element with text.  Good: at
-    least ``LONG_CHARS`` characters with stop words.  All else stays open.
+    article or main element where such elements hold most of the text outside links.  Good: at
+    least ``LONG_CHARS`` characters with stop words, or without where the stop words are not
+    of the page's language.  All else stays open.
     Pass two.  An open block looks for the nearest decided block (furniture aside) on
     either side in its own region: with two different answers a heading follows the block after it and
     any other block the nearer one (good on a tie).  A region without a decided block is
     good if it is an article or main element, or if the page has no good block at all.
     """
-    inside = any(b.region and not b.out for b in found)
+    _, fit = _weights(found)
+    plain = [0 if b.out else len(b.text.replace(" ", "")) - b.link_chars for b in found]
+    inside = 2 * sum(n for b, n in zip(found, plain, strict=True) if b.region) > sum(plain)
     for b in found:
         if b.out or b.link_chars > LINK_SHARE * len(b.text.replace(" ", "")) or (inside and not b.region):
             b.label = "bad"
         elif len(b.text) >= LONG_CHARS:
             words = _WORD.findall(b.text.lower())
-            if words and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words):
+            if words and (not fit or sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)):
                 b.label = "good"
     any_good = any(b.label == "good" for b in found)
     n = len(found)

@@ -67,6 +67,25 @@ def test_names_are_evidence(page, want):
     assert html_text.main_text(page) == want
 
 
+ITALIAN = "Gli uomini nascono liberi ed eguali, perciò ogni persona gode degli stessi diritti davanti alla legge."
+RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах, они наделены разумом и совестью."
+LINKS = "<ul><li><a href='a'>uno</a></li><li><a href='b'>due</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><h3>{LONG}</h3></article>", f"{LONG}\n\n{LONG}\n\n{LONG}"),
+        (f"<p>{LONG}</p><p>{LONG}</p><article><a href='x'>A teaser</a></article>", f"{LONG}\n\n{LONG}"),
+        (f"<p>{ITALIAN}</p>{LINKS}<p>{ITALIAN}</p>", f"{ITALIAN}\n\n{ITALIAN}"),
+        (f"<p>{RUSSIAN}</p>{LINKS}<p>{RUSSIAN}</p>", f"{RUSSIAN}\n\n{RUSSIAN}"),
+        (f"<p>{LONG}</p>{LINKS}<p>{'key word list ' * 8}</p>", LONG),
+    ],
+)
+def test_articles_and_languages_do_not_decide_alone(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_open_blocks_follow_their_neighbours():
     blocks = [html_text.Block("good", 0, False, False, 0, "good"), html_text.Block("s1", 0, False, False, 0), html_text.Block("l" * 100, 100, False, False, 0), html_text.Block("s2", 0, False, False, 0)]
     blocks[0].text = LONG
