@@ -52,8 +52,16 @@ def jon05_first_link(t: Tables) -> DataFrame:
 SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS orders FROM orders WHERE o_custkey < 200 GROUP BY o_custkey
 """)
 def jon06_gather(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey < 200").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
-    return r.gather(o, "o_custkey", "at", "o_orderkey", "orders")
+    return _gathered(t.orders.where("o_custkey < 200"))
+
+
+def _gathered(orders: DataFrame) -> DataFrame:
+    return r.gather(orders.withColumn("at", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "at", "o_orderkey", "orders")
+
+
+@query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_custkey")
+def jon06_gather_all(t: Tables) -> DataFrame:
+    return _gathered(t.orders)
 
 
 @query("""
@@ -95,6 +103,15 @@ def jon10_add_new(t: Tables) -> DataFrame:
     return r.add_new(once, b, "k")
 
 
+@query("""
+SELECT DISTINCT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+""")
+def jon10_add_new_all(t: Tables) -> DataFrame:
+    a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.select(F.col("c_custkey").alias("k"))
+    once = r.add_new(a, b, "k")
+    return r.add_new(once, b, "k")
+
+
 @query("""
 SELECT e.event_id, f.event_id AS event_id_other FROM events e JOIN events f ON e.user_id = f.user_id AND e.event_type = 'error' AND f.event_type = 'click'
  AND abs(CAST(floor(epoch(e.ts)) AS BIGINT) - CAST(floor(epoch(f.ts)) AS BIGINT)) <= 600
@@ -292,11 +309,11 @@ def grf03_chains(t: Tables) -> DataFrame:
     return lineage.render(rows, t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))).select("id", "chain")
 
 
-def _chain_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _chain_parts(t: Tables, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Orders of a customer as the chain of a document: urls by price bucket, none at every seventh order."""
     url = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("http://x/doc-"), F.floor(F.col("o_totalprice") / 50000).cast("string"), F.lit(".pdf")))
     link = F.struct("o_orderkey", F.struct(url.alias("url"), F.lit(None).cast("string").alias("title"), F.lit("2001-01-01").alias("term_start"), F.lit("2005-01-01").alias("term_end"), F.lit(True).alias("complete"), F.lit(None).cast("string").alias("gap_note")).alias("l"))
-    made = t.orders.where("o_custkey < 300").groupBy(F.col("o_custkey").cast("string").alias("contract_id")).agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["l"]).alias("chain")).withColumn("self_complete", F.lit(False))
+    made = orders.groupBy(F.col("o_custkey").cast("string").alias("contract_id")).agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["l"]).alias("chain")).withColumn("self_complete", F.lit(False))
     contracts = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("http://own/"), F.col("c_custkey").cast("string")).alias("url"))
     return made, contracts
 
@@ -307,7 +324,18 @@ s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS
 SELECT CAST(o_custkey AS VARCHAR) AS contract_id, CAST(pos AS INTEGER) AS pos, 'http://x/doc-' || b || '.pdf' AS url FROM s WHERE stop IS NULL OR pos < stop
 """)
 def grf01_chain_links(t: Tables) -> DataFrame:
-    return lineage.chain_links(*_chain_parts(t)).select("contract_id", "pos", "url")
+    return lineage.chain_links(*_chain_parts(t, t.orders.where("o_custkey < 300"))).select("contract_id", "pos", "url")
+
+
+_CHAIN_SQL = """
+WITH o AS (SELECT o_custkey, o_orderkey % 7 = 0 AS bad, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice / 50000) AS BIGINT) AS b FROM orders),
+s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS stop FROM o),
+"""
+
+
+@query(_CHAIN_SQL + "l AS (SELECT * FROM s WHERE stop IS NULL OR pos < stop) SELECT CAST(o_custkey AS VARCHAR) AS contract_id, CAST(pos AS INTEGER) AS pos, 'http://x/doc-' || b || '.pdf' AS url FROM l")
+def grf01_chain_links_all(t: Tables) -> DataFrame:
+    return lineage.chain_links(*_chain_parts(t, t.orders)).select("contract_id", "pos", "url")
 
 
 @query("""
@@ -317,7 +345,13 @@ k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c, b FROM s WHERE stop IS NU
 SELECT 'earlier-doc-' || b AS id, list(c ORDER BY c) AS later_ids FROM k GROUP BY b
 """)
 def grf02_earlier_documents(t: Tables) -> DataFrame:
-    made, contracts = _chain_parts(t)
+    made, contracts = _chain_parts(t, t.orders.where("o_custkey < 300"))
+    return lineage.earlier_documents(lineage.chain_links(made, contracts), contracts).select("id", "later_ids")
+
+
+@query(_CHAIN_SQL + "k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c, b FROM s WHERE stop IS NULL OR pos < stop) SELECT 'earlier-doc-' || b AS id, list(c ORDER BY c) AS later_ids FROM k GROUP BY b")
+def grf02_earlier_documents_all(t: Tables) -> DataFrame:
+    made, contracts = _chain_parts(t, t.orders)
     return lineage.earlier_documents(lineage.chain_links(made, contracts), contracts).select("id", "later_ids")
 
 
@@ -352,8 +386,16 @@ def src21_page_counts(t: Tables) -> DataFrame:
 SELECT o_orderkey, o_orderdate, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') AS k FROM orders WHERE o_orderkey < 100
 """)
 def srt06_expiry_key(t: Tables) -> DataFrame:
-    o = t.orders.where("o_orderkey < 100")
-    return o.select("o_orderkey", "o_orderdate", r.expiry_key(F.to_date("o_orderdate").cast("string"), F.lit(2020)).alias("k"))
+    return _keyed(t.orders.where("o_orderkey < 100"))
+
+
+def _keyed(orders: DataFrame) -> DataFrame:
+    return orders.select("o_orderkey", "o_orderdate", r.expiry_key(F.to_date("o_orderdate").cast("string"), F.lit(2020)).alias("k"))
+
+
+@query("SELECT o_orderkey, o_orderdate, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') AS k FROM orders")
+def srt06_expiry_key_all(t: Tables) -> DataFrame:
+    return _keyed(t.orders)
 
 
 @query("SELECT event_id, value > 30 AND value < 70 AS open_band, value >= 20 AND value < 40 AS half_open FROM events")

@@ -48,11 +48,31 @@ def agg07_compounded(t: Tables) -> DataFrame:
     return one.where(F.size("p") == 1).select("l_orderkey", text.compounded(F.col("p")).alias("compounded"))
 
 
+@query("""
+WITH l AS (SELECT l_orderkey, list(l_discount * 100 ORDER BY l_linenumber, l_discount) AS p FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT l_orderkey, (list_reduce(list_prepend(1.0::DOUBLE, p), lambda a, x: a * (1 + x / 100)) - 1) * 100 AS c FROM l)
+SELECT l_orderkey, CAST(round(CAST(CAST(c AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) AS compounded FROM f
+""")
+def agg07_compounded_all(t: Tables) -> DataFrame:
+    """All lines of an order in turn; ties of the shortest decimal form go up."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount"))).alias("p"))
+    return lines.select("l_orderkey", text.compounded(F.transform("p", lambda x: x["l_discount"] * 100)).alias("compounded"))
+
+
 @query("SELECT l_returnflag, round(exp(sum(ln(1 + l_discount))), 6) AS factor FROM lineitem WHERE l_orderkey < 50 GROUP BY l_returnflag")
 def agg07_product(t: Tables) -> DataFrame:
     return t.lineitem.where("l_orderkey < 50").groupBy("l_returnflag").agg(F.round(F.product(1 + F.col("l_discount")), 6).alias("factor"))
 
 
+@query("""
+SELECT l_orderkey, floor(product(100 + round(l_discount * 100)) / pow(100, count(*)) * 1000000 + 0.5) / 1000000 AS factor FROM lineitem GROUP BY l_orderkey
+""")
+def agg07_product_all(t: Tables) -> DataFrame:
+    """Per order over all its lines, multiplied in hundredths, which is exact up to seven lines."""
+    whole = F.product(100 + F.round(F.col("l_discount") * 100)) / F.pow(F.lit(100.0), F.count(F.lit(1)))
+    return t.lineitem.groupBy("l_orderkey").agg((F.floor(whole * 1000000 + 0.5) / 1000000).alias("factor"))
+
+
 @query("SELECT coalesce(format('{:.2f}', round(avg(value), 2)), '—') AS average FROM events WHERE value >= 18 AND value < 25")
 def agg08_band(t: Tables) -> DataFrame:
     return reports.average_in_band(t.events, "value")
@@ -282,6 +302,12 @@ def scl34_numbers(t: Tables) -> DataFrame:
     return t.orders.where(F.abs(p - F.floor(p) - 0.5) > 0.001).select("o_orderkey", F.format_number(p, 0).alias("shown"))
 
 
+@query("SELECT o_orderkey, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS shown FROM orders")
+def scl34_numbers_all(t: Tables) -> DataFrame:
+    """Ties go away from zero."""
+    return t.orders.select("o_orderkey", F.format_number(F.round("o_totalprice"), 0).alias("shown"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'seen ' || event_id ELSE '' END AS caveat FROM events")
 def scl37_caveats(t: Tables) -> DataFrame:
     note = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Note. Caveat:  seen "), F.col("event_id").cast("string"))).otherwise("plain")
