@@ -2,7 +2,8 @@
 
 Tokens are lower-cased words and one end per text.  The tree's symbols are the frequent
 words, each its own symbol, and classes of the other words by their last two bytes; a word
-of a class then has its share of the class.  States are contexts of up to ``DEPTH`` symbols.
+of a class then has its share of the class.  States are contexts of any length: levels are added
+until one has no context that becomes a state.
 A context becomes a state if it is frequent enough and its next-symbol distribution
 diverges from that of its longest suffix that is a state; distributions are smoothed
 towards that suffix, and each symbol is scored by the longest state that is a suffix of what
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lean, shuffle_width
 
-#: Longest context, in symbols.
-DEPTH = 2
+#: Longest context, in symbols: a guard, as levels end where no context becomes a state.
+DEPTH = 64
 #: Least share of the training tokens that makes a word a symbol of its own.
 WORD_FLOOR = 3e-5
 #: Least share of the training tokens that a context must precede.
@@ -423,6 +424,8 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, word_floor: flo
         got = _level(training, spread, spark.sparkContext.broadcast(tree), d, buckets, max(2, int(np.ceil(PAIR_FLOOR * n)))).collect()
         keys, sums, rare, rare_n = (np.concatenate([np.zeros(0, "i8")] + [np.frombuffer(r[k], "i8") for r in got]) for k in ("keys", "counts", "rare", "rare_n"))
         tree.fit(keys.view("u8"), sums, (rare, rare_n), divergence, floor)
+        if not tree.state[d].any():
+            break
     model = spark.sparkContext.broadcast(tree.lean())
 
     @lean

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,16 @@ def test_suffix_tree_edges(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in got)
 
 
+def test_contexts_grow_while_they_diverge(spark):
+    """What follows "m m m" depends on the fourth word back."""
+    pairs = {"p": "left", "q": "right", "r": "up", "s": "down"}
+    rows = [(i, " ".join(f"{k} m m m {pairs[k]}" for k in random.Random(i).choices("pqrs", k=20)), "s") for i in range(60)]
+    d = documents(spark, rows)
+    whole, cut = ({r["doc_id"]: r for r in suffix_tree.score(d, Scratch(spark, "t"), **k).collect()} for k in ({}, {"depth": 2}))
+    held = [i for i in whole if whole[i]["held_out"]]
+    assert held and all(whole[i]["score"] > cut[i]["score"] + 1 for i in held)
+
+
 def test_many_small_chunks_change_nothing(spark):
     rows = [(i, t, s) for i, t, s in corpus(n=25)]
     one = suffix_tree.score(documents(spark, rows), Scratch(spark, "t")).collect()
