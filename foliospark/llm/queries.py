@@ -118,7 +118,7 @@ FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives and their capture index written, then every record read back through the index."""
+    """Archives and their capture index written, then every record read back: index blocks in order, archives whole."""
     from . import warc
 
     scratch = Scratch(spark, "op10")
