@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import wraps
 
 import pyarrow as pa
@@ -69,13 +70,35 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        for name in names:
+            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are done: it does so once the driver's
+        garbage collector has seen that nothing refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    @contextmanager
+    def batches(self, rows: int) -> Iterator[None]:
+        """Arrow batches of at most so many rows for the jobs that run inside; the session's own size afterwards."""
+        before = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_BATCH, before)
 
 
 def _own_dir(spark: SparkSession) -> str:
+    """A temporary folder where the session names none: on one machine only, where executors share it."""
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = getattr(spark, "_foliospark_dir", None)
     if made is None:
         made = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"

@@ -1,24 +1,25 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Tokens are lower-cased words and one end per text.  The tree's symbols are the frequent
-words, each its own symbol, and classes of the other words by their last two bytes; a word
-of a class then has its share of the class.  States are contexts of any length: levels are added
-until one has no context that becomes a state.
-A context becomes a state if it is frequent enough and its next-symbol distribution
-diverges from that of its longest suffix that is a state; distributions are smoothed
-towards that suffix, and each symbol is scored by the longest state that is a suffix of what
-precedes it in the text.  Unknown words of a class are one symbol of that class, as the
-base counts all unknown words as one.
-
-Nothing of the corpus goes to the driver but what lies above the frequency floors: at most
-``1 / WORD_FLOOR`` words, 65,536 classes, and ``1 / STATE_FLOOR`` contexts and ``1 / PAIR_FLOOR``
-pairs of a context and its next symbol a length, whatever the input.  Exact counts of all words are exchanged in packed rows: each chunk of documents
-asks for its own words, by hash bucket.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Tokens are lower-cased words and one end per text; a context is any run of tokens, which may
+begin with the start of the text.  A context becomes a state if it occurs at least ``FLOOR``
+times in the training texts and its next-token distribution diverges from that of its longest
+suffix that is a state.  Distributions are smoothed towards that suffix (Witten and Bell), the
+root is add-one, and each token is scored by the longest state that is a suffix of what
+precedes it.  No floor depends on the size of the corpus, so what is gathered grows with it.
+
+The tree is never held in one place.  Texts lie in chunks, a row each, and are tokenized once.
+For each length the chunks ask for what they need in sorted packed arrays, one row a
+hash bucket: how often a context with its next token occurs in training, and whether a context is a
+state, how often it occurs and with how many different next tokens.  The answers come
+back to the chunk.  A hot word or passage is one number a chunk, as chunks count first.
+A context whose next token is always the same is not made longer, for no longer one differs
+from it, nor is one that occurs less than ``FLOOR`` times; so fewer and fewer tokens ask, and
+lengths end where no context becomes a state.  The driver sees sums only.
 """
 
 from __future__ import annotations
 
-import zlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +29,31 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lean, shuffle_width
 
-#: Longest context, in symbols: a guard, as levels end where no context becomes a state.
-DEPTH = 64
-#: Least share of the training tokens that makes a word a symbol of its own.
-WORD_FLOOR = 3e-5
-#: Least share of the training tokens that a context must precede.
-STATE_FLOOR = 3e-5
-#: Least share of the training tokens for a (context, next symbol) to be kept by itself.
-PAIR_FLOOR = 1e-7
-#: Least divergence of a state from its parent, in nats per different next symbol.
+#: Longest context, in tokens.  Lengths end earlier where no context becomes a state; repeated lines
+#: and passages with variants go on for as long as they are, for the few tokens at their forks.
+DEPTH = 20
+#: Least occurrences of a state in the training texts.
+FLOOR = 2
+#: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
-#: Tokens in a chunk of documents that shares one local vocabulary.
-CHUNK_TOKENS = 1_500_000
+#: Tokens in a chunk of documents, and in a bucket of questions.
+CHUNK_TOKENS, BUCKET_TOKENS = 1_200_000, 2_000_000
+#: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
+TEXT_ROWS, CHUNK_ROWS = 1000, 64
 #: Documents whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (7, 2)
 
-#: Symbols before the words: nothing, start of text, end of text, words of rare classes.
-_PAD, _START, _END, _OTHER = range(4)
-_SCHEMA = "shard long, doc_id {id}, held_out boolean, body binary, bucket int, words binary, ids binary, counts binary"
+#: Local numbers of the start and the end of a text; words follow.
+_START, _END = 0, 1
+#: Kinds of rows, in the order a chunk reads them.
+_PAIRS, _CONTEXTS, _WORDS, _CHUNK = 0, 1, 2, 9
+_U = np.uint64
+_LN10 = float(np.log(10.0))
+_NAMES = ["shard", "kind", "bucket", "n", "m", "x", "ids"]
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _schema(id_type: str) -> str:
+    return f"shard long, kind int, bucket int, n long, m long, x binary, ids array<{id_type}>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,11 +61,142 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _chunks(docs: DataFrame, buckets: int, chunk_tokens: int) -> DataFrame:
-    """A row for each document (local word ids) and, for each chunk and bucket, its words with training counts."""
-    picked = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False)).alias("held_out"))
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: planes of equal significance lie together, compressed."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        planes = a.view("u1").reshape(-1, a.itemsize).T.tobytes()
+        data = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+        out += [struct.pack("<3sQQ", a.dtype.str.encode(), len(planes), len(data)), data]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(data[0]):
+        kind, size, packed = struct.unpack_from("<3sQQ", data, at)
+        at += 19
+        kind = np.dtype(kind.decode())
+        planes = pa.decompress(data[at : at + packed], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+        at += packed
+        out.append(np.frombuffer(np.frombuffer(planes, "u1").reshape(kind.itemsize, -1).T.tobytes(), kind))
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _U(0x9E3779B97F4A7C15)
+    x ^= x >> _U(31)
+    x *= _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+class Chunk:
+    """Some documents and what is known of them after a number of lengths."""
+
+    FIELDS = ("words", "sizes", "number", "hashes", "counts", "held", "n_tokens", "n_known", "base", "score", "waiting", "seen", "logp", "asks")
+
+    def __init__(self, **fields: np.ndarray):
+        #: tokens of the documents that still ask, one document after another, by local number
+        self.words = fields["words"]
+        #: tokens (with start and end) of each such document, and its place among all documents
+        self.sizes, self.number = fields["sizes"], fields["number"]
+        #: by local number: hash, and occurrences in training
+        self.hashes, self.counts = fields["hashes"], fields["counts"]
+        #: by document
+        self.held, self.n_tokens, self.n_known = fields["held"], fields["n_tokens"], fields["n_known"]
+        self.base, self.score = fields["base"], fields["score"]
+        #: tokens that wait for their context's verdict, how often they follow it, their log10
+        #: probability so far (single precision), and which of them ask for a longer context
+        self.waiting, self.seen, self.logp, self.asks = fields["waiting"], fields["seen"], fields["logp"], fields["asks"]
+
+    @classmethod
+    def load(cls, data: bytes) -> Chunk:
+        fields = dict(zip(cls.FIELDS, unpack(data), strict=True))
+        fields["waiting"] = np.cumsum(fields["waiting"], dtype="i8")
+        return cls(**fields)
+
+    def dump(self) -> bytes:
+        fields = {k: getattr(self, k) for k in self.FIELDS}
+        fields["waiting"] = np.diff(self.waiting, prepend=0).astype("<u4")
+        return pack(*fields.values())
+
+    def place(self) -> None:
+        """Where documents start, and for each token its document, its place in it and whether it is training text."""
+        self.starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.train = self.held[self.number][self.doc] == 0
+        self.hashed = self.hashes[self.words]
+
+    def predicted(self) -> np.ndarray:
+        every = np.ones(len(self.words), bool)
+        every[self.starts] = False
+        return np.flatnonzero(every)
+
+    def context(self, at: np.ndarray, length: int) -> np.ndarray:
+        key = np.full(len(at), length, "u8")
+        for j in range(1, length + 1):
+            key = _mix(key + self.hashed[at - j])
+        return key
+
+    def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens that ask, their distinct (context, next) and which is whose."""
+        at = self.predicted() if length == 1 else self.waiting[self.asks > 0]
+        keys, which = np.unique(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))), return_inverse=True)
+        return at, keys, which
+
+    def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.context(self.waiting, length), return_inverse=True)
+
+    def keep(self, waiting: np.ndarray) -> None:
+        """Forget the tokens of documents in which nothing waits, and words met nowhere else."""
+        live = np.zeros(len(self.sizes), bool)
+        live[self.doc[waiting]] = True
+        self.waiting = waiting
+        if live.mean() > 0.9:
+            return
+        keep = live[self.doc]
+        place = np.cumsum(keep) - 1
+        self.waiting = place[waiting]
+        self.words, self.sizes, self.number = self.words[keep], self.sizes[live], self.number[live]
+        used = np.unique(self.words)
+        self.words = np.searchsorted(used, self.words).astype("<u4")
+        self.hashes, self.counts = self.hashes[used], self.counts[used]
+
+
+def _rows(shard: int, kind: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple]:
+    """Questions of one chunk by bucket; buckets are ranges of the hash, so sorted keys stay in order."""
+    place = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
+    cuts = np.searchsorted(place, np.arange(buckets + 1, dtype="u8"))
+    out = []
+    for k, (a, z) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+        if z > a:
+            out.append((shard, kind, k, z - a, None, pack(np.diff(keys[a:z], prepend=_U(0)), *(c[a:z] for c in columns)), None))
+    return out
+
+
+def _batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(ids))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], _NAMES)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one at a time; ids stay in Arrow."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield (*(b.column(j)[k].as_py() for j in range(6)), b.column(6)[k])
+
+
+def _ids_type(b: pa.DataType) -> pa.DataType:
+    return b.value_type
+
+
+def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """The documents in chunks: ``n`` training tokens, ``m`` training documents, ``x`` the chunk."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))
+    picked = docs.select("doc_id", "text", held.alias("held"))
     id_type = dict(picked.dtypes)["doc_id"]
-    names = ["shard", "doc_id", "held_out", "body", "bucket", "words", "ids", "counts"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,439 +204,235 @@ def _chunks(docs: DataFrame, buckets: int, chunk_tokens: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId() << 24
-        index, seen, rest, arrow_id = _Ids(), 0, [], None
-        train: list[np.ndarray] = []
-
-        def vocabulary() -> pa.RecordBatch:
-            words = list(index)
-            counts = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), "i8")
-            place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), "u4", len(words))
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(buckets + 1))
-            rows = [(k, order[a:z]) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-            n = len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n, pa.int64()), pa.nulls(n, arrow_id), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in rows], pa.int32())]
-                + [pa.array(x, pa.binary()) for x in ([b"\n".join([words[i] for i in at]) for _, at in rows], [at.astype("<u4").tobytes() for _, at in rows], [counts[at].astype("<i8").tobytes() for _, at in rows])],
-                names,
-            )
+        index: dict[bytes, int] = {}
+        texts: list[np.ndarray] = []
+        marks: list[bool] = []
+        ids: list = []
+        seen, id_arrow = 0, None
+
+        def close() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in texts], "<u4")
+            n = len(sizes)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), "<u8", len(index))
+            # the two marks can be no word, as words hold no white space
+            hashes = np.concatenate([np.array([xxhash.xxh3_64_intdigest(b" start"), xxhash.xxh3_64_intdigest(b" end")], "<u8"), hashes])
+            mark = np.array(marks, "u1")
+            none = np.zeros(0, "<u4")
+            chunk = Chunk(words=np.concatenate(texts), sizes=sizes, number=np.arange(n, dtype="<u4"), hashes=hashes, counts=np.zeros(0, "<u8"), held=mark, n_tokens=(sizes - 1).astype("<u4"), n_known=none, base=np.zeros(0), score=np.zeros(n), waiting=none, seen=none, logp=np.zeros(0, "<f4"), asks=np.zeros(0, "u1"))
+            train = mark == 0
+            return _batch([(shard, _CHUNK, None, int((sizes[train] - 1).sum(dtype="i8")), int(train.sum()), chunk.dump(), ids)], id_arrow)
 
         for b in batches:
-            arrow_id = b.column(0).type
-            bodies, shards = [], []
-            for cell, held in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                ids = np.fromiter(map(index.__getitem__, words := tokens(cell.as_py())), "<u4", len(words))
-                bodies.append(ids.tobytes())
-                shards.append(shard)
-                seen += len(ids)
-                if not held:
-                    train.append(ids)
+            id_arrow = b.column(0).type
+            for cell, mark, doc in zip(b.column(1), b.column(2).to_pylist(), b.column(0).to_pylist(), strict=True):
+                words = tokens(cell.as_py())
+                one = np.empty(len(words) + 2, "<u4")
+                one[0], one[-1] = _START, _END
+                one[1:-1] = np.fromiter((index.setdefault(w, len(index) + 2) for w in words), "<u4", len(words))
+                texts.append(one)
+                marks.append(mark)
+                ids.append(doc)
+                seen += len(one)
                 if seen >= chunk_tokens:
-                    rest.append(vocabulary())
-                    shard, index, seen, train = shard + 1, _Ids(), 0, []
-            n = len(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), b.column(0), b.column(2), pa.array(bodies, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-            yield from rest
-            rest = []
-        if seen:
-            yield vocabulary()
-
-    return picked.mapInArrow(run, _SCHEMA.format(id=id_type))
-
+                    yield close()
+                    shard, seen = shard + 1, 0
+                    index, texts, marks, ids = {}, [], [], []
+        if texts:
+            yield close()
 
-def _by_bucket(words: DataFrame, buckets: int) -> DataFrame:
-    return words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return picked.mapInArrow(run, _schema(id_type))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of one key at a time from rows sorted by it."""
-    now, rows = None, []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[key] != now and rows:
-                yield now, rows
-                rows = []
-            now = row[key]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
-def _class(word: bytes) -> bytes:
-    return word[-2:]
-
-
-class Symbols:
-    """What symbol a word is, and how probable it is inside its class."""
-
-    def __init__(self, words: dict[bytes, int], classes: dict[bytes, tuple[int, int]], least: int):
-        """``words``: counts of the frequent words; ``classes``: tokens and types of all other words."""
-        self.word = {w: _OTHER + 1 + i for i, w in enumerate(sorted(words))}
-        first = _OTHER + 1 + len(self.word)
-        self.cls = {c: first + i for i, c in enumerate(sorted(c for c, (n, _) in classes.items() if n >= least))}
-        self.size = first + len(self.cls)
-        self.tokens, self.types = np.zeros(self.size), np.zeros(self.size)
-        for c, (n, t) in classes.items():
-            k = self.cls.get(c, _OTHER)
-            self.tokens[k] += n
-            self.types[k] += t
-
-    def of(self, word: bytes) -> int:
-        s = self.word.get(word)
-        return self.cls.get(_class(word), _OTHER) if s is None else s
-
-    def inside(self, symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 share of words with these counts in their class: counts over tokens plus
-        types (Witten and Bell), what is left being the share of the class's unknown words."""
-        out = np.zeros(len(symbols))
-        c = (symbols == _OTHER) | (symbols > _OTHER + len(self.word))
-        n, t = self.tokens[symbols[c]], np.maximum(self.types[symbols[c]], 1)
-        out[c] = np.log10(np.where(counts[c] > 0, counts[c], t) / (n + t))
-        return out
-
-
-class _Cache(dict):
-    """Symbols of words met in a task; emptied when it has grown large."""
-
-    def __init__(self, symbols: Symbols, most: int = 400_000):
-        super().__init__()
-        self.symbols, self.most = symbols, most
+def _ask_words(buckets: int):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            c = Chunk.load(row[5])
+            c.place()
+            train = np.bincount(c.words[c.train], minlength=len(c.hashes))[1:]
+            order = np.argsort(c.hashes[1:])
+            yield _batch(_rows(row[0], _WORDS, c.hashes[1:][order], buckets, train[order].astype("<u8")), _ids_type(row[6].type))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        s = self[word] = self.symbols.of(word)
-        return s
+    return run
 
 
-def _vocabulary(asked: DataFrame, buckets: int, least: int) -> DataFrame:
-    """``kind, word, tokens, types``: frequent words, classes of the others, and all types."""
+def _ask(length: int, buckets: int):
+    """Questions of every chunk: occurrences of (context, next) of a length, and its waiting contexts, which are one shorter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 0):
-            total: dict[bytes, int] = {}
-            for _, joined, counts in rows:
-                for w, c in zip(joined.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True):
-                    if c:
-                        total[w] = total.get(w, 0) + c
-            out, classes = [("all", b"", sum(total.values()), len(total))], {}
-            for w, c in total.items():
-                if c >= least:
-                    out.append(("word", w, c, 1))
-                else:
-                    n, t = classes.get(k := _class(w), (0, 0))
-                    classes[k] = (n + c, t + 1)
-            out += [("class", k, n, t) for k, (n, t) in classes.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["kind", "word", "tokens", "types"])
-
-    found = _by_bucket(asked.select("bucket", "words", "counts"), buckets).mapInArrow(run, "kind string, word binary, tokens long, types long")
-    return found.groupBy("kind", "word").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-
-
-class SuffixTree:
-    """Contexts by length.  A context of length d is a number: its rank among the candidates
-    of that length, which are keyed by their oldest symbol and the rank of the rest."""
-
-    def __init__(self, size: int):
-        self.root = np.full(size, -np.log10(size))
-        self.candidates: list[np.ndarray] = [np.zeros(1, "u8"), np.arange(size, dtype="u8")]
-        self.names: list[list[tuple]] = [[()], [(i,) for i in range(size)]]
-        self.state: list[np.ndarray] = [np.ones(1, bool)]
-        self.backoff: list[np.ndarray] = [np.zeros(1)]
-        self.keys: list[np.ndarray] = [np.zeros(0, "u8")]
-        self.logp: list[np.ndarray] = [np.zeros(0)]
-
-    @property
-    def depth(self) -> int:
-        return len(self.keys) - 1
-
-    def contexts(self, symbols: np.ndarray, starts: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length 0..depth: the positions with a candidate context, and its rank.
-
-        ``symbols`` are texts one after another, each with a start and an end; the
-        starts' own positions are not predicted."""
-        predicted = np.ones(len(symbols), bool)
-        predicted[starts] = False
-        at = np.flatnonzero(predicted)
-        out = [(at, np.zeros(len(at), "u8"))]
-        text = np.searchsorted(starts, at, side="right") - 1
-        room = at - starts[text]
-        rank = symbols[at - 1].astype("u8")
-        if depth >= 1:
-            out.append((at, rank))
-        for d in range(2, depth + 1):
-            ok = room >= d
-            at, room, rank = at[ok], room[ok], rank[ok]
-            key = (symbols[at - d].astype("u8") << np.uint64(32)) | rank
-            known = self.candidates[d]
-            if not len(known):
-                out.append((at[:0], rank[:0]))
-                continue
-            k = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = known[k] == key
-            at, room, rank = at[hit], room[hit], k[hit].astype("u8")
-            out.append((at, rank))
+        for row in _each(batches):
+            c = Chunk.load(row[5])
+            c.place()
+            at, keys, which = c.pairs(length)
+            out = _rows(row[0], _PAIRS, keys, buckets, np.bincount(which, weights=c.train[at], minlength=len(keys)).astype("<u8"))
+            if length > 1:
+                keys, which = c.contexts(length - 1)
+                train = c.train[c.waiting].astype(float)
+                seen = np.maximum(c.seen.astype(float), 1.0)
+                # what the occurrences here add to the context's divergence and to its different next tokens
+                more = train * (np.log(seen) - c.logp.astype(float) * _LN10)
+                n, gain, kinds = (np.bincount(which, weights=w, minlength=len(keys)) for w in (train, more, train / seen))
+                out += _rows(row[0], _CONTEXTS, keys, buckets, n.astype("<u8"), gain.astype("<f8"), kinds.astype("<f8"))
+            if out:
+                yield _batch(out, _ids_type(row[6].type))
+
+    return run
+
+
+def _answer(floor: int, divergence: float):
+    """Answers in the order of each question.  ``m`` of a bucket's first answer about words says
+    how many of its words occur in training."""
+
+    def group(rows: list[tuple]) -> list[tuple]:
+        kind = rows[0][1]
+        parts = [unpack(r[5]) for r in rows]
+        keys, which = np.unique(np.concatenate([np.cumsum(p[0], dtype="u8") for p in parts]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
+        cuts = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
+        if kind != _CONTEXTS:
+            found, m = [n.astype("<u8")], int((n > 0).sum())
+        else:
+            gain, kinds = (np.bincount(which, weights=np.concatenate([p[k] for p in parts]), minlength=len(keys)) for k in (2, 3))
+            kinds = np.rint(kinds)
+            total = np.maximum(n, 1.0)
+            state = (n >= floor) & (gain - total * np.log(total) >= divergence * kinds)
+            found, m = [n.astype("<u8"), kinds.astype("<u8"), state.astype("u1")], 0
+        out = []
+        for k, (r, a, z) in enumerate(zip(rows, cuts, cuts[1:], strict=False)):
+            out.append((r[0], kind, r[2], z - a, m if k == 0 else 0, pack(*(f[which[a:z]] for f in found)), None))
         return out
 
-    def score(self, contexts: list[tuple[np.ndarray, np.ndarray]], symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """log10 probability of every predicted symbol by its longest state; 0 at starts."""
-        out, todo = np.zeros(len(symbols)), np.zeros(len(symbols), bool)
-        todo[contexts[0][0]] = True
-        for d in range(self.depth if depth is None else depth, 0, -1):
-            at, rank = contexts[d]
-            ok = todo[at] & self.state[d][rank.astype("i8")]
-            at, rank = at[ok], rank[ok]
-            if not len(at) or not len(self.keys[d]):
-                continue
-            key = (rank << np.uint64(32)) | symbols[at].astype("u8")
-            k = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-            seen = self.keys[d][k] == key
-            out[at[seen]] += self.logp[d][k[seen]]
-            todo[at[seen]] = False
-            out[at[~seen]] += self.backoff[d][rank[~seen].astype("i8")]
-        out[todo] += self.root[symbols[todo].astype("i8")]
-        return out
-
-    def fit_root(self, counts: np.ndarray) -> None:
-        """Add-one over all symbols but the start."""
-        can = np.ones(len(counts))
-        can[[_PAD, _START]] = 0
-        with np.errstate(divide="ignore"):
-            self.root = np.log10((counts * can + can) / (counts * can + can).sum())
-
-    def fit(self, keys: np.ndarray, counts: np.ndarray, rare: tuple[np.ndarray, np.ndarray], divergence: float, least: int) -> None:
-        """Counts of (context, next) for all candidates of the next length: choose its states
-        and the candidates one longer.
-
-        ``rare``: by context, how many different next symbols have too few occurrences to be
-        kept; they count as kinds, which is what a state leaves to its parent."""
-        d = self.depth + 1
-        n = len(self.candidates[d])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        owner, nxt = (keys >> np.uint64(32)).astype("i8"), keys & np.uint64(0xFFFFFFFF)
-        total, kinds = np.bincount(owner, weights=counts, minlength=n), np.bincount(owner, minlength=n).astype(float)
-        few = np.bincount(rare[0].astype("i8"), weights=rare[1], minlength=n)
-        kinds += few
-        # each (context, next) as a text of its own, scored by the tree so far
-        width = d + 1
-        names = np.array(self.names[d], "u4").reshape(n, d)
-        flat = np.concatenate([names[owner], nxt.astype("u4")[:, None]], axis=1).ravel() if len(keys) else np.zeros(0, "u4")
-        last = np.arange(len(keys)) * width + d
-        parent = self._tails(flat, last, d - 1)
-        p = (counts + kinds[owner] * 10.0**parent) / (total + kinds)[owner]
-        gain = np.bincount(owner, weights=counts * (np.log(p) - parent * np.log(10)), minlength=n) if len(keys) else np.zeros(n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += np.where(few > 0, few * np.log(kinds / (total + kinds)), 0.0)
-        kept = (total + few >= least) & (gain >= divergence * kinds) & (kinds > 0)
-        mine = kept[owner]
-        self.state.append(kept)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.backoff.append(np.where(kept, np.log10(kinds / (total + kinds)), 0.0))
-        self.keys.append(keys[mine])
-        self.logp.append(np.log10(p[mine]))
-        rank = {name: i for i, name in enumerate(self.names[d])}
-        longer = []
-        for o, x in zip(owner[counts >= least].tolist(), nxt[counts >= least].tolist(), strict=True):
-            name = self.names[d][o] + (x,)
-            if x != _END and name[1:] in rank:
-                longer.append((name[0] << 32 | rank[name[1:]], name))
-        longer.sort()
-        self.candidates.append(np.array([k for k, _ in longer], "u8"))
-        self.names.append([name for _, name in longer])
-
-    def _tails(self, flat: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
-        """Scores of the symbols at ``last`` by contexts of at most ``depth``."""
-        contexts = [(last, np.zeros(len(last), "u8"))]
-        rank, at = flat[last - 1].astype("u8") if depth else None, last
-        for d in range(1, depth + 1):
-            if d > 1:
-                key = (flat[at - d].astype("u8") << np.uint64(32)) | rank
-                k = np.minimum(np.searchsorted(self.candidates[d], key), max(len(self.candidates[d]) - 1, 0))
-                hit = self.candidates[d][k] == key if len(self.candidates[d]) else np.zeros(len(key), bool)
-                at, rank = at[hit], k[hit].astype("u8")
-            contexts.append((at, rank))
-        return self.score(contexts, flat, depth)[last]
-
-    def lean(self) -> SuffixTree:
-        """Without what only fitting needs."""
-        self.names = []
-        return self
-
-
-def _level(docs: DataFrame, symbols, tree, depth: int, parts: int, least: int, block_tokens: int = 500_000) -> DataFrame:
-    """Packed counts of (candidate context of one length, next symbol) over the training texts."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, ids = None, [], None
+        for row in _each(batches):
+            ids = _ids_type(row[6].type)
+            if (row[2], row[1]) != now:
+                if rows:
+                    yield _batch(group(rows), ids)
+                now, rows = (row[2], row[1]), []
+            rows.append(row)
+        if rows:
+            yield _batch(group(rows), ids)
+
+    return run
+
+
+def _learn(length: int, n: int, v: int, floor: int):
+    """Take in the answers to the questions of one length; ``n`` of a chunk is then how many tokens
+    have a state of the length before, ``m`` how many wait for their context."""
+
+    def joined(rows: list[tuple]) -> list[np.ndarray]:
+        parts = [unpack(r[5]) for r in rows]
+        return [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))] if parts else []
+
+    def step(c: Chunk, answers: dict[int, list[tuple]]) -> tuple[int, int]:
+        if length > 1 and not len(c.waiting):
+            return 0, 0
+        c.place()
+        at, _, which = c.pairs(length)
+        pairs = joined(answers[_PAIRS])
+        seen = pairs[0][which] if pairs else np.zeros(0, "<u8")
+        if length == 1:
+            order = np.argsort(c.hashes[1:])
+            c.counts = np.zeros(len(c.hashes), "<u8")
+            c.counts[1:][order] = joined(answers[_WORDS])[0]
+            each = np.log10((c.counts + 1.0) / (n + v + 1.0))
+            logp, states, longer = each[c.words[at]], 0, np.ones(len(at), bool)
+            c.base = np.bincount(c.doc[at], weights=logp, minlength=len(c.sizes))
+            c.n_known = np.bincount(c.doc[at], weights=c.counts[c.words[at]] > 0, minlength=len(c.sizes)).astype("<u4")
+            waiting = at
+        else:
+            _, whose = c.contexts(length - 1)
+            total, kinds, state = (x[whose] for x in joined(answers[_CONTEXTS]))
+            logp, state = c.logp.astype(float), state > 0
+            t, k = total[state].astype(float), kinds[state].astype(float)
+            logp[state] = np.log10((c.seen[state] + k * 10.0 ** logp[state]) / (t + k))
+            states, waiting = int(state.sum()), c.waiting
+            longer = (c.asks > 0) & (total >= floor) & (kinds >= 2)
+            seen = seen[longer[c.asks > 0]]
+            at = waiting[longer]
+        # a context occurs as often as its last token follows what is before it
+        known = np.full(len(c.words), floor, "u8")
+        known[at] = seen
+        asks = (known[at - 1] >= floor) & (at - c.starts[c.doc[at]] > length)
+        done = ~longer
+        np.add.at(c.score, c.number[c.doc[waiting[done]]], logp[done])
+        c.seen, c.logp, c.asks = seen.astype("<u4") if len(seen) and seen.max() < 1 << 32 else seen, logp[longer].astype("<f4"), asks.astype("u1")
+        c.keep(at)
+        return states, len(at)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, model = _Cache(symbols.value), tree.value
-        held: list[np.ndarray] = []
-        size, keys, counts = 0, np.zeros(0, "u8"), np.zeros(0, "i8")
-
-        def count(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            flat = np.concatenate(held)
-            at, rank = model.contexts(flat, np.flatnonzero(flat == _START), depth)[depth]
-            fresh, n = np.unique((rank << np.uint64(32)) | flat[at].astype("u8"), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            return keys, np.bincount(where, weights=np.concatenate([counts, n])).astype("i8")
-
-        def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            place = ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-            out = [(int(p), zlib.compress(np.diff(keys[m], prepend=np.uint64(0)).tobytes(), 1), zlib.compress(counts[m].tobytes(), 1)) for p in np.unique(place) if len(m := np.flatnonzero(place == p))]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["part", "keys", "counts"])
+        answers: dict[int, list[tuple]] = {_PAIRS: [], _CONTEXTS: [], _WORDS: []}
+        for row in _each(batches):
+            if row[1] != _CHUNK:
+                answers[row[1]].append(row)
+                continue
+            c = Chunk.load(row[5])
+            c.score = c.score.copy()
+            states, left = step(c, answers)
+            answers = {k: [] for k in answers}
+            yield _batch([(row[0], _CHUNK, None, states, left, c.dump(), row[6].as_py())], _ids_type(row[6].type))
 
-        for b in batches:
-            for cell in b.column(0):
-                words = tokens(cell.as_py())
-                one = np.empty(len(words) + 2, "u4")
-                one[0], one[-1] = _START, _END
-                one[1:-1] = np.fromiter(map(cache.__getitem__, words), "u4", len(words))
-                held.append(one)
-                size += len(one)
-                if size >= block_tokens:
-                    keys, counts = count(keys, counts)
-                    held, size = [], 0
-            if len(keys) >= 3_000_000:
-                yield packed(keys, counts)
-                keys, counts = np.zeros(0, "u8"), np.zeros(0, "i8")
-        if held:
-            keys, counts = count(keys, counts)
-        if len(keys):
-            yield packed(keys, counts)
+    return run
 
-    @lean
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 0):
-            key = np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(r[1]), "u8"), dtype="u8") for r in rows])
-            n = np.concatenate([np.frombuffer(zlib.decompress(r[2]), "i8") for r in rows])
-            keys, where = np.unique(key, return_inverse=True)
-            sums = np.bincount(where, weights=n).astype("i8")
-            keep = sums >= least
-            # of rare pairs only their number matters
-            owner = (keys >> np.uint64(32)).astype("i8")
-            rare = np.unique(owner[~keep], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys[keep], sums[keep], rare[0], rare[1])], ["keys", "counts", "rare", "rare_n"])
-
-    found = docs.mapInArrow(run, "part int, keys binary, counts binary")
-    return found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "keys binary, counts binary, rare binary, rare_n binary")
-
-
-def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, word_floor: float = WORD_FLOOR, state_floor: float = STATE_FLOOR, divergence: float = DIVERGENCE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+
+def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FLOOR, divergence: float = DIVERGENCE, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Score every text by a tree learned from the texts that are not held out.
 
     Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, scores in
     log10.  A null or empty text is its end alone.  A row without id is training text.
     Repeated rows count as often as they occur.  An empty table gives no rows; with
     nothing to learn from, every symbol is equally likely and the base is log10(1) a token.
+    A text is never cut, so a chunk holds at least one whole text; memory follows the longest.
+    Columns other than ``doc_id`` and ``text`` are not read.
     """
     spark = docs.sparkSession
-    buckets = shuffle_width(spark)
-    chunks = scratch.save(_chunks(docs, buckets, chunk_tokens), "lm-chunks")
-    texts, asked = chunks.where("bucket IS NULL"), chunks.where("bucket IS NOT NULL")
-    sums = texts.where("NOT held_out").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("body") / 4), F.lit(0)).cast("long").alias("words")).first()
-    n_docs, n = sums["docs"], sums["docs"] + sums["words"]
-    least = max(2, int(np.ceil(word_floor * n)))
-    rows = _vocabulary(asked, buckets, least).collect()
-    v = sum(r["types"] for r in rows if r["kind"] == "all") + (n_docs > 0)
-    words = {bytes(r["word"]): r["tokens"] for r in rows if r["kind"] == "word"}
-    symbols = Symbols(words, {bytes(r["word"]): (r["tokens"], r["types"]) for r in rows if r["kind"] == "class"}, least)
-    spread = spark.sparkContext.broadcast(symbols)
-
-    tree = SuffixTree(symbols.size)
-    counts = symbols.tokens.copy()
-    counts[_END] = n_docs
-    for w, s in symbols.word.items():
-        counts[s] = words[w]
-    tree.fit_root(counts)
-    floor = max(2, int(np.ceil(state_floor * n)))
-    training = docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT[0] == HELD_OUT[1], F.lit(False))).select("text")
-    for d in range(1, depth + 1):
-        if not len(tree.candidates[d]):
-            break
-        got = _level(training, spread, spark.sparkContext.broadcast(tree), d, buckets, max(2, int(np.ceil(PAIR_FLOOR * n)))).collect()
-        keys, sums, rare, rare_n = (np.concatenate([np.zeros(0, "i8")] + [np.frombuffer(r[k], "i8") for r in got]) for k in ("keys", "counts", "rare", "rare_n"))
-        tree.fit(keys.view("u8"), sums, (rare, rare_n), divergence, floor)
-        if not tree.state[d].any():
-            break
-    model = spark.sparkContext.broadcast(tree.lean())
-
+    id_type = dict(docs.dtypes)["doc_id"]
+    schema = _schema(id_type)
+    with scratch.batches(TEXT_ROWS):
+        state = scratch.save(chunks(docs, chunk_tokens), "lm-0")
+    sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.size("ids")).alias("docs")).first()
+    n = sums["n"]
+    parts = max(1, min(sums["chunks"], 100_000))
+    buckets = max(shuffle_width(spark), -(-n // bucket_tokens), 1)
+
+    def asked(questions) -> DataFrame:
+        rows = state.mapInArrow(questions, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "shard")
+        return rows.mapInArrow(_answer(floor, divergence), schema)
+
+    with scratch.batches(CHUNK_ROWS):
+        words = scratch.save(asked(_ask_words(buckets)), "lm-words")
+        v = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()["v"]
+        for length in range(1, depth + 2):
+            answers = asked(_ask(length, buckets))
+            if length == 1:
+                answers = answers.union(words)
+            both = answers.union(state).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "bucket")
+            after = scratch.save(both.mapInArrow(_learn(length, n, v, floor), schema), f"lm-{length}")
+            del answers, both
+            scratch.drop(f"lm-{length - 1}")
+            if length == 1:
+                scratch.drop("lm-words")
+            state = after
+            scratch.sweep()
+            left = state.agg(F.sum("n").alias("states"), F.sum("m").alias("left")).first()
+            if not left["left"] or (length > 1 and not left["states"]):
+                break
+        return scratch.save(state.mapInArrow(_finish(n), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+
+
+def _finish(n: int):
     @lean
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 0):
-            total: dict[bytes, int] = {}
-            split = [r[2].split(b"\n") for r in rows]
-            for words, r in zip(split, rows, strict=True):
-                for w, c in zip(words, np.frombuffer(r[4], "<i8").tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
-            cache = _Cache(spread.value)
-            for words, r in zip(split, rows, strict=True):
-                counts = np.fromiter(map(total.__getitem__, words), "<i8", len(words)).tobytes()
-                found = np.fromiter(map(cache.__getitem__, words), "<u4", len(words)).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([r[3]], pa.binary()), pa.array([counts], pa.binary()), pa.array([found], pa.binary())], ["shard", "ids", "counts", "symbols"])
-
-    answers = _by_bucket(asked.select("bucket", "shard", "words", "ids", "counts"), buckets).mapInArrow(answer, "shard long, ids binary, counts binary, symbols binary")
-    id_type = dict(texts.dtypes)["doc_id"]
-    empty = F.lit(None)
-    both = answers.select("shard", F.lit(0).alias("kind"), empty.cast(id_type).alias("doc_id"), empty.cast("boolean").alias("held_out"), "ids", "counts", "symbols").union(
-        texts.select("shard", F.lit(1).alias("kind"), "doc_id", "held_out", F.col("body").alias("ids"), empty.cast("binary").alias("counts"), empty.cast("binary").alias("symbols"))
-    )
-    base = lambda c: np.log10((c + 1.0) / (n + v + 1.0))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    @lean
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts = None, []
-        known = flat = own = inner = None
-        waiting: list[tuple] = []
-
-        def scored(id_arrow) -> pa.RecordBatch:
-            """Score the waiting texts of one shard together."""
-            ids = [w[2] for w in waiting]
-            sizes = np.array([len(x) for x in ids])
-            every = np.concatenate(ids)
-            starts = np.cumsum(sizes + 2) - (sizes + 2)
-            line = np.full(int((sizes + 2).sum()), _END, "u4")
-            line[starts] = _START
-            place = np.ones(len(line), bool)
-            place[starts] = place[starts + sizes + 1] = False
-            line[place] = own[every]
-            each = model.value.score(model.value.contexts(line, starts, model.value.depth), line)
-            more, one, sure = np.zeros(len(line)), np.full(len(line), float(base(n_docs))), np.full(len(line), int(n_docs > 0))
-            more[place], one[place], sure[place] = inner[every], flat[every], known[every]
-            one[starts] = sure[starts] = 0
-            add = lambda x: np.add.reduceat(x, starts)
-            out = [pa.array([w[0] for w in waiting], id_arrow), pa.array([w[1] for w in waiting], pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(add(sure), pa.int64()), pa.array([n] * len(sizes), pa.int64()), pa.array(add(one), pa.float64()), pa.array(add(each + more), pa.float64())]
-            waiting.clear()
-            return pa.RecordBatch.from_arrays(out, names)
-
-        size = 0
-        for b in batches:
-            for k in range(b.num_rows):
-                at = b.column(0)[k].as_py()
-                if at != shard:
-                    if waiting:
-                        yield scored(b.column(2).type)
-                        size = 0
-                    shard, parts, known = at, [], None
-                ids = np.frombuffer(b.column(4)[k].as_py(), "<u4")
-                if b.column(1)[k].as_py() == 0:
-                    parts.append((ids, np.frombuffer(b.column(5)[k].as_py(), "<i8"), np.frombuffer(b.column(6)[k].as_py(), "<u4")))
-                    continue
-                if known is None:
-                    most = max((int(p[0].max()) + 1 for p in parts), default=0)
-                    counts, own = np.zeros(most, "i8"), np.zeros(most, "u4")
-                    for p in parts:
-                        counts[p[0]], own[p[0]] = p[1], p[2]
-                    known, flat, inner, parts = counts > 0, base(counts), spread.value.inside(own, counts), []
-                waiting.append((b.column(2)[k].as_py(), b.column(3)[k].as_py(), ids))
-                size += len(ids)
-                if size >= 200_000:
-                    yield scored(b.column(2).type)
-                    size = 0
-            if waiting:
-                yield scored(b.column(2).type)
-                size = 0
-
-    dealt = both.repartition(buckets, "shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(finish, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            c = Chunk.load(row[5])
+            c.place()
+            total = c.score + np.bincount(c.number[c.doc[c.waiting]], weights=c.logp, minlength=len(c.score))
+            k = len(total)
+            out = [pa.array(row[6].as_py(), _ids_type(row[6].type)), pa.array(c.held > 0), pa.array(c.n_tokens, pa.int64()), pa.array(c.n_known, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(c.base, pa.float64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run

@@ -40,27 +40,60 @@ def test_base_scores_and_gain(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_next_symbols_sum_to_one():
-    rng = np.random.default_rng(1)
-    size = 9
-    tree = suffix_tree.SuffixTree(size)
-    texts = [np.array([1, *rng.integers(4, size, 30), 2], "u4") for _ in range(40)]
-    flat = np.concatenate(texts)
-    starts = np.flatnonzero(flat == 1)
-    tree.fit_root(np.bincount(flat, minlength=size).astype(float))
-    for d in (1, 2):
-        at, rank = tree.contexts(flat, starts, d)[d]
-        keys, n = np.unique((rank << np.uint64(32)) | flat[at].astype("u8"), return_counts=True)
-        keep = n >= 2
-        owner, few = np.unique((keys[~keep] >> np.uint64(32)).astype("i8"), return_counts=True)
-        tree.fit(keys[keep], n[keep], (owner, few), 0.1, 2)
-    assert sum(int(s.sum()) for s in tree.state) > 1
-    for ctx in ([1], [5], [1, 5], [6, 7], [8, 4]):
-        total = 0.0
-        for x in range(2, size):
-            line = np.array([1, *[c for c in ctx if c != 1], x], "u4")
-            total += 10 ** tree.score(tree.contexts(line, np.array([0]), tree.depth), line)[-1]
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
+class BruteTree:
+    """The tree held in dictionaries: every context, its next tokens, and the states among them."""
+
+    def __init__(self, texts, depth, floor, divergence):
+        self.lines = [["<s>", *t, None] for t in texts]
+        unigrams = Counter(w for x in self.lines for w in x[1:])
+        n, v = sum(unigrams.values()), len(unigrams)
+        self.root = lambda w: (unigrams[w] + 1) / (n + v + 1)
+        self.nexts, self.states = {(): unigrams}, {}
+        for d in range(1, depth + 1):
+            found = defaultdict(Counter)
+            for x in self.lines:
+                for i in range(d, len(x)):
+                    tail = self.nexts.get(tuple(x[i - d + 1 : i]))
+                    if d == 1 or (tail and sum(tail.values()) >= floor and len(tail) >= 2):
+                        found[tuple(x[i - d : i])][x[i]] += 1
+            fresh = {}
+            for ctx, c in found.items():
+                t = sum(c.values())
+                gain = sum(k * math.log(k / t / self.probability(w, ctx[1:])) for w, k in c.items())
+                if t >= floor and gain >= divergence * len(c):
+                    fresh[ctx] = c
+            self.nexts.update(found)
+            self.states.update(fresh)
+            if not fresh:
+                break
+
+    def probability(self, w, ctx):
+        p = self.root(w)
+        for d in range(1, len(ctx) + 1):
+            c = self.states.get(tuple(ctx[len(ctx) - d :]))
+            if c:
+                p = (c[w] + len(c) * p) / (sum(c.values()) + len(c))
+        return p
+
+    def score(self, text):
+        x = ["<s>", *text, None]
+        return sum(math.log10(self.probability(x[i], x[max(0, i - 20) : i])) for i in range(1, len(x)))
+
+
+@pytest.mark.parametrize("divergence", [0.0, 1.0])
+def test_scores_same_as_a_tree_in_dictionaries(spark, divergence):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdefg", [9, 5, 3, 2, 1, 1, 1], k=rng.randrange(0, 25))), "s") for i in range(50)]
+    rows += [(60 + i, "a b c a b d " * (i % 4) + "x y z", "s") for i in range(14)]
+    train = [lowered(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    tree = BruteTree(train, 20, 2, divergence)
+    assert max(map(len, tree.states)) > 2
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows), Scratch(spark, "t"), divergence=divergence, chunk_tokens=150, bucket_tokens=100).collect()}
+    for i, t, _ in rows:
+        assert math.isclose(got[i], tree.score(lowered(t)), rel_tol=1e-5, abs_tol=1e-6), (i, t)
+    vocabulary = {w for t in train for w in t} | {None, "never"}
+    for ctx in (("<s>",), ("a",), ("a", "b"), ("x", "y"), ("c", "a", "b")):
+        assert math.isclose(sum(tree.probability(w, ctx) for w in vocabulary), 1.0, rel_tol=1e-9)
 
 
 def test_suffix_tree_edges(spark):
@@ -73,6 +106,9 @@ def test_suffix_tree_edges(spark):
     assert all(len(x) == 1 for x in by.values())
     assert next(iter(by[200]))[0] == 1 and by[200] == by[201] == by[202]
     assert suffix_tree.score(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).collect() == []
+    long = [(5, "one two three " * 70_000, "s"), (3, "four " * 200_000, "s"), (4, "four " * 200_000, "s")]
+    got = {r["doc_id"]: r for r in suffix_tree.score(documents(spark, long), Scratch(spark, "t")).collect()}
+    assert got[5]["n_tokens"] == 210_001 and got[3]["score"] == got[4]["score"] and got[5]["score"] > got[5]["base_score"] + 1000
     only = [r for r in corpus(n=30) if zlib.crc32(str(r[0]).encode()) % 7 == 2]
     got = suffix_tree.score(documents(spark, only), Scratch(spark, "t")).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in got)
