@@ -52,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.tables: set[str] = set()
         ship(spark)
         # whole texts are wide rows: fewer of them a batch bound what JVM and Python hold at once
         if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
@@ -70,10 +71,23 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table whose rows lie by ``key``, so that what groups or joins by it need not shuffle it again."""
+        table = self._table(name)
+        self.tables.add(name)
+        df.write.mode("overwrite").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        return self.spark.table(table)
+
+    def _table(self, name: str) -> str:
+        return f"foliospark_{self.root.rsplit('-', 1)[1]}_{name}".replace("-", "_")
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         for name in names:
+            if name in self.tables:
+                self.tables.discard(name)
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
             where = jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 

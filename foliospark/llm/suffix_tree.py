@@ -37,7 +37,7 @@ FLOOR = 2
 #: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_200_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
 TEXT_ROWS, CHUNK_ROWS = 1000, 64
 #: Documents whose crc32(id as text) leaves this remainder are held out.
@@ -45,8 +45,8 @@ HELD_OUT = (7, 2)
 
 #: Local numbers of the start and the end of a text; words follow.
 _START, _END = 0, 1
-#: Kinds of rows, in the order a chunk reads them.
-_PAIRS, _CONTEXTS, _WORDS, _CHUNK = 0, 1, 2, 9
+#: Kinds of rows.
+_PAIRS, _CONTEXTS, _WORDS, _CHUNK = range(4)
 _U = np.uint64
 _LN10 = float(np.log(10.0))
 _NAMES = ["shard", "kind", "bucket", "n", "m", "x", "ids"]
@@ -121,8 +121,10 @@ class Chunk:
         fields["waiting"] = np.diff(self.waiting, prepend=0).astype("<u4")
         return pack(*fields.values())
 
-    def place(self) -> None:
-        """Where documents start, and for each token its document, its place in it and whether it is training text."""
+    def place(self, n: int = 0, v: int = 0) -> None:
+        """Where documents start, and for each token its document and whether it is training text;
+        the root for ``n`` training tokens of ``v`` kinds."""
+        self.root = np.log10((self.counts + 1.0) / (n + v + 1.0))
         self.starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = self.held[self.number][self.doc] == 0
@@ -139,9 +141,13 @@ class Chunk:
             key = _mix(key + self.hashed[at - j])
         return key
 
+    def so_far(self) -> np.ndarray:
+        """log10 probability of the tokens that wait, by contexts of the lengths before; by the root it is not stored."""
+        return self.logp.astype(float) if len(self.logp) else self.root[self.words[self.waiting]]
+
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens that ask, their distinct (context, next) and which is whose."""
-        at = self.predicted() if length == 1 else self.waiting[self.asks > 0]
+        at = self.waiting[self.asks > 0]
         keys, which = np.unique(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))), return_inverse=True)
         return at, keys, which
 
@@ -244,6 +250,8 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
 
 def _ask_words(buckets: int):
+    """Questions of every chunk: occurrences of its words."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
@@ -256,14 +264,14 @@ def _ask_words(buckets: int):
     return run
 
 
-def _ask(length: int, buckets: int):
+def _ask(length: int, buckets: int, n: int, v: int):
     """Questions of every chunk: occurrences of (context, next) of a length, and its waiting contexts, which are one shorter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             c = Chunk.load(row[5])
-            c.place()
+            c.place(n, v)
             at, keys, which = c.pairs(length)
             out = _rows(row[0], _PAIRS, keys, buckets, np.bincount(which, weights=c.train[at], minlength=len(keys)).astype("<u8"))
             if length > 1:
@@ -271,9 +279,9 @@ def _ask(length: int, buckets: int):
                 train = c.train[c.waiting].astype(float)
                 seen = np.maximum(c.seen.astype(float), 1.0)
                 # what the occurrences here add to the context's divergence and to its different next tokens
-                more = train * (np.log(seen) - c.logp.astype(float) * _LN10)
-                n, gain, kinds = (np.bincount(which, weights=w, minlength=len(keys)) for w in (train, more, train / seen))
-                out += _rows(row[0], _CONTEXTS, keys, buckets, n.astype("<u8"), gain.astype("<f8"), kinds.astype("<f8"))
+                more = train * (np.log(seen) - c.so_far() * _LN10)
+                total, gain, kinds = (np.bincount(which, weights=w, minlength=len(keys)) for w in (train, more, train / seen))
+                out += _rows(row[0], _CONTEXTS, keys, buckets, total.astype("<u8"), gain.astype("<f4"), kinds.astype("<f4"))
             if out:
                 yield _batch(out, _ids_type(row[6].type))
 
@@ -320,61 +328,65 @@ def _answer(floor: int, divergence: float):
 
 
 def _learn(length: int, n: int, v: int, floor: int):
-    """Take in the answers to the questions of one length; ``n`` of a chunk is then how many tokens
-    have a state of the length before, ``m`` how many wait for their context."""
-
-    def joined(rows: list[tuple]) -> list[np.ndarray]:
-        parts = [unpack(r[5]) for r in rows]
-        return [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))] if parts else []
+    """Take in the answers about one length, or about words for length 0; ``n`` of a chunk is then how many
+    tokens have a state of the length before, ``m`` how many wait for their context."""
 
-    def step(c: Chunk, answers: dict[int, list[tuple]]) -> tuple[int, int]:
-        if length > 1 and not len(c.waiting):
-            return 0, 0
+    def words(c: Chunk, answers: dict) -> tuple[int, int]:
         c.place()
+        order = np.argsort(c.hashes[1:])
+        counts = np.zeros(len(c.hashes), "<u8")
+        counts[1:][order] = answers[_WORDS][0]
+        c.counts = counts
+        c.place(n, v)
+        at = c.predicted()
+        c.base = np.bincount(c.doc[at], weights=c.root[c.words[at]], minlength=len(c.sizes))
+        c.n_known = np.bincount(c.doc[at], weights=counts[c.words[at]] > 0, minlength=len(c.sizes)).astype("<u4")
+        # all starts occur as often as there are texts; a word occurs as a context as often as it does
+        c.waiting, c.seen = at, counts[c.words[at]]
+        c.asks = ((c.words[at - 1] == _START) | (counts[c.words[at - 1]] >= floor)).astype("u1")
+        return 0, len(at)
+
+    def step(c: Chunk, answers: dict) -> tuple[int, int]:
+        if not len(c.waiting):
+            return 0, 0
+        c.place(n, v)
         at, _, which = c.pairs(length)
-        pairs = joined(answers[_PAIRS])
-        seen = pairs[0][which] if pairs else np.zeros(0, "<u8")
-        if length == 1:
-            order = np.argsort(c.hashes[1:])
-            c.counts = np.zeros(len(c.hashes), "<u8")
-            c.counts[1:][order] = joined(answers[_WORDS])[0]
-            each = np.log10((c.counts + 1.0) / (n + v + 1.0))
-            logp, states, longer = each[c.words[at]], 0, np.ones(len(at), bool)
-            c.base = np.bincount(c.doc[at], weights=logp, minlength=len(c.sizes))
-            c.n_known = np.bincount(c.doc[at], weights=c.counts[c.words[at]] > 0, minlength=len(c.sizes)).astype("<u4")
-            waiting = at
-        else:
+        seen = answers[_PAIRS][0][which] if len(at) else np.zeros(0, "<u8")
+        logp, asked, states, total = c.so_far(), c.asks > 0, 0, None
+        longer = asked.copy()
+        if length > 1:
             _, whose = c.contexts(length - 1)
-            total, kinds, state = (x[whose] for x in joined(answers[_CONTEXTS]))
-            logp, state = c.logp.astype(float), state > 0
+            total, kinds, state = (x[whose] for x in answers[_CONTEXTS])
+            state = state > 0
             t, k = total[state].astype(float), kinds[state].astype(float)
             logp[state] = np.log10((c.seen[state] + k * 10.0 ** logp[state]) / (t + k))
-            states, waiting = int(state.sum()), c.waiting
-            longer = (c.asks > 0) & (total >= floor) & (kinds >= 2)
-            seen = seen[longer[c.asks > 0]]
-            at = waiting[longer]
+            states = int(state.sum())
+            longer &= (total >= floor) & (kinds >= 2)
+        waiting, at = c.waiting, c.waiting[longer]
+        seen = seen[longer[asked]]
         # a context occurs as often as its last token follows what is before it
         known = np.full(len(c.words), floor, "u8")
         known[at] = seen
         asks = (known[at - 1] >= floor) & (at - c.starts[c.doc[at]] > length)
-        done = ~longer
-        np.add.at(c.score, c.number[c.doc[waiting[done]]], logp[done])
-        c.seen, c.logp, c.asks = seen.astype("<u4") if len(seen) and seen.max() < 1 << 32 else seen, logp[longer].astype("<f4"), asks.astype("u1")
+        np.add.at(c.score, c.number[c.doc[waiting[~longer]]], logp[~longer])
+        c.seen = seen.astype("<u4") if len(seen) and seen.max() < 1 << 32 else seen
+        c.logp = logp[longer].astype("<f4") if length > 1 else np.zeros(0, "<f4")
+        c.asks = asks.astype("u1")
         c.keep(at)
         return states, len(at)
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, list[tuple]] = {_PAIRS: [], _CONTEXTS: [], _WORDS: []}
-        for row in _each(batches):
-            if row[1] != _CHUNK:
-                answers[row[1]].append(row)
-                continue
-            c = Chunk.load(row[5])
-            c.score = c.score.copy()
-            states, left = step(c, answers)
-            answers = {k: [] for k in answers}
-            yield _batch([(row[0], _CHUNK, None, states, left, c.dump(), row[6].as_py())], _ids_type(row[6].type))
+    def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        order = np.lexsort((answers.column("bucket").to_numpy(), answers.column("kind").to_numpy()))
+        for k in order.tolist():
+            parts.setdefault(answers.column("kind")[k].as_py(), []).append(unpack(answers.column("x")[k].as_py()))
+        found = {kind: [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))] for kind, some in parts.items()}
+        c = Chunk.load(state.column("x")[0].as_py())
+        c.score = c.score.copy()
+        states, left = (step if length else words)(c, found)
+        ids = state.column("ids")
+        out = _batch([(state.column("shard")[0].as_py(), _CHUNK, None, states, left, c.dump(), ids[0].as_py())], ids.type.value_type)
+        return pa.Table.from_batches([out])
 
     return run
 
@@ -388,49 +400,53 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
     nothing to learn from, every symbol is equally likely and the base is log10(1) a token.
     A text is never cut, so a chunk holds at least one whole text; memory follows the longest.
     Columns other than ``doc_id`` and ``text`` are not read.
+
+    Chunks are bucketed by number, so only questions and answers are shuffled, and a length's
+    shuffles and tables go before the next but one.
     """
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     schema = _schema(id_type)
     with scratch.batches(TEXT_ROWS):
-        state = scratch.save(chunks(docs, chunk_tokens), "lm-0")
-    sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.size("ids")).alias("docs")).first()
+        state = scratch.save(chunks(docs, chunk_tokens), "lm-chunks")
+    sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n = sums["n"]
-    parts = max(1, min(sums["chunks"], 100_000))
+    parts = max(shuffle_width(spark), min(sums["chunks"], 100_000))
     buckets = max(shuffle_width(spark), -(-n // bucket_tokens), 1)
 
     def asked(questions) -> DataFrame:
         rows = state.mapInArrow(questions, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "shard")
         return rows.mapInArrow(_answer(floor, divergence), schema)
 
+    def learned(answers: DataFrame, length: int, v: int) -> DataFrame:
+        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_learn(length, n, v, floor), schema)
+        return scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
+
     with scratch.batches(CHUNK_ROWS):
         words = scratch.save(asked(_ask_words(buckets)), "lm-words")
         v = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()["v"]
+        state = learned(words, 0, v)
+        scratch.drop("lm-words", "lm-chunks")
         for length in range(1, depth + 2):
-            answers = asked(_ask(length, buckets))
-            if length == 1:
-                answers = answers.union(words)
-            both = answers.union(state).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "bucket")
-            after = scratch.save(both.mapInArrow(_learn(length, n, v, floor), schema), f"lm-{length}")
-            del answers, both
+            after = learned(asked(_ask(length, buckets, n, v)), length, v)
             scratch.drop(f"lm-{length - 1}")
-            if length == 1:
-                scratch.drop("lm-words")
             state = after
             scratch.sweep()
             left = state.agg(F.sum("n").alias("states"), F.sum("m").alias("left")).first()
             if not left["left"] or (length > 1 and not left["states"]):
                 break
-        return scratch.save(state.mapInArrow(_finish(n), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+        out = scratch.save(state.mapInArrow(_finish(n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+        scratch.drop(f"lm-{length}")
+    return out
 
 
-def _finish(n: int):
+def _finish(n: int, v: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             c = Chunk.load(row[5])
-            c.place()
-            total = c.score + np.bincount(c.number[c.doc[c.waiting]], weights=c.logp, minlength=len(c.score))
+            c.place(n, v)
+            total = c.score + np.bincount(c.number[c.doc[c.waiting]], weights=c.so_far(), minlength=len(c.score))
             k = len(total)
             out = [pa.array(row[6].as_py(), _ids_type(row[6].type)), pa.array(c.held > 0), pa.array(c.n_tokens, pa.int64()), pa.array(c.n_known, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(c.base, pa.float64()), pa.array(total, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
