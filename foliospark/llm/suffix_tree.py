@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, shuffle_width
+from .common import Scratch, lean
 
 #: Longest context, in tokens.  Lengths end earlier where no context becomes a state; repeated lines
 #: and passages with variants go on for as long as they are, for the few tokens at their forks.
@@ -38,6 +38,8 @@ FLOOR = 2
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
 CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
+#: Chunks that a task works through, one after another.
+CHUNKS_A_TASK = 3
 #: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
 TEXT_ROWS, CHUNK_ROWS = 1000, 64
 #: Documents whose crc32(id as text) leaves this remainder are held out.
@@ -65,25 +67,66 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: planes of equal significance lie together, compressed."""
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        planes = a.view("u1").reshape(-1, a.itemsize).T.tobytes()
-        data = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-        out += [struct.pack("<3sQQ", a.dtype.str.encode(), len(planes), len(data)), data]
+        parts = np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize)
+        planes = np.empty((a.itemsize, len(a)), "u1")
+        for j in range(a.itemsize):
+            planes[j] = parts[:, j]
+        data = pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+        out += [struct.pack("<3sQQ", a.dtype.str.encode(), len(a), len(data)), data]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 1
     for _ in range(data[0]):
-        kind, size, packed = struct.unpack_from("<3sQQ", data, at)
+        kind, n, packed = struct.unpack_from("<3sQQ", data, at)
         at += 19
         kind = np.dtype(kind.decode())
-        planes = pa.decompress(data[at : at + packed], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+        parts = np.empty((n, kind.itemsize), "u1")
+        if n:
+            planes = np.frombuffer(pa.decompress(data[at : at + packed], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), "u1").reshape(kind.itemsize, n)
+            for j in range(kind.itemsize):
+                parts[:, j] = planes[j]
         at += packed
-        out.append(np.frombuffer(np.frombuffer(planes, "u1").reshape(kind.itemsize, -1).T.tobytes(), kind))
+        out.append(parts.reshape(-1).view(kind))
     return out
 
 
+class _Numbers(dict):
+    """Local numbers of words in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 2
+        return n
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in about ascending order, and which of them each one is.
+
+    Sorts the upper bits with the position in the lower: a key can come twice where another
+    one with the same upper bits lies between, which whoever adds up keys does not mind."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, "u4")
+    low = _U((1 << max(n - 1, 1).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(n, dtype="u8")) & low).astype("i8")
+    keys = keys[order]
+    first = np.ones(n, bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    which = np.empty(n, "u4")
+    which[order] = np.cumsum(first, dtype="u4") - np.uint32(1)
+    return keys[first], which
+
+
+def exactly(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``distinct``, and no key comes twice."""
+    some, which = distinct(keys)
+    if (some[1:] > some[:-1]).all():
+        return some, which
+    some, again = np.unique(some, return_inverse=True)
+    return some, again[which]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * _U(0x9E3779B97F4A7C15)
     x ^= x >> _U(31)
@@ -97,9 +140,9 @@ class Chunk:
     FIELDS = ("words", "sizes", "number", "hashes", "counts", "held", "n_tokens", "n_known", "base", "score", "waiting", "seen", "logp", "asks")
 
     def __init__(self, **fields: np.ndarray):
-        #: tokens of the documents that still ask, one document after another, by local number
+        #: tokens of texts, one after another, by local number; later pieces of them, as far as they are needed
         self.words = fields["words"]
-        #: tokens (with start and end) of each such document, and its place among all documents
+        #: tokens (with start and end) of each such text or piece of one, and its document's place among all
         self.sizes, self.number = fields["sizes"], fields["number"]
         #: by local number: hash, and occurrences in training
         self.hashes, self.counts = fields["hashes"], fields["counts"]
@@ -148,25 +191,39 @@ class Chunk:
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens that ask, their distinct (context, next) and which is whose."""
         at = self.waiting[self.asks > 0]
-        keys, which = np.unique(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))), return_inverse=True)
-        return at, keys, which
+        return at, *distinct(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))))
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.context(self.waiting, length), return_inverse=True)
-
-    def keep(self, waiting: np.ndarray) -> None:
-        """Forget the tokens of documents in which nothing waits, and words met nowhere else."""
-        live = np.zeros(len(self.sizes), bool)
-        live[self.doc[waiting]] = True
+        if length == 1:  # a word is its own context
+            words = self.words[self.waiting - 1]
+            used = np.bincount(words, minlength=len(self.hashes)) > 0
+            keys, which = distinct(self.hashes[used])
+            place = np.zeros(len(used), "u4")
+            place[used] = which
+            return keys, place[words]
+        return distinct(self.context(self.waiting, length))
+
+    def keep(self, waiting: np.ndarray, reach: int) -> None:
+        """Forget all tokens but those that wait and ``reach`` before each, and words met nowhere else.
+
+        What is kept of a text are pieces; a token that waits has ``reach`` before it there, or all."""
         self.waiting = waiting
-        if live.mean() > 0.9:
+        edge = np.zeros(len(self.words) + 1, "i4")
+        np.add.at(edge, np.maximum(waiting - reach, self.starts[self.doc[waiting]]), 1)
+        edge[waiting + 1] -= 1
+        need = np.cumsum(edge[:-1]) > 0
+        if need.mean() > 0.7:
             return
-        keep = live[self.doc]
-        place = np.cumsum(keep) - 1
-        self.waiting = place[waiting]
-        self.words, self.sizes, self.number = self.words[keep], self.sizes[live], self.number[live]
-        used = np.unique(self.words)
-        self.words = np.searchsorted(used, self.words).astype("<u4")
+        first = need.copy()
+        first[1:] &= ~need[:-1] | (self.doc[1:] != self.doc[:-1])
+        at = np.flatnonzero(need)
+        heads = np.flatnonzero(first[at])
+        self.waiting = (np.cumsum(need) - 1)[waiting]
+        self.sizes = np.diff(heads, append=len(at)).astype("<u4")
+        self.number = self.number[self.doc[at[heads]]]
+        used = np.zeros(len(self.hashes), bool)
+        used[self.words[at]] = True
+        self.words = (np.cumsum(used) - 1).astype("<u4")[self.words[at]]
         self.hashes, self.counts = self.hashes[used], self.counts[used]
 
 
@@ -210,7 +267,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId() << 24
-        index: dict[bytes, int] = {}
+        index = _Numbers()
         texts: list[np.ndarray] = []
         marks: list[bool] = []
         ids: list = []
@@ -234,7 +291,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 words = tokens(cell.as_py())
                 one = np.empty(len(words) + 2, "<u4")
                 one[0], one[-1] = _START, _END
-                one[1:-1] = np.fromiter((index.setdefault(w, len(index) + 2) for w in words), "<u4", len(words))
+                one[1:-1] = np.fromiter(map(index.__getitem__, words), "<u4", len(words))
                 texts.append(one)
                 marks.append(mark)
                 ids.append(doc)
@@ -242,7 +299,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 if seen >= chunk_tokens:
                     yield close()
                     shard, seen = shard + 1, 0
-                    index, texts, marks, ids = {}, [], [], []
+                    index, texts, marks, ids = _Numbers(), [], [], []
         if texts:
             yield close()
 
@@ -256,8 +313,7 @@ def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             c = Chunk.load(row[5])
-            c.place()
-            train = np.bincount(c.words[c.train], minlength=len(c.hashes))[1:]
+            train = np.bincount(c.words[np.repeat(c.held == 0, c.sizes)], minlength=len(c.hashes))[1:]
             order = np.argsort(c.hashes[1:])
             yield _batch(_rows(row[0], _WORDS, c.hashes[1:][order], buckets, train[order].astype("<u8")), _ids_type(row[6].type))
 
@@ -295,7 +351,7 @@ def _answer(floor: int, divergence: float):
     def group(rows: list[tuple]) -> list[tuple]:
         kind = rows[0][1]
         parts = [unpack(r[5]) for r in rows]
-        keys, which = np.unique(np.concatenate([np.cumsum(p[0], dtype="u8") for p in parts]), return_inverse=True)
+        keys, which = exactly(np.concatenate([np.cumsum(p[0], dtype="u8") for p in parts]))
         n = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
         cuts = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
         if kind != _CONTEXTS:
@@ -327,7 +383,7 @@ def _answer(floor: int, divergence: float):
     return run
 
 
-def _learn(length: int, n: int, v: int, floor: int):
+def _learn(length: int, n: int, v: int, floor: int, reach: int):
     """Take in the answers about one length, or about words for length 0; ``n`` of a chunk is then how many
     tokens have a state of the length before, ``m`` how many wait for their context."""
 
@@ -368,11 +424,11 @@ def _learn(length: int, n: int, v: int, floor: int):
         known = np.full(len(c.words), floor, "u8")
         known[at] = seen
         asks = (known[at - 1] >= floor) & (at - c.starts[c.doc[at]] > length)
-        np.add.at(c.score, c.number[c.doc[waiting[~longer]]], logp[~longer])
+        c.score = c.score + np.bincount(c.number[c.doc[waiting[~longer]]], weights=logp[~longer], minlength=len(c.score))
         c.seen = seen.astype("<u4") if len(seen) and seen.max() < 1 << 32 else seen
         c.logp = logp[longer].astype("<f4") if length > 1 else np.zeros(0, "<f4")
         c.asks = asks.astype("u1")
-        c.keep(at)
+        c.keep(at, reach)
         return states, len(at)
 
     def run(key, state: pa.Table, answers: pa.Table) -> pa.Table:
@@ -382,7 +438,6 @@ def _learn(length: int, n: int, v: int, floor: int):
             parts.setdefault(answers.column("kind")[k].as_py(), []).append(unpack(answers.column("x")[k].as_py()))
         found = {kind: [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))] for kind, some in parts.items()}
         c = Chunk.load(state.column("x")[0].as_py())
-        c.score = c.score.copy()
         states, left = (step if length else words)(c, found)
         ids = state.column("ids")
         out = _batch([(state.column("shard")[0].as_py(), _CHUNK, None, states, left, c.dump(), ids[0].as_py())], ids.type.value_type)
@@ -411,15 +466,15 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
         state = scratch.save(chunks(docs, chunk_tokens), "lm-chunks")
     sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n = sums["n"]
-    parts = max(shuffle_width(spark), min(sums["chunks"], 100_000))
-    buckets = max(shuffle_width(spark), -(-n // bucket_tokens), 1)
+    parts = max(1, -(-sums["chunks"] // CHUNKS_A_TASK))
+    buckets = -(-n // bucket_tokens) + 1
 
     def asked(questions) -> DataFrame:
         rows = state.mapInArrow(questions, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "shard")
         return rows.mapInArrow(_answer(floor, divergence), schema)
 
     def learned(answers: DataFrame, length: int, v: int) -> DataFrame:
-        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_learn(length, n, v, floor), schema)
+        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_learn(length, n, v, floor, depth + 1), schema)
         return scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
 
     with scratch.batches(CHUNK_ROWS):
@@ -435,6 +490,7 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
             left = state.agg(F.sum("n").alias("states"), F.sum("m").alias("left")).first()
             if not left["left"] or (length > 1 and not left["states"]):
                 break
+            buckets = -(-left["left"] // bucket_tokens) + 1
         out = scratch.save(state.mapInArrow(_finish(n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
         scratch.drop(f"lm-{length}")
     return out
