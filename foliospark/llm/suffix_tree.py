@@ -37,11 +37,11 @@ FLOOR = 2
 #: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
-CHUNK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
 #: Chunks that a task works through, one after another.
-CHUNKS_A_TASK = 3
+CHUNKS_A_TASK = 6
 #: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
-TEXT_ROWS, CHUNK_ROWS = 1000, 64
+TEXT_ROWS, CHUNK_ROWS = 1000, 8
 #: Documents whose crc32(id as text) leaves this remainder are held out.
 HELD_OUT = (7, 2)
 
@@ -169,7 +169,7 @@ class Chunk:
         the root for ``n`` training tokens of ``v`` kinds."""
         self.root = np.log10((self.counts + 1.0) / (n + v + 1.0))
         self.starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype="i4"), self.sizes)
         self.train = self.held[self.number][self.doc] == 0
         self.hashed = self.hashes[self.words]
 
