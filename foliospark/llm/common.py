@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,40 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return wrapped
 
 
+def slices(column: pa.Array, most: int = 10_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Texts of a column, some megabytes at a time, each with the row it starts at."""
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        done = sizes[first - 1] if first else 0
+        last = max(int(np.searchsorted(sizes, done + most, side="right")), first + 1)
+        yield first, column.slice(first, last - first)
+        first = last
+
+
+def split_words(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased and split at each ASCII white space character, which leaves empty words where
+    several stand together; a null text is empty."""
+    texts = pc.ascii_lower(texts).fill_null("")
+    for c in "\n\t\r\x0b\x0c":
+        if pc.any(pc.match_substring(texts, c)).as_py():
+            texts = pc.replace_substring(texts, c, " ")
+    return pc.split_pattern(texts, " ")
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Parquet tables in the folder that all executors share (``spark.checkpoint.dir``).
 

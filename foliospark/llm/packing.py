@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, shuffle_width
+from .common import Scratch, lean, shuffle_width, slices, split_words
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -173,12 +173,7 @@ class Tokenizer:
 
         Texts are lower-cased, split and numbered by distinct word in Arrow; only distinct words
         meet the tables, and ids are gathered by word number."""
-        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        column = pc.ascii_lower(column).fill_null("")
-        for c in "\n\t\r\x0b\x0c":
-            if pc.any(pc.match_substring(column, c)).as_py():
-                column = pc.replace_substring(column, c, " ")
-        lists = pc.split_pattern(column, " ")
+        lists = split_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         coded = lists.flatten().dictionary_encode()
         number = coded.indices.to_numpy()
         table = self.table(coded.dictionary.to_pylist())
@@ -218,17 +213,6 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 10_000_000) -> Itera
         yield tuple(pa.concat_arrays([h.column(k) for h in held]) for k in (0, 1))
 
 
-def slices(column: pa.Array, most: int = 10_000_000) -> Iterator[tuple[int, pa.Array]]:
-    """Texts of a column, some megabytes at a time, each with the row it starts at."""
-    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(column):
-        done = sizes[first - 1] if first else 0
-        last = max(int(np.searchsorted(sizes, done + most, side="right")), first + 1)
-        yield first, column.slice(first, last - first)
-        first = last
-
-
 @lru_cache(maxsize=2)
 def _projection(vocabulary: int, buckets: int, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)

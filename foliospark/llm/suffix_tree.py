@@ -24,20 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
+from .common import Scratch, lean, release, slices, split_words
 
 #: Longest context, in tokens.  Lengths end earlier where no context becomes a state; repeated lines
 #: and passages with variants go on for as long as they are, for the few tokens at their forks.
-DEPTH = 20
+DEPTH = 10
 #: Least occurrences of a state in the training texts.
 FLOOR = 2
 #: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+#: Bytes of texts that are taken apart at once, unless one text has more.
+SLICE_BYTES = 2_000_000
 #: Chunks that a task works through, one after another.
 CHUNKS_A_TASK = 6
 #: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
@@ -58,11 +61,6 @@ def _schema(id_type: str) -> str:
     return f"shard long, kind int, bucket int, n long, m long, x binary, ids array<{id_type}>"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text: A-Z lower-cased, split at ASCII white space."""
-    return (text or "").encode().lower().split()
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: planes of equal significance lie together, compressed."""
     out = [struct.pack("<B", len(arrays))]
@@ -190,7 +188,7 @@ class Chunk:
 
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens that ask, their distinct (context, next) and which is whose."""
-        at = self.waiting[self.asks > 0]
+        at = self.predicted() if length == 1 else self.waiting[self.asks > 0]
         return at, *distinct(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))))
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,15 +285,24 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
         for b in batches:
             id_arrow = b.column(0).type
-            for cell, mark, doc in zip(b.column(1), b.column(2).to_pylist(), b.column(0).to_pylist(), strict=True):
-                words = tokens(cell.as_py())
-                one = np.empty(len(words) + 2, "<u4")
-                one[0], one[-1] = _START, _END
-                one[1:-1] = np.fromiter(map(index.__getitem__, words), "<u4", len(words))
-                texts.append(one)
-                marks.append(mark)
-                ids.append(doc)
-                seen += len(one)
+            docs, held = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for first, part in slices(b.column(1), SLICE_BYTES):
+                lists = split_words(part)
+                coded = lists.flatten().dictionary_encode()
+                known = coded.dictionary.cast(pa.binary()).to_pylist()
+                local = np.fromiter((index[w] if w else 0 for w in known), "<u4", len(known))
+                flat = local[coded.indices.to_numpy()]
+                # empty words, which are no tokens, have number 0
+                ends = np.cumsum(flat > 0)[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1]
+                flat, at = flat[flat > 0], 0
+                for end in ends.tolist():
+                    one = np.empty(end - at + 2, "<u4")
+                    one[0], one[1:-1], one[-1] = _START, flat[at:end], _END
+                    texts.append(one)
+                    at = end
+                marks += held[first : first + len(part)]
+                ids += docs[first : first + len(part)]
+                seen += len(flat) + 2 * len(part)
                 if seen >= chunk_tokens:
                     yield close()
                     shard, seen = shard + 1, 0
@@ -384,33 +391,32 @@ def _answer(floor: int, divergence: float):
 
 
 def _learn(length: int, n: int, v: int, floor: int, reach: int):
-    """Take in the answers about one length, or about words for length 0; ``n`` of a chunk is then how many
-    tokens have a state of the length before, ``m`` how many wait for their context."""
-
-    def words(c: Chunk, answers: dict) -> tuple[int, int]:
-        c.place()
-        order = np.argsort(c.hashes[1:])
-        counts = np.zeros(len(c.hashes), "<u8")
-        counts[1:][order] = answers[_WORDS][0]
-        c.counts = counts
-        c.place(n, v)
-        at = c.predicted()
-        c.base = np.bincount(c.doc[at], weights=c.root[c.words[at]], minlength=len(c.sizes))
-        c.n_known = np.bincount(c.doc[at], weights=counts[c.words[at]] > 0, minlength=len(c.sizes)).astype("<u4")
-        # all starts occur as often as there are texts; a word occurs as a context as often as it does
-        c.waiting, c.seen = at, counts[c.words[at]]
-        c.asks = ((c.words[at - 1] == _START) | (counts[c.words[at - 1]] >= floor)).astype("u1")
-        return 0, len(at)
+    """Take in the answers about one length; ``n`` of a chunk is then how many tokens have a state
+    of the length before, ``m`` how many wait for their context."""
 
     def step(c: Chunk, answers: dict) -> tuple[int, int]:
+        if length == 1:
+            order = np.argsort(c.hashes[1:])
+            counts = np.zeros(len(c.hashes), "<u8")
+            counts[1:][order] = answers[_WORDS][0]
+            c.counts = counts
+        c.place(n, v)
+        if length == 1:
+            c.waiting = at = c.predicted()
+            c.asks = np.ones(len(at), "u1")
+            c.seen = counts[c.words[at]]
+            c.base = np.bincount(c.doc[at], weights=c.root[c.words[at]], minlength=len(c.sizes))
+            c.n_known = np.bincount(c.doc[at], weights=c.seen > 0, minlength=len(c.sizes)).astype("<u4")
         if not len(c.waiting):
             return 0, 0
-        c.place(n, v)
         at, _, which = c.pairs(length)
         seen = answers[_PAIRS][0][which] if len(at) else np.zeros(0, "<u8")
         logp, asked, states, total = c.so_far(), c.asks > 0, 0, None
         longer = asked.copy()
-        if length > 1:
+        if length == 1:  # a word is as frequent a context as it is a word; starts are as many as texts
+            before = c.words[c.waiting - 1]
+            longer = (before == _START) | (c.counts[before] >= floor)
+        else:
             _, whose = c.contexts(length - 1)
             total, kinds, state = (x[whose] for x in answers[_CONTEXTS])
             state = state > 0
@@ -438,9 +444,11 @@ def _learn(length: int, n: int, v: int, floor: int, reach: int):
             parts.setdefault(answers.column("kind")[k].as_py(), []).append(unpack(answers.column("x")[k].as_py()))
         found = {kind: [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))] for kind, some in parts.items()}
         c = Chunk.load(state.column("x")[0].as_py())
-        states, left = (step if length else words)(c, found)
+        states, left = step(c, found)
         ids = state.column("ids")
         out = _batch([(state.column("shard")[0].as_py(), _CHUNK, None, states, left, c.dump(), ids[0].as_py())], ids.type.value_type)
+        del c, found, parts
+        release()
         return pa.Table.from_batches([out])
 
     return run
@@ -469,30 +477,31 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
     parts = max(1, -(-sums["chunks"] // CHUNKS_A_TASK))
     buckets = -(-n // bucket_tokens) + 1
 
-    def asked(questions) -> DataFrame:
+    def asked(questions, name: str) -> DataFrame:
         rows = state.mapInArrow(questions, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "shard")
-        return rows.mapInArrow(_answer(floor, divergence), schema)
-
-    def learned(answers: DataFrame, length: int, v: int) -> DataFrame:
-        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_learn(length, n, v, floor, depth + 1), schema)
-        return scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
+        # written, so that the questions' shuffle can go before the answers' begins
+        return scratch.save(rows.mapInArrow(_answer(floor, divergence), schema), name)
 
+    before = "lm-chunks"
     with scratch.batches(CHUNK_ROWS):
-        words = scratch.save(asked(_ask_words(buckets)), "lm-words")
+        words = asked(_ask_words(buckets), "lm-words")
         v = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()["v"]
-        state = learned(words, 0, v)
-        scratch.drop("lm-words", "lm-chunks")
         for length in range(1, depth + 2):
-            after = learned(asked(_ask(length, buckets, n, v)), length, v)
-            scratch.drop(f"lm-{length - 1}")
-            state = after
+            answers = asked(_ask(length, buckets, n, v), f"lm-answers-{length}")
+            scratch.sweep()
+            every = answers.union(words) if length == 1 else answers
+            both = state.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_learn(length, n, v, floor, depth + 1), schema)
+            state = scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
+            scratch.drop(before, f"lm-answers-{length}", *(["lm-words"] if length == 1 else []))
+            before = f"lm-{length}"
+            del answers, every, both
             scratch.sweep()
-            left = state.agg(F.sum("n").alias("states"), F.sum("m").alias("left")).first()
+            left = state.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("states"), F.coalesce(F.sum("m"), F.lit(0)).alias("left")).first()
             if not left["left"] or (length > 1 and not left["states"]):
                 break
             buckets = -(-left["left"] // bucket_tokens) + 1
         out = scratch.save(state.mapInArrow(_finish(n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
-        scratch.drop(f"lm-{length}")
+        scratch.drop(before)
     return out
 
 
