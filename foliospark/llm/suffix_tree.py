@@ -38,11 +38,11 @@ FLOOR = 2
 #: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
 #: Bytes of texts that are taken apart at once, unless one text has more.
 SLICE_BYTES = 2_000_000
 #: Chunks that a task works through, one after another.
-CHUNKS_A_TASK = 6
+CHUNKS_A_TASK = 4
 #: Rows of an Arrow batch while texts are read, and while chunks move, which have some megabytes each.
 TEXT_ROWS, CHUNK_ROWS = 1000, 8
 #: Documents whose crc32(id as text) leaves this remainder are held out.
@@ -142,7 +142,7 @@ class Chunk:
         self.words = fields["words"]
         #: tokens (with start and end) of each such text or piece of one, and its document's place among all
         self.sizes, self.number = fields["sizes"], fields["number"]
-        #: by local number: hash, and occurrences in training
+        #: by local number: hash, from the first length on a number of all words instead, and occurrences in training
         self.hashes, self.counts = fields["hashes"], fields["counts"]
         #: by document
         self.held, self.n_tokens, self.n_known = fields["held"], fields["n_tokens"], fields["n_known"]
@@ -162,14 +162,15 @@ class Chunk:
         fields["waiting"] = np.diff(self.waiting, prepend=0).astype("<u4")
         return pack(*fields.values())
 
-    def place(self, n: int = 0, v: int = 0) -> None:
+    def place(self, n: int = 0, v: int = 0, top: int = 0) -> None:
         """Where documents start, and for each token its document and whether it is training text;
-        the root for ``n`` training tokens of ``v`` kinds."""
+        the root for ``n`` training tokens of ``v`` kinds.  Numbers of words are below ``top``."""
+        self.top = top
         self.root = np.log10((self.counts + 1.0) / (n + v + 1.0))
         self.starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
         self.doc = np.repeat(np.arange(len(self.sizes), dtype="i4"), self.sizes)
         self.train = self.held[self.number][self.doc] == 0
-        self.hashed = self.hashes[self.words]
+        self.hashed = self.hashes.astype("u8")[self.words]
 
     def predicted(self) -> np.ndarray:
         every = np.ones(len(self.words), bool)
@@ -192,10 +193,10 @@ class Chunk:
         return at, *distinct(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))))
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        if length == 1:  # a word is its own context
+        if length == 1:  # a word is its own context, and its number its key, spread over all buckets
             words = self.words[self.waiting - 1]
             used = np.bincount(words, minlength=len(self.hashes)) > 0
-            keys, which = distinct(self.hashes[used])
+            keys, which = exactly(self.hashes[used].astype("u8") << _U(64 - int(self.top).bit_length()))
             place = np.zeros(len(used), "u4")
             place[used] = which
             return keys, place[words]
@@ -327,14 +328,14 @@ def _ask_words(buckets: int):
     return run
 
 
-def _ask(length: int, buckets: int, n: int, v: int):
+def _ask(length: int, buckets: int, n: int, v: int, top: int):
     """Questions of every chunk: occurrences of (context, next) of a length, and its waiting contexts, which are one shorter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             c = Chunk.load(row[5])
-            c.place(n, v)
+            c.place(n, v, top)
             at, keys, which = c.pairs(length)
             out = _rows(row[0], _PAIRS, keys, buckets, np.bincount(which, weights=c.train[at], minlength=len(keys)).astype("<u8"))
             if length > 1:
@@ -351,9 +352,10 @@ def _ask(length: int, buckets: int, n: int, v: int):
     return run
 
 
-def _answer(floor: int, divergence: float):
-    """Answers in the order of each question.  ``m`` of a bucket's first answer about words says
-    how many of its words occur in training."""
+def _answer(floor: int, divergence: float, buckets: int):
+    """Answers in the order of each question.  Words are numbered: by place in their bucket, buckets
+    in turn.  A bucket's first answer says how many different keys it has (``n``) and how many
+    of them occur in training (``m``)."""
 
     def group(rows: list[tuple]) -> list[tuple]:
         kind = rows[0][1]
@@ -363,6 +365,8 @@ def _answer(floor: int, divergence: float):
         cuts = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
         if kind != _CONTEXTS:
             found, m = [n.astype("<u8")], int((n > 0).sum())
+            if kind == _WORDS:
+                found.append(np.arange(len(keys), dtype="<u8") * _U(buckets) + _U(rows[0][2]))
         else:
             gain, kinds = (np.bincount(which, weights=np.concatenate([p[k] for p in parts]), minlength=len(keys)) for k in (2, 3))
             kinds = np.rint(kinds)
@@ -371,7 +375,7 @@ def _answer(floor: int, divergence: float):
             found, m = [n.astype("<u8"), kinds.astype("<u8"), state.astype("u1")], 0
         out = []
         for k, (r, a, z) in enumerate(zip(rows, cuts, cuts[1:], strict=False)):
-            out.append((r[0], kind, r[2], z - a, m if k == 0 else 0, pack(*(f[which[a:z]] for f in found)), None))
+            out.append((r[0], kind, r[2], *((len(keys), m) if k == 0 else (0, 0)), pack(*(f[which[a:z]] for f in found)), None))
         return out
 
     @lean
@@ -390,27 +394,28 @@ def _answer(floor: int, divergence: float):
     return run
 
 
-def _learn(length: int, n: int, v: int, floor: int, reach: int):
+def _learn(length: int, n: int, v: int, top: int, floor: int, reach: int):
     """Take in the answers about one length; ``n`` of a chunk is then how many tokens have a state
     of the length before, ``m`` how many wait for their context."""
 
     def step(c: Chunk, answers: dict) -> tuple[int, int]:
         if length == 1:
             order = np.argsort(c.hashes[1:])
-            counts = np.zeros(len(c.hashes), "<u8")
-            counts[1:][order] = answers[_WORDS][0]
-            c.counts = counts
-        c.place(n, v)
+            c.counts, numbers = np.zeros(len(c.hashes), "<u8"), np.full(len(c.hashes), top, "<u8")
+            c.counts[1:][order], numbers[1:][order] = answers[_WORDS]
+        c.place(n, v, top)
         if length == 1:
             c.waiting = at = c.predicted()
             c.asks = np.ones(len(at), "u1")
-            c.seen = counts[c.words[at]]
+            c.seen = c.counts[c.words[at]]
             c.base = np.bincount(c.doc[at], weights=c.root[c.words[at]], minlength=len(c.sizes))
             c.n_known = np.bincount(c.doc[at], weights=c.seen > 0, minlength=len(c.sizes)).astype("<u4")
         if not len(c.waiting):
             return 0, 0
         at, _, which = c.pairs(length)
         seen = answers[_PAIRS][0][which] if len(at) else np.zeros(0, "<u8")
+        if length == 1:
+            c.hashes = numbers.astype("<u4") if top < 1 << 32 else numbers
         logp, asked, states, total = c.so_far(), c.asks > 0, 0, None
         longer = asked.copy()
         if length == 1:  # a word is as frequent a context as it is a word; starts are as many as texts
@@ -480,17 +485,18 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
     def asked(questions, name: str) -> DataFrame:
         rows = state.mapInArrow(questions, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "shard")
         # written, so that the questions' shuffle can go before the answers' begins
-        return scratch.save(rows.mapInArrow(_answer(floor, divergence), schema), name)
+        return scratch.save(rows.mapInArrow(_answer(floor, divergence, buckets), schema), name)
 
     before = "lm-chunks"
     with scratch.batches(CHUNK_ROWS):
         words = asked(_ask_words(buckets), "lm-words")
-        v = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v")).first()["v"]
+        seen = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        v, top = seen["v"], seen["most"] * buckets + 1
         for length in range(1, depth + 2):
-            answers = asked(_ask(length, buckets, n, v), f"lm-answers-{length}")
+            answers = asked(_ask(length, buckets, n, v, top), f"lm-answers-{length}")
             scratch.sweep()
             every = answers.union(words) if length == 1 else answers
-            both = state.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_learn(length, n, v, floor, depth + 1), schema)
+            both = state.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_learn(length, n, v, top, floor, depth + 1), schema)
             state = scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
             scratch.drop(before, f"lm-answers-{length}", *(["lm-words"] if length == 1 else []))
             before = f"lm-{length}"

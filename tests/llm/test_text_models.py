@@ -77,7 +77,7 @@ class BruteTree:
 
     def score(self, text):
         x = ["<s>", *text, None]
-        return sum(math.log10(self.probability(x[i], x[max(0, i - 20) : i])) for i in range(1, len(x)))
+        return sum(math.log10(self.probability(x[i], x[max(0, i - suffix_tree.DEPTH) : i])) for i in range(1, len(x)))
 
 
 @pytest.mark.parametrize("divergence", [0.0, 1.0])
@@ -86,7 +86,7 @@ def test_scores_same_as_a_tree_in_dictionaries(spark, divergence):
     rows = [(i, " ".join(rng.choices("abcdefg", [9, 5, 3, 2, 1, 1, 1], k=rng.randrange(0, 25))), "s") for i in range(50)]
     rows += [(60 + i, "a b c a b d " * (i % 4) + "x y z", "s") for i in range(14)]
     train = [lowered(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    tree = BruteTree(train, 20, 2, divergence)
+    tree = BruteTree(train, suffix_tree.DEPTH, 2, divergence)
     assert max(map(len, tree.states)) > 2
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(documents(spark, rows), Scratch(spark, "t"), divergence=divergence, chunk_tokens=150, bucket_tokens=100).collect()}
     for i, t, _ in rows:
