@@ -73,20 +73,19 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
 def totals_for(sums: DataFrame, limits: list[int]) -> DataFrame:
     """For each context limit: documents cut, tokens kept and lost.
 
-    Any limit is answered from the row of the next length at or above it; above the
-    longest document nothing is cut.  An empty table answers zeros.
+    Any limit is answered from one row, that of the next longer length: its suffix sums are of
+    the documents that the limit cuts.  Above the longest document nothing is cut.  An empty
+    table answers zeros.  One pass finds the rows for all limits.
     """
     spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    found = sums.join(F.broadcast(asked), F.col("n_tokens") > F.col("context_limit")).groupBy("context_limit").agg(F.sum("n_docs").alias("docs_cut"), F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col("context_limit"))).alias("lost_tokens"))
-    total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("t")).first()["t"]
-    zero = F.lit(0).cast("long")
-    return asked.join(found, "context_limit", "left").select(
-        "context_limit",
-        F.coalesce("docs_cut", zero).alias("docs_cut"),
-        (F.lit(total) - F.coalesce("lost_tokens", zero)).alias("kept_tokens"),
-        F.coalesce("lost_tokens", zero).alias("lost_tokens"),
-    )
+    next_ = [F.min(F.when(F.col("n_tokens") > x, F.struct("n_tokens", "docs_at_least", "tokens_at_least"))).alias(f"r{k}") for k, x in enumerate(limits)]
+    row = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"), *next_).first()
+    out = []
+    for k, x in enumerate(limits):
+        r = row[f"r{k}"]
+        cut, lost = (r["docs_at_least"], r["tokens_at_least"] - x * r["docs_at_least"]) if r else (0, 0)
+        out.append((int(x), cut, row["total"] - lost, lost))
+    return spark.createDataFrame(out, "context_limit long, docs_cut long, kept_tokens long, lost_tokens long")
 
 
 def quantile(sums: DataFrame, q: float) -> int | None:
