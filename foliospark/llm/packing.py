@@ -65,7 +65,8 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        #: strings that are one id wherever they stand, in any part of a word, before it is lower-cased
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.library.no_padding()
         self.library.no_truncation()
         self.size = self.library.get_vocab_size()
@@ -172,8 +173,15 @@ class Tokenizer:
         """Ids of each text, ``END_ID`` last.
 
         Texts are lower-cased, split and numbered by distinct word in Arrow; only distinct words
-        meet the tables, and ids are gathered by word number."""
-        lists = split_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        meet the tables, and ids are gathered by word number.  A text that holds a special token's
+        string in any case goes to the library as it is."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = np.zeros(len(column), bool)
+        for t in self.special:
+            odd |= pc.match_substring(column, t, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        if odd.any():
+            column = pc.if_else(pa.array(odd), pa.scalar(None, pa.string()), column)
+        lists = split_words(column)
         coded = lists.flatten().dictionary_encode()
         number = coded.indices.to_numpy()
         table = self.table(coded.dictionary.to_pylist())
@@ -191,7 +199,11 @@ class Tokenizer:
             done += n
         bounds = np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))]
         end = np.array([END_ID], self.type)
-        return [np.concatenate([ids[a:z], end]) for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        out = [np.concatenate([ids[a:z], end]) for a, z in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        for k in np.flatnonzero(odd).tolist():
+            text = texts[k] if isinstance(texts, list) else texts[k].as_py()
+            out[k] = np.array([*self._ids(text), END_ID], self.type)
+        return out
 
 
 @lru_cache(maxsize=2)
