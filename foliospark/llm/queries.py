@@ -118,13 +118,14 @@ FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives and their capture index written, then every record read back: index blocks in order, archives whole."""
+    """Archives and their capture index written, then every page's record looked up in the index and read by range."""
     from . import warc
 
     scratch = Scratch(spark, "op10")
-    archives = warc.write(_read(spark, sf_dir, "pages"), scratch)
+    pages = _read(spark, sf_dir, "pages")
+    archives = warc.write(pages, scratch)
     index = warc.build_index(spark, archives, scratch)
-    return warc.read_back(spark, archives, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(spark, pages, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """

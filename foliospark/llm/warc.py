@@ -7,7 +7,12 @@ decompress to plain WARC and any record can be read alone from its offset.
 
 The index sorts captures by reversed-host URL key into compressed blocks (gzip members
 again) and keeps one directory row per block.  A lookup searches the directory by
-bisection, reads one block by range, and then the record by range.
+bisection, reads one block by range, and then the record by range.  Many lookups do this in
+tasks, in the order of the keys and then of the records; no file is ever read whole into memory,
+nor is any part of one shuffled.
+
+Tasks open index and archives themselves, through Arrow's file systems, so these lie in a store
+that Arrow knows (shared folders, HDFS, S3, GCS, ABFS).
 """
 
 from __future__ import annotations
@@ -28,8 +33,12 @@ from .common import Scratch, lean
 
 #: Payloads shorter than this are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
-#: Records and payload bytes per archive file at most (bytes on average), which bounds what a reading task holds.
+#: Records per archive file at most, and payload bytes if all pages were of average size.
 RECORDS_PER_FILE, BYTES_PER_FILE = 10_000, 128_000_000
+#: Captures of an index file, and most files of an index, whose first keys every task holds; more captures make longer files.
+FILE_CAPTURES, INDEX_FILES = 8192, 4096
+#: Bytes read at once from a file that is scanned.
+READ_BYTES = 1 << 20
 #: Captures per compressed index block.
 BLOCK_ROWS = 512
 #: Revisits up to this many rows (of three short columns) are broadcast; beyond it the join shuffles.
@@ -48,22 +57,34 @@ RECORD_END = gzip_member(b"\r\n\r\n")
 BLOCK_END = gzip_member(b"")
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """``(offset, length, content)`` of each gzip member."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        # a window keeps the copy of what is left over small
-        size, out, end = 1 << 16, [], at
+def members(stream) -> Iterator[tuple[int, int, bytes]]:
+    """``(offset, length, content)`` of each gzip member of a file; holds one member and a buffer."""
+    at, left = 0, b""
+    while True:
+        d, out, size = zlib.decompressobj(31), [], 0
         while not d.eof:
-            chunk = view[end : end + size]
+            chunk = left or stream.read(READ_BYTES)
             if not chunk:
-                raise ValueError("truncated gzip member")
+                if size:
+                    raise ValueError("truncated gzip member")
+                return
             out.append(d.decompress(chunk))
-            end += len(chunk)
-        end -= len(d.unused_data)
-        yield at, end - at, b"".join(out)
-        at = end
+            size += len(chunk) - len(d.unused_data)
+            left = d.unused_data
+        yield at, size, b"".join(out)
+        at += size
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow knows, for reading in a task by range or in order."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/+", "file:///", path)
+    try:
+        store, name = fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise RuntimeError(f"tasks cannot open {path}: set spark.checkpoint.dir to a store that Arrow can open") from e
+    return store.open_input_file(name)
 
 
 def url_key(url: str | None) -> str:
@@ -179,8 +200,17 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archives", date: str
     return path
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("archive"), "content")
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """The paths of a folder's data files; contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
+
+
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
+
+
+_CAPTURE = ["key", "date", "page_id", "url", "archive", "offset", "length"]
+_CAPTURE_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -189,29 +219,37 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive, content in zip(b.column(0), b.column(1), strict=True):
-                archive, rows = archive.as_py(), []
-                for at, size, data in members(content.as_py()):
-                    if data != b"\r\n\r\n":
+            for archive in b.column(0).to_pylist():
+                rows = []
+                with open_file(archive) as f:
+                    for at, size, data in members(f):
+                        if data == b"\r\n\r\n":
+                            continue
                         top = data.partition(b"\r\n\r\n")[0].decode()
                         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in top.split("\r\n")[1:])}
                         m = re.fullmatch(r"<urn:page:(-?\d+)>", head["warc-record-id"])
                         url = head.get("warc-target-uri")
                         rows.append((url_key(url), head["warc-date"], int(m[1]) if m else None, url, archive, at, size))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "date", "page_id", "url", "archive", "offset", "length"])
+                        if len(rows) >= 5000:
+                            yield _columns(rows, _CAPTURE, _CAPTURE_KINDS)
+                            rows = []
+                yield _columns(rows, _CAPTURE, _CAPTURE_KINDS)
 
-    return _archives(spark, path).mapInArrow(run, "key string, date string, page_id long, url string, archive string, offset long, length long")
+    return _files(spark, path).mapInArrow(run, "key string, date string, page_id long, url string, archive string, offset long, length long")
 
 
-def build_index(spark: SparkSession, archives: str, scratch: Scratch, name: str = "index", block_rows: int = BLOCK_ROWS) -> str:
+def build_index(spark: SparkSession, archives: str, scratch: Scratch, name: str = "index", block_rows: int = BLOCK_ROWS, file_captures: int = FILE_CAPTURES) -> str:
     """Write sorted compressed blocks and their sparse directory; return the folder.
 
     Captures are range-partitioned on (key, date, page_id), so a hot host, or even one URL
-    captured very often, spreads over partitions.  ``<folder>/blocks`` holds gzip members of
-    JSON lines, ``<folder>/directory`` one row a block: first and last key, file, offset, length.
+    captured very often, spreads over files.  ``<folder>/blocks`` holds gzip members of
+    JSON lines, ``<folder>/directory`` one row a block: its first capture, last key, file, offset, length.
     """
     entries = scratch.save(scan(spark, archives), f"{name}-entries")
-    ordered = entries.repartitionByRange("key", "date", "page_id", "archive", "offset").sortWithinPartitions("key", "date", "page_id", "archive", "offset")
+    order = ["key", "date", "page_id", "archive", "offset"]
+    total = entries.count()
+    files = max(1, min(-(-total // file_captures), INDEX_FILES))
+    ordered = entries.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,18 +268,22 @@ def build_index(spark: SparkSession, archives: str, scratch: Scratch, name: str
     path = scratch.path(name)
     ordered.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("lineSep", BLOCK_END.decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/blocks")
 
+    names = ["file", "first_key", "first_date", "first_page", "last_key", "offset", "length", "captures"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
     @lean
     def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, content in zip(b.column(0), b.column(1), strict=True):
+            for file in b.column(0).to_pylist():
                 rows = []
-                for at, size, data in members(content.as_py()):
-                    if data:
-                        lines = data.split(b"\n")
-                        rows.append((json.loads(lines[0])[0], json.loads(lines[-1])[0], file.as_py(), at, size, len(lines)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["first_key", "last_key", "file", "offset", "length", "captures"])
-
-    _archives(spark, f"{path}/blocks").mapInArrow(directory, "first_key string, last_key string, file string, offset long, length long, captures long").write.mode("overwrite").parquet(f"{path}/directory")
+                with open_file(file) as f:
+                    for at, size, data in members(f):
+                        if data:
+                            lines = data.split(b"\n")
+                            rows.append((file, *json.loads(lines[0])[:3], json.loads(lines[-1])[0], at, size, len(lines)))
+                yield _columns(rows, names, kinds)
+
+    _files(spark, f"{path}/blocks").mapInArrow(directory, "file string, first_key string, first_date string, first_page long, last_key string, offset long, length long, captures long").write.mode("overwrite").parquet(f"{path}/directory")
     scratch.drop(f"{name}-entries")
     return path
 
@@ -290,38 +332,112 @@ class CaptureIndex:
         return parse(zlib.decompress(read_range(self.spark, capture["archive"], capture["offset"], capture["length"]), 31))
 
 
-def entries(spark: SparkSession, index: str) -> DataFrame:
-    """All captures, read from the index blocks."""
+def _place(key: str, date: str | None, page_id: int | None) -> tuple:
+    """Where a capture stands in the index: nulls come first."""
+    return key, date or "", page_id is not None, page_id or 0
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(1):
-                for _, _, data in members(content.as_py()):
-                    if data:
-                        rows = [(x[4], x[5], x[6]) for x in map(json.loads, data.decode().split("\n"))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["archive", "offset", "length"])
 
-    return _archives(spark, f"{index}/blocks").mapInArrow(run, "archive string, offset long, length long")
+def find(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
+    """``archive, offset, length`` of all captures of ``wanted(url, page_id, date)``, each wanted one once.
 
+    The first keys of the index files (at most ``INDEX_FILES``) tell the file of each wanted capture
+    by bisection.  Wanted captures meet the directory rows of their file in a shuffle; a
+    task then bisects the directory for each and reads the block found by range, the next capture
+    mostly being in the same block."""
+    directory = spark.read.parquet(f"{index}/directory")
+    first = F.min(F.struct("first_key", "first_date", "first_page"))
+    files = sorted((_place(*r["a"]), r["file"]) for r in directory.groupBy("file").agg(first.alias("a")).collect())
+    sent = spark.sparkContext.broadcast(files)
+    names = ["file", "kind", "key", "date", "page_id", "offset", "length"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    schema = "file string, kind int, key string, date string, page_id long, `offset` long, length long"
 
-def read_back(spark: SparkSession, archives: str, index: str) -> DataFrame:
-    """Every capture of the index, its record read at its offset and checked.
+    @lean
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [p for p, _ in sent.value]
+        for b in batches:
+            rows = []
+            for url, page_id, date in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = url_key(_clean(url) if url is not None else None)
+                # equal captures can begin before the file that starts with them
+                last = bisect_right(places, _place(key, date, page_id)) - 1
+                k = max(bisect_left(places, _place(key, date, page_id)) - 1, 0)
+                rows += [(sent.value[i][1], 1, key, date, page_id, None, None) for i in range(k, max(last, k) + 1)] if places else []
+            yield _columns(rows, names, kinds)
+
+    asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id"), "date").distinct().mapInArrow(assign, schema)
+    blocks = directory.select("file", F.lit(0).alias("kind"), F.col("first_key").alias("key"), F.col("first_date").alias("date"), F.col("first_page").alias("page_id"), "offset", "length")
+    order = ["file", "kind", "key", "date", "page_id", "offset"]
+    met = blocks.union(asked).repartition("file").sortWithinPartitions(*order)
 
-    An archive's captures (bounded by ``RECORDS_PER_FILE``) are gathered to one row and meet
-    its content once.  Columns: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``.
-    """
-    wanted = entries(spark, index).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
-    both = _archives(spark, archives).join(wanted, "archive").select("content", "at.offset", "at.length")
+    @lean
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, stream, places, ranges = None, None, [], []
+        number, block = -1, []
+        asked = None
+        for b in batches:
+            out = []
+            for name, kind, key, date, page_id, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != file:
+                    if stream is not None:
+                        stream.close()
+                    file, stream, places, ranges, number, asked = name, open_file(name), [], [], -1, None
+                here = _place(key, date, page_id)
+                if kind == 0:
+                    places.append(here)
+                    ranges.append((at, size))
+                    continue
+                if here == asked:  # urls that differ in what the key leaves out
+                    continue
+                asked = here
+                k = max(bisect_left(places, here) - 1, 0)
+                while k < len(places) and places[k] <= here:
+                    if k != number:
+                        stream.seek(ranges[k][0])
+                        block = [json.loads(x) for x in zlib.decompress(stream.read(ranges[k][1]), 31).decode().split("\n")]
+                        block, number = [(_place(*x[:3]), x) for x in block], k
+                    i = bisect_left(block, here, key=lambda x: x[0])
+                    while i < len(block) and block[i][0] == here:
+                        out.append(tuple(block[i][1][4:7]))
+                        i += 1
+                    k += 1
+            if out:
+                yield _columns(out, ["archive", "offset", "length"], [pa.string(), pa.int64(), pa.int64()])
+        if stream is not None:
+            stream.close()
+
+    return met.mapInArrow(search, "archive string, offset long, length long")
+
+
+def read_records(found: DataFrame) -> DataFrame:
+    """The records at ``archive, offset, length``, read by range in the order they lie in, and checked.
+
+    Columns: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, stream = None, None
         for b in batches:
-            for content, offsets, lengths in zip(*b.columns, strict=True):
-                content, rows = content.as_py(), []
-                for at, size in zip(offsets.as_py(), lengths.as_py(), strict=True):
-                    r = parse(zlib.decompress(content[at : at + size], 31))
-                    rows.append((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return both.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            rows = []
+            for name, at, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name != archive:
+                    if stream is not None:
+                        stream.close()
+                    archive, stream = name, open_file(name)
+                stream.seek(at)
+                r = parse(zlib.decompress(stream.read(size), 31))
+                rows.append((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]))
+            yield _columns(rows, ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()])
+        if stream is not None:
+            stream.close()
+
+    dealt = found.repartition("archive").sortWithinPartitions("archive", "offset")
+    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def read_back(spark: SparkSession, pages: DataFrame, index: str, date: str = _DATE) -> DataFrame:
+    """The record of every page, looked up in the index by its URL key and page id, and read by range.
+
+    Pages without a URL are under the empty key; a page that is repeated is looked up once, which finds
+    all its records.  An empty table gives no rows."""
+    return read_records(find(spark, index, pages.select("url", "page_id", F.lit(date).alias("date"))))

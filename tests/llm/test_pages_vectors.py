@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import random
 import zlib
 from collections import Counter
@@ -132,19 +133,19 @@ def test_url_keys():
 
 def test_members_and_records():
     data = warc.gzip_member(b"a" * 200_000) + warc.RECORD_END + warc.gzip_member(b"") + warc.gzip_member(b"tail")
-    got = list(warc.members(data))
+    got = list(warc.members(io.BytesIO(data)))
     assert [x for _, _, x in got] == [b"a" * 200_000, b"\r\n\r\n", b"", b"tail"] and sum(n for _, n, _ in got) == len(data)
     r = warc.record(1, "http://x/", b"body", hashlib.sha256(b"body").hexdigest(), None, None)
     assert warc.parse(r)["payload"] == b"body"
     with pytest.raises(ValueError):
         warc.parse(r[:-1] + b"z")
     with pytest.raises(ValueError):
-        list(warc.members(data[:-3]))
+        list(warc.members(io.BytesIO(data[:-3])))
 
 
 def test_archives_come_back(spark):
     path, index = archive(spark, PAGES, block_rows=3)
-    got = {r["page_id"]: r for r in warc.read_back(spark, path, index).collect()}
+    got = {r["page_id"]: r for r in warc.read_back(spark, pages_of(spark, PAGES), index).collect()}
     first = {}
     for i, _, h in sorted(PAGES):
         body = (h or "").encode()
@@ -173,13 +174,34 @@ def test_lookups(spark):
 
 
 def test_empty_archive(spark):
-    path, index = archive(spark, [])
-    assert warc.read_back(spark, path, index).collect() == [] and warc.CaptureIndex(spark, index).captures("http://x/") == []
+    _, index = archive(spark, [])
+    assert warc.read_back(spark, pages_of(spark, []), index).collect() == [] and warc.CaptureIndex(spark, index).captures("http://x/") == []
 
 
 def test_repeated_rows(spark):
-    path, index = archive(spark, [(1, "http://a/", "q" * 200)] * 2 + [(2, "http://a/", "q" * 200)] * 2)
-    assert Counter((r["page_id"], r["record_type"]) for r in warc.read_back(spark, path, index).collect()) == {(1, "response"): 2, (2, "revisit"): 2}
+    rows = [(1, "http://a/", "q" * 200)] * 2 + [(2, "http://a/", "q" * 200)] * 2
+    _, index = archive(spark, rows)
+    assert Counter((r["page_id"], r["record_type"]) for r in warc.read_back(spark, pages_of(spark, rows), index).collect()) == {(1, "response"): 2, (2, "revisit"): 2}
+
+
+def test_many_captures_of_one_url_over_many_files(spark):
+    rows = [(i, "http://a/", f"text {i} " * (1 + i % 40)) for i in range(300)] + [(None, "http://a/", "no id")] + [(i, f"http://h{i % 7}/{i}", "p") for i in range(300, 340)]
+    _, index = archive(spark, rows, block_rows=4, file_captures=40)
+    assert spark.read.parquet(f"{index}/directory").select("file").distinct().count() > 3
+    got = warc.read_back(spark, pages_of(spark, rows), index).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
+    some = pages_of(spark, rows).where("page_id % 50 = 0").selectExpr("url", "page_id", f"'{warc._DATE}' AS date")
+    assert sorted(r["page_id"] for r in warc.read_records(warc.find(spark, index, some)).collect()) == list(range(0, 340, 50))
+    plan = warc.read_back(spark, pages_of(spark, rows), index)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_a_lookup_reads_its_block_only(spark, monkeypatch):
+    rows = [(i, f"http://h{i:03}/", "p" * 200 + str(i)) for i in range(100)]
+    _, index = archive(spark, rows, block_rows=10)
+    found, ranges, real = warc.CaptureIndex(spark, index), [], warc.read_range
+    monkeypatch.setattr(warc, "read_range", lambda s, path, at, size: ranges.append((path, at, size)) or real(s, path, at, size))
+    assert [c["page_id"] for c in found.captures("http://h042/")] == [42] and len(ranges) == 1
 
 
 def test_warc_same_as_sql(spark):
