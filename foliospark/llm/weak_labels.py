@@ -1,8 +1,8 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good or bad on a text or abstain.  Expectation-maximisation over
-the counts of vote patterns estimates how each labeller votes on good and on bad texts, with
-no true label seen.  The posterior of a text's votes is its soft label, and a linear
+the counts of vote patterns estimates how each labeller votes on hidden kinds of texts, good and
+bad ones, with no true label seen.  The posterior of a text's votes is its soft label, and a linear
 scorer over hashed word shapes is trained on these; the scorer decides.
 """
 
@@ -23,19 +23,21 @@ from .common import Scratch, lean, without
 DIMS = 1 << 14
 #: Texts the scorer is fitted on, drawn by hash.  Votes and EM use all texts.
 FIT_ROWS = 8000
-#: Most that a labeller may call good texts bad, as a share: junk is of several kinds, each seen by
-#: one or two labellers, and without this bound EM takes the largest kind for all junk.
-FALSE_ALARMS = 0.002
 #: Score below which a text is rejected.
 LEAST = 0.5
 
-LABELLERS = ("symbols", "capitals", "exclamations", "separators", "repeats", "variety", "stops", "lines")
+#: Words of a window of the variety labeller; texts of fewer words get no opinion of it, nor of the stop words'.
+WINDOW = 40
+
+LABELLERS = ("symbols", "capitals", "exclamations", "separators", "repeats", "variety", "stops", "lines", "plain", "marks")
 
 STOP_WORDS = frozenset(
     """the a an and or of to in on at by for from with as is are was be it this that le la les un une des du de et dans sur pour par avec est qui que en au
     der die das ein eine dem den des und oder im mit von zu ist nicht sich auf el los las una del y con por para es no se su""".encode().split()
 )
 _SYMBOLS = re.compile(rb"[#*$%&|<>~^=+_\\@]")
+_PLAIN = re.compile(r"[\"'(“‘«¿¡]*[^\W_]+(?:['’\-.][^\W_]+)*[.,;:!?)\"'”’»…]*")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"))
 
 
@@ -46,26 +48,38 @@ class Kinds(dict):
         super().__init__()
         self.most = most
         self.known: dict[tuple, int] = {}
-        self.flags = np.zeros((0, 5), bool)
+        self.rows: list[tuple] = []
+        self.flags = np.zeros((0, 6), bool)
         self.hashes = np.zeros(0, "u8")
 
+    def settle(self) -> None:
+        """Bring the arrays up to the kinds met; call it before they are read."""
+        if len(self.rows) > len(self.hashes):
+            fresh = self.rows[len(self.hashes) :]
+            self.flags = np.vstack([self.flags, np.array([f for f, _ in fresh], bool)])
+            self.hashes = np.append(self.hashes, np.array([h for _, h in fresh], "u8"))
+
+    def trim(self) -> None:
+        """Forget everything when much is held; numbers given before are void then."""
+        if len(self) > self.most or len(self.rows) > self.most:
+            self.clear()
+            self.known.clear()
+            self.rows, self.flags, self.hashes = [], self.flags[:0], self.hashes[:0]
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
         shape = word
         for find, put in _SHAPE:
             shape = find.sub(put, shape)
-        shape = re.sub(rb"([^aA0])\1+", rb"\1\1", shape)[:24]
+        shape = re.sub(rb"([^aA0])\1+", rb"\1\1", shape)
         letters = word.decode("utf-8", "replace")
-        flags = (bool(_SYMBOLS.search(word)) and any(x.isalnum() for x in letters), len(word) > 2 and letters.isupper(), b"!" in word, not any(x.isalnum() for x in letters), word.lower().strip(b".,;:!?") in STOP_WORDS)
+        flags = (bool(_SYMBOLS.search(word)) and any(x.isalnum() for x in letters), len(word) > 2 and letters.isupper(), b"!" in word, not any(x.isalnum() for x in letters), word.lower().strip(b".,;:!?") in STOP_WORDS, bool(_PLAIN.fullmatch(letters)))
         key = (shape, flags)
         k = self.known.get(key)
         if k is None:
-            k = self.known[key] = len(self.known)
-            self.flags = np.vstack([self.flags, [flags]])
-            self.hashes = np.append(self.hashes, np.uint64(xxhash.xxh3_64_intdigest(shape)))
+            k = self.known[key] = len(self.rows)
+            self.rows.append((flags, xxhash.xxh3_64_intdigest(shape)))
         self[word] = k
         return k
 
@@ -79,10 +93,14 @@ def votes(words: list[bytes], flags: np.ndarray, text: str) -> str:
     n = len(words)
     if not n:
         return "-" * len(LABELLERS)
-    symbols, capitals, bangs, bare, stops = (flags.sum(axis=0) / n).tolist()
+    symbols, capitals, bangs, bare, stops, plain = (flags.sum(axis=0) / n).tolist()
     repeats = sum(map(eq, words[1:], words)) / n
     lines = [x for x in text.split("\n") if x.strip()]
-    variety = len(set(words)) / n
+    # long texts have few different words by nature, windows of them do not
+    windows = n // WINDOW
+    variety = sum(len(set(words[k * WINDOW : (k + 1) * WINDOW])) for k in range(windows)) / max(windows * WINDOW, 1)
+    raw = b"".join(words)
+    marks = 1 - len(raw.translate(None, _MARKS)) / len(raw)
     return "".join(
         (
             _vote(symbols, 0.05, 0.25),
@@ -90,10 +108,11 @@ def votes(words: list[bytes], flags: np.ndarray, text: str) -> str:
             _vote(bangs, 0.05, 0.25),
             _vote(bare, 0.02, 0.2),
             _vote(repeats, 0.05, 0.25),
-            # long texts have few different words by nature
-            "-" if n < 40 else "b" if variety < 0.2 and n < 1000 else "g" if variety > 0.4 else "-",
-            "-" if n < 40 else "g" if stops >= 0.1 else "-",
+            "-" if not windows else _vote(1 - variety, 0.5, 0.7),
+            "-" if not windows else "g" if stops >= 0.1 else "-",
             "-" if len(lines) < 4 else _vote(1 - len(set(lines)) / len(lines), 0.3, 0.6),
+            _vote(1 - plain, 0.15, 0.3),
+            _vote(marks, 0.07, 0.12),
         )
     )
 
@@ -123,7 +142,9 @@ def read(docs: DataFrame) -> DataFrame:
             for cell in b.column(1):
                 text = cell.as_py() or ""
                 words = text.encode().split()
+                kinds.trim()
                 ids = np.fromiter(map(kinds.__getitem__, words), "i8", len(words))
+                kinds.settle()
                 at, value = features(ids, sum(map(eq, words[1:], words)), kinds.hashes)
                 out.append((len(words), votes(words, kinds.flags[ids], text), at.tobytes(), value.tobytes()))
             c = list(zip(*out, strict=True)) or [()] * 4
@@ -133,46 +154,98 @@ def read(docs: DataFrame) -> DataFrame:
 
 
 class LabelModel:
-    """How each labeller votes on bad and good texts, by expectation-maximisation.
+    """How each labeller votes on texts of several hidden kinds, by expectation-maximisation.
 
-    Texts with a bad vote start as probably bad.  Votes are taken as independent given the
-    class; no opinion says nothing.  Labellers call a good text bad at most as often as
-    ``FALSE_ALARMS``, which also settles which class is which.
+    Junk is of several kinds, each seen by a few labellers, so votes are dependent given that a
+    text is bad.  They are taken as independent given its kind, and an opinion not given says
+    nothing.  The number of kinds is found, too: from one kind on, the votes that the kinds so
+    far explain worst start another, EM is run to its end, and the kinds grow as long as that
+    lowers the Bayesian information criterion.  A kind is bad if some labeller mostly votes bad on it.
     """
 
-    def __init__(self, counts: dict[str, int], rounds: int = 100):
+    def __init__(self, counts: dict[str, int], most: int = 8, rounds: int = 300):
         patterns = sorted(counts)
-        n = np.array([counts[p] for p in patterns], float)
+        self.n = np.array([counts[p] for p in patterns], float)
+        self.hot = self._votes(patterns)
+        self.shares, self.theta = np.ones(1), np.full((1, len(LABELLERS), 2), 0.5)
+        if len(patterns):
+            kept = self._run(np.ones((1, len(patterns))), rounds)
+            for k in range(2, most + 1):
+                tried = self._run(self._split(*kept), rounds)
+                if self._criterion(*tried) >= self._criterion(*kept):
+                    break
+                kept = tried
+            self.shares, self.theta = kept
+        self.bad = (self.theta[:, :, 1] > 0.5).any(axis=1) if len(patterns) else np.zeros(1, bool)
+
+    @staticmethod
+    def _votes(patterns: list[str]) -> np.ndarray:
+        """Pattern, labeller, vote good or bad; no opinion is all zero."""
         x = np.array([["gb-".index(v) for v in p] for p in patterns], int).reshape(len(patterns), len(LABELLERS))
-        hot = np.eye(3)[x][:, :, :2]  # pattern, labeller, vote; no opinion is all zero
-        bad = np.where((x == 1).any(axis=1), 0.9, 0.02)
-        prior = np.array([[[2.0, 2.0]], [[8.0, 0.05]]])  # class bad, good; votes g, b
-        self.theta, self.share = np.full((2, len(LABELLERS), 2), 0.5), 0.5
-        for _ in range(rounds if len(n) else 0):
-            w = np.stack([bad, 1 - bad]) * n
-            theta = np.einsum("cp,plv->clv", w, hot) + prior
-            self.theta = theta / theta.sum(axis=2, keepdims=True)
-            self.theta[1, :, 1] = np.minimum(self.theta[1, :, 1], FALSE_ALARMS)
-            self.theta[1, :, 0] = 1 - self.theta[1, :, 1]
-            self.share = (w[0].sum() + 1) / (n.sum() + 2)
-            fresh = self._bad(hot)
-            if np.abs(fresh - bad).max() < 1e-9:
+        return np.eye(3)[x][:, :, :2]
+
+    def _joint(self, shares: np.ndarray, theta: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        return np.log(shares)[:, None] + np.einsum("clv,plv->cp", np.log(theta), hot)
+
+    def _run(self, part: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """EM from how much each pattern belongs to each kind; one vote of each sort is added a kind and labeller."""
+        shares = theta = None
+        for _ in range(rounds):
+            w = part * self.n
+            shares = (w.sum(axis=1) + 1) / (w.sum() + len(w))
+            theta = np.einsum("cp,plv->clv", w, self.hot) + 1.0
+            theta = theta / theta.sum(axis=2, keepdims=True)
+            logs = self._joint(shares, theta, self.hot)
+            logs -= logs.max(axis=0)
+            fresh = np.exp(logs)
+            fresh /= fresh.sum(axis=0)
+            if np.abs(fresh - part).max() < 1e-9:
                 break
-            bad = fresh
-
-    def _bad(self, hot: np.ndarray) -> np.ndarray:
-        logs = np.einsum("clv,plv->cp", np.log(self.theta), hot)
-        odds = logs[1] - logs[0] + np.log1p(-self.share) - np.log(self.share)
-        return 1 / (1 + np.exp(np.clip(odds, -500, 500)))
+            part = fresh
+        return shares, theta
+
+    def _split(self, shares: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """The kinds so far and one more.  It starts with the texts of the pair of votes that is most
+        in excess of what the kinds so far lead one to expect."""
+        joint = np.exp(self._joint(shares, theta, self.hot))
+        part = joint / joint.sum(axis=0)
+        flat = self.hot.reshape(len(self.n), -1)
+        cast = self.hot.sum(axis=2)
+        seen = np.einsum("p,pi,pj->ij", self.n, flat, flat)
+        expected = np.zeros_like(seen)
+        for k in range(len(shares)):
+            # votes expected where both labellers have an opinion
+            both = np.einsum("p,pl,pm->lm", self.n * part[k], cast, cast)
+            expected += np.repeat(np.repeat(both, 2, 0), 2, 1) * np.outer(theta[k].ravel(), theta[k].ravel())
+        same = np.repeat(np.repeat(np.eye(len(LABELLERS), dtype=bool), 2, 0), 2, 1)
+        excess = np.where(same, -np.inf, (seen - expected) / np.sqrt(expected + 1.0))
+        i, j = np.unravel_index(np.argmax(excess), excess.shape)
+        # of the two votes the rarer one is what sets the texts apart
+        picked = flat[:, i if seen[i, i] <= seen[j, j] else j] > 0
+        new = np.where(picked, 0.9, 0.01)
+        return np.vstack([part * (1 - new), new[None]])
+
+    def _criterion(self, shares: np.ndarray, theta: np.ndarray) -> float:
+        logs = self._joint(shares, theta, self.hot)
+        top = logs.max(axis=0)
+        likelihood = float((self.n * (top + np.log(np.exp(logs - top).sum(axis=0)))).sum())
+        return -2 * likelihood + (len(shares) * (len(LABELLERS) + 1) - 1) * np.log(max(self.n.sum(), 1.0))
 
     def good(self, pattern: str) -> float:
         """Posterior probability that a text with these votes is good."""
-        return float(1 - self._bad(np.eye(3)[[["gb-".index(v) for v in pattern]]][:, :, :2])[0])
+        logs = self._joint(self.shares, self.theta, self._votes([pattern]))[:, 0]
+        p = np.exp(logs - logs.max())
+        return float(p[~self.bad].sum() / p.sum())
 
     def accuracy(self) -> dict[str, tuple[float, float]]:
         """By labeller: share of good votes on good texts, and of bad votes on bad texts, among votes cast."""
-        t = self.theta
-        return {name: (float(t[1, i, 0]), float(t[0, i, 1])) for i, name in enumerate(LABELLERS)}
+        logs = self._joint(self.shares, self.theta, self.hot) if len(self.n) else np.zeros((1, 0))
+        part = np.exp(logs - logs.max(axis=0)) if len(self.n) else logs
+        part = part / part.sum(axis=0) * self.n if len(self.n) else part
+        cast = np.einsum("cp,plv->clv", part, self.hot)
+        good, bad = cast[~self.bad].sum(axis=0), cast[self.bad].sum(axis=0)
+        share = lambda x, v: float((x[v] + 1) / (x.sum() + 2))
+        return {name: (share(good[i], 0), share(bad[i], 1)) for i, name in enumerate(LABELLERS)}
 
 
 class Scorer:
@@ -212,7 +285,7 @@ def classify(docs: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, least:
     ``weak_label`` is the posterior that the text is good given its votes, ``score`` the
     scorer's probability, ``kept`` whether it reaches ``least``.  Null and empty texts get no
     vote and the score of an empty text; repeated rows get equal scores; an empty table gives no
-    rows.  The driver gets at most 3^8 vote patterns and ``fit_rows`` feature rows.
+    rows.  The driver gets at most 3^10 vote patterns and ``fit_rows`` feature rows.
     """
     spark = docs.sparkSession
     rows = scratch.save(read(docs), "votes")

@@ -149,6 +149,38 @@ def test_segments_do_not_change_ids(text):
     assert bpe.decode(enc, np.array(whole, "u4")) == text.encode()
 
 
+SPACES = [("", " ", ""), ("", "\n", ""), ("x", " ", "y"), ("", "\n \t", "it's"), ("end", "\u3000", "")]
+
+
+@pytest.mark.parametrize(("before", "unit", "after"), SPACES)
+def test_long_white_space(before, unit, after):
+    """The ids of a long run are those of its match; short runs show what the matches are."""
+    enc = encoder()
+    text = before + unit * (2_000_000 // len(unit)) + after
+    ids = bpe.encode(enc, text)
+    assert bpe.decode(enc, ids) == text.encode()
+    run = text[len(before) : len(text) - len(after) - (1 if after else 0)]
+    rest = text[len(before) + len(run) :]
+    assert ids.tolist() == [*enc.encode_ordinary(before), *enc._encode_single_piece(run), *enc.encode_ordinary(rest)]
+    short = before + unit * 1500 + after
+    assert bpe.encode(enc, short, 10).tolist() == enc.encode_ordinary(short)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 5000 + "b c", "\n" * 4000 + " x", "a \u3000" * 2000 + " " * 1500 + "'s", "x" + "\x1c" * 3000 + " y!\x1c", " " * 1000 + "\x85" * 1200 + "é", "a\x1cb " * 3000])
+def test_white_space_is_that_of_the_pattern(text):
+    enc = encoder()
+    for size in (1, 50, 10**9):
+        assert bpe.encode(enc, text, size).tolist() == enc.encode_ordinary(text)
+
+
+def test_long_white_space_in_tables(spark):
+    rows = [(1, " " * 2_000_000, "s"), (2, "x" + "\n" * 1_500_000 + "y", "s"), (3, None, "s")]
+    got = {r["doc_id"]: r for r in bpe.round_trip(documents(spark, rows)).collect()}
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t, _ in rows)
+    counts = {r["n_tokens"]: r["n_docs"] for r in token_counts.token_counts(documents(spark, rows), Scratch(spark, "t")).collect()}
+    assert counts == dict(Counter(r["n_tokens"] for r in got.values()))
+
+
 def test_round_trip_digests(spark):
     rows = corpus(n=10)
     got = bpe.round_trip(documents(spark, rows)).collect()
@@ -196,6 +228,16 @@ def test_words_give_the_ids_of_the_text():
         packing.CACHE_WORDS = packing_limit
 
 
+def test_special_tokens_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    library, tok = Tokenizer.from_file(path), packing.tokenizer(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y. IT'S", "<|ENDOFTEXT|> upper", "<|endoftext|", "plain", None, "<|endoftext|>" * 3, "long words " * 100_000]
+    for t, ids in zip(texts, tok.encode(texts), strict=True):
+        assert ids.tolist() == [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID], t
+
+
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
@@ -253,18 +295,52 @@ def test_classifier_on_labels(spark):
     assert right >= 0.98 * len(labels) and lost <= 0.005 * len(labels)
 
 
-def test_label_model_finds_the_bad_voter():
-    counts = {"g" * 8: 900, "b" + "g" * 7: 60, "bb" + "g" * 6: 20, "g" * 7 + "b": 1, "-" * 8: 19}
-    m = weak_labels.LabelModel(counts)
-    assert m.good("g" * 8) > 0.9 and m.good("bb" + "g" * 6) < 0.1
-    assert all(0 <= x <= 1 for pair in m.accuracy().values() for x in pair)
-    assert weak_labels.LabelModel({}).good("-" * 8) == pytest.approx(0.5)
+L = len(weak_labels.LABELLERS)
+
+
+def planted_votes(n=6000):
+    """Good texts on which labeller 0 is wrong one time in ten, and two kinds of junk seen by two labellers each."""
+    rng, out = random.Random(4), []
+    for _ in range(n):
+        kind = rng.choices(("good", "loud", "torn"), (0.84, 0.1, 0.06))[0]
+        at = {"good": {0: 0.1, 9: 0.02}, "loud": {0: 0.95, 1: 0.9}, "torn": {3: 0.9, 4: 0.85, 0: 0.1}}[kind]
+        out.append((kind, "".join("-" if rng.random() < 0.1 else "b" if rng.random() < at.get(k, 0.01) else "g" for k in range(L))))
+    return out
+
+
+def test_label_model_recovers_planted_accuracies():
+    votes = planted_votes()
+    m = weak_labels.LabelModel(dict(Counter(v for _, v in votes)))
+    assert len(m.shares) == 3 and m.bad.sum() == 2
+    for k, name in enumerate(weak_labels.LABELLERS):
+        for bad in (False, True):
+            cast = [v[k] for kind, v in votes if (kind != "good") == bad and v[k] != "-"]
+            true = cast.count("b" if bad else "g") / len(cast)
+            assert abs(m.accuracy()[name][bad] - true) < 0.04, (name, bad)
+    right = sum((m.good(v) > 0.5) == (kind == "good") for kind, v in votes)
+    any_bad = sum(("b" not in v) == (kind == "good") for kind, v in votes)
+    assert right > 0.97 * len(votes) > any_bad + 0.1 * len(votes)
+
+
+def test_label_model_edges():
+    assert weak_labels.LabelModel({}).good("-" * L) == 1.0
+    m = weak_labels.LabelModel({"g" * L: 5})
+    assert m.good("g" * L) > 0.9 and all(0 <= x <= 1 for pair in m.accuracy().values() for x in pair)
+
+
+def test_kinds_of_words_are_bounded():
+    kinds = weak_labels.Kinds(most=20)
+    for k in range(200):
+        kinds.trim()
+        assert kinds[b"#" * (1 + k % 2) + b"a%" * (k % 30 + 1)] < len(kinds.rows) <= 22
+        kinds.settle()
+        assert len(kinds.flags) == len(kinds.hashes) == len(kinds.rows)
 
 
 def test_classifier_edges(spark):
-    rows = corpus(n=20) + [(300, "BUY NOW!! " * 40, "s0"), (301, "cheap### pills$$$ " * 30, "s0"), (302, "same " * 80, "s0")]
+    rows = corpus(n=20) + [(400, "a long text of words " * 100_000, "s0"), (300, "BUY NOW!! " * 40, "s0"), (301, "cheap### pills$$$ " * 30, "s0"), (302, "same " * 80, "s0")]
     out = weak_labels.classify(documents(spark, rows), Scratch(spark, "t")).collect()
-    assert len(out) == len(rows) and {r["doc_id"]: r["votes"] for r in out}[200] == "-" * 8
+    assert len(out) == len(rows) and {r["doc_id"]: r["votes"] for r in out}[200] == "-" * L
     assert weak_labels.classify(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).collect() == []
     kept = weak_labels.keep_documents(documents(spark, rows), Scratch(spark, "t"))
     assert kept.columns == documents(spark, rows).columns and {r["doc_id"] for r in out if r["kept"]} == {r["doc_id"] for r in kept.collect()}
