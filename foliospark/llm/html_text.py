@@ -24,8 +24,8 @@ LONG_CHARS = 70
 STOP_SHARE = 0.10
 #: Share of stop words in a page's long blocks from which the stop words are of its language.
 FIT_SHARE = 0.20
-#: Share of link characters above which a block is no text.
-LINK_SHARE = 0.5
+#: Share of link characters above which a block is not decided as text by itself, and from which it is no text.
+LINK_SHARE, ALL_LINKS = 0.5, 0.9
 
 STOP_WORDS = frozenset(
     # English, French, German, Spanish function words
@@ -137,10 +137,13 @@ def _judge_names(found: list[Block], named: list[tuple[int, str, int]]) -> None:
     articles if the element opened outside them; comments may be longer than what
     they comment on, if that is there."""
     weights, _ = _weights(found)
+    texts = weights
+    if not any(weights):  # without a long block, all text outside links says where the articles are
+        texts = [0 if b.out else len(b.text.replace(" ", "")) - b.link_chars for b in found]
     all_, inside = [0] * len(named), [0] * len(named)
-    for b, w in zip(found, weights, strict=True):
+    for b, w, t in zip(found, weights, texts, strict=True):
         all_[b.named] += w
-        inside[b.named] += w if b.region else 0
+        inside[b.named] += t if b.region else 0
     free = all_[0]
     for k in range(len(named) - 1, 0, -1):
         all_[named[k][0]] += all_[k]
@@ -159,7 +162,8 @@ def blocks(page: str | None) -> list[Block]:
     h = page or ""
     low_quotes = {'"': True, "'": True}  # whether a closing quote can still be found
     found: list[Block] = []
-    stack: list[tuple[str, bool, int, bool, int]] = []  # name, out, region, in a link, named element
+    # name, out, region, in a link, named element, and the text before an inline element that is set apart
+    stack: list[tuple[str, bool, int, bool, int, tuple | None]] = []
     named: list[tuple[int, str, int]] = [(0, "", 0)]
     buf: list[str] = []
     linked: list[str] = []
@@ -186,7 +190,17 @@ def blocks(page: str | None) -> list[Block]:
 
     def restore() -> None:
         nonlocal out, region, link, inmost
-        _, out, region, link, inmost = stack[-1] if stack else ("", False, 0, False, 0)
+        _, out, region, link, inmost, _ = stack[-1] if stack else ("", False, 0, False, 0, None)
+
+    def leave(k: int) -> None:
+        """Close the elements from the k-th on; text goes on where an inline element set apart began."""
+        nonlocal heading, buf, linked
+        while len(stack) > k:
+            before = stack.pop()[5]
+            if before is not None:
+                flush()
+                buf, linked, heading = before
+        restore()
 
     def enter(kind: str) -> None:
         nonlocal out, inmost
@@ -251,8 +265,9 @@ def blocks(page: str | None) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name in _BLOCK or all(x[0] not in _BLOCK for x in stack[k + 1 :]):
-                        del stack[k:]
-                        restore()
+                        leave(k)
+                        if name in _BLOCK:
+                            flush()
                     break
             continue
         if name in _RAW:
@@ -274,8 +289,8 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
                 if stack[k][0] == "p" or (stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    del stack[k:]
-                    restore()
+                    leave(k)
+                    flush()
                     break
                 if stack[k][0] in _BLOCK:
                     break
@@ -291,15 +306,17 @@ def blocks(page: str | None) -> list[Block]:
             heading = name in _HEADINGS
             if name == "body":
                 out = False
-            stack.append((name, out, region, link, inmost))
-        elif name == "a":
-            link = True
-            stack.append((name, out, region, True, inmost))
+            stack.append((name, out, region, link, inmost, None))
         else:
+            apart = None
             if attrs and not out and (kind := _outside(name, attrs, region)):
-                flush()
+                apart = buf, linked, heading
+                buf, linked, heading = [], [], False
                 enter(kind)
-            stack.append((name, out, region, link, inmost))
+            link = link or name == "a"
+            stack.append((name, out, region, link, inmost, apart))
+    flush()
+    leave(0)
     flush()
     if len(named) > 1:
         _judge_names(found, named)
@@ -309,10 +326,10 @@ def blocks(page: str | None) -> list[Block]:
 def classify(found: list[Block]) -> list[Block]:
     """Label blocks good or bad.
 
-    Pass one.  Bad: furniture by its containers; more than half link text; outside every
+    Pass one.  Bad: furniture by its containers; nearly all link text; outside every
     article or main element where such elements hold most of the text outside links.  Good: at
-    least ``LONG_CHARS`` characters with stop words, or without where the stop words are not
-    of the page's language.  All else stays open.
+    least ``LONG_CHARS`` characters, half of them or more outside links, with stop words, or without
+    where the stop words are not of the page's language.  All else stays open.
     Pass two.  An open block looks for the nearest decided block (furniture aside) on
     either side in its own region: with two different answers a heading follows the block after it and
     any other block the nearer one (good on a tie).  A region without a decided block is
@@ -322,9 +339,10 @@ def classify(found: list[Block]) -> list[Block]:
     plain = [0 if b.out else len(b.text.replace(" ", "")) - b.link_chars for b in found]
     inside = 2 * sum(n for b, n in zip(found, plain, strict=True) if b.region) > sum(plain)
     for b in found:
-        if b.out or b.link_chars > LINK_SHARE * len(b.text.replace(" ", "")) or (inside and not b.region):
+        solid = len(b.text.replace(" ", ""))
+        if b.out or b.link_chars >= ALL_LINKS * solid or (inside and not b.region):
             b.label = "bad"
-        elif len(b.text) >= LONG_CHARS:
+        elif len(b.text) >= LONG_CHARS and b.link_chars <= LINK_SHARE * solid:
             words = _WORD.findall(b.text.lower())
             if words and (not fit or sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)):
                 b.label = "good"
@@ -371,7 +389,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page; ids and urls, null or repeated, pass through.
 
-    Pages are independent, so this is one pass without a shuffle; memory follows the longest page.
+    A null or empty page has the empty text; repeated rows give repeated results; an empty table gives no
+    rows; other columns, whatever their names, are not read.  Ties between neighbours are settled
+    as ``classify`` says.  Pages are independent, so this is one pass without a shuffle; memory
+    follows the longest page.
     """
 
     @lean

@@ -87,6 +87,32 @@ def test_articles_and_languages_do_not_decide_alone(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>L<span class='share-price'>42</span> end</p></article>", "L42 end"),
+        ("<article><p>A long <span class=ad>Buy now</span> way</p><p>to go</p></article>", "A long way\n\nto go"),
+        ("<article><p>one <em>two <span hidden>no</span> three</em> four</p></article>", "one two three four"),
+        ("<div id='main-widget'><article><p>Body of the article here</p></article></div>", "Body of the article here"),
+        ("<div class='post-share-content'><article><p>Body text</p></article></div>", "Body text"),
+        ("<main><p>See <a>the whole long report of the committee</a> now</p></main>", "See the whole long report of the committee now"),
+        ("<article><p>text</p><ul><li><a>Another page of ours</a></li></ul></article>", "text"),
+        ("<p>A <span class=ad>x<p>the rest", "A\n\nthe rest"),
+    ],
+)
+def test_inline_furniture_wrappers_and_links(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_extract_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    page = "<article><p>" + "word of the text " * 60_000 + "</p></article>"
+    rows = [(None, None, "<p>x", "t", "n"), (1, "u", None, "t", "n"), (2, "u", "", "t", "n"), (3, "u", page, "t", "n"), (3, "u", page, "t", "n")]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["page_id"], r["url"], r["n_chars"]) for r in got] == [(None, None, 1), (1, "u", 0), (2, "u", 0), (3, "u", 1_019_999), (3, "u", 1_019_999)]
+    assert got[3] == got[4] and html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_open_blocks_follow_their_neighbours():
     blocks = [html_text.Block("good", 0, False, False, 0, "good"), html_text.Block("s1", 0, False, False, 0), html_text.Block("l" * 100, 100, False, False, 0), html_text.Block("s2", 0, False, False, 0)]
     blocks[0].text = LONG
