@@ -19,11 +19,12 @@ from .common import Forest, Scratch, components, lean, shuffle_width
 
 #: Cosine from which vectors of a label are linked.
 COSINE = 0.93
-#: Trees, vectors a leaf should hold, and the margin either side of a cut that goes both ways.
-#: A unit-length pair at the threshold is 0.37 apart, 0.047 along a random direction of 64
-#: dimensions; one split then parts it with a probability of about 0.014, and all trees do so
-#: with less than 0.001 even after 20 splits.
-TREES, LEAF, MARGIN = 6, 256, 0.03
+#: Trees, vectors a leaf should hold, and the margin either side of a cut that goes both ways, in
+#: standard deviations of how far a pair at the threshold lies apart along a random direction (its
+#: distance, 0.374, over the root of the dimensions).  Whatever the dimensions, a split then parts such a
+#: pair with a probability of 0.043 and doubles one vector in ten; all trees miss it with one
+#: of 2e-6 after 7 splits and 0.005 after 20.
+TREES, LEAF, SPILL = 10, 256, 0.35
 #: Trees are fitted on a sample of about so many vectors; every vector is indexed.
 SAMPLE = 20_000
 #: Sampled vectors that a label needs for trees of its own, and a node for a fitted split.
@@ -46,6 +47,10 @@ def _direction(tree: int, path: int, dims: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def margin(dims: int, spill: float = SPILL, least: float = COSINE) -> float:
+    return spill * float(np.sqrt(2 - 2 * least)) / max(dims, 1) ** 0.5
+
+
 class Tree:
     """Splits of one tree: by node, a direction and where to cut.
 
@@ -55,6 +60,7 @@ class Tree:
 
     def __init__(self, number: int, sample: np.ndarray, depth: int):
         self.number, self.dims = number, sample.shape[1]
+        self.margin = margin(self.dims)
         self.cut: dict[int, tuple[np.ndarray, float]] = {}
         self.mean: dict[int, np.ndarray] = {}
         todo = [(1, sample)]
@@ -87,7 +93,7 @@ class Tree:
                 d = _direction(self.number, -node.bit_length() % (1 << 31), self.dims)
                 at = float(mean @ d)
             p = x[rows] @ d
-            todo += [(2 * node, rows[p <= at + MARGIN], mean), (2 * node + 1, rows[p >= at - MARGIN], mean)]
+            todo += [(2 * node, rows[p <= at + self.margin], mean), (2 * node + 1, rows[p >= at - self.margin], mean)]
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -103,15 +109,15 @@ def _read(vectors: DataFrame) -> DataFrame:
     return v.withColumns({"grp": F.xxhash64("label", F.size("v")), "f1": F.xxhash64("label", "v"), "f2": F.xxhash64(F.lit(1), "v")})
 
 
-def _assign(reps: DataFrame, forest, depths, names: list[str]) -> DataFrame:
-    """A row for each leaf a vector reaches, with all its leaves."""
+def _assign(reps: DataFrame, forest, depths) -> DataFrame:
+    """A row for each leaf that a vector reaches, and one with all its leaves."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, common = forest.value
         for b in batches:
             grp = np.array(b.column(0).to_pylist(), "i8")
-            rows = b.column(3).to_pylist()
+            rows = b.column(2).to_pylist()
             out_row, out_leaf = [], []
             for g in np.unique(grp):
                 at = np.flatnonzero(grp == g)
@@ -129,25 +135,37 @@ def _assign(reps: DataFrame, forest, depths, names: list[str]) -> DataFrame:
             cuts = np.searchsorted(row, np.arange(len(rows) + 1))
             every = [leaf[a:z].tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
             taken = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(leaf, pa.int64()), taken.column(1), taken.column(2), pa.array([every[i] for i in row], pa.binary()), taken.column(3)], names)
+            none = len(leaf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([taken.column(0), b.column(0)]), pa.concat_arrays([pa.array(leaf, pa.int64()), pa.nulls(len(rows), pa.int64())]), pa.concat_arrays([taken.column(1), b.column(1)]), pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(every, pa.binary())])],
+                ["grp", "leaf", "rep", "leaves"],
+            )
 
-    kind = dict(reps.dtypes)["v"]
-    return reps.select("grp", "rep", "mult", "v").mapInArrow(run, f"grp long, leaf long, rep long, mult long, leaves binary, v {kind}")
+    return reps.select("grp", "rep", "v").mapInArrow(run, "grp long, leaf long, rep long, leaves binary")
 
 
 def _first_meeting(leaves: list[bytes], leaf: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether this leaf is the first that the two vectors of each pair share."""
-    if len(a) <= 4000:
-        sets = {i: np.frombuffer(leaves[i], "i8") for i in np.unique(np.concatenate([a, b])).tolist()}
-        return np.array([np.intersect1d(sets[i], sets[j], assume_unique=True)[0] == leaf for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
     rows = np.unique(np.concatenate([a, b]))
     before = [np.frombuffer(leaves[i], "i8") for i in rows]
     before = [x[x < leaf] for x in before]
+    a, b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+    width = max(map(len, before))
+    if not width:
+        return np.ones(len(a), bool)
+    if len(a) <= 4000:
+        # no leaf has a negative number, so what fills up one side never meets the other
+        left, right = np.full((len(rows), width), -1, "i8"), np.full((len(rows), width), -2, "i8")
+        for k, x in enumerate(before):
+            left[k, : len(x)] = right[k, : len(x)] = x
+        met = np.zeros(len(a), bool)
+        for j in range(width):
+            met |= (left[a, j][:, None] == right[b]).any(axis=1)
+        return ~met
     names, where = np.unique(np.concatenate(before), return_inverse=True)
     m = np.zeros((len(rows), len(names)), "f4")
     m[np.repeat(np.arange(len(rows)), [len(x) for x in before]), where] = 1
-    met = (m @ m.T) > 0
-    return ~met[np.searchsorted(rows, a), np.searchsorted(rows, b)]
+    return ~((m @ m.T) > 0)[a, b]
 
 
 def _leaf(rows: list[tuple], least: float) -> list[tuple]:
@@ -207,16 +225,19 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
     own = {g: [Tree(t, unit(x), depths[g]) for t in range(trees)] for g, x in by_group.items() if g in depths and len(x) >= OWN_TREES}
     dims = [r["dims"] for r in sizes.select("dims").distinct().collect()]
     common = {d: [Tree(t, unit(by_dims[d]) if d in by_dims else np.zeros((0, d)), deepest) for t in range(trees)] for d in dims}
-    names = ["grp", "leaf", "rep", "mult", "leaves", "v"]
     # without splits one tree is as good as all
     if not depths:
         common = {d: t[:1] for d, t in common.items()}
-    entries = scratch.save(_assign(reps, spark.sparkContext.broadcast((own, common)), spark.sparkContext.broadcast(depths), names), "leaves")
+    assigned = scratch.save(_assign(reps, spark.sparkContext.broadcast((own, common)), spark.sparkContext.broadcast(depths)), "leaves")
+    entries = assigned.where("leaf IS NOT NULL").select("grp", "leaf", "rep")
     full = entries.groupBy("grp", "leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("q", F.ceil(F.col("m") / block).cast("int"))
     met = entries.join(full, ["grp", "leaf"])
     mine = F.pmod(F.xxhash64("rep", F.lit(4)), F.col("q")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    met = met.select("grp", "leaf", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"), "rep", "mult", "leaves", "v")
+    met = met.select("grp", "leaf", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"), "rep")
+    # a vector and the list of its leaves are sent to each block they meet in, and nowhere else
+    whole = assigned.where("leaf IS NULL").select("rep", "leaves").join(reps.select("rep", "mult", "v"), "rep")
+    met = met.join(whole, "rep").select("grp", "leaf", "b1", "b2", "side", "same", "rep", "mult", "leaves", "v")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from foliospark.llm import embedding_dup, html_text, warc
+from foliospark.llm import embedding_dup, html_text, packing, warc
 from foliospark.llm.common import Scratch
 from foliospark.llm.queries import ORACLES, QUERIES
 from tests.conftest import same_as_sql
-from tests.llm.helpers import corpus, documents
+from tests.llm.helpers import SCHEMA, corpus, documents
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -296,19 +297,23 @@ def test_vector_edges(spark):
     assert embedding_dup.near_duplicates(vectors(spark, []), Scratch(spark, "t")).collect() == []
 
 
-def test_recall_of_the_forest(spark):
-    """Pairs at the threshold of one label, many splits deep."""
+@pytest.mark.parametrize("dims", [8, 64, 768])
+def test_recall_of_the_forest(spark, dims):
+    """Pairs at the threshold of one label, many splits deep; entries do not grow with the dimensions."""
     rng = np.random.default_rng(9)
-    rows, pairs = [], 150
+    rows, pairs = [], 300
     for i in range(pairs):
-        a = rng.standard_normal(64)
+        a = rng.standard_normal(dims)
         a /= np.linalg.norm(a)
-        b = rng.standard_normal(64)
+        b = rng.standard_normal(dims)
         b -= (a @ b) * a
         b /= np.linalg.norm(b)
-        rows += [(2 * i, [float(x) for x in a], 1), (2 * i + 1, [float(x) for x in 0.94 * a + np.sqrt(1 - 0.94**2) * b], 1)]
-    got = check_vectors(spark, rows, leaf=8)
-    assert sum(got[2 * i][0] >= 1 for i in range(pairs)) >= 0.9 * pairs
+        rows += [(2 * i, [float(x) for x in a], 1), (2 * i + 1, [float(x) for x in 0.931 * a + np.sqrt(1 - 0.931**2) * b], 1)]
+    want, got = brute(rows), check_vectors(spark, rows, leaf=8)
+    assert sum(got[i][0] for i in want) >= 0.99 * sum(want[i][0] for i in want)
+    x = embedding_dup.unit([v for _, v, _ in rows])
+    entries = sum(len(hit) for _, hit in embedding_dup.Tree(0, x, 6).leaves(x, 6))
+    assert entries < 2.2 * len(rows)
 
 
 def test_vectors_same_as_sql(spark):
@@ -323,7 +328,8 @@ def test_pipeline_stages(spark):
     from tests.llm.test_near_dup import brute as near_brute
     from tests.llm.test_text_models import plain_counts
 
-    rows = corpus(n=50) + [(300, "BUY NOW!! " * 40, "s0"), (301, "cheap### pills$$$ " * 30, "s0"), (302, "same " * 80, "s0")]
+    # enough junk of each kind to be told from chance
+    rows = corpus(n=50) + [(300 + 3 * k + j, t * (80 + k), "s0") for k in range(12) for j, t in enumerate(("BUY NOW!! ", "cheap### pills$$$ ", "same "))]
     docs = documents(spark, rows)
     kept = [sorted((r["doc_id"], r["text"]) for r in docs.where("text IS NOT NULL").collect())]
     now = docs
@@ -331,7 +337,7 @@ def test_pipeline_stages(spark):
         now = stage(spark, now, FOLDER)
         assert now.columns == docs.columns, name
         kept.append(sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr))
-    assert not {300, 301, 302} & {i for i, _ in kept[1]}
+    assert {i for i, _ in kept[1]} == {i for i, _, _ in rows if i < 300}
     base = []
     for i, t in kept[1]:
         n, _, _, _, rep = plain_counts(t)
@@ -340,11 +346,38 @@ def test_pipeline_stages(spark):
     assert kept[2] == base
     near = near_brute([(i, t, "") for i, t in base])
     assert kept[3] == [(i, t) for i, t in base if near[i][2]]
-    packed = corpus_pipeline.STAGES[-1][1](spark, now, FOLDER)
-    assert {r["doc_id"] for r in packed.collect()} == {i for i, _ in kept[3]}
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, FOLDER).collect()
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    pieces, filled = {}, {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        filled.setdefault(r["sequence_id"], []).append(r)
+    assert pieces.keys() == {i for i, _ in kept[3]}
+    for i, t in dict(kept[3]).items():
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, 1], 0
+        copies = sum(j == i for j, _ in kept[3])
+        for r in sorted(pieces[i], key=lambda r: r["start"])[::copies]:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert copies > 1 or (r["start"] == at and r["ids_crc32"] == zlib.crc32(part.tobytes()) and r["doc_tokens"] == len(ids))
+            at += r["length"]
+        assert copies > 1 or at == len(ids)
+    for some in filled.values():
+        some.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in some] == [sum(x["length"] for x in some[:k]) for k in range(len(some))] and sum(r["length"] for r in some) <= 2048
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "minhash_near_dedup", "packing"]
 
 
+def test_pipeline_stages_on_empty_tables_and_rows_without_id(spark):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], SCHEMA)
+    odd = documents(spark, [(None, "a text of some words without id " * 5, "s"), (None, None, None), (1, None, None), (2, "", "s"), (2, "", "s"), (3, "word " * 300_000, "s")])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, FOLDER).collect() == [], name
+        out = stage(spark, odd, FOLDER)
+        assert out.count() >= 2 and (name == "packing" or out.columns == odd.columns), name
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
