@@ -158,9 +158,9 @@ class LabelModel:
 
     Junk is of several kinds, each seen by a few labellers, so votes are dependent given that a
     text is bad.  They are taken as independent given its kind, and an opinion not given says
-    nothing.  The number of kinds is found, too: from one kind on, the votes that the kinds so
-    far explain worst start another, EM is run to its end, and the kinds grow as long as that
-    lowers the Bayesian information criterion.  A kind is bad if some labeller mostly votes bad on it.
+    nothing.  The number of kinds is found, too: from one kind on, votes that come together more
+    often than the kinds so far explain start another, EM is run to its end, and the kinds grow as
+    long as that lowers the Bayesian information criterion.  A kind is bad if some labeller mostly votes bad on it.
     """
 
     def __init__(self, counts: dict[str, int], most: int = 8, rounds: int = 300):
@@ -170,11 +170,12 @@ class LabelModel:
         self.shares, self.theta = np.ones(1), np.full((1, len(LABELLERS), 2), 0.5)
         if len(patterns):
             kept = self._run(np.ones((1, len(patterns))), rounds)
-            for k in range(2, most + 1):
-                tried = self._run(self._split(*kept), rounds)
-                if self._criterion(*tried) >= self._criterion(*kept):
+            while len(kept[0]) < most:
+                tried = (self._run(part, rounds) for part in self._splits(*kept))
+                better = next((x for x in tried if self._criterion(*x) < self._criterion(*kept)), None)
+                if better is None:
                     break
-                kept = tried
+                kept = better
             self.shares, self.theta = kept
         self.bad = (self.theta[:, :, 1] > 0.5).any(axis=1) if len(patterns) else np.zeros(1, bool)
 
@@ -204,9 +205,9 @@ class LabelModel:
             part = fresh
         return shares, theta
 
-    def _split(self, shares: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """The kinds so far and one more.  It starts with the texts of the pair of votes that is most
-        in excess of what the kinds so far lead one to expect."""
+    def _splits(self, shares: np.ndarray, theta: np.ndarray) -> Iterator[np.ndarray]:
+        """The kinds so far and one more.  It starts with the texts of a pair of votes that is in
+        excess of what the kinds so far lead one to expect, the pair most in excess first."""
         joint = np.exp(self._joint(shares, theta, self.hot))
         part = joint / joint.sum(axis=0)
         flat = self.hot.reshape(len(self.n), -1)
@@ -219,11 +220,17 @@ class LabelModel:
             expected += np.repeat(np.repeat(both, 2, 0), 2, 1) * np.outer(theta[k].ravel(), theta[k].ravel())
         same = np.repeat(np.repeat(np.eye(len(LABELLERS), dtype=bool), 2, 0), 2, 1)
         excess = np.where(same, -np.inf, (seen - expected) / np.sqrt(expected + 1.0))
-        i, j = np.unravel_index(np.argmax(excess), excess.shape)
-        # of the two votes the rarer one is what sets the texts apart
-        picked = flat[:, i if seen[i, i] <= seen[j, j] else j] > 0
-        new = np.where(picked, 0.9, 0.01)
-        return np.vstack([part * (1 - new), new[None]])
+        done = set()
+        for at in np.argsort(-excess, axis=None).tolist():
+            i, j = np.unravel_index(at, excess.shape)
+            if excess[i, j] < 2:
+                return
+            # of the two votes the rarer one is what sets the texts apart
+            vote = int(i if seen[i, i] <= seen[j, j] else j)
+            if vote not in done:
+                done.add(vote)
+                new = np.where(flat[:, vote] > 0, 0.9, 0.01)
+                yield np.vstack([part * (1 - new), new[None]])
 
     def _criterion(self, shares: np.ndarray, theta: np.ndarray) -> float:
         logs = self._joint(shares, theta, self.hot)
