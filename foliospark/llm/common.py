@@ -80,6 +80,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self.saved: set[str] = set()
         self.tables: set[str] = set()
         ship(spark)
         # whole texts are wide rows: fewer of them a batch bound what JVM and Python hold at once
@@ -94,6 +95,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.saved.add(name)
         # an explicit schema spares the job that infers it and lets empty tables be read
         path = self.path(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -113,12 +115,17 @@ class Scratch:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         for name in names:
+            self.saved.discard(name)
             if name in self.tables:
                 self.tables.discard(name)
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
             where = jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables saved so far but these, which a result still reads."""
+        self.drop(*self.saved.difference(names))
+
     def sweep(self) -> None:
         """Let Spark delete the shuffle files of jobs that are done: it does so once the driver's
         garbage collector has seen that nothing refers to them."""

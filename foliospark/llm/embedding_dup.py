@@ -251,6 +251,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
     found = scratch.save(met.repartition(width, *order).sortWithinPartitions(*order).mapInArrow(run, "a long, n long, b long"), "links")
     links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     classes = components(scratch, found.where("b IS NOT NULL").select("a", "b"), "vectors").select(F.col("id").alias("rep"), "component_id")
+    scratch.keep("vectors", "distinct-vectors", "links", "vectors-components")
     named = reps.select(*key, "rep", "mult").join(links, "rep", "left").join(classes, "rep", "left").select(*key, (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     plain = _usable(base).select("vec_id", *key).join(named, key).select("vec_id", "n_links", "component_id")
     rest = base.join(reps.select(*key).withColumn("hit", F.lit(True)), key, "left").where("hit IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))

@@ -366,6 +366,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     whole = texts.mapInArrow(full, "rep long, k long, sh binary").join(wanted, "rep").where("k = n").select("grp", "rep", "n", "sketch", "sh")
     links = confirmed(scratch.save(whole, "full-sets"), scratch)
     classes = components(scratch, links, "links").select(F.col("id").alias("rep"), "component_id")
+    scratch.keep("summaries", "representatives", "links-components")
     named = reps.select(*key, "rep").join(classes, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
     id_type = dict(all_rows.dtypes)["doc_id"]
     base = all_rows.select("doc_id", *key)

@@ -94,29 +94,29 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     return row.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-HOST_SQL = """
-WITH h AS (SELECT host, count(*) AS n, count_if(base_failed) AS k FROM {counts} WHERE host IS NOT NULL GROUP BY host),
-     m AS (SELECT sum(k) / sum(n) AS mean, count(*) AS hosts, sum(n) AS docs, sum(n * n) AS squares FROM (SELECT CAST(k AS DOUBLE) AS k, CAST(n AS DOUBLE) AS n FROM h)),
-     v AS (SELECT sum(n * power(k / n - (SELECT mean FROM m), 2)) / (SELECT docs FROM m) AS var FROM h),
-     s AS (SELECT mean, CASE WHEN hosts < 2 OR mean <= 0 OR mean >= 1 THEN docs
-                  ELSE greatest(1.0, least(docs, mean * (1 - mean) / greatest((SELECT var FROM v) - mean * (1 - mean) * hosts / docs, 1e-9) - 1)) END AS strength FROM m)
-SELECT host, n, k, (SELECT mean FROM s) AS prior_mean, (SELECT strength FROM s) AS prior_strength,
-       (k + (SELECT mean * strength FROM s)) / (n + (SELECT strength FROM s)) AS rate
-FROM h
-"""
-
-
-def host_rates(counts: DataFrame) -> DataFrame:
-    """Failure rate of each host, shrunken to the corpus by an empirical beta prior.
+def host_rates(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``host, n, k, rate``: failure rate of each host, shrunken to the corpus by an empirical beta prior.
 
     The prior's mean is the corpus failure rate m.  Its strength is
     m(1-m)/v - 1, v being the variance of the hosts' rates (weighted by documents) less
     what sampling alone would give, kept within 1 and the number of documents;
     with one host, or no or only failures, the prior is the corpus itself.
     ``rate = (k + m*strength) / (n + strength)``.  Documents without a host take no part.
-    Counts are pre-aggregated map-side, so a hot host costs one row a task.
+    Counts are pre-aggregated map-side, so a hot host costs one row a task; hosts are written
+    once, and the driver gets their moments.
     """
-    return counts.sparkSession.sql(HOST_SQL.format(counts="{counts}"), counts=counts)
+    n, k = F.col("n"), F.col("k")
+    hosts = counts.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("base_failed").cast("double").alias("k"))
+    hosts = scratch.save(hosts, "host-counts")
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("docs"), F.sum(k).alias("failed")).first()
+    if not sums["hosts"]:
+        return hosts.withColumn("rate", F.lit(0.0))
+    docs, mean = sums["docs"], sums["failed"] / sums["docs"]
+    strength = docs
+    if sums["hosts"] > 1 and 0 < mean < 1:
+        spread = hosts.agg(F.sum(n * F.pow(k / n - mean, 2)).alias("v")).first()["v"] / docs
+        strength = max(1.0, min(docs, mean * (1 - mean) / max(spread - mean * (1 - mean) * sums["hosts"] / docs, 1e-9) - 1))
+    return hosts.withColumn("rate", (k + mean * strength) / (n + strength))
 
 
 def verdicts(docs: DataFrame, scratch: Scratch, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -128,7 +128,7 @@ def verdicts(docs: DataFrame, scratch: Scratch, host: str = "source", max_rate:
     read for both the host rates and the verdicts, so texts are read once.
     """
     counts = scratch.save(base_counts(docs, host), "rule-counts")
-    hosts = scratch.save(host_rates(counts).select("host", F.col("rate").alias("host_rate"), F.col("n").alias("host_docs")), "host-rates")
+    hosts = host_rates(counts, scratch).select("host", F.col("rate").alias("host_rate"), F.col("n").cast("long").alias("host_docs"))
     side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
     out = counts.join(side, "host", "left")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_rate))
