@@ -38,7 +38,7 @@ FLOOR = 2
 #: Least divergence of a state from its parent, in nats per different next token.
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
-CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
 #: Bytes of texts that are taken apart at once, unless one text has more.
 SLICE_BYTES = 2_000_000
 #: Chunks that a task works through, one after another.

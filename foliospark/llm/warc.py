@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
+from .common import Scratch, lean, shuffle_width
 
 #: Payloads shorter than this are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
@@ -368,7 +368,7 @@ def find(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
     asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id"), "date").distinct().mapInArrow(assign, schema)
     blocks = directory.select("file", F.lit(0).alias("kind"), F.col("first_key").alias("key"), F.col("first_date").alias("date"), F.col("first_page").alias("page_id"), "offset", "length")
     order = ["file", "kind", "key", "date", "page_id", "offset"]
-    met = blocks.union(asked).repartition("file").sortWithinPartitions(*order)
+    met = blocks.union(asked).repartition(shuffle_width(spark), "file").sortWithinPartitions(*order)
 
     @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +431,7 @@ def read_records(found: DataFrame) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    dealt = found.repartition("archive").sortWithinPartitions("archive", "offset")
+    dealt = found.repartition(shuffle_width(found.sparkSession), "archive").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
