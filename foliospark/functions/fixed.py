@@ -88,3 +88,6 @@ LUMP_SUMS = r"(?i)\$\s?([\d,]{3,7})\s*(?:lump sum|ratification|bonus|payment|cas
 
 # Report order and titles of document status.
 STATUS_ORDER = ["superseded", "continued", "expired", "expiring", "current", "unknown"]
+
+#: Badges of recognised documents by their quality.
+OCR_BADGES = {"poor": "heavy OCR errors", "fair": "some OCR errors"}

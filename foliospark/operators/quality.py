@@ -19,11 +19,11 @@ WORD = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z'’\-]*(?![A-Za-z0-9_])"
 def tokens(clauses: DataFrame, pattern: str = TOKEN) -> DataFrame:
     """``id, contract_id, pos, token, start, stop``: matches in order with 0-based offsets.
 
-    The text between matches gives the offsets: pieces and matches alternate, so a running sum
-    of their lengths is where each match starts."""
+    The text between matches gives the offsets: a split at the pattern and its matches alternate, so a
+    running sum of their lengths is where each match starts."""
     t = F.coalesce("text", F.lit(""))
     found = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(F.regexp_replace(t, pattern, "\ue000"), "\ue000"), lambda x: F.length(x))
+    gaps = F.transform(F.split(t, pattern, -1), lambda x: F.length(x))
     rows = clauses.select("id", "contract_id", F.posexplode(F.arrays_zip(found.alias("token"), F.slice(gaps, 1, F.size(found)).alias("gap"))).alias("pos", "z"))
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("id", "contract_id", "pos", F.col("z.token").alias("token"), F.col("z.gap").alias("gap"))
@@ -223,3 +223,11 @@ def missing_spaces(clauses: DataFrame, words: DataFrame) -> DataFrame:
 def most_common(rows: DataFrame, column: str, k: int = 20) -> DataFrame:
     """The most frequent values; ties in value order."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def by_frequency(found: DataFrame, *ties: str) -> DataFrame:
+    """Suspects with how often their token was found (``frequency``), and their place among those of
+    their document: most frequent first, then by ``ties``."""
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("frequency"))
+    w = Window.partitionBy("contract_id").orderBy(F.desc("frequency"), *ties)
+    return found.join(counts, "token").withColumn("place", F.row_number().over(w).cast("long"))

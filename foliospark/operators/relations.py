@@ -140,16 +140,39 @@ def longest(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-# orders
+# orders: lists of columns, so that sorts and ranks share them
+
+
+def headcount_order(label: str = "label") -> list[Column]:
+    return [F.desc(F.coalesce("headcount", F.lit(0))), F.col(label)]
+
+
+def term_order(year: str, label: str = "label") -> list[Column]:
+    """Ascending years; none and zero last."""
+    return [F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(9999)), F.col(label)]
+
+
+def largest_order(value: str, *ties: str) -> list[Column]:
+    """Largest first, nothing counting as zero; ties in the order of their rows."""
+    return [F.desc(F.coalesce(F.col(value), F.lit(0))), *map(F.col, ties)]
+
+
+def clause_order(contract: str = "contract_id", page: str = "page", key: str = "id") -> list[Column]:
+    """Documents, their pages (none first) and ids as text, so that ``x__10`` comes before ``x__2``."""
+    return [F.col(contract), F.coalesce(F.col(page), F.lit(0)), F.col(key)]
 
 
 def by_headcount(rows: DataFrame, label: str = "label") -> DataFrame:
-    return rows.orderBy(F.desc(F.coalesce("headcount", F.lit(0))), label)
+    return rows.orderBy(*headcount_order(label))
 
 
 def by_term(rows: DataFrame, year: str, label: str = "label") -> DataFrame:
-    """Ascending years; none and zero last."""
-    return rows.orderBy(F.coalesce(F.nullif(F.col(year), F.lit(0)), F.lit(9999)), label)
+    return rows.orderBy(*term_order(year, label))
+
+
+def placed(rows: DataFrame, group: str, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their place in an order within their group."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
 
 
 def expiry_key(end_date: Column, term_end: Column) -> Column:

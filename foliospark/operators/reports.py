@@ -230,3 +230,27 @@ def recognition_text(clauses: DataFrame, chars: int = 1500) -> DataFrame:
     first = F.substring(F.coalesce(F.min_by("text", "clause_no"), F.lit("")), 1, chars)
     spoken = F.when(first.rlike(r"(?i)recogni[sz]e[ds]?\s+as|hereby recognized|exclusive (collective )?bargaining representative"), first)
     return clauses.groupBy("contract_id").agg(F.coalesce(best, spoken).alias("recognition"))
+
+
+def ocr_badge(quality: str = "ocr_quality") -> Column:
+    """The badge of a document whose recognised pages were rated; none for other ratings."""
+    out = F
+    for rating, badge in fixed.OCR_BADGES.items():
+        out = out.when(F.col(quality) == rating, badge)
+    return out
+
+
+def missing_panel(grouped: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row on what the corpus lacks: unpublished documents, and amendments whose base is outside it,
+    those of them that only link it, and those whose chain is inside.
+
+    ``grouped`` has the flags of ``lineage.amendment_groups``."""
+    chain = F.coalesce("amends_predecessor", F.lit(False)) & F.col("companion").isNull() & F.col("has_chain")
+    a = grouped.agg(F.count_if("lacks_base").alias("n_lacking"), F.count_if("linked_only").alias("n_linked"), F.count_if(chain).alias("n_chain"), F.count_if(F.col("lacks_base") | F.col("linked_only")).alias("n_outside"))
+    b = gaps.agg(F.count(F.lit(1)).alias("n_unpublished"))
+    return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+def lacking_base(grouped: DataFrame) -> DataFrame:
+    """The documents whose base is not in the corpus, by label."""
+    return grouped.where("lacks_base").orderBy("label")

@@ -54,6 +54,11 @@ def hits(clauses: DataFrame, query: Query | None, order: str = "clause_no") -> D
     return found.withColumn("score", score(query, F.col("text"), F.col("heading"), earlier))
 
 
+def relevance_order(order: str = "clause_no") -> list[Column]:
+    """Best score first, ties in corpus order."""
+    return [F.desc_nulls_last("score"), F.col(order)]
+
+
 def best_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group, numbered by ``rank``.
 
@@ -74,7 +79,7 @@ def results(clauses: DataFrame, spec: QuerySpec, families: Families | None = Non
     query = compile_query(spec.query, families)
     found = hits(select(clauses, spec), query)
     keys = [(-F.coalesce("score", F.lit(0.0))).alias("minus"), F.col("clause_no"), F.col("id")]
-    top = best_per_group(found, "contract_id", [F.desc_nulls_last("score"), F.col("clause_no"), F.col("id")], 3 if query else 5)
+    top = best_per_group(found, "contract_id", [*relevance_order(), F.col("id")], 3 if query else 5)
     return top.join(group_totals(found, "contract_id", keys), "contract_id").orderBy("best", "contract_id", "rank")
 
 
@@ -113,3 +118,42 @@ def table_of_contents(clauses: DataFrame) -> DataFrame:
     shown = clauses.where((F.coalesce("heading", F.lit("")) != "") & (F.coalesce("heading_kind", F.lit("")) != "continued"))
     w = Window.partitionBy("contract_id").orderBy("clause_no")
     return shown.withColumn("__before", F.lag("heading").over(w)).where(~F.col("heading").eqNullSafe(F.col("__before"))).drop("__before")
+
+
+#: Words of an item that documents are looked up by, and items of so few words that none is whole inside.
+KEY_WORDS, SHORT_ITEMS = 5, 1000
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+    """``doc_id, item_id``: documents whose text holds an item's text as it is.
+
+    All words of an item but its first and last stand whole in a text that holds it, so items
+    and documents meet on up to ``KEY_WORDS`` of these, by hash; the texts then decide.  Runs of a
+    document are made for the lengths that items ask for.  Items of one or two words (at most
+    ``SHORT_ITEMS``, counted) are looked for in every text.
+    """
+    split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
+    asked = items.select(F.col(item_id), F.col("text").alias("__item"), split("text").alias("w")).where("length(__item) > 0")
+    asked = asked.withColumn("n", F.least(F.size("w") - 2, F.lit(KEY_WORDS)))
+    sizes = sorted(r["n"] for r in asked.where("n > 0").select("n").distinct().collect())
+    run = lambda w, at, n: F.xxhash64(F.lit(n), F.array_join(F.slice(w, at, n), " "))
+    keyed = asked.where("n > 0")
+    key = F
+    for n in sizes:
+        key = key.when(F.col("n") == n, run(F.col("w"), F.lit(2), n))
+    out = docs.where(F.lit(False)).select(doc_id, F.lit(None).cast(dict(items.dtypes)[item_id]).alias(item_id))
+    if sizes:
+        words = docs.select(doc_id, split("text").alias("w"))
+        every = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: run(F.col("w"), i, n))
+        runs = F.concat(*[F.when(F.size("w") >= n, every(n)).otherwise(F.array().cast("array<bigint>")) for n in sizes])
+        met = words.select(doc_id, F.explode(F.array_distinct(runs)).alias("__key")).join(keyed.select(item_id, "__item", key.alias("__key")), "__key").select(doc_id, item_id, "__item")
+        out = met.join(docs.select(doc_id, "text"), doc_id).where(F.contains("text", F.col("__item"))).select(doc_id, item_id)
+    few = asked.where("n <= 0").select(item_id, "__item").limit(SHORT_ITEMS + 1).collect()
+    if len(few) > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of one or two words")
+    if few:
+        kind = dict(items.dtypes)[item_id]
+        hit = F.filter(F.array(*[F.when(F.contains("text", F.lit(r["__item"])), F.lit(r[item_id]).cast(kind)) for r in few]), lambda x: x.isNotNull())
+        short = docs.select(doc_id, F.explode(hit).alias(item_id))
+        out = out.union(short) if sizes else short
+    return out.distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import lineage, relations as r, reports
+from ..functions.query import QuerySpec
+from ..operators import lineage, quality, relations as r, reports, search
 from ..sources import readers
 from .registry import Tables, query
 
@@ -48,19 +49,12 @@ def jon05_first_link(t: Tables) -> DataFrame:
     return r.first_link(t.events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("""
-SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS orders FROM orders WHERE o_custkey < 200 GROUP BY o_custkey
-""")
-def jon06_gather(t: Tables) -> DataFrame:
-    return _gathered(t.orders.where("o_custkey < 200"))
-
-
 def _gathered(orders: DataFrame) -> DataFrame:
     return r.gather(orders.withColumn("at", F.struct("o_orderdate", "o_orderkey")), "o_custkey", "at", "o_orderkey", "orders")
 
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_custkey")
-def jon06_gather_all(t: Tables) -> DataFrame:
+def jon06_gather(t: Tables) -> DataFrame:
     return _gathered(t.orders)
 
 
@@ -91,22 +85,10 @@ def jon09_overlap(t: Tables) -> DataFrame:
     return r.overlapping(links, "c_custkey", "links", t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("id"))).select("c_custkey")
 
 
-@query("""
-SELECT c_custkey AS k FROM customer WHERE c_custkey < 100 UNION ALL
-SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50) AND s_suppkey >= 100 UNION ALL
-SELECT o FROM (SELECT DISTINCT o_custkey AS o FROM orders) WHERE o >= 100
-""")
-def jon10_add_new(t: Tables) -> DataFrame:
-    a = t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("k"))
-    b = t.orders.select(F.col("o_custkey").alias("k")).distinct()
-    once = r.add_new(a, b, "k")
-    return r.add_new(once, b, "k")
-
-
 @query("""
 SELECT DISTINCT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
 """)
-def jon10_add_new_all(t: Tables) -> DataFrame:
+def jon10_add_new(t: Tables) -> DataFrame:
     a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.select(F.col("c_custkey").alias("k"))
     once = r.add_new(a, b, "k")
     return r.add_new(once, b, "k")
@@ -224,29 +206,68 @@ def srt09_longest(t: Tables) -> DataFrame:
     return r.longest(t.documents.select("source", "doc_id", "text"), "source", "text", "doc_id").select("source", "doc_id")
 
 
-def _ranked(rows: DataFrame, key: str) -> DataFrame:
-    """The place of each row in its order, so that order is part of the result."""
-    from pyspark.sql import Window
-
-    return rows.select(key, F.row_number().over(Window.orderBy("__o")).cast("long").alias("place"))
+@query("""
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(CASE WHEN s_acctbal > 0 THEN s_acctbal END, 0) DESC, s_name) AS place FROM supplier
+""")
+def srt02_headcount(t: Tables) -> DataFrame:
+    s = t.supplier.select("s_suppkey", "s_nationkey", F.col("s_name").alias("label"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("headcount"))
+    return r.placed(s, "s_nationkey", r.headcount_order()).select("s_suppkey", "place")
 
 
-@query("SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(CASE WHEN s_acctbal > 0 THEN s_acctbal END, 0) DESC, s_name) AS place FROM supplier")
-def srt02_headcount(t: Tables) -> DataFrame:
-    s = t.supplier.select("s_suppkey", F.col("s_name").alias("label"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("headcount"))
-    first = r.by_headcount(s)
-    return _ranked(first.withColumn("__o", F.struct((-F.coalesce("headcount", F.lit(0.0))).alias("h"), "label")), "s_suppkey")
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_name || p_partkey) AS place FROM part")
+def srt03_labels(t: Tables) -> DataFrame:
+    """Without counts, labels alone decide."""
+    p = t.part.select("p_partkey", "p_size", F.concat("p_name", F.col("p_partkey").cast("string")).alias("label"), F.lit(None).cast("int").alias("headcount"))
+    return r.placed(p, "p_size", r.headcount_order()).select("p_partkey", "place")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY coalesce(nullif(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END, 0), 9999), p_name, p_partkey) AS place FROM part")
+@query("""
+SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(nullif(CASE WHEN p_size % 5 = 0 THEN p_size % 2 ELSE p_size END, 0), 9999), p_name || p_partkey) AS place FROM part
+""")
 def srt04_term(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", "p_name", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("term_end"))
-    return _ranked(r.by_term(p, "term_end", "p_name").withColumn("__o", F.struct(F.coalesce(F.nullif("term_end", F.lit(0)), F.lit(9999)).alias("y"), "p_name", "p_partkey")), "p_partkey")
+    p = t.part.select("p_partkey", "p_brand", F.concat("p_name", F.col("p_partkey").cast("string")).alias("label"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).otherwise(F.col("p_size") % 2).alias("term_end"))
+    return r.placed(p, "p_brand", r.term_order("term_end")).select("p_partkey", "place")
 
 
-@query("SELECT event_id, list_slice(list_sort([value, value / 2, value * 2]), 1, 2) AS firsts FROM events")
+@query("""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_totalprice END DESC, o_orderkey) AS place FROM orders
+""")
+def srt05_cumulative(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("cumulative_pct"))
+    return r.placed(o, "o_custkey", r.largest_order("cumulative_pct", "o_orderkey")).select("o_orderkey", "place")
+
+
+@query("""
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 = 0 THEN 0 ELSE turn END, conv_id || '__' || turn) AS place FROM conversations
+""")
+def srt07_clause_order(t: Tables) -> DataFrame:
+    """Ids are text: ``x__10`` comes before ``x__2`` on the same page."""
+    c = t.conversations.select("conv_id", "turn", F.col("conv_id").alias("contract_id"), F.when(F.col("turn") % 3 != 0, F.col("turn")).alias("page"), F.concat(F.col("conv_id").cast("string"), F.lit("__"), F.col("turn").cast("string")).alias("id"))
+    return r.placed(c, "contract_id", r.clause_order()).select("conv_id", "turn", "place")
+
+
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY token) AS frequency, row_number() OVER (PARTITION BY contract_id ORDER BY f DESC, distance, token, event_id) AS place
+FROM (SELECT *, count(*) OVER (PARTITION BY token) AS f FROM (SELECT event_id, user_id AS contract_id, event_type || (event_id % 5) AS token, event_id % 2 AS distance FROM events))
+""")
+def srt08_suspects(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", F.col("user_id").alias("contract_id"), F.concat("event_type", (F.col("event_id") % 5).cast("string")).alias("token"), (F.col("event_id") % 2).alias("distance"))
+    return quality.by_frequency(e, "distance", "token", "event_id").select("event_id", "frequency", "place")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY coalesce(CASE WHEN doc_id % 9 <> 0 THEN length(text) END, 0) DESC, doc_id) AS place FROM documents")
+def srt11_chars(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 9 != 0, F.length("text")).alias("chars"))
+    return r.placed(d, "lang", r.largest_order("chars", "doc_id")).select("doc_id", "place")
+
+
+@query("""
+SELECT doc_id, list_slice(list_filter(list_transform(regexp_extract_all(t, '(\\d{1,2}\\.\\d{1,2})\\s*%', 1), lambda x: CAST(x AS DOUBLE)), lambda x: x > 0.5 AND x < 8.5), 1, 2) AS firsts
+FROM (SELECT doc_id, '1.5% and ' || (doc_id % 12) || '.25% and 3.0 % and ' || (doc_id % 7) || '.5 %' AS t FROM documents)
+""")
 def lim01_first_k(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.slice(F.sort_array(F.array("value", F.col("value") / 2, F.col("value") * 2)), 1, 2).alias("firsts"))
+    made = F.concat(F.lit("1.5% and "), (F.col("doc_id") % 12).cast("string"), F.lit(".25% and 3.0 % and "), (F.col("doc_id") % 7).cast("string"), F.lit(".5 %"))
+    return t.documents.select("doc_id", text.percents(made, most=2).alias("firsts"))
 
 
 @query("SELECT c_custkey AS k, 'c' AS kind, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, 's', NULL FROM supplier")
@@ -318,15 +339,6 @@ def _chain_parts(t: Tables, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made, contracts
 
 
-@query("""
-WITH o AS (SELECT o_custkey, o_orderkey % 7 = 0 AS bad, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice / 50000) AS BIGINT) AS b FROM orders WHERE o_custkey < 300),
-s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS stop FROM o)
-SELECT CAST(o_custkey AS VARCHAR) AS contract_id, CAST(pos AS INTEGER) AS pos, 'http://x/doc-' || b || '.pdf' AS url FROM s WHERE stop IS NULL OR pos < stop
-""")
-def grf01_chain_links(t: Tables) -> DataFrame:
-    return lineage.chain_links(*_chain_parts(t, t.orders.where("o_custkey < 300"))).select("contract_id", "pos", "url")
-
-
 _CHAIN_SQL = """
 WITH o AS (SELECT o_custkey, o_orderkey % 7 = 0 AS bad, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice / 50000) AS BIGINT) AS b FROM orders),
 s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS stop FROM o),
@@ -334,23 +346,12 @@ s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS
 
 
 @query(_CHAIN_SQL + "l AS (SELECT * FROM s WHERE stop IS NULL OR pos < stop) SELECT CAST(o_custkey AS VARCHAR) AS contract_id, CAST(pos AS INTEGER) AS pos, 'http://x/doc-' || b || '.pdf' AS url FROM l")
-def grf01_chain_links_all(t: Tables) -> DataFrame:
+def grf01_chain_links(t: Tables) -> DataFrame:
     return lineage.chain_links(*_chain_parts(t, t.orders)).select("contract_id", "pos", "url")
 
 
-@query("""
-WITH o AS (SELECT o_custkey, o_orderkey % 7 = 0 AS bad, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice / 50000) AS BIGINT) AS b FROM orders WHERE o_custkey < 300),
-s AS (SELECT *, min(CASE WHEN bad THEN pos END) OVER (PARTITION BY o_custkey) AS stop FROM o),
-k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c, b FROM s WHERE stop IS NULL OR pos < stop)
-SELECT 'earlier-doc-' || b AS id, list(c ORDER BY c) AS later_ids FROM k GROUP BY b
-""")
-def grf02_earlier_documents(t: Tables) -> DataFrame:
-    made, contracts = _chain_parts(t, t.orders.where("o_custkey < 300"))
-    return lineage.earlier_documents(lineage.chain_links(made, contracts), contracts).select("id", "later_ids")
-
-
 @query(_CHAIN_SQL + "k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS c, b FROM s WHERE stop IS NULL OR pos < stop) SELECT 'earlier-doc-' || b AS id, list(c ORDER BY c) AS later_ids FROM k GROUP BY b")
-def grf02_earlier_documents_all(t: Tables) -> DataFrame:
+def grf02_earlier_documents(t: Tables) -> DataFrame:
     made, contracts = _chain_parts(t, t.orders)
     return lineage.earlier_documents(lineage.chain_links(made, contracts), contracts).select("id", "later_ids")
 
@@ -383,27 +384,99 @@ def src21_page_counts(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_orderdate, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') AS k FROM orders WHERE o_orderkey < 100
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '-12-31' ELSE '9999-12-31' END AS k FROM orders
 """)
 def srt06_expiry_key(t: Tables) -> DataFrame:
-    return _keyed(t.orders.where("o_orderkey < 100"))
-
-
-def _keyed(orders: DataFrame) -> DataFrame:
-    return orders.select("o_orderkey", "o_orderdate", r.expiry_key(F.to_date("o_orderdate").cast("string"), F.lit(2020)).alias("k"))
-
+    """Exact dates, years alone, and neither."""
+    end = F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate").cast("string"))
+    return t.orders.select("o_orderkey", r.expiry_key(end, F.when(F.col("o_orderkey") % 2 == 0, F.year("o_orderdate"))).alias("k"))
 
-@query("SELECT o_orderkey, o_orderdate, coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '') AS k FROM orders")
-def srt06_expiry_key_all(t: Tables) -> DataFrame:
-    return _keyed(t.orders)
 
-
-@query("SELECT event_id, value > 30 AND value < 70 AS open_band, value >= 20 AND value < 40 AS half_open FROM events")
+@query("""
+SELECT o_orderkey, list_filter([CAST(floor(o_totalprice / 10) AS INTEGER), 500, 25000, 25001], lambda x: x >= 500 AND x <= 25000)[1:3] AS sums FROM orders
+""")
 def flt12_bands(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.select("event_id", ((v > 30) & (v < 70)).alias("open_band"), ((v >= 20) & (v < 40)).alias("half_open"))
+    """Lump sums from 500 to 25,000, ends included."""
+    said = F.concat(F.lit("a $"), F.format_number(F.floor(F.col("o_totalprice") / 10), 0), F.lit(" bonus, $500 cash, $25,000 lump sum and $25,001 payment"))
+    return t.orders.select("o_orderkey", text.lump_sums(said).alias("sums"))
 
 
 @query("SELECT doc_id FROM documents WHERE lang <> 'de'")
 def flt03_era(t: Tables) -> DataFrame:
     return t.documents.withColumn("era", F.when(F.col("lang") == "de", "earlier")).where(reports.is_current()).select("doc_id")
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'heavy OCR errors' WHEN '2-HIGH' THEN 'some OCR errors' END AS badge FROM orders")
+def cas10_badge(t: Tables) -> DataFrame:
+    p = F.col("o_orderpriority")
+    rated = t.orders.select("o_orderkey", F.when(p == "1-URGENT", "poor").when(p == "2-HIGH", "fair").when(p == "3-MEDIUM", "good").alias("ocr_quality"))
+    return rated.select("o_orderkey", reports.ocr_badge().alias("badge"))
+
+
+def _amendments(t: Tables) -> DataFrame:
+    d = t.documents.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("label"), F.when(F.col("lang") == "de", "earlier").alias("era"), (F.col("lang") == "en").alias("amends_predecessor"), F.when(F.col("source") == "src1", "x").alias("predecessor"),
+        F.when(F.col("doc_id") % 4 == 0, "y").alias("companion"), F.array((F.col("doc_id") + 1).cast("string")).alias("lineage"),
+    )
+    return lineage.amendment_groups(d)
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, lang = 'en' AND doc_id % 4 <> 0 AS open, doc_id + 1 IN (SELECT doc_id FROM documents WHERE lang = 'de') AS chain, source = 'src1' AS linked FROM documents)
+SELECT count(*) FILTER (open AND NOT chain AND NOT linked) AS n_lacking, count(*) FILTER (open AND NOT chain AND linked) AS n_linked, count(*) FILTER (open AND chain) AS n_chain,
+       count(*) FILTER (open AND NOT chain) AS n_outside, (SELECT count(*) FROM nation) AS n_unpublished FROM d
+""")
+def qry13_missing(t: Tables) -> DataFrame:
+    return reports.missing_panel(_amendments(t), t.nation)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS label FROM documents WHERE lang = 'en' AND doc_id % 4 <> 0 AND source <> 'src1' AND doc_id + 1 NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+def qry13_lacking(t: Tables) -> DataFrame:
+    return reports.lacking_base(_amendments(t)).select("id", "label")
+
+
+@query("""
+WITH n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 99 ELSE n_regionkey END AS last FROM nation)
+SELECT n.id, coalesce(e.n_nationkey % 2 <> 0, true) AS incomplete FROM n LEFT JOIN nation e ON e.n_nationkey = n.last
+""")
+def grf04_incomplete(t: Tables) -> DataFrame:
+    """The last document of a chain says whether the chain is complete; one that is not there does not."""
+    k = F.col("n_nationkey")
+    rows = t.nation.select(k.alias("id"), F.array(k, F.when(k % 5 == 0, F.lit(99)).otherwise(F.col("n_regionkey"))).alias("lineage"))
+    return lineage.ends_incomplete(rows, t.nation.select(k.alias("id"), (k % 2 == 0).alias("complete"))).select("id", "incomplete")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'First day of the term' WHEN o_orderkey % 3 = 1 THEN 'First day of month ' || (o_orderkey % 60 + 2) ELSE
+  ['Jan.', 'Feb.', 'March', 'April', 'May', 'June', 'July', 'Aug.', 'Sept.', 'Oct.', 'Nov.', 'Dec.'][month(o_orderdate)] || ' ' || day(o_orderdate) || ', ' || year(o_orderdate) END AS d FROM orders
+""")
+def scl07_facts_date(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    e = F.when(k % 3 == 0, "month-1").when(k % 3 == 1, F.concat(F.lit("month-"), (k % 60 + 2).cast("string"))).otherwise(F.to_date("o_orderdate").cast("string"))
+    return t.orders.select("o_orderkey", text.facts_date(e).alias("d"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders")
+def scl04_year(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", text.year_of(F.to_date("o_orderdate").cast("string")).alias("y"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE source = 'src2'")
+def flt02_contract(t: Tables) -> DataFrame:
+    c = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("contract_id"))
+    return search.select(c.withColumn("earlier", F.lit(False)), QuerySpec(contract="src2")).select("id")
+
+
+@query("SELECT c_custkey AS contract_id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def flt04_sector(t: Tables) -> DataFrame:
+    c = t.customer.select(F.col("c_custkey").alias("contract_id"), F.col("c_mktsegment").alias("sector"))
+    return reports.find_units(c, "", {}, ["sector"], "BUILDING").select("contract_id")
+
+
+@query("""
+SELECT s_suppkey AS contract_id FROM supplier WHERE s_nationkey = 3 AND (strpos(lower(s_name), '#0000000') > 0 OR s_suppkey IN (17, 23))
+""")
+def qry09_units(t: Tables) -> DataFrame:
+    """Units of a sector that hold a text or that a synonym names."""
+    u = t.supplier.select(F.col("s_suppkey").alias("contract_id"), F.col("s_nationkey").cast("string").alias("sector"), "s_name")
+    return reports.find_units(u, "#0000000", {"#0000000": [17, 23]}, ["s_name"], "3").select("contract_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.query import QuerySpec, compile_query
-from ..operators import quality, search, segment
+from ..operators import quality, relations, search, segment
 from ..sources import readers, sinks
 from .registry import Tables, query
 
@@ -53,10 +53,10 @@ def qry01_browse(t: Tables) -> DataFrame:
     return search.results(clauses(t), QuerySpec("")).select("contract_id", F.col("clause_no").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)mit[\\s]+license') AND lang = 'en'")
+@query("SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)mit[\\s]+license')")
 def flt05_phrase(t: Tables) -> DataFrame:
     q = compile_query('"MIT License"')
-    return t.documents.where((F.col("lang") == "en") & search.matches(q, F.col("text"))).select("doc_id", "source")
+    return t.documents.where(search.matches(q, F.col("text"))).select("doc_id", "source")
 
 
 @query("""
@@ -120,7 +120,8 @@ def qry17_clause_counts(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS contract_id FROM documents WHERE doc_id = 17")
 def qry12_permalink(t: Tables) -> DataFrame:
-    return clauses(t).where("id = '17'").select("id", "contract_id")
+    # the number is what the table holds, so the filter reaches the scan
+    return clauses(t).where(F.col("clause_no") == int("17")).select("id", "contract_id")
 
 
 @query()
@@ -210,14 +211,21 @@ def src11_page_gate(t: Tables) -> DataFrame:
 _RULES = [("The", "Thee", []), ("Thee", "THE", ["en"]), ("und", "vnd", ["de"])]
 
 
-@query("""
-WITH a AS (SELECT doc_id, lang, ' ' || array_to_string(regexp_split_to_array(text, '[^A-Za-z0-9_À-ÿ]+'), '  ') || ' ' AS t FROM documents WHERE lang IN ('en', 'de')),
-n AS (SELECT doc_id, lang, len(regexp_extract_all(t, ' The ')) AS the, len(regexp_extract_all(t, ' Thee ')) AS thee, len(regexp_extract_all(t, ' und ')) AS und FROM a)
-SELECT doc_id, CAST(the + (CASE WHEN lang = 'en' THEN the + thee ELSE 0 END) + (CASE WHEN lang = 'de' THEN und ELSE 0 END) AS INTEGER) AS n_corrections FROM n
+def _whole(text: str, word: str, put: str) -> str:
+    """SQL that replaces whole words; a second pass finds those that share a separator with one before."""
+    p = f"'(^|[^A-Za-z0-9_À-ÿ]){word}($|[^A-Za-z0-9_À-ÿ])', '\\1{put}\\2', 'g'"
+    return f"regexp_replace(regexp_replace({text}, {p}), {p})"
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, lang, text, ' ' || array_to_string(regexp_split_to_array(text, '[^A-Za-z0-9_À-ÿ]+'), '  ') || ' ' AS t FROM documents),
+n AS (SELECT doc_id, lang, len(regexp_extract_all(t, ' The ')) AS the, len(regexp_extract_all(t, ' Thee ')) AS thee, len(regexp_extract_all(t, ' und ')) AS und, {_whole('text', 'The', 'Thee')} AS x FROM a),
+m AS (SELECT *, CASE WHEN lang = 'en' THEN {_whole('x', 'Thee', 'THE')} WHEN lang = 'de' THEN {_whole('x', 'und', 'vnd')} ELSE x END AS y FROM n)
+SELECT doc_id, CAST(the + (CASE WHEN lang = 'en' THEN the + thee ELSE 0 END) + (CASE WHEN lang = 'de' THEN und ELSE 0 END) AS INTEGER) AS n_corrections, md5(y) AS corrected FROM m
 """)
 def scl24_corrections(t: Tables) -> DataFrame:
-    docs = t.documents.where("lang IN ('en', 'de')").select("doc_id", F.col("lang").alias("contract_id"), "text")
-    return rules.correct(docs, _RULES).select("doc_id", "n_corrections")
+    docs = t.documents.select("doc_id", F.col("lang").alias("contract_id"), "text")
+    return rules.correct(docs, _RULES).select("doc_id", "n_corrections", F.md5("text").alias("corrected"))
 
 
 @query()
@@ -409,10 +417,25 @@ def snk16_citation(t: Tables) -> DataFrame:
 SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0
 """)
 def flt_benchmark_contained(t: Tables) -> DataFrame:
-    """Documents that hold a benchmark item whole: items and documents meet on the item's first five words."""
-    key = lambda c: F.array_join(F.slice(F.array_remove(F.split(c, r"\s+"), ""), 1, 5), " ")
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), key(F.col("text")).alias("k"))
-    words = t.documents.select("doc_id", F.array_remove(F.split("text", r"\s+"), "").alias("w"))
-    runs = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")))).alias("k"))
-    met = runs.join(items, "k").select("doc_id", "item_id", "item").distinct()
-    return met.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    """Documents that hold a benchmark item whole."""
+    return search.containing(t.documents, t.benchmark, "doc_id", "item_id")
+
+
+@query("""
+WITH m AS (SELECT doc_id, source, text, lang, len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9])then')) AS n, len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9])thor')) AS k FROM documents),
+s AS (SELECT doc_id, lang, (CASE WHEN lang = 'de' THEN 0.6 ELSE 1.0 END) * (least(n, 12) / (1 + length(text) / 12000.0) + least(k, 12) / (1 + length(text) / 12000.0)) AS score FROM m WHERE n > 0 AND k > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS place FROM s
+""")
+def srt01_relevance(t: Tables) -> DataFrame:
+    """All hits in order of their score, ties in corpus order."""
+    found = search.hits(clauses(t), compile_query("then thor"))
+    return relations.placed(found, "heading", search.relevance_order()).select(F.col("clause_no").alias("doc_id"), "place")
+
+
+@query("""
+SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ ]'))) AS BIGINT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
+""")
+def flt07_scanned_lines(t: Tables) -> DataFrame:
+    """Lines of recognised clauses only."""
+    d = clauses(t).where(F.coalesce("ocr", F.lit(False))).select(F.col("clause_no").alias("doc_id"), "text")
+    return d.select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ ]"))).cast("long").alias("n"))

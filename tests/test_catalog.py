@@ -15,21 +15,16 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
+    assert catalog.QUERIES[name](spark, FOLDER).count() >= (0 if name == "qry20_missing_spaces" else 1)
 
 
 @pytest.mark.parametrize(
     "name, table, key",
-    [("jon06_gather", "orders", "o_custkey"), ("srt06_expiry_key", "orders", "o_orderkey"), ("agg07_compounded", "lineitem", "l_orderkey"), ("agg07_product", "lineitem", "l_orderkey"), ("scl34_numbers", "orders", "o_orderkey"), ("jon10_add_new", "customer", "c_custkey"), ("grf01_chain_links", None, None), ("grf02_earlier_documents", None, None)],
+    [("jon06_gather", "orders", "o_custkey"), ("srt06_expiry_key", "orders", "o_orderkey"), ("agg07_compounded", "lineitem", "l_orderkey"), ("agg07_product", "lineitem", "l_orderkey"), ("scl34_numbers", "orders", "o_orderkey"), ("jon10_add_new", "customer", "c_custkey"), ("srt02_headcount", "supplier", "s_suppkey"), ("srt04_term", "part", "p_partkey")],
 )
 def test_whole_tables(spark, name, table, key):
-    """Queries that are cut to few ids have a twin over all rows."""
-    got = catalog.QUERIES[f"{name}_all"](spark, FOLDER)
-    assert f"{name}_all" in catalog.ORACLES
-    if table:
-        assert got.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).distinct().count()
-    else:
-        assert got.count() >= catalog.QUERIES[name](spark, FOLDER).count() > 0
+    got = catalog.QUERIES[name](spark, FOLDER)
+    assert got.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).distinct().count()
 
 
 def test_entry_and_guard(spark):

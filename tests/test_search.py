@@ -109,3 +109,13 @@ def test_highlight_and_snippet(spark):
     assert r["h"] == "a &lt;b&gt; <mark>pay</mark> &amp; <mark>pay</mark>"
     assert r["s"].startswith("&hellip;") and r["s"].endswith("<mark>pay</mark> end") and "x" not in r["s"]
     assert r["t"] == r["h"]
+
+
+def test_items_that_documents_hold(spark):
+    """Whole words or parts of them at an item's ends, short items, repeated rows and nulls."""
+    docs = [(1, "xalpha beta gamma delta epsilon zeta etay"), (2, "alpha  beta gamma delta epsilon zeta eta"), (3, "one two"), (4, "sometwothree"), (5, None), (6, ""), (7, "a b c d e f g a b c d e f g")]
+    items = [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "two"), (3, "one two"), (4, "beta gamma delta"), (5, "wothr"), (6, None), (7, ""), (8, "c d e f g a b c"), (9, "nowhere to be found at all in any")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((a, b) for a, x in docs for b, y in items if x and y and y in x)
+    assert sorted(map(tuple, search.containing(d, i, "doc_id", "item_id").collect())) == want
+    assert search.containing(d, i.where("item_id < 0"), "doc_id", "item_id").collect() == []
