@@ -30,6 +30,9 @@ _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 # that start with white space look only to the right.  So a text may be cut there.
 _BOUNDARY = re.compile(f"(?<=[^{_SPACES}])(?=[{_SPACES}])")
 _RUN = re.compile(f"[{_SPACES}]{{{RUN_CHARS},}}")
+# a run of that length covers four of the characters taken in steps of a quarter of it
+_STEP = RUN_CHARS // 4
+_SAMPLED = re.compile(f"[{_SPACES}]{{4}}")
 
 
 @lru_cache(maxsize=4)
@@ -75,7 +78,7 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
     The pattern takes a run that something follows up to its last character as one match, and
     a run at the end whole; the library's search overflows its stack on long ones."""
     at = 0
-    for m in _RUN.finditer(text):
+    for m in _RUN.finditer(text) if _SAMPLED.search(text[::_STEP]) else ():
         end = m.end() if m.end() == len(text) else m.end() - 1
         if m.start() > at:
             yield text[at : m.start()], False
