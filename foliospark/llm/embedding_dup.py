@@ -260,9 +260,13 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows that share their first columns; their last one, a vector, as a view of the batch."""
     now, rows = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        vectors = b.column(b.num_columns - 1)
+        flat, cuts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *vectors.value_lengths().to_pylist()]).tolist()
+        views = [flat[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for row in zip(*(c.to_pylist() for c in b.columns[:-1]), views, strict=True):
             if row[:keys] != now:
                 if rows:
                     yield rows
