@@ -41,7 +41,7 @@ def lean(run):
     return wrapped
 
 
-def slices(column: pa.Array, most: int = 5_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Texts of a column, some megabytes at a time, each with the row it starts at."""
     sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
     first = 0

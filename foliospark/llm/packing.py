@@ -29,7 +29,7 @@ END_ID = 1
 BUCKETS, DIMS, BITS = 256, 3, 16
 SEED = 7
 #: Words whose ids a worker remembers; it forgets those not met lately beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 # parts words from each other when many are encoded at once
 _FENCE = "☃"
@@ -216,7 +216,7 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 5_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Both columns of some batches at a time: distinct words are fewer in more text."""
     held: list[pa.RecordBatch] = []
     size = 0
