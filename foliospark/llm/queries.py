@@ -138,6 +138,82 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM d LEFT JOIN f USING (payload_digest)
 """
 
+
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every vendor's daily quantities, by their least penalised cost."""
+    from . import change_points
+
+    return change_points.change_points(_read(spark, sf_dir, "sale_lines"), "vendor_id", "shipped_at", "quantity")
+
+
+OP11_SQL = """
+WITH RECURSIVE
+d AS (SELECT vendor_id, date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, CAST(sum(quantity) AS HUGEINT) AS n
+      FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+v AS (SELECT vendor_id, min(day) AS lo, max(day) - min(day) + 1 AS size FROM d GROUP BY vendor_id),
+x AS (SELECT v.vendor_id, lo, size, i, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(size)) AS i FROM v) v
+      LEFT JOIN d ON d.vendor_id IS NOT DISTINCT FROM v.vendor_id AND d.day = lo + i),
+p AS (SELECT vendor_id, lo, size, list_prepend(0::HUGEINT, list(s ORDER BY i)) AS s, list_prepend(0::HUGEINT, list(q ORDER BY i)) AS q
+      FROM (SELECT *, sum(n) OVER w AS s, sum(n * n) OVER w AS q FROM x WINDOW w AS (PARTITION BY vendor_id ORDER BY i)) GROUP BY ALL),
+-- f: least cost, fewest segments and start of the last one for each length of prefix so far
+f AS (SELECT vendor_id, lo, size, s, q, 13 AS t, [-40000::BIGINT] || [NULL::BIGINT FOR k IN range(13)] AS best,
+             [0::BIGINT] || [NULL::BIGINT FOR k IN range(13)] AS pieces, [NULL::BIGINT FOR k IN range(14)] AS back FROM p
+      UNION ALL
+      SELECT vendor_id, lo, size, s, q, t + 1, list_append(best, m // 100000000), list_append(pieces, m // 10000 % 10000 + 1), list_append(back, m % 10000)
+      FROM (SELECT *, list_min([(best[a + 1] + 40000 + (t + 1 - a) * CAST(floor(1000 * ln(CAST(1 + ((t + 1 - a) * (q[t + 2] - q[a + 1]) - (s[t + 2] - s[a + 1]) * (s[t + 2] - s[a + 1])) // ((t + 1 - a) * (t + 1 - a)) AS DOUBLE))) AS BIGINT)) * 100000000 + pieces[a + 1] * 10000 + a
+                                FOR a IN range(t - 12) IF a = 0 OR a >= 14]) AS m FROM f WHERE t < size)),
+e AS (SELECT vendor_id, lo, size, s, q, CASE WHEN size < 14 THEN [] ELSE back END AS back FROM f WHERE t = greatest(size, 13)),
+g AS (SELECT *, size AS b, CASE WHEN size < 14 THEN 0 ELSE back[size + 1] END AS a FROM e
+      UNION ALL
+      SELECT * EXCLUDE (a, b), a AS b, back[a + 1] AS a FROM g WHERE a > 0),
+c AS (SELECT vendor_id, lo + a AS first_day, b - a AS n_days, s[b + 1] - s[a + 1] AS total,
+             1 + ((b - a) * (q[b + 1] - q[a + 1]) - (s[b + 1] - s[a + 1]) * (s[b + 1] - s[a + 1])) // ((b - a) * (b - a)) AS spread FROM g),
+h AS (SELECT *, n_days * CAST(floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost FROM c)
+SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY first_day) AS INTEGER) AS segment_no, CAST(first_day AS BIGINT) AS first_day,
+       CAST(n_days AS BIGINT) AS n_days, CAST(total AS BIGINT) AS total, CAST(spread AS BIGINT) AS spread, CAST(cost AS BIGINT) AS cost,
+       count(*) OVER (PARTITION BY vendor_id) AS n_segments,
+       CAST(sum(cost + 40000) OVER (PARTITION BY vendor_id) - 40000 AS BIGINT) AS best_cost FROM h
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and its most telling terms."""
+    from . import divergence
+
+    return divergence.audit(_read(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+o AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 2)) // (coalesce(sum(o.n) OVER (PARTITION BY g.lang, g.source), 0) + 2 * v) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM o GROUP BY ALL) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM every UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by its words, learned from the documents not held out."""
+    from . import language_id
+
+    return language_id.identify(_read(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_suffix_tree": op2_suffix_tree,
@@ -149,6 +225,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_embedding_dup": op9_embedding_dup,
     "op10_warc": op10_warc,
+    "op11_change_points": op11_change_points,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLES = {"op8_quality_rules": OP8_SQL, "op9_embedding_dup": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op8_quality_rules": OP8_SQL, "op9_embedding_dup": OP9_SQL, "op10_warc": OP10_SQL, "op11_change_points": OP11_SQL, "op12_source_divergence": OP12_SQL}
