@@ -170,10 +170,5 @@ def by_term(rows: DataFrame, year: str, label: str = "label") -> DataFrame:
     return rows.orderBy(*term_order(year, label))
 
 
-def placed(rows: DataFrame, group: str, order: list[Column], name: str = "place") -> DataFrame:
-    """Rows with their place in an order within their group."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
-
-
 def expiry_key(end_date: Column, term_end: Column) -> Column:
     return F.coalesce(end_date, F.concat(F.coalesce(F.nullif(term_end, F.lit(0)), F.lit(9999)).cast("string"), F.lit("-12-31")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.query import quote
 from ..functions.text import ap_date, compounded, facts_date, term_text
+from . import ranks
 from .relations import expiry_key
 
 
@@ -34,13 +35,11 @@ def manifest(contracts: DataFrame, clauses: DataFrame, pages: DataFrame) -> Data
 
 
 def type_summary(contracts: DataFrame, group: str = "doc_type", value: str = "chars") -> DataFrame:
-    """Documents of each type and the upper median of their length.
+    """Documents of each type and the upper median of their length, nothing counting as zero.
 
-    The upper median is the discrete percentile just past one half; it is exact and counts
-    values map-side, so no task gathers a type's documents."""
+    Exact by counting passes, see ``ranks.at_place``; no task gathers a type's documents or values."""
     kind = dict(contracts.dtypes)[value]
-    upper = F.expr("percentile_disc(0.5000000000001D) WITHIN GROUP (ORDER BY __v)").cast(kind)
-    return contracts.withColumn("__v", F.coalesce(F.col(value), F.lit(0)).cast(kind)).groupBy(group).agg(F.count(F.lit(1)).alias("n"), upper.alias("median"))
+    return ranks.at_place(contracts.withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast(kind)), group, value)
 
 
 def coverage_matrix(pairs: DataFrame, totals: DataFrame, row: str, col: str, key: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.query import QuerySpec
-from ..operators import lineage, quality, relations as r, reports, search
+from ..operators import lineage, quality, ranks, relations as r, reports, search
 from ..sources import readers
 from .registry import Tables, query
 
@@ -211,14 +211,14 @@ SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(
 """)
 def srt02_headcount(t: Tables) -> DataFrame:
     s = t.supplier.select("s_suppkey", "s_nationkey", F.col("s_name").alias("label"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("headcount"))
-    return r.placed(s, "s_nationkey", r.headcount_order()).select("s_suppkey", "place")
+    return ranks.places(s, r.headcount_order(), "s_nationkey").select("s_suppkey", "place")
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_name || p_partkey) AS place FROM part")
 def srt03_labels(t: Tables) -> DataFrame:
     """Without counts, labels alone decide."""
     p = t.part.select("p_partkey", "p_size", F.concat("p_name", F.col("p_partkey").cast("string")).alias("label"), F.lit(None).cast("int").alias("headcount"))
-    return r.placed(p, "p_size", r.headcount_order()).select("p_partkey", "place")
+    return ranks.places(p, r.headcount_order(), "p_size").select("p_partkey", "place")
 
 
 @query("""
@@ -226,7 +226,7 @@ SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(null
 """)
 def srt04_term(t: Tables) -> DataFrame:
     p = t.part.select("p_partkey", "p_brand", F.concat("p_name", F.col("p_partkey").cast("string")).alias("label"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).otherwise(F.col("p_size") % 2).alias("term_end"))
-    return r.placed(p, "p_brand", r.term_order("term_end")).select("p_partkey", "place")
+    return ranks.places(p, r.term_order("term_end"), "p_brand").select("p_partkey", "place")
 
 
 @query("""
@@ -234,7 +234,7 @@ SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN
 """)
 def srt05_cumulative(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("cumulative_pct"))
-    return r.placed(o, "o_custkey", r.largest_order("cumulative_pct", "o_orderkey")).select("o_orderkey", "place")
+    return ranks.places(o, r.largest_order("cumulative_pct", "o_orderkey"), "o_custkey").select("o_orderkey", "place")
 
 
 @query("""
@@ -243,7 +243,7 @@ SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN
 def srt07_clause_order(t: Tables) -> DataFrame:
     """Ids are text: ``x__10`` comes before ``x__2`` on the same page."""
     c = t.conversations.select("conv_id", "turn", F.col("conv_id").alias("contract_id"), F.when(F.col("turn") % 3 != 0, F.col("turn")).alias("page"), F.concat(F.col("conv_id").cast("string"), F.lit("__"), F.col("turn").cast("string")).alias("id"))
-    return r.placed(c, "contract_id", r.clause_order()).select("conv_id", "turn", "place")
+    return ranks.places(c, r.clause_order(), "contract_id").select("conv_id", "turn", "place")
 
 
 @query("""
@@ -255,10 +255,24 @@ def srt08_suspects(t: Tables) -> DataFrame:
     return quality.by_frequency(e, "distance", "token", "event_id").select("event_id", "frequency", "place")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_totalprice END DESC, o_orderkey) AS place FROM orders")
+def srt05_overall(t: Tables) -> DataFrame:
+    """The place of every order among all."""
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("cumulative_pct"))
+    return ranks.places(o, r.largest_order("cumulative_pct", "o_orderkey")).select("o_orderkey", "place")
+
+
+@query("SELECT sale_id, line_no, n, row_number() OVER (PARTITION BY vendor_id ORDER BY coalesce(amount, 0) DESC, sale_id NULLS FIRST, line_no, n) AS place FROM (SELECT vendor_id, sale_id, line_no, amount, count(*) AS n FROM sale_lines GROUP BY ALL)")
+def srt05_vendor_lines(t: Tables) -> DataFrame:
+    """The place of each different line among its vendor's, one of whom may have a third of all."""
+    s = t.sale_lines.groupBy("vendor_id", "sale_id", "line_no", "amount").agg(F.count(F.lit(1)).alias("n"))
+    return ranks.places(s, r.largest_order("amount", "sale_id", "line_no", "n"), "vendor_id").select("sale_id", "line_no", "n", "place")
+
+
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY coalesce(CASE WHEN doc_id % 9 <> 0 THEN length(text) END, 0) DESC, doc_id) AS place FROM documents")
 def srt11_chars(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "lang", F.when(F.col("doc_id") % 9 != 0, F.length("text")).alias("chars"))
-    return r.placed(d, "lang", r.largest_order("chars", "doc_id")).select("doc_id", "place")
+    return ranks.places(d, r.largest_order("chars", "doc_id"), "lang").select("doc_id", "place")
 
 
 @query("""

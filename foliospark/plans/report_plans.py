@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import reports
+from ..operators import ranks, reports
 from .registry import Tables, query
 
 AS_OF = date(1999, 6, 30)
@@ -72,6 +72,12 @@ def agg09_upper_median(t: Tables) -> DataFrame:
     return reports.type_summary(t.orders.select(F.col("o_orderpriority").alias("doc_type"), F.col("o_totalprice").alias("chars")))
 
 
+@query("SELECT vendor_id, n, sorted[greatest(CAST(ceil(n * 0.9::DOUBLE) AS BIGINT), 1)] AS amount FROM (SELECT vendor_id, count(amount) AS n, list_sort(list(amount) FILTER (amount IS NOT NULL)) AS sorted FROM sale_lines GROUP BY vendor_id) WHERE n > 0")
+def agg09_vendor_amounts(t: Tables) -> DataFrame:
+    """The amount that nine lines in ten of a vendor do not exceed."""
+    return ranks.at_place(t.sale_lines, "vendor_id", "amount", ranks.percentile_place(0.9), "amount")
+
+
 @query("""
 WITH p AS (SELECT DISTINCT source, lang, length(text) % 5 AS topic FROM documents), s AS (SELECT lang, count(DISTINCT source) AS n FROM documents GROUP BY lang),
 c AS (SELECT topic, lang, count(*) AS k FROM p GROUP BY topic, lang)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.query import QuerySpec, compile_query
-from ..operators import quality, relations, search, segment
+from ..operators import quality, ranks, relations, search, segment
 from ..sources import readers, sinks
 from .registry import Tables, query
 
@@ -429,7 +429,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)
 def srt01_relevance(t: Tables) -> DataFrame:
     """All hits in order of their score, ties in corpus order."""
     found = search.hits(clauses(t), compile_query("then thor"))
-    return relations.placed(found, "heading", search.relevance_order()).select(F.col("clause_no").alias("doc_id"), "place")
+    return ranks.places(found, search.relevance_order(), "heading").select(F.col("clause_no").alias("doc_id"), "place")
 
 
 @query("""
