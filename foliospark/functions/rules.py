@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
+import regex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import fixed
 from .query import quote
 
@@ -49,22 +55,108 @@ def _whole_word(original: str) -> str:
     return r"(?U)\b" + quote(original) + r"\b"
 
 
+def _replacement(text: str) -> str:
+    return re.sub(r"([\\$])", r"\\\1", text)
+
+
+def _fold(text: Column, n: Column, rules: Column) -> Column:
+    """``struct(t, n)``: a text after rules ``array<struct<p, r>>`` one after another, and their replacements."""
+    start = F.struct(F.coalesce(text, F.lit("")).alias("t"), n.alias("n"))
+    return F.aggregate(rules, start, lambda a, x: F.struct(F.regexp_replace(a["t"], x["p"], x["r"]).alias("t"), (a["n"] + F.regexp_count(a["t"], x["p"])).alias("n")))
+
+
 def correct(docs: DataFrame, rules: list[tuple[str, str, list[str]]], order: str = "list", id_col: str = "contract_id", text_col: str = "text", step: int = 40) -> DataFrame:
     """Whole-word corrections one after another; ``n_corrections`` counts replacements.
 
     A rule is (original, replacement, ids); without ids it holds for all documents.  Each
-    rule sees what the rules before it made.  The fold is one struct a rule, which keeps the
-    count beside the text; every ``step`` rules form one projection, so plans stay shallow.
+    rule sees what the rules before it made.  A null text is empty.  Up to ``step`` rules are
+    folded over every text; of more rules only those that a text can meet, see ``correct_indexed``.
+    """
+    if len(rules) > step:
+        return correct_indexed(docs, rules, order, id_col, text_col)
+    table = F.array(*[F.struct(F.lit(_whole_word(o)).alias("p"), F.lit(_replacement(r)).alias("r"), (F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")).alias("ids")) for o, r, ids in order_rules(rules, order)])
+    mine = F.filter(table, lambda x: (F.size(x["ids"]) == 0) | F.array_contains(x["ids"], F.col(id_col).cast("string")))
+    out = docs.withColumn("__fold", _fold(F.col(text_col), F.lit(0), mine)) if rules else docs.withColumn("__fold", F.struct(F.coalesce(text_col, F.lit("")).alias("t"), F.lit(0).alias("n")))
+    return out.withColumn(text_col, F.col("__fold.t")).withColumn("n_corrections", F.col("__fold.n")).drop("__fold")
+
+
+#: Characters that the word boundary of ``_whole_word`` takes for word characters, in the JVM's spelling.
+_WORDS = r"(?U)(\w+)"
+_WORD_PY = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+")
+
+#: Rules that one pass sends to the tasks; more rules take several passes, one after another.
+RULES_AT_ONCE = 100_000
+
+
+class RuleIndex:
+    """Which of many ordered corrections a text can meet, by the words it has.
+
+    The first run of word characters of an original stands as a whole word wherever the original
+    is found, so a rule is a candidate if the text has that word, or if a replacement of a candidate
+    before it brings it in.  Rules without a word character are candidates everywhere.  A rule whose original starts or
+    ends in another character may join what it leaves to its neighbours, which makes words that nothing
+    announces; behind such a candidate every rule is one.
+    """
+
+    def __init__(self, rules: list[tuple[str, str, list[str]]]):
+        self.scopes = [frozenset(ids) for _, _, ids in rules]
+        self.by_word: dict[str, list[int]] = {}
+        self.everywhere: list[int] = []
+        self.brings: list[list[str]] = []
+        self.edgy: list[bool] = []
+        for k, (original, replacement, _) in enumerate(rules):
+            words = _WORD_PY.findall(original)
+            self.by_word.setdefault(words[0], []).append(k) if words else self.everywhere.append(k)
+            self.brings.append(_WORD_PY.findall(replacement))
+            self.edgy.append(not words or not original.startswith(words[0]) or not original.endswith(words[-1]))
+
+    def candidates(self, words: Iterable[str], scope: str | None) -> list[int]:
+        """Positions of the rules that can apply to a text of these words, in order."""
+        mine = lambda k: not self.scopes[k] or scope in self.scopes[k]
+        waiting = [k for w in words for k in self.by_word.get(w, ()) if mine(k)] + [k for k in self.everywhere if mine(k)]
+        heapify(waiting)
+        out: list[int] = []
+        while waiting:
+            k = heappop(waiting)
+            if out and out[-1] == k:
+                continue
+            out.append(k)
+            if self.edgy[k]:
+                return out + [j for j in range(k + 1, len(self.edgy)) if mine(j)]
+            for w in self.brings[k]:
+                for j in self.by_word.get(w, ()):
+                    if j > k and mine(j):
+                        heappush(waiting, j)
+        return out
+
+
+def _looked_up(index: RuleIndex, table: list[tuple[str, str]]):
+    """A function of a text's words and scope that gives its candidates as (pattern, replacement)."""
+
+    @F.pandas_udf("array<struct<p:string,r:string>>")
+    def candidates(words: pd.Series, scopes: pd.Series) -> pd.Series:
+        return pd.Series([[{"p": table[k][0], "r": table[k][1]} for k in index.candidates(w, s)] for w, s in zip(words, scopes, strict=True)], dtype=object)
+
+    return candidates
+
+
+def correct_indexed(docs: DataFrame, rules: list[tuple[str, str, list[str]]], order: str = "list", id_col: str = "contract_id", text_col: str = "text", at_once: int = RULES_AT_ONCE) -> DataFrame:
+    """``correct`` for thousands of rules: the same texts and counts, but a text meets its candidates only.
+
+    A task looks the distinct words of a text up in an index of the rules, which gives the candidates in
+    order, and the JVM folds these.  Nothing is shuffled, and the work follows the words of the texts, not
+    texts times rules.  The rule list is what a driver holds; each pass sends ``at_once`` rules at most.
     """
-    out = docs.withColumn("n_corrections", F.lit(0))
+    ship(docs.sparkSession)
+    out = docs.withColumns({text_col: F.coalesce(text_col, F.lit("")), "n_corrections": F.lit(0)})
     ordered = order_rules(rules, order)
-    for at in range(0, len(ordered), step):
-        part = ordered[at : at + step]
-        table = F.array(*[F.struct(F.lit(_whole_word(o)).alias("p"), F.lit(re.sub(r"([\\$])", r"\\\1", r)).alias("r"), (F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")).alias("ids")) for o, r, ids in part])
-        mine = F.filter(table, lambda x: (F.size(x["ids"]) == 0) | F.array_contains(x["ids"], F.col(id_col)))
-        start = F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col("n_corrections").alias("n"))
-        fold = F.aggregate(mine, start, lambda a, x: F.struct(F.regexp_replace(a["t"], x["p"], x["r"]).alias("t"), (a["n"] + F.regexp_count(a["t"], x["p"])).alias("n")))
-        out = out.withColumn("__fold", fold).withColumn(text_col, F.col("__fold.t")).withColumn("n_corrections", F.col("__fold.n")).drop("__fold")
+    for at in range(0, len(ordered), at_once):
+        part = ordered[at : at + at_once]
+        candidates = _looked_up(RuleIndex(part), [(_whole_word(o), _replacement(r)) for o, r, _ in part])
+        words = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(_WORDS), F.lit(1)))
+        out = out.withColumn("__rules", candidates(words, F.col(id_col).cast("string")))
+        out = out.withColumn("__fold", _fold(F.col(text_col), F.col("n_corrections"), F.col("__rules")))
+        out = out.withColumn(text_col, F.col("__fold.t")).withColumn("n_corrections", F.col("__fold.n")).drop("__fold", "__rules")
     return out
 
 

@@ -228,6 +228,38 @@ def scl24_corrections(t: Tables) -> DataFrame:
     return rules.correct(docs, _RULES).select("doc_id", "n_corrections", F.md5("text").alias("corrected"))
 
 
+#: Rules of the query below: as many different words of ``benchmark`` as a curated list may have.
+CURATED = 5000
+
+
+def _curated(t: Tables) -> list[tuple[str, str, list[str]]]:
+    """Ordered corrections made from the words of ``benchmark``: each word becomes the next one in the
+    order of their bytes reversed, every third only in two sources, so that rules bring in words of later ones."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w")).distinct()
+    listed = [r["w"] for r in words.orderBy(F.reverse("w"), "w").limit(CURATED).collect()]
+    return [(w, listed[(k + 1) % len(listed)] if k % 2 else w.upper(), ["src1", "src2"] if k % 3 == 0 else []) for k, w in enumerate(listed)]
+
+
+@query(r"""
+WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark),
+l AS (SELECT w, row_number() OVER (ORDER BY reverse(w), w) - 1 AS k FROM w QUALIFY k < 5000),
+rule AS (SELECT k, w, CASE WHEN k % 2 = 1 THEN coalesce(lead(w) OVER (ORDER BY k), first(w) OVER (ORDER BY k)) ELSE upper(w) END AS r, k % 3 = 0 AS scoped FROM l),
+d AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+') AS parts FROM documents),
+t AS (SELECT doc_id, source IN ('src1', 'src2') AS mine, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM d),
+-- a word goes from rule to rule, always to the first behind the last one that changed it
+c AS (SELECT DISTINCT mine, part, part AS now, -1::BIGINT AS at, 0 AS n FROM t
+      UNION ALL
+      SELECT mine, part, r, k, n + 1 FROM (SELECT c.*, rule.k, rule.r, row_number() OVER (PARTITION BY c.mine, c.part ORDER BY rule.k) AS o FROM c JOIN rule ON rule.w = c.now AND rule.k > c.at AND (c.mine OR NOT rule.scoped)) WHERE o = 1),
+f AS (SELECT mine, part, arg_max(now, n) AS now, max(n) AS n FROM c GROUP BY ALL)
+SELECT doc_id, CAST(coalesce(sum(n), 0) AS INTEGER) AS n_corrections, md5(coalesce(string_agg(now, '' ORDER BY i), '')) AS corrected
+FROM (SELECT doc_id FROM documents) LEFT JOIN t USING (doc_id) LEFT JOIN f USING (mine, part) GROUP BY doc_id
+""")
+def jon11_scoped_rules(t: Tables) -> DataFrame:
+    """Thousands of ordered corrections over whole texts, each text meeting those its words call for."""
+    docs = t.documents.select("doc_id", F.col("source").alias("contract_id"), "text")
+    return rules.correct(docs, _curated(t)).select("doc_id", "n_corrections", F.md5("text").alias("corrected"))
+
+
 @query()
 def scl23_reflow(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.reflow("text").alias("text"))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import rules, text
@@ -93,3 +95,23 @@ def test_sectors_and_document_types(spark):
     assert got == {"a": ("consent-determination", False), "b": ("moa", True), "c": ("consent-determination", False), "d": ("unit-agreement", False), "e": ("full-agreement", False), "f": ("full-agreement", False), "g": ("moa", True), "h": ("full-agreement", False), "i": ("moa", False)}
     ev = rules.classify_documents(df).where("label = 'g'").first()["amends_evidence"]
     assert ev == "terms of the predecessor agreement are continued"
+
+
+def test_indexed_corrections_equal_the_plain_fold(spark):
+    """Rules that bring in words of later rules, that join words, scoped, without a word, and repeated."""
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "naïve", "x1", "a-b", "b", "-b", "c.", "é", "f_g", "two words", "beta gamma", "...", "a", "'s"]
+    made = [(rng.choice(words), rng.choice([*words, "", "$1 \\", "-", "q"]), rng.choice([[], [], ["x"], ["y", "z"]])) for _ in range(60)]
+    texts = [" ".join(rng.choice([*words, "plain", "betamax", "a-b-c", "\n"]) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None, "alpha " * 300]
+    docs = spark.createDataFrame([(i, rng.choice(["x", "y", "w", None]), t) for i, t in enumerate(texts)], "doc_id int, contract_id string, text string")
+    for order in ("list", "global_first"):
+        plain = rules.correct(docs, made, order=order, step=1000).orderBy("doc_id").collect()
+        assert plain == rules.correct_indexed(docs, made, order=order).orderBy("doc_id").collect()
+        assert plain == rules.correct_indexed(docs, made, order=order, at_once=7).orderBy("doc_id").collect()
+    assert sum(r["n_corrections"] for r in plain) > 300
+
+
+def test_texts_meet_only_their_rules():
+    index = rules.RuleIndex([("b", "c", []), ("a", "b", []), ("b", "d e", []), ("z", "y", []), ("e", "f", ["x"]), ("...", "!", []), ("q", "r", [])])
+    assert index.candidates(["a"], "x") == [1, 2, 4, 5, 6]
+    assert rules.RuleIndex([("b", "c", []), ("a", "b", []), ("b", "d e", []), ("z", "y", []), ("e", "f", ["x"])]).candidates(["a"], "w") == [1, 2]
