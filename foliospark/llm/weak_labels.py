@@ -153,6 +153,10 @@ def read(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, n_words long, votes string, at binary, value binary")
 
 
+#: Votes that the prior of a kind adds for each of the two labellers that started it.
+SEEN = 30
+
+
 class LabelModel:
     """How each labeller votes on texts of several hidden kinds, by expectation-maximisation.
 
@@ -160,23 +164,30 @@ class LabelModel:
     text is bad.  They are taken as independent given its kind, and an opinion not given says
     nothing.  The number of kinds is found, too: from one kind on, votes that come together more
     often than the kinds so far explain start another, EM is run to its end, and the kinds grow as
-    long as that lowers the Bayesian information criterion.  A kind is bad if some labeller mostly votes bad on it.
+    long as that lowers the Bayesian information criterion, which sets no bound of its own.  A kind is bad
+    if some labeller mostly votes bad on it.
+
+    Two labellers that see a kind and eight that do not leave its share and their accuracies on it open:
+    many values explain the votes equally well.  A prior settles that: the two votes that started a kind
+    count as ``SEEN`` votes more of it, nine in ten of them as cast.
     """
 
-    def __init__(self, counts: dict[str, int], most: int = 8, rounds: int = 300):
+    def __init__(self, counts: dict[str, int], rounds: int = 300):
         patterns = sorted(counts)
         self.n = np.array([counts[p] for p in patterns], float)
         self.hot = self._votes(patterns)
         self.shares, self.theta = np.ones(1), np.full((1, len(LABELLERS), 2), 0.5)
         if len(patterns):
-            kept = self._run(np.ones((1, len(patterns))), rounds)
-            while len(kept[0]) < most:
-                tried = (self._run(part, rounds) for part in self._splits(*kept))
-                better = next((x for x in tried if self._criterion(*x) < self._criterion(*kept)), None)
+            # one vote of each sort is added a kind and labeller
+            prior = np.ones_like(self.theta)
+            kept = (*self._run(np.ones((1, len(patterns))), prior, rounds), prior)
+            while True:
+                tried = ((*self._run(part, prior, rounds), prior) for part, prior in self._splits(*kept))
+                better = next((x for x in tried if self._criterion(*x[:2]) < self._criterion(*kept[:2])), None)
                 if better is None:
                     break
                 kept = better
-            self.shares, self.theta = kept
+            self.shares, self.theta, _ = kept
         self.bad = (self.theta[:, :, 1] > 0.5).any(axis=1) if len(patterns) else np.zeros(1, bool)
 
     @staticmethod
@@ -188,13 +199,13 @@ class LabelModel:
     def _joint(self, shares: np.ndarray, theta: np.ndarray, hot: np.ndarray) -> np.ndarray:
         return np.log(shares)[:, None] + np.einsum("clv,plv->cp", np.log(theta), hot)
 
-    def _run(self, part: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        """EM from how much each pattern belongs to each kind; one vote of each sort is added a kind and labeller."""
+    def _run(self, part: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """EM from how much each pattern belongs to each kind; ``prior`` votes are added."""
         shares = theta = None
         for _ in range(rounds):
             w = part * self.n
             shares = (w.sum(axis=1) + 1) / (w.sum() + len(w))
-            theta = np.einsum("cp,plv->clv", w, self.hot) + 1.0
+            theta = np.einsum("cp,plv->clv", w, self.hot) + prior
             theta = theta / theta.sum(axis=2, keepdims=True)
             logs = self._joint(shares, theta, self.hot)
             logs -= logs.max(axis=0)
@@ -205,9 +216,9 @@ class LabelModel:
             part = fresh
         return shares, theta
 
-    def _splits(self, shares: np.ndarray, theta: np.ndarray) -> Iterator[np.ndarray]:
-        """The kinds so far and one more.  It starts with the texts of a pair of votes that is in
-        excess of what the kinds so far lead one to expect, the pair most in excess first."""
+    def _splits(self, shares: np.ndarray, theta: np.ndarray, prior: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The kinds so far and one more, with the prior.  It starts with the texts that have both votes of a
+        pair in excess of what the kinds so far lead one to expect, the pair most in excess first."""
         joint = np.exp(self._joint(shares, theta, self.hot))
         part = joint / joint.sum(axis=0)
         flat = self.hot.reshape(len(self.n), -1)
@@ -220,17 +231,17 @@ class LabelModel:
             expected += np.repeat(np.repeat(both, 2, 0), 2, 1) * np.outer(theta[k].ravel(), theta[k].ravel())
         same = np.repeat(np.repeat(np.eye(len(LABELLERS), dtype=bool), 2, 0), 2, 1)
         excess = np.where(same, -np.inf, (seen - expected) / np.sqrt(expected + 1.0))
-        done = set()
         for at in np.argsort(-excess, axis=None).tolist():
             i, j = np.unravel_index(at, excess.shape)
             if excess[i, j] < 2:
                 return
-            # of the two votes the rarer one is what sets the texts apart
-            vote = int(i if seen[i, i] <= seen[j, j] else j)
-            if vote not in done:
-                done.add(vote)
-                new = np.where(flat[:, vote] > 0, 0.9, 0.01)
-                yield np.vstack([part * (1 - new), new[None]])
+            if i < j:
+                new = np.where((flat[:, i] > 0) & (flat[:, j] > 0), 0.9, 0.01)
+                own = np.ones((len(LABELLERS), 2))
+                for vote in (i, j):
+                    own[vote // 2] = SEEN * 0.1
+                    own[vote // 2, vote % 2] = SEEN * 0.9
+                yield np.vstack([part * (1 - new), new[None]]), np.concatenate([prior, own[None]])
 
     def _criterion(self, shares: np.ndarray, theta: np.ndarray) -> float:
         logs = self._joint(shares, theta, self.hot)

@@ -308,6 +308,7 @@ def planted_votes(n=6000):
     return out
 
 
+@pytest.mark.xfail(strict=True, reason="its last line asks for more than 97 % right; by the planted shares and accuracies themselves Bayes' rule gets 96.5 % of these votes")
 def test_label_model_recovers_planted_accuracies():
     votes = planted_votes()
     m = weak_labels.LabelModel(dict(Counter(v for _, v in votes)))
@@ -322,6 +323,40 @@ def test_label_model_recovers_planted_accuracies():
     assert right > 0.97 * len(votes) > any_bad + 0.1 * len(votes)
 
 
+KINDS = [
+    (4, (("good", 0.84, {0: 0.1, 9: 0.02}), ("loud", 0.1, {0: 0.95, 1: 0.9}), ("torn", 0.06, {3: 0.9, 4: 0.85, 0: 0.1}))),
+    (5, (("good", 0.84, {0: 0.1, 9: 0.02}), ("loud", 0.1, {0: 0.95, 1: 0.9}), ("torn", 0.06, {3: 0.9, 4: 0.85, 0: 0.1}))),
+    (1, (("good", 0.8, {0: 0.1, 9: 0.02}), ("loud", 0.08, {0: 0.95, 1: 0.9}), ("torn", 0.06, {3: 0.9, 4: 0.85, 0: 0.1}), ("odd", 0.06, {6: 0.9, 7: 0.8, 1: 0.3}))),
+    (2, (("good", 0.8, {0: 0.1, 9: 0.02}), ("loud", 0.08, {0: 0.95, 1: 0.9}), ("torn", 0.06, {3: 0.9, 4: 0.85, 0: 0.1}), ("odd", 0.06, {6: 0.9, 7: 0.8, 1: 0.3}))),
+]
+
+
+@pytest.mark.parametrize("seed, kinds", KINDS)
+def test_label_model_is_as_good_as_the_truth(seed, kinds):
+    """Numbers of kinds and accuracies of planted votes, and as many right as by Bayes' rule with what was planted."""
+    rng, votes = random.Random(seed), []
+    for _ in range(6000):
+        name, _, at = rng.choices(kinds, [share for _, share, _ in kinds])[0]
+        votes.append((name, "".join("-" if rng.random() < 0.1 else "b" if rng.random() < at.get(k, 0.01) else "g" for k in range(L))))
+    m = weak_labels.LabelModel(dict(Counter(v for _, v in votes)))
+    assert len(m.shares) == len(kinds) and m.bad.sum() == len(kinds) - 1
+    for k, name in enumerate(weak_labels.LABELLERS):
+        for bad in (False, True):
+            cast = [v[k] for kind, v in votes if (kind != "good") == bad and v[k] != "-"]
+            assert abs(m.accuracy()[name][bad] - cast.count("b" if bad else "g") / len(cast)) < 0.06, (name, bad)
+
+    def truth(v, name):
+        share, at = next((share, at) for n, share, at in kinds if n == name)
+        for k, x in enumerate(v):
+            share *= 1.0 if x == "-" else at.get(k, 0.01) if x == "b" else 1 - at.get(k, 0.01)
+        return share
+
+    by_truth = {v: truth(v, "good") > sum(truth(v, name) for name, _, _ in kinds[1:]) for _, v in votes}
+    right = sum((m.good(v) > 0.5) == (kind == "good") for kind, v in votes)
+    best = sum(by_truth[v] == (kind == "good") for kind, v in votes)
+    assert right > best - 0.005 * len(votes) and right > sum(("b" not in v) == (kind == "good") for kind, v in votes) + 0.1 * len(votes)
+
+
 def test_label_model_edges():
     assert weak_labels.LabelModel({}).good("-" * L) == 1.0
     m = weak_labels.LabelModel({"g" * L: 5})
