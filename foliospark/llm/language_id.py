@@ -102,7 +102,7 @@ class Model:
             least[level, lang] = min(n, least.get((level, lang), n))
         for level in (0, *GRAMS):
             bottom = 0.5 / max([totals.get((level, lang), 0) for lang in langs] + [1])
-            cut = [0.5 * least[level, lang] / totals[level, lang] if (level, lang) in full else 0.0 for lang in langs]
+            cut = [0.5 * least[level, lang] / totals[level, lang] if (level, lang) in full and (level, lang) in least else 0.0 for lang in langs]
             self.floor[level] = np.log(np.maximum(cut, bottom))
         self.found: dict[int, dict[str, list[tuple[int, float]]]] = {level: {} for level in (0, *GRAMS)}
         for level, item, lang, n in entries:
@@ -165,7 +165,7 @@ class Reader:
 
 def fit(docs: DataFrame, scratch: Scratch, entries: int = MODEL_ENTRIES, langs: int = MODEL_LANGS) -> Model:
     """The model of the rows of ``docs``: all their words and n-grams are counted, the most frequent of each
-    language make the model.  Rows without text or language and languages without words are not learned."""
+    language make the model; items that are equally frequent are in it together or not at all.  Rows without text or language and languages without words are not learned."""
     words = scratch.save(count_words(docs), "words")
     known = [(r["lang"], r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()]
     names = [lang for lang, _ in known]
@@ -175,9 +175,11 @@ def fit(docs: DataFrame, scratch: Scratch, entries: int = MODEL_ENTRIES, langs:
     # half of a language's entries are words, the rest is dealt to the lengths of n-grams
     share = max(entries // (2 * len(names)), 50)
     room = F.when(F.col("level") == 0, share).otherwise(share // len(GRAMS))
-    order = Window.partitionBy("level", "lang").orderBy(F.desc("n"), "item")
-    # the limit alone lets Spark cut each task's rows before the shuffle
-    top = items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share).where(F.col("place") <= room)
+    # the least count whose items all fit, from how many items have each count: no task sorts a language
+    alike = items.groupBy("level", "lang", "n").agg(F.count("*").alias("kinds"))
+    upto = F.sum("kinds").over(Window.partitionBy("level", "lang").orderBy(F.desc("n")))
+    fits = alike.withColumn("upto", upto).where(F.col("upto") <= room).groupBy("level", "lang").agg(F.min("n").alias("least"))
+    top = items.join(F.broadcast(fits), ["level", "lang"]).where("n >= least")
     chosen = [(r["level"], r["item"], r["lang"], r["n"]) for r in top.select("level", "item", "lang", "n").collect()]
     sums = {(r["level"], r["lang"]): (r["n"], r["kinds"]) for r in items.groupBy("level", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     had = Counter((level, lang) for level, _, lang, _ in chosen)
