@@ -31,10 +31,14 @@ def literal(text: str) -> str:
 
 @dataclass(frozen=True)
 class Term:
-    """One condition of a query: any of its spellings may match."""
+    """One condition of a query: any of its spellings may match.
+
+    ``texts`` are what the patterns ``sources`` were made from, one each: letters and digits of a text stand in
+    this order in whatever its pattern matches."""
 
     sources: tuple[str, ...]
     weight: int = 1
+    texts: tuple[str, ...] = ()
 
     def matches(self, text: Column) -> Column:
         return text.rlike("(?i)" + "|".join(f"(?:{s})" for s in self.sources))
@@ -101,13 +105,13 @@ def _token_term(token: str, families: Families) -> Term:
     if family:
         typed = literal(t)
         plural = typed[: -len(_RIGHT)] + "(?:s)?" + _RIGHT if typed.endswith(_RIGHT) else typed
-        return Term((plural, *Families.sources(*family)))
+        return Term((plural, *Families.sources(*family)), texts=(t, *family[1], family[0]))
     if re.search(r"[^A-Za-z'’]", t):
-        return Term((literal(t),))
+        return Term((literal(t),), texts=(t,))
     word = re.sub(r"['’]", "['’]?", quote(t))
     if len(t) <= 3:
-        return Term((f"{_LEFT}{word}(?:s|es)?{_RIGHT}",))
-    return Term((f"{_LEFT}{word}",))
+        return Term((f"{_LEFT}{word}(?:s|es)?{_RIGHT}",), texts=(t,))
+    return Term((f"{_LEFT}{word}",), texts=(t,))
 
 
 def compile_query(text: str | None, families: Families | None = None) -> Query | None:
@@ -122,13 +126,13 @@ def compile_query(text: str | None, families: Families | None = None) -> Query |
         return None
     families = families or Families()
     phrases, loose = split_phrases(text)
-    terms = [Term((literal(p),), 2) for p in phrases]
+    terms = [Term((literal(p),), 2, (p,)) for p in phrases]
     for name, shorts in families.members:
         for form in (name, *(s for s in shorts if re.search(r"[^A-Za-z0-9]", s))):
             found = re.search(literal(form), loose, re.I)
             if found:
                 loose = loose[: found.start()] + " " + loose[found.end() :]
-                terms.append(Term(Families.sources(name, shorts), 2))
+                terms.append(Term(Families.sources(name, shorts), 2, (*shorts, name)))
     terms += [_token_term(t, families) for t in _tokens(loose)]
     return Query(tuple(terms)) if terms else None
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.query import QuerySpec, compile_query
 from ..operators import quality, ranks, relations, search, segment
-from ..sources import readers, sinks
+from ..sources import readers, sinks, skipping
+from ..shared import Shared
 from .registry import Tables, query
 
 #: Topics that occur in the driver's texts.
 TOPICS = {"licence": [r"\blicense\b", r"\blicensed\b"], "function": [r"\bthe\b", r"\band\b"], "money": [r"\$[0-9]"], "list": [r"\| "], "rare": [r"\bnowhere\b"]}
 
 
-def clauses(t: Tables) -> DataFrame:
+def clauses(t: Tables, documents: DataFrame | None = None) -> DataFrame:
     """Documents as clauses: the source is the contract, the id the order, German texts the earlier era."""
-    d = t.documents
+    d = documents or t.documents
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("contract_id"), F.col("doc_id").alias("clause_no"), F.col("lang").alias("heading"), "text", (F.col("lang") == "de").alias("earlier"), (F.col("doc_id") % 3 == 0).alias("ocr"))
 
 
@@ -29,8 +30,7 @@ def scanned(t: Tables) -> DataFrame:
 _EDGE = "(?:^|[^A-Za-z0-9])"
 
 
-@query(
-    f"""
+_SEARCH_SQL = f"""
 WITH m AS (SELECT doc_id, source, text, lang, len(regexp_extract_all(text, '(?i){_EDGE}then')) AS n,
                   len(regexp_extract_all(text, '(?i){_EDGE}thor')) AS k FROM documents),
 s AS (SELECT doc_id, source, (CASE WHEN lang = 'de' THEN 0.6 ELSE 1.0 END) *
@@ -39,12 +39,26 @@ s AS (SELECT doc_id, source, (CASE WHEN lang = 'de' THEN 0.6 ELSE 1.0 END) *
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY source) AS total FROM s)
 SELECT source AS contract_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, CAST(total AS BIGINT) AS total FROM r WHERE rank <= 3
 """
-)
+
+
+@query(_SEARCH_SQL)
 def qry01_search(t: Tables) -> DataFrame:
     out = search.results(clauses(t), QuerySpec("then thor"))
     return out.select("contract_id", F.col("clause_no").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "total")
 
 
+@query(_SEARCH_SQL)
+def qry01_skipping(t: Tables) -> DataFrame:
+    """The same search over documents cut into files by language, of which it opens those that can hold a hit."""
+    shared = Shared(t.spark, "skipping")
+    t.documents.repartitionByRange(16, "lang", "doc_id").write.parquet(shared.path("documents"))
+    skipping.build(t.spark, shared.path("documents"), shared.path("filters"), ["lang", "text"])
+    spec = QuerySpec("then thor")
+    found = skipping.read(t.spark, shared.path("documents"), shared.path("filters"), compile_query(spec.query))
+    out = search.results(clauses(t, found), spec)
+    return out.select("contract_id", F.col("clause_no").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"), "total")
+
+
 @query("""
 WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)
 SELECT source AS contract_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
