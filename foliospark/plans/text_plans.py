@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.query import QuerySpec, compile_query
 from ..operators import quality, ranks, relations, search, segment
-from ..sources import readers, sinks, skipping
+from ..sources import layout, readers, sinks, skipping
 from ..shared import Shared
 from .registry import Tables, query
 
@@ -432,6 +432,46 @@ def src03_links(t: Tables) -> DataFrame:
     return readers.links(t.pages, keep=".", also=None).select("page_id", "href", "label")
 
 
+def _pieces(t: Tables) -> DataFrame:
+    """Texts as pages of a fixed-width font: ``page, row, length, cells``, a line a row, cut at its separators."""
+    rows = t.documents.select(F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row", "line"))
+    rows = rows.select("page", "row", F.length("line").alias("length"), F.split("line", r" \| ").alias("cut"))
+    lengths = F.transform("cut", F.length)
+    start = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + 3 * i
+    return rows.select("page", "row", "length", "cut", F.transform("cut", lambda x, i: F.struct((6.0 * start(i)).alias("x0"), (6.0 * (start(i) + F.length(x))).alias("x1"), x.alias("text"))).alias("cells"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS r FROM documents),
+f AS (SELECT *, string_split(line, ' | ') AS f FROM l),
+p AS (SELECT doc_id, r, t, x0, x0 + 6.0 * length(t) AS x1
+      FROM (SELECT doc_id, r, f[i + 1] AS t, 6.0 * (coalesce(list_sum([length(x) FOR x IN f[1:i]]), 0) + 3 * i) AS x0 FROM (SELECT *, unnest(range(len(f))) AS i FROM f)) WHERE t <> ''),
+b AS (SELECT doc_id, r, 6.0 * (length(f[1]) + 3) + CASE WHEN r % 2 = 0 THEN 1 ELSE 2 END AS bx0, 6.0 * length(line) - CASE WHEN r % 2 = 0 THEN 1 ELSE 2 END AS bx1, '| ' || array_to_string(f[2:], ' | ') || ' |' AS md FROM f WHERE len(f) > 1),
+w AS (SELECT doc_id, greatest(612.0, 6.0 * max(length(line))) AS w FROM l GROUP BY doc_id),
+c AS (SELECT w.doc_id, w, count(x0) AS n, count(*) FILTER ((x0 + x1) / 2 < w / 2) AS a, count(*) FILTER (abs((x0 + x1) / 2 - w / 2) < w * 0.04) AS g FROM w LEFT JOIN p USING (doc_id) GROUP BY ALL),
+k AS (SELECT doc_id, w, CASE WHEN n >= 200 AND least(a, n - a) > 0.4 * greatest(a, n - a) AND g < 0.05 * n THEN 2 ELSE 1 END AS columns FROM c),
+o AS (SELECT p.doc_id, r, x0, t, CASE WHEN columns = 2 AND (x0 + x1) / 2 >= w / 2 THEN 1 ELSE 0 END AS side FROM p JOIN k USING (doc_id) LEFT JOIN b USING (doc_id, r)
+      WHERE bx0 IS NULL OR bx0 > bx1 OR NOT (x0 >= bx0 - 1 AND x1 <= bx1 + 1)),
+i AS (SELECT doc_id, side, r, trim(regexp_replace(string_agg(t, ' ' ORDER BY x0), ' +', ' ', 'g')) AS line FROM o GROUP BY ALL),
+y AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY side, r) AS body FROM i WHERE line <> '' GROUP BY doc_id),
+z AS (SELECT doc_id, string_agg(chr(10) || md || chr(10), chr(10) ORDER BY r) AS tables FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(columns AS INTEGER) AS columns, regexp_replace(array_to_string(list_filter([tables, body], lambda x: x IS NOT NULL), chr(10)), '^\s+|\s+$', '', 'g') AS text
+FROM k LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
+""".replace(r"\\", "\\"))
+def src08_masked_text(t: Tables) -> DataFrame:
+    """Lines cut at separators as positioned pieces; all but the first piece of a line make a table, of which
+    every second is drawn too narrow for its first and last piece."""
+    rows = _pieces(t)
+    inset = F.when(F.col("row") % 2 == 0, 1.0).otherwise(2.0)
+    top = F.col("row") * 10.0
+    pieces = rows.select("page", top.alias("top"), (top + 8).alias("bottom"), F.explode("cells").alias("c")).select("page", "top", "bottom", "c.*").where("text <> ''")
+    cells = F.slice("cells", 2, 1_000_000)
+    table = F.concat(F.lit("| "), F.array_join(F.slice("cut", 2, 1_000_000), " | "), F.lit(" |"))
+    boxes = rows.where(F.size("cut") > 1).select("page", (top + 1).alias("top"), (top + 7).alias("bottom"), (F.get(cells, F.lit(0))["x0"] + inset).alias("x0"), (6.0 * F.col("length") - inset).alias("x1"), table.alias("markdown"))
+    pages = rows.groupBy("page").agg(F.greatest(F.lit(612.0), 6.0 * F.max("length")).alias("width"))
+    return layout.page_texts(pieces, boxes, pages).select(F.col("page").alias("doc_id"), "columns", "text")
+
+
 @query("""
 SELECT conv_id AS contract_id, string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id
 """)

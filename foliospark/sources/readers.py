@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text
 from ..session import ship
+from . import soup
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -73,26 +74,17 @@ def page_counts(contracts: DataFrame, pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: str = r"(?i)\.pdf$", also: str | None = r"(?i)collectivebargaining|olr", section_words: str | None = fixed.SECTION_WORDS) -> DataFrame:
     """``id, pos, section, label, href``: links of a page in order, each under the last heading above it.
 
-    Tags are matched in page order; a heading counts if it is under 120 characters and has one of
-    the section words.  Of links to one place the first is kept; a link without text takes its
-    file name.
+    Pages are read by ``soup.Walk``, so unclosed and nested tags, attributes without quotes, comments and
+    scripts are no matter.  A heading counts if it is under 120 characters and has one of the section
+    words (a pattern).  Of links to one place the first is kept; a link without text takes its file name.  A null page has
+    no links, a repeated page gives its links again.
     """
-    tag = r"(?is)<(h[1-4]|strong|a)\b([^>]*)>(.*?)</\1\s*>"
-    h = F.coalesce(html_col, F.lit(""))
-    parts = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(tag), F.lit(k)).alias(n) for k, n in ((1, "tag"), (2, "attrs"), (3, "inner"))])
-    rows = pages.select(id_col, F.posexplode(parts).alias("pos", "t"))
-    label = text.squeeze(F.regexp_replace(F.col("t.inner"), "<[^>]*>", " "))
-    rows = rows.select(id_col, "pos", F.lower("t.tag").alias("tag"), label.alias("label"), F.regexp_extract("t.attrs", r"(?i)href\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href"))
-    head = (F.col("tag") != "a") & (F.col("label") != "") & (F.length("label") < 120)
-    if section_words:
-        head = head & F.col("label").rlike(section_words)
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.last(F.when(head, F.col("label")), ignorenulls=True).over(w))
-    found = rows.where((F.col("tag") == "a") & (F.col("href") != "") & F.col("href").rlike(keep))
+    ship(pages.sparkSession)
+    picked = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    found = picked.mapInArrow(soup.read_links(section_words), f"id {dict(picked.dtypes)['id']}, pos int, section string, label string, href string").withColumnRenamed("id", id_col)
+    found = found.where(F.col("href").rlike(keep))
     if also:
         found = found.where(F.col("href").rlike(also))
-    first = Window.partitionBy(id_col, "href").orderBy("pos")
-    found = found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "tag")
     name = F.initcap(F.replace(F.regexp_replace(F.element_at(F.split("href", "/"), -1), r"(?i)\.pdf", ""), F.lit("-"), F.lit(" ")))
     return found.withColumn("label", F.when(F.col("label") == "", name).otherwise(F.col("label")))
 
