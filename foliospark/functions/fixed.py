@@ -82,6 +82,10 @@ MONTHS_LONG = ["January", "February", "March", "April", "May", "June", "July", "
 # Words that mark a short heading on a link page as a section.
 SECTION_WORDS = r"(?i)agreement|citywide|uniformed|education|economic|coalition|trade|skilled|welfare|board"
 
+# What ends a sentence, and lines of a table of numbers.
+SENTENCE_ENDS = ".!?\"'’)"
+NUMBERS_LINE = r"^[\d$.,\-•*\s]+$"
+
 # Percentages and lump sums in running text.
 PERCENTS = r"(\d{1,2}\.\d{1,2})\s*%"
 LUMP_SUMS = r"(?i)\$\s?([\d,]{3,7})\s*(?:lump sum|ratification|bonus|payment|cash)"

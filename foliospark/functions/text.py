@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+import pandas as pd
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import fixed
 
 _ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿÇçÑñ"
@@ -236,40 +241,63 @@ def citation(text, label, heading, page, url, link, ocr, source: str) -> Column:
     )
 
 
-def merges(prev: Column, line: Column) -> Column:
-    """Whether a line goes on from the one before it, which looks like wrapped prose."""
-    return (
-        F.when((prev == "") | (line == ""), False)
-        .when(prev.endswith("-"), True)
-        .when(F.length(prev) < 30, False)
-        .when(prev.rlike(r"[.!?\"'’)]\s*$") | prev.rlike(r":\s*$"), False)
-        .when(line.rlike(r"^\d") & (F.length(line) < 40), False)
-        .when(line.rlike(r":\s*$"), False)
-        .otherwise(True)
-    )
+def _goes_on(last: str, size: int, line: str) -> bool:
+    """Whether a line goes on from the open one before it, of so many characters and this last piece,
+    which looks like wrapped prose."""
+    if last.endswith("-"):
+        return True
+    if size < 30 or last[-1:] in fixed.SENTENCE_ENDS or last.endswith(":"):
+        return False
+    return not (line[:1].isdigit() and len(line) < 40) and not line.endswith(":")
+
+
+def join_lines(lines: list[str]) -> list[str]:
+    """Wrapped lines joined, in one pass: only the open line is kept, as the pieces it is made of."""
+    out, pieces, size = [], [], 0
+    for line in lines:
+        if pieces and pieces[-1].endswith("-") and line[:1].islower():
+            pieces[-1] = pieces[-1][:-1]
+            pieces.append(line)
+            size += len(line) - 1
+        elif pieces and _goes_on(pieces[-1], size, line):
+            pieces += [" ", line]
+            size += len(line) + 1
+        else:
+            if pieces:
+                out.append("".join(pieces))
+            pieces, size = [line], len(line)
+    return [*out, "".join(pieces)] if pieces else out
+
+
+def reflow_text(text: str) -> str:
+    """Wrapped lines of each paragraph joined; tables and lists of short lines left alone."""
+    done = []
+    for paragraph in re.split(r"\n\s*\n", text, flags=re.ASCII):
+        lines = [x.rstrip() for x in re.split("[\n\x0b\x0c\r\u2028]", paragraph)]
+        lines = [x for x in lines if x]
+        short = sum(len(x) < 40 for x in lines) > len(lines) * 0.6
+        numbers = sum(_NUMBERS.match(x) is not None for x in lines) > len(lines) * 0.4
+        if lines:
+            done.append("\n".join(lines if len(lines) >= 3 and (short or numbers) else join_lines(lines)))
+    return "\n\n".join(done)
+
+
+_NUMBERS = re.compile(fixed.NUMBERS_LINE, re.ASCII)
 
 
 def reflow(text) -> Column:
-    """Wrapped lines of each paragraph joined; tables and lists of short lines left alone.
+    """Wrapped lines of each paragraph joined; tables and lists of short lines left alone.  Null stays null.
 
-    A fold over lines, for each depends on what was joined before.  Not idempotent: a joined
-    line may join again, so a document is reflowed once.
+    A fold over lines, for each depends on what was joined before, in Arrow tasks: linear in a text,
+    however many lines a paragraph has.  Not idempotent: a joined line may join again, so a document is reflowed
+    once.
     """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(reflow_text, na_action="ignore")
 
-    def paragraph(p: Column) -> Column:
-        lines = F.filter(F.transform(F.split(p, "[\n\x0b\x0c\r ]"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: F.trim(x) != "")
-        few = F.size(F.filter(lines, lambda x: F.length(x) < 40)) > F.size(lines) * 0.6
-        numbers = F.size(F.filter(lines, lambda x: x.rlike(r"^[\d$.,\-•*\s]+$"))) > F.size(lines) * 0.4
-        last = lambda a: F.element_at(a, -1)
-        most = 2_000_000_000
-        head = lambda a: F.slice(a, 1, F.size(a) - 1)
-        fold = F.aggregate(
-            F.slice(lines, 2, most),
-            F.slice(lines, 1, 1),
-            lambda a, x: F.when(last(a).endswith("-") & x.rlike(r"^\p{Ll}"), F.concat(head(a), F.array(F.concat(F.regexp_replace(last(a), "-$", ""), x)))).when(merges(last(a), x), F.concat(head(a), F.array(F.concat(last(a), F.lit(" "), x)))).otherwise(F.concat(a, F.array(x))),
-        )
-        kept = F.when((F.size(lines) >= 3) & (few | numbers), lines).otherwise(fold)
-        return F.when(F.size(lines) > 0, F.array_join(kept, "\n"))
-
-    parts = F.transform(F.split(_col(text), r"\n\s*\n"), paragraph)
-    return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n\n")
+    return run(_col(text))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.query import QuerySpec
 from ..operators import lineage, quality, ranks, relations as r, reports, search
-from ..sources import readers
+from ..shared import Shared
+from ..sources import fields, readers, sinks
+from ..streaming import ingest
 from .registry import Tables, query
 
 
@@ -299,6 +301,69 @@ def set03_replace(t: Tables) -> DataFrame:
     return r.replace_partition(d, fresh, "source")
 
 
+@query("""
+SELECT doc_id, source, CASE WHEN source IN ('src1', 'src2') THEN 'new' ELSE lang END AS lang FROM documents
+WHERE source <> 'src3' AND (source NOT IN ('src1', 'src2') OR n_chars >= 200)
+""")
+def set03_partitions(t: Tables) -> DataFrame:
+    """A table by source in which two sources are replaced by what is made from them, and one is removed."""
+    target = Shared(t.spark, "table").path("documents")
+    sinks.replace_partitions(t.documents.select("doc_id", "source", "lang"), target, "source")
+    mine = t.spark.read.parquet(target).where("source IN ('src1', 'src2')")
+    long = t.documents.where("n_chars >= 200").select("doc_id")
+    sinks.replace_partitions(mine.join(long, "doc_id", "left_semi").withColumn("lang", F.lit("new")), target, "source", gone=["src1", "src2", "src3"])
+    return t.spark.read.parquet(target).select("doc_id", "source", "lang")
+
+
+@query("""
+SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+""")
+def flt13_ingest(t: Tables) -> DataFrame:
+    """Events that arrive in three drops, of which a stream with state keeps the first of each user."""
+    shared = Shared(t.spark, "ingest")
+    e = t.events.select("user_id", "ts", "event_id", "event_type")
+    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    first, last = days.agg(F.min("day"), F.max("day")).first() or (None, None)
+    if first is None:
+        return e.select("user_id", "event_id", "event_type", "ts")
+    third = max((last - first).days // 3, 1)
+    drop = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / third), F.lit(2))
+    for k in range(3):
+        e.where(drop == k).write.mode("append").parquet(shared.path("arrived"))
+        run = ingest.ingest(t.spark, shared.path("arrived"), e.schema, shared.path("first"), shared.path("state"), "user_id", format="parquet", order=["ts", "event_id"])
+        run.awaitTermination()
+    return ingest.ingested(t.spark, shared.path("first")).select("user_id", "event_id", "event_type", "ts")
+
+
+_FIELDS_SQL = """
+WITH c AS (SELECT CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS p FROM clicks),
+a AS (SELECT e.key AS path, e.value AS v FROM c, json_each(c.p) e WHERE json_type(c.p) = 'OBJECT'),
+b AS (SELECT a.path || '.' || e.key AS path, e.value AS v FROM a, json_each(a.v) e WHERE json_type(a.v) = 'OBJECT')
+"""
+
+
+@query(_FIELDS_SQL + """
+SELECT path, CASE json_type(v) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, count(*) AS n
+FROM (FROM a UNION ALL FROM b) GROUP BY ALL
+""")
+def src01_field_kinds(t: Tables) -> DataFrame:
+    """The fields of all records and the kinds of their values, none of which is listed beforehand."""
+    return fields.field_kinds(fields.records(t.clicks, "props"))
+
+
+@query("""
+WITH c AS (SELECT click_id, CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS p FROM clicks)
+SELECT click_id, TRY_CAST(p ->> '$.k' AS BIGINT) AS k, p ->> '$.device.os' AS os, p ->> '$.items[0].sku' AS sku,
+  CASE WHEN p IS NULL OR NOT json_exists(p, '$.tags') THEN 'absent' WHEN json_type(p, '$.tags') = 'NULL' THEN 'null' WHEN json_array_length(p, '$.tags') = 0 THEN 'empty' ELSE 'present' END AS tags FROM clicks JOIN c USING (click_id)
+WHERE click_id IN (SELECT click_id FROM clicks GROUP BY click_id HAVING count(*) = 1)
+""")
+def src01_field_values(t: Tables) -> DataFrame:
+    """Fields of the records of clicks that came once, absent told from empty."""
+    once = t.clicks.groupBy("click_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("click_id")
+    r = fields.records(t.clicks.join(once, "click_id", "left_semi"), "props")
+    return r.select("click_id", fields.field("record", "k", "bigint").alias("k"), fields.field("record", "device.os", "string").alias("os"), fields.field("record", "items[0].sku", "string").alias("sku"), fields.state("record", "tags").alias("tags"))
+
+
 @query("SELECT DISTINCT lang FROM documents WHERE lang IN ('en', 'de', 'xx')")
 def set04_menu(t: Tables) -> DataFrame:
     menu = t.spark.createDataFrame([("en",), ("de",), ("xx",)], "lang string")

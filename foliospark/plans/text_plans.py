@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.query import QuerySpec, compile_query
 from ..operators import quality, ranks, relations, search, segment
-from ..sources import layout, readers, sinks, skipping
+from ..sources import files, layout, readers, sinks, skipping
 from ..shared import Shared
 from .registry import Tables, query
 
@@ -274,7 +274,16 @@ def jon11_scoped_rules(t: Tables) -> DataFrame:
     return rules.correct(docs, _curated(t)).select("doc_id", "n_corrections", F.md5("text").alias("corrected"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS p, unnest(range(len(regexp_split_to_array(text, '\n\s*\n')))) AS k FROM documents),
+l AS (SELECT doc_id, k, list_filter(list_transform(regexp_split_to_array(p, '[\n\x0B\f\r]'), lambda x: rtrim(x, ' ' || chr(9))), lambda x: x <> '') AS l FROM p),
+g AS (SELECT *, len(l) >= 3 AND (len(list_filter(l, lambda x: length(x) < 40)) > 0.6 * len(l) OR len(list_filter(l, lambda x: regexp_full_match(x, '[0-9$.,\-•*\s]+'))) > 0.4 * len(l)) AS kept FROM l WHERE len(l) > 0),
+f AS (SELECT doc_id, k, CASE WHEN kept THEN array_to_string(l, chr(10)) ELSE list_reduce(l, lambda a, x:
+  CASE WHEN ends_with(a, '-') AND regexp_matches(x, '^\p{Ll}') THEN left(a, -1) || x
+       WHEN ends_with(a, '-') OR (length(string_split(a, chr(10))[-1]) >= 30 AND NOT regexp_matches(a, '[.!?"''’):]$') AND NOT (regexp_matches(x, '^[0-9]') AND length(x) < 40) AND NOT ends_with(x, ':')) THEN a || ' ' || x
+       ELSE a || chr(10) || x END) END AS t FROM g)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(t, chr(10) || chr(10) ORDER BY k), '') END AS text FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id, d.text
+""")
 def scl23_reflow(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.reflow("text").alias("text"))
 
@@ -479,6 +488,14 @@ def snk02_joined_pages(t: Tables) -> DataFrame:
     return sinks.joined_text(t.conversations.select(F.col("conv_id").alias("contract_id"), F.col("turn").alias("page"), "text"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS content FROM documents")
+def snk02_files(t: Tables) -> DataFrame:
+    """A file for each document, written by the executors and read back."""
+    folder = Shared(t.spark, "files").path("documents")
+    files.write_files(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), folder, ".txt")
+    return files.read_files(t.spark, folder, ".txt")
+
+
 @query("""
 SELECT doc_id AS id, '# ' || source || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS content
 FROM documents WHERE length(text) >= 50

@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Shared
+
 PAGE_BREAK = "\n\f\n"
 
 
@@ -20,6 +22,28 @@ def write_stage(rows: DataFrame, path: str, by: list[str] = ()) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def replace_partitions(fresh: DataFrame, target: str, by: str, gone: list[str] = ()) -> None:
+    """Partitions of a Parquet table that ``fresh`` has rows of, replaced by these; ``gone`` are removed as well.
+
+    ``fresh`` is written beside the table first, so it may be made from the table.  Spark then
+    writes the partitions to a staging folder and swaps those in: other partitions are neither read nor
+    written, and running again after a failure gives the same table.  A partition with most of the rows is written
+    by many tasks.  Partitions of ``gone`` without fresh rows are removed, which is what a source that has no new rows needs;
+    it is done last, and a missing one is no matter.  A target that does not exist is made.
+    """
+    spark = fresh.sparkSession
+    shared = Shared(spark, "partitions")
+    staged = shared.save(fresh, "fresh")
+    staged.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(target)
+    if gone:
+        jvm = spark._jvm
+        left = {r[0] for r in staged.where(F.col(by).cast("string").isin(list(gone))).select(F.col(by).cast("string")).distinct().collect()}
+        for value in sorted(set(gone) - left):
+            where = jvm.org.apache.hadoop.fs.Path(target, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, value))
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    shared.drop("fresh")
+
+
 def joined_text(pages: DataFrame) -> DataFrame:
     """``contract_id, text``: pages in order with page breaks between."""
     return pages.groupBy("contract_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), PAGE_BREAK).alias("text"))
