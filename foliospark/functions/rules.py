@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import pandas as pd
 import regex
@@ -69,9 +69,10 @@ def correct(docs: DataFrame, rules: list[tuple[str, str, list[str]]], order: str
     """Whole-word corrections one after another; ``n_corrections`` counts replacements.
 
     A rule is (original, replacement, ids); without ids it holds for all documents.  Each
-    rule sees what the rules before it made.  A null text is empty.  Up to ``step`` rules are
+    rule sees what the rules before it made.  A null text is empty, a rule without original is none.  Up to ``step`` rules are
     folded over every text; of more rules only those that a text can meet, see ``correct_indexed``.
     """
+    rules = [r for r in rules if r[0]]
     if len(rules) > step:
         return correct_indexed(docs, rules, order, id_col, text_col)
     table = F.array(*[F.struct(F.lit(_whole_word(o)).alias("p"), F.lit(_replacement(r)).alias("r"), (F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")).alias("ids")) for o, r, ids in order_rules(rules, order)])
@@ -80,86 +81,122 @@ def correct(docs: DataFrame, rules: list[tuple[str, str, list[str]]], order: str
     return out.withColumn(text_col, F.col("__fold.t")).withColumn("n_corrections", F.col("__fold.n")).drop("__fold")
 
 
-#: Characters that the word boundary of ``_whole_word`` takes for word characters, in the JVM's spelling.
-_WORDS = r"(?U)(\w+)"
-_WORD_PY = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+")
+#: Word characters as the JVM's word boundary takes them with ``(?U)``.
+_W = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]"
+_RUNS = regex.compile(f"({_W}+)")
+_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
-#: Rules that one pass sends to the tasks; more rules take several passes, one after another.
+#: Rules that one pass sends to the tasks (some 20 MB); more rules take several passes, one after another.
 RULES_AT_ONCE = 100_000
 
 
 class RuleIndex:
-    """Which of many ordered corrections a text can meet, by the words it has.
+    """Ordered whole-word corrections by the words they need.
 
     The first run of word characters of an original stands as a whole word wherever the original
-    is found, so a rule is a candidate if the text has that word, or if a replacement of a candidate
-    before it brings it in.  Rules without a word character are candidates everywhere.  A rule whose original starts or
-    ends in another character may join what it leaves to its neighbours, which makes words that nothing
-    announces; behind such a candidate every rule is one.
+    is found.  So a text starts with the rules of its words, and a replacement adds the later rules of
+    the words that it brings in; which are waiting is kept as a heap of their places.  A rule of a single word
+    changes the places of that word and nothing else is looked at.  Any other rule searches the text, and what the
+    text then consists of is taken anew, for such a rule may join what it leaves to its neighbours.
     """
 
     def __init__(self, rules: list[tuple[str, str, list[str]]]):
-        self.scopes = [frozenset(ids) for _, _, ids in rules]
+        self.rules = [(o, r, frozenset(ids)) for o, r, ids in rules]
         self.by_word: dict[str, list[int]] = {}
         self.everywhere: list[int] = []
-        self.brings: list[list[str]] = []
-        self.edgy: list[bool] = []
-        for k, (original, replacement, _) in enumerate(rules):
-            words = _WORD_PY.findall(original)
+        self.single: list[bool] = []
+        for k, (original, _, _) in enumerate(self.rules):
+            words = _RUNS.findall(original)
+            self.single.append(words == [original])
             self.by_word.setdefault(words[0], []).append(k) if words else self.everywhere.append(k)
-            self.brings.append(_WORD_PY.findall(replacement))
-            self.edgy.append(not words or not original.startswith(words[0]) or not original.endswith(words[-1]))
-
-    def candidates(self, words: Iterable[str], scope: str | None) -> list[int]:
-        """Positions of the rules that can apply to a text of these words, in order."""
-        mine = lambda k: not self.scopes[k] or scope in self.scopes[k]
-        waiting = [k for w in words for k in self.by_word.get(w, ()) if mine(k)] + [k for k in self.everywhere if mine(k)]
-        heapify(waiting)
-        out: list[int] = []
+
+    def correct(self, text: str, scope: str | None) -> tuple[str, int, int]:
+        """The corrected text, the number of replacements and the number of rules that were tried."""
+        parts: list[str] = []
+        places: dict[str, list[int]] = {}
+        mixed: set[str] = set()
+        waiting: list[int] = []
+        known: set[int] = set()
+
+        def wait(words: Iterable[str], behind: int) -> None:
+            for w in words:
+                for k in self.by_word.get(w, ()):
+                    if k > behind and k not in known and (not self.rules[k][2] or scope in self.rules[k][2]):
+                        known.add(k)
+                        heappush(waiting, k)
+
+        def take(whole: str, behind: int) -> None:
+            """What a text consists of: words at odd places, the rest between."""
+            parts[:] = _RUNS.split(whole)
+            places.clear()
+            mixed.clear()
+            for i in range(1, len(parts), 2):
+                if parts[i] in self.by_word:
+                    places.setdefault(parts[i], []).append(i)
+            wait(places, behind)
+
+        take(text, -1)
+        for k in self.everywhere:
+            if not self.rules[k][2] or scope in self.rules[k][2]:
+                heappush(waiting, k)
+        done = tried = 0
         while waiting:
             k = heappop(waiting)
-            if out and out[-1] == k:
-                continue
-            out.append(k)
-            if self.edgy[k]:
-                return out + [j for j in range(k + 1, len(self.edgy)) if mine(j)]
-            for w in self.brings[k]:
-                for j in self.by_word.get(w, ()):
-                    if j > k and mine(j):
-                        heappush(waiting, j)
-        return out
-
-
-def _looked_up(index: RuleIndex, table: list[tuple[str, str]]):
-    """A function of a text's words and scope that gives its candidates as (pattern, replacement)."""
-
-    @F.pandas_udf("array<struct<p:string,r:string>>")
-    def candidates(words: pd.Series, scopes: pd.Series) -> pd.Series:
-        return pd.Series([[{"p": table[k][0], "r": table[k][1]} for k in index.candidates(w, s)] for w, s in zip(words, scopes, strict=True)], dtype=object)
-
-    return candidates
+            tried += 1
+            original, replacement, _ = self.rules[k]
+            if self.single[k]:
+                if original in mixed:
+                    take("".join(parts), k)
+                at = places.pop(original, [])
+                if at and original != replacement:
+                    words = _RUNS.findall(replacement)
+                    if words == [replacement]:
+                        places.setdefault(replacement, []).extend(at)
+                    else:
+                        # words inside a part; they are told apart once a rule asks for one
+                        mixed.update(words)
+                    for i in at:
+                        parts[i] = replacement
+                    wait(words, k)
+                done += len(at)
+                if at and original == replacement:
+                    places[original] = at
+            else:
+                whole = "".join(parts)
+                whole, n = regex.subn(f"{_EDGE}{regex.escape(original)}{_EDGE}", lambda m, r=replacement: r, whole)
+                if n:
+                    done += n
+                    take(whole, k)
+        return "".join(parts), done, tried
 
 
 def correct_indexed(docs: DataFrame, rules: list[tuple[str, str, list[str]]], order: str = "list", id_col: str = "contract_id", text_col: str = "text", at_once: int = RULES_AT_ONCE) -> DataFrame:
-    """``correct`` for thousands of rules: the same texts and counts, but a text meets its candidates only.
+    """``correct`` for thousands of rules: the same texts and counts, but a text meets only the rules its words
+    call for, see ``RuleIndex``.
 
-    A task looks the distinct words of a text up in an index of the rules, which gives the candidates in
-    order, and the JVM folds these.  Nothing is shuffled, and the work follows the words of the texts, not
-    texts times rules.  The rule list is what a driver holds; each pass sends ``at_once`` rules at most.
+    Nothing is shuffled, and the work follows the words of the texts, not texts times rules.  The rule list is
+    what a driver holds; each pass sends ``at_once`` rules at most.
     """
     ship(docs.sparkSession)
     out = docs.withColumns({text_col: F.coalesce(text_col, F.lit("")), "n_corrections": F.lit(0)})
     ordered = order_rules(rules, order)
     for at in range(0, len(ordered), at_once):
-        part = ordered[at : at + at_once]
-        candidates = _looked_up(RuleIndex(part), [(_whole_word(o), _replacement(r)) for o, r, _ in part])
-        words = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(_WORDS), F.lit(1)))
-        out = out.withColumn("__rules", candidates(words, F.col(id_col).cast("string")))
-        out = out.withColumn("__fold", _fold(F.col(text_col), F.col("n_corrections"), F.col("__rules")))
-        out = out.withColumn(text_col, F.col("__fold.t")).withColumn("n_corrections", F.col("__fold.n")).drop("__fold", "__rules")
+        out = out.withColumn("__fixed", _corrected(ordered[at : at + at_once])(text_col, F.col(id_col).cast("string")))
+        out = out.withColumn(text_col, F.col("__fixed.t")).withColumn("n_corrections", F.col("n_corrections") + F.col("__fixed.n")).drop("__fixed")
     return out
 
 
+def _corrected(rules: list[tuple[str, str, list[str]]]):
+    """A function of a text and its scope that gives the corrected text and the number of replacements."""
+    index = RuleIndex(rules)
+
+    @F.pandas_udf("t string, n int")
+    def run(texts: pd.Series, scopes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([index.correct(t, s)[:2] for t, s in zip(texts, scopes, strict=True)], columns=["t", "n"])
+
+    return run
+
+
 def classify_documents(docs: DataFrame) -> DataFrame:
     """``doc_type, amends_predecessor, amends_evidence, chars`` of documents with ``label, text, headings``.
 

@@ -112,6 +112,14 @@ def test_indexed_corrections_equal_the_plain_fold(spark):
 
 
 def test_texts_meet_only_their_rules():
-    index = rules.RuleIndex([("b", "c", []), ("a", "b", []), ("b", "d e", []), ("z", "y", []), ("e", "f", ["x"]), ("...", "!", []), ("q", "r", [])])
-    assert index.candidates(["a"], "x") == [1, 2, 4, 5, 6]
-    assert rules.RuleIndex([("b", "c", []), ("a", "b", []), ("b", "d e", []), ("z", "y", []), ("e", "f", ["x"])]).candidates(["a"], "w") == [1, 2]
+    index = rules.RuleIndex([("b", "c", []), ("a", "b", []), ("b", "d e", []), ("z", "y", []), ("e", "f", ["x"]), ("d f", "g", []), ("q", "r", [])])
+    assert index.correct("a", "x") == ("g", 4, 4)
+    assert index.correct("a b", "w") == ("d e c", 3, 4)
+    assert index.correct("none of them", None) == ("none of them", 0, 0)
+
+
+def test_many_rules_on_a_long_text():
+    """Work follows the words of a text: every rule applies once, in order, and joins nothing anew."""
+    chain = [(f"w{k}", f"w{k + 1}", []) for k in range(20_000)]
+    text, n, tried = rules.RuleIndex(chain).correct("w0 " + "plain words " * 50_000, "x")
+    assert text.startswith("w20000 plain") and n == tried == 20_000
