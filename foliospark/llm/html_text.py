@@ -37,13 +37,15 @@ STOP_WORDS = frozenset(
 )
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in "script style noscript template textarea title iframe noembed noframes svg math select object canvas video audio xmp plaintext".split()}
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in "script style noscript template textarea title iframe noembed noframes svg select video audio xmp plaintext".split()}
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_OUT_TAGS = frozenset("head nav aside footer form menu dialog button fieldset".split())
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+_OUT_TAGS = frozenset("head nav aside footer menu dialog button".split())
+#: Forms are furniture unless they hold most of a page, as a form around the whole page does.
+_FORM_TAGS, _FORM_ROLES = frozenset("form fieldset".split()), frozenset("form search".split())
+_OUT_ROLES = frozenset("navigation banner contentinfo complementary menu menubar dialog alert alertdialog toolbar".split())
 _OUT_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner sponsor sponsored promo promos promotion
     nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer footnav masthead topbar toolbar cookie cookies consent gdpr
@@ -59,7 +61,8 @@ _EXCUSED = frozenset("has no with without is".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE = re.compile(r"=\s*([\"'])|>")
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute, its name and then its value, in quotes or not.
+_ATTRIBUTE = re.compile(r"([^\s\"'/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -79,13 +82,13 @@ def _outside(name: str, attrs: str, region: int) -> str:
     class or id, which what it holds can refute; or "".
 
     A name counts as a whole or by its last part that says anything.  Headings have no such
-    names, and ids inside an article are made from its headings."""
+    names, ids inside an article are made from its headings, and ids inside a line mark places."""
     if name in _OUT_TAGS or (name == "header" and not region):
         return "sure"
+    found = "named" if name in _FORM_TAGS else ""
     if not attrs or name in ("html", "body", "main"):
-        return ""
-    found = ""
-    for m in _NAMES.finditer(attrs):
+        return found
+    for m in _ATTRIBUTE.finditer(attrs):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -93,10 +96,12 @@ def _outside(name: str, attrs: str, region: int) -> str:
         if key == "role":
             if value.lower() in _OUT_ROLES:
                 return "sure"
+            if value.lower() in _FORM_ROLES:
+                found = found or "named"
         elif key == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
                 return "sure"
-        elif key in ("class", "id") and name not in _HEADINGS and not (key == "id" and region):
+        elif key in ("class", "id") and name not in _HEADINGS and not (key == "id" and (region or name not in _BLOCK)):
             for word in value.split():
                 word = _CAMEL.sub("-", word).lower()
                 if word in _COMMENT_WORDS:
@@ -271,9 +276,13 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if name in _RAW:
-            if name not in ("textarea", "title") and attrs.endswith("/") and name in ("svg", "math"):
+            if attrs.endswith("/") and name == "svg":
                 continue
             stop = _RAW[name].search(h, at)
+            if name == "xmp":  # an example, shown as it is
+                flush()
+                buf.append(h[at : stop.start() if stop else n])
+                flush()
             if stop is None:
                 at = n
             else:
@@ -326,26 +335,36 @@ def blocks(page: str | None) -> list[Block]:
 def classify(found: list[Block]) -> list[Block]:
     """Label blocks good or bad.
 
-    Pass one.  Bad: furniture by its containers; nearly all link text; outside every
-    article or main element where such elements hold most of the text outside links.  Good: at
-    least ``LONG_CHARS`` characters, half of them or more outside links, with stop words, or without
+    Pass one.  Bad: furniture by its containers; nearly all link text outside articles; outside every
+    article or main element where such elements hold most of the text outside links and no two
+    blocks outside them are text by themselves, but for headings right above an article.  Good: at least ``LONG_CHARS`` characters, half of them or more outside links, with stop words, or without
     where the stop words are not of the page's language.  All else stays open.
     Pass two.  An open block looks for the nearest decided block (furniture aside) on
-    either side in its own region: with two different answers a heading follows the block after it and
+    either side in its own region.  Link text in an article is good only between two good blocks, or as a heading
+    above one.  For all else, with two different answers a heading follows the block after it and
     any other block the nearer one (good on a tie).  A region without a decided block is
     good if it is an article or main element, or if the page has no good block at all.
     """
     _, fit = _weights(found)
     plain = [0 if b.out else len(b.text.replace(" ", "")) - b.link_chars for b in found]
     inside = 2 * sum(n for b, n in zip(found, plain, strict=True) if b.region) > sum(plain)
-    for b in found:
-        solid = len(b.text.replace(" ", ""))
-        if b.out or b.link_chars >= ALL_LINKS * solid or (inside and not b.region):
+    solid = [len(b.text.replace(" ", "")) for b in found]
+    links = [b.link_chars >= ALL_LINKS * size for b, size in zip(found, solid, strict=True)]
+    for b, size, link in zip(found, solid, links, strict=True):
+        if b.out or (link and not b.region):
             b.label = "bad"
-        elif len(b.text) >= LONG_CHARS and b.link_chars <= LINK_SHARE * solid:
+        elif not link and len(b.text) >= LONG_CHARS and b.link_chars <= LINK_SHARE * size:
             words = _WORD.findall(b.text.lower())
             if words and (not fit or sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)):
                 b.label = "good"
+    if inside and sum(b.label == "good" and not b.region for b in found) < 2:
+        above = False  # whether the block below is an article's, or a heading above one
+        for b in reversed(found):
+            if b.region:
+                above = True
+            elif not b.out:
+                above = above and b.heading
+                b.label = "good" if above else "bad"
     any_good = any(b.label == "good" for b in found)
     n = len(found)
     before: list[tuple[int, str] | None] = [None] * n
@@ -366,7 +385,9 @@ def classify(found: list[Block]) -> list[Block]:
         if b.label:
             continue
         p, q = before[i], after[i]
-        if p is None and q is None:
+        if links[i]:
+            b.label = "good" if q is not None and q[1] == "good" and (b.heading or p is not None and p[1] == "good") else "bad"
+        elif p is None and q is None:
             b.label = "good" if b.region or not any_good else "bad"
         elif p is None or q is None:
             b.label = (p or q)[1]

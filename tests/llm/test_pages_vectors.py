@@ -105,6 +105,61 @@ def test_inline_furniture_wrappers_and_links(page, want):
     assert html_text.main_text(page) == want
 
 
+P = [f"{LONG} {x}." for x in "abcdefghi"]
+PS = "".join(f"<p>{x}</p>" for x in P)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form id='aspnetForm'><div class='content'>{PS}</div></form></body>", P),
+        (f"<main><div role='form'>{PS}</div></main>", P),
+        (f"<main>{PS}<fieldset><p>{LONG}</p></fieldset><form><p>{LONG}</p></form><div role='search'>{LONG}</div></main>", P),
+        (f"{PS}<p>See <a href='/x' title='A hidden gem'>this place</a>, <a href='/search?role=search'>that</a> and <a href='/x.php?id=promo'>those</a> for the more of it.</p>", [*P, "See this place, that and those for the more of it."]),
+        (f"{PS}<div data-hidden='false'><p>{LONG}</p></div><p data-role='search' data-class='ad'>{LONG}</p>", [*P, LONG, LONG]),
+        (f"{PS}<p>Energy is <math><mi>E</mi> = mc</math> in the law, <object><b>drawn</b></object> and <canvas>shown</canvas>.</p><xmp><p>raw</p></xmp>", [*P, "Energy is E = mc in the law, drawn and shown.", "<p>raw</p>"]),
+        (f"<article><h2><a href='#a'>Part one</a></h2><p>{P[0]}</p><ul><li><a href='/i'>item one</a></li><li><a href='/j'>item two</a></li></ul><p>{P[1]}</p><ul><li><a href='/k'>Next page</a></li></ul></article>", ["Part one", P[0], "item one", "item two", P[1]]),
+        (f"<h1>The title</h1><div><p>{P[0]}</p></div><article><p>{P[1]}</p><p>{P[2]}</p><p>{P[3]}</p><p>{P[4]}</p><p>{P[5]}</p></article><div><p>{P[6]}</p><p>{P[7]}</p><p>{P[8]}</p></div>", ["The title", P[0], *P[1:]]),
+        (f"<h1>The title</h1><h2>Below</h2><article>{PS}</article><p>Site line</p>", ["The title", "Below", *P]),
+        (f"{PS}<p>The <span id='related'>thing</span> is in here.</p>", [*P, "The thing is in here."]),
+    ],
+)
+def test_whole_articles(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def build_page(rng):
+    """A page and its text: an article in wrappers and forms, odd attributes, links, formulas and furniture."""
+    said, want = [], []
+    for k in range(rng.randrange(3, 9)):
+        kind = rng.choice(["p", "p", "p", "link", "math", "heading", "list", "odd"]) if said else "p"
+        body = f"{LONG} {k}"
+        if kind == "heading":
+            said.append(f"<h2 id='related'><a href='#{k}'>Head {k}</a></h2>")
+            want.append(f"Head {k}")
+        elif kind == "list":
+            said.append(f"<ul><li><a href='/{k}'>entry {k}</a></ul>")
+            want.append(f"entry {k}")
+        else:
+            inner = {"p": "", "link": f" <a title='hidden ad' href='?class=menu&id={k}'>see {k}</a>", "math": f" <math><mi>x</mi></math>={k}", "odd": ""}[kind]
+            said.append(f"<p{rng.choice([' data-role=search', ' data-hidden=true']) if kind == 'odd' else ''}>{body}{inner}</p>")
+            want.append(body + {"p": "", "link": f" see {k}", "math": f" x={k}", "odd": ""}[kind])
+    said.append(f"<p>{LONG} end</p>")
+    want.append(f"{LONG} end")
+    whole = "".join(said)
+    for _ in range(rng.randrange(3)):
+        whole = rng.choice(["<div>{}</div>", "<form action=/x>{}</form>", "<div class='page-wrapper'>{}</div>", "<section role='form'>{}</section>"]).format(whole)
+    whole = rng.choice(["<article>{}</article>", "<main>{}</main>"]).format(whole)
+    furniture = ["<nav><a href=/>Home</a></nav>", f"<div class='ad'>{LONG}</div>", "<form><input name=q><button>Go</button></form>", "<footer>Imprint</footer>", "<script>var a = '<p>no</p>';</script>"]
+    return "".join(rng.sample(furniture, 2)) + whole + "".join(rng.sample(furniture, 2)), "\n\n".join(want)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_built_pages(seed):
+    page, want = build_page(random.Random(seed))
+    assert html_text.main_text(page) == want
+
+
 def test_extract_edges(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     page = "<article><p>" + "word of the text " * 60_000 + "</p></article>"
