@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relation_plans, report_plans, text_plans  # noqa: F401  they register what they define
+from . import cascade_plans, relation_plans, report_plans, text_plans  # noqa: F401  they register what they define
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
