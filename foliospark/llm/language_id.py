@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
-
-#: Letters with the marks that belong to them.
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+from .common import Scratch, lean, slices
 
 #: Lengths of n-grams, the longest first; a word is read with a space before and behind it.
 GRAMS = (5, 4, 3, 2, 1)
 
+#: Levels of the model: words, then n-grams.
+LEVELS = (0, *GRAMS)
+
 #: Words and n-grams of the model at most, dealt out evenly to the languages; with their counts they are
 #: what is broadcast, about 40 MB.  The languages with the most words are learned, so many at most.
 MODEL_ENTRIES = 400_000
@@ -27,7 +27,7 @@ MODEL_LANGS = 1_000
 
 #: Distinct (language, item) pairs that a task counts before it passes them on.
 HELD = 300_000
-#: Numbers in a task's memory of words already scored.
+#: Entries of words that are added up at once.
 CELLS = 2_000_000
 
 
@@ -42,45 +42,69 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counting(items: Callable[[str], Iterator[str] | list[str]], weighed: bool):
-    """Counts of (lang, item) of a task, in portions of about ``HELD``; batches are (lang, text[, n])."""
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Words of texts, lower-cased, as codes into their different words, and where each text begins among them.
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
+    A word is letters and the marks behind them; what is no word is the empty one.  A null text has none."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[^\p{L}\p{M}]+", " ")
+    lists = pc.split_pattern(plain, " ")
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().dictionary_encode()
 
-        def portion() -> pa.RecordBatch:
-            rows = [(lang, x, n) for lang, c in seen.items() for x, n in c.items()]
-            seen.clear()
-            c = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64())], ["lang", "item", "n"])
 
-        for b in batches:
-            times = b.column(2).to_pylist() if weighed else [1] * len(b)
-            for lang, text, n in zip(b.column(0).to_pylist(), b.column(1), times, strict=True):
-                counter = seen.setdefault(lang, Counter())
-                if weighed:
-                    for x in items(text.as_py()):
-                        counter[x] += n
-                else:
-                    counter.update(items(text.as_py()))
-            if sum(map(len, seen.values())) > HELD:
-                yield portion()
-        yield portion()
+def real(word: str) -> str:
+    """A word without marks that follow no letter."""
+    while word and not word[0].isalpha():
+        word = word[1:]
+    return word
+
 
-    return run
+@lean
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (lang, word) of each few megabytes of (lang, text)."""
+    for b in batches:
+        for first, texts in slices(b.column(1)):
+            starts, words = split(texts)
+            langs = b.column(0).slice(first, len(texts)).dictionary_encode()
+            whose = np.repeat(langs.indices.to_numpy(), np.diff(starts))
+            # a number for each pair, counted where it occurs
+            pairs, n = np.unique(whose.astype("i8") * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+            known = pa.array([real(w) for w in words.dictionary.to_pylist()], pa.string())
+            columns = [langs.dictionary.take(pa.array(pairs // len(known))), known.take(pa.array(pairs % len(known))), pa.array(n)] if len(known) else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "item", "n"])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``lang, item, n``: words of the rows whose text and language are known, lower-cased."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    parts = rows.mapInArrow(_counting(lambda text: WORD.findall(text.lower()), False), "lang string, item string, n long")
-    return parts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    parts = rows.mapInArrow(_word_counts, "lang string, item string, n long")
+    return parts.where("item <> ''").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+
+@lean
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (lang, n-gram) of a task's counted words, in portions of about ``HELD``."""
+    seen: dict[str, Counter] = {}
+
+    def portion() -> pa.RecordBatch:
+        rows = [(lang, x, n) for lang, c in seen.items() for x, n in c.items()]
+        seen.clear()
+        c = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64())], ["lang", "item", "n"])
+
+    for b in batches:
+        for lang, word, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counter = seen.setdefault(lang, Counter())
+            for n in GRAMS:
+                for x in grams(word, n):
+                    counter[x] += times
+        if sum(map(len, seen.values())) > HELD:
+            yield portion()
+    yield portion()
 
 
 def count_grams(words: DataFrame) -> DataFrame:
     """``lang, item, n``: n-grams of counted words."""
-    parts = words.select("lang", "item", "n").mapInArrow(_counting(lambda w: (g for n in GRAMS for g in grams(w, n)), True), "lang string, item string, n long")
+    parts = words.select("lang", "item", "n").mapInArrow(_gram_counts, "lang string, item string, n long")
     return parts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
@@ -90,77 +114,94 @@ class Model:
     ``langs``: learned languages, the one with the most words first.  ``entries``: ``(level, item, lang, n)``;
     ``totals``: ``(level, lang)`` to the sum of all counts; ``full``: ``(level, lang)`` pairs whose list was cut.
     A language without an entry for an item gets a floor: half a count in the largest language of the
-    level, or half of its least entry where its list was cut, for then it may have the item.
+    level, or half of its least entry where its list was cut, for then it may have the item.  An entry is kept as
+    what it has above the floor, so the model is as large as its entries, whatever the number of languages.
     """
 
     def __init__(self, langs: list[str], entries: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int], full: set[tuple[int, str]]):
         self.langs = langs
         place = {lang: i for i, lang in enumerate(langs)}
-        self.floor = {}
         least: dict[tuple[int, str], int] = {}
         for level, _, lang, n in entries:
             least[level, lang] = min(n, least.get((level, lang), n))
-        for level in (0, *GRAMS):
+        self.floor = np.zeros((len(LEVELS), len(langs)))
+        for k, level in enumerate(LEVELS):
             bottom = 0.5 / max([totals.get((level, lang), 0) for lang in langs] + [1])
             cut = [0.5 * least[level, lang] / totals[level, lang] if (level, lang) in full and (level, lang) in least else 0.0 for lang in langs]
-            self.floor[level] = np.log(np.maximum(cut, bottom))
-        self.found: dict[int, dict[str, list[tuple[int, float]]]] = {level: {} for level in (0, *GRAMS)}
-        for level, item, lang, n in entries:
-            self.found[level].setdefault(item, []).append((place[lang], float(np.log(n / totals[level, lang]))))
-
-    def _row(self, level: int, item: str) -> np.ndarray | None:
-        have = self.found[level].get(item)
-        if have is None:
-            return None
-        row = self.floor[level].copy()
-        for i, x in have:
-            row[i] = max(x, row[i])
-        return row
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a word by language; for an unseen word the mean over its longest n-grams of
-        which any is known; zeros if even its letters are unknown."""
-        row = self._row(0, word)
-        if row is not None:
-            return row
-        for n in GRAMS:
-            rows = [r for g in grams(word, n) if (r := self._row(n, g)) is not None]
-            if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(len(self.langs))
-
-
-class Reader:
-    """Scores texts, remembering the words it has met."""
-
-    def __init__(self, model: Model, cells: int = CELLS):
-        self.model = model
-        self.most = max(1_000, cells // max(len(model.langs), 1))
-        self.rows = np.zeros((self.most, len(model.langs)))
-        self.place: dict[str, int] = {}
-
-    def total(self, words: dict[str, int]) -> np.ndarray:
-        out, items = np.zeros(len(self.model.langs)), list(words.items())
-        for first in range(0, len(items), self.most):
-            part = items[first : first + self.most]
-            if len(self.place) + sum(w not in self.place for w, _ in part) > self.most:
-                self.place.clear()
-            for w, _ in part:
-                if w not in self.place:
-                    self.rows[len(self.place)] = self.model.word(w)
-                    self.place[w] = len(self.place)
-            out += np.array([n for _, n in part], "f8") @ self.rows[[self.place[w] for w, _ in part]]
+            self.floor[k] = np.log(np.maximum(cut, bottom))
+        #: by level, the items and where their entries begin
+        self.slot: list[dict[str, int]] = [{} for _ in LEVELS]
+        at, lang_of, above = [0], [], []
+        for level, item, lang, n in sorted(entries):
+            k = LEVELS.index(level)
+            if item not in self.slot[k]:
+                self.slot[k][item] = len(at) - 1
+                at.append(at[-1])
+            at[-1] += 1
+            lang_of.append(place[lang])
+            above.append(max(float(np.log(n / totals[level, lang])) - self.floor[k][place[lang]], 0.0))
+        self.at, self.lang_of, self.above = np.array(at), np.array(lang_of, "i8"), np.array(above)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The level of each word (-1 for none), and by word its entries: (word, language, what it has above the floor).
+
+        A known word has its own frequencies, an unseen one the mean over its longest n-grams of which any is
+        known."""
+        level = np.full(len(words), -1)
+        found = []
+        todo = [i for i, w in enumerate(words) if w]
+        for k, n in enumerate(LEVELS):
+            get, owner, slots = self.slot[k].get, [], []
+            for i in todo:
+                for x in (words[i],) if n == 0 else grams(words[i], n):
+                    if (slot := get(x)) is not None:
+                        owner.append(i)
+                        slots.append(slot)
+            owner, slots = np.array(owner, "i8"), np.array(slots, "i8")
+            level[owner] = k
+            times = np.bincount(owner, minlength=len(words))
+            size = self.at[slots + 1] - self.at[slots]
+            of, entry = np.repeat(owner, size), _spans(self.at[slots], size)
+            found.append((of, self.lang_of[entry], self.above[entry] / times[of]))
+            todo = [i for i in todo if level[i] < 0]
+        return level, *(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def read(self, texts: pa.Array) -> list[tuple[str, float]]:
+        """Language and its probability of each text; ``und`` and 0 for texts without letters."""
+        starts, coded = split(texts)
+        words = [real(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        level, of, lang, above = self.look_up(words)
+        order = np.argsort(of, kind="stable")
+        lang, above = lang[order], above[order]
+        first = np.searchsorted(of[order], np.arange(len(words) + 1))
+        # each text's different words with their numbers
+        whose = np.repeat(np.arange(len(texts)), np.diff(starts))
+        pairs, n = np.unique(whose * max(len(words), 1) + coded.indices.to_numpy(), return_counts=True)
+        text, word = pairs // max(len(words), 1), pairs % max(len(words), 1)
+        width, total = len(self.langs), np.zeros(len(texts) * len(self.langs))
+        size = np.diff(first)[word]
+        piece = np.cumsum(size) // CELLS
+        for k in range(int(piece[-1]) + 1 if len(piece) and width else 0):
+            a, b = np.searchsorted(piece, [k, k + 1])
+            entry = _spans(first[word[a:b]], size[a:b])
+            total += np.bincount(np.repeat(text[a:b], size[a:b]) * width + lang[entry], np.repeat(n[a:b], size[a:b]) * above[entry], len(total))
+        at_level = np.bincount(text * (len(LEVELS) + 1) + level[word] + 1, n, len(texts) * (len(LEVELS) + 1)).reshape(len(texts), -1)[:, 1:]
+        total = total.reshape(len(texts), width) + at_level @ self.floor
+        letters = np.bincount(text, np.array([w != "" for w in words], "f8")[word], len(texts)) > 0
+        out = []
+        for has, row in zip(letters, total, strict=True):
+            if not has or not width:
+                out.append(("und", 0.0))
+                continue
+            best = int(row.argmax())
+            out.append((self.langs[best], float(min(1 / np.exp(row - row[best]).sum(), 1.0))))
         return out
 
-    def read(self, text: str | None) -> tuple[str, float]:
-        """Language and its probability; ``und`` and 0 for texts without letters."""
-        words = Counter(WORD.findall(text.lower())) if text else {}
-        if not words or not self.model.langs:
-            return "und", 0.0
-        total = self.total(words)
-        p = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.langs[best], float(min(p[best] / p.sum(), 1.0))
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each, one behind the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 def fit(docs: DataFrame, scratch: Scratch, entries: int = MODEL_ENTRIES, langs: int = MODEL_LANGS) -> Model:
@@ -194,9 +235,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
         for b in batches:
-            said = [reader.read(x.as_py()) for x in b.column(2)]
+            said = [x for _, texts in slices(b.column(2)) for x in sent.value.read(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
@@ -209,6 +249,6 @@ def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     learned.  A text whose letters were never seen gets the language with the most words.  Rows with a
     null language are predicted, not learned from; repeated rows count each time in training and get
     equal answers; a null id is not held out; an empty table gives no rows; other columns are not read.
-    Long texts are read whole, word by distinct word.
+    Texts are read whole, some megabytes at a time; each different word of these is scored once.
     """
     return predict(docs, fit(docs.where(~held_out()), scratch))

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 from foliospark.llm import change_points, divergence, language_id
 from foliospark.llm.common import Scratch
@@ -191,7 +193,7 @@ def test_shares_beyond_a_long(spark):
 
 def plain_language(train, texts):
     """The same model held in dictionaries: words and n-grams counted text by text, nothing cut."""
-    word = language_id.WORD
+    word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
     levels = {n: defaultdict(Counter) for n in (0, *language_id.GRAMS)}
     for lang, text in train:
         for w in word.findall(text.lower()):
@@ -256,17 +258,16 @@ def test_language_edges(spark):
     assert out[0]["lang_pred"] == "a" and out[1]["lang_pred"] == "b" and all(0 <= r["score"] <= 1 for r in out.values())
 
 
-def test_model_is_bounded(spark):
+def test_model_is_bounded(spark, monkeypatch):
     """Only so many entries, the most frequent; a language whose list is cut gets a floor from its least entry."""
     rows = [(k, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(400) for _ in range(1 + j % 7)), x) for k, x in enumerate("aabb")]
     df = spark.createDataFrame([(i, t, x, "s", "z", 1, 2, 3) for i, t, x in rows], LANG_SCHEMA)
     model = language_id.fit(df, Scratch(spark, "t"), entries=800)
-    sizes = {level: len(items) for level, items in model.found.items()}
-    assert 0 < sizes[0] < 200 and all(n <= 80 for level, n in sizes.items() if level)
-    reader = language_id.Reader(model, cells=10)
-    reader.most = 3
-    reader.rows = np.zeros((3, 2))
-    assert np.allclose(reader.total({f"w{c}a": 2 for c in "abcdefg"}), sum(2 * model.word(f"w{c}a") for c in "abcdefg"))
+    sizes = list(map(len, model.slot))
+    assert 0 < sizes[0] < 200 and max(sizes[1:]) <= 80 and len(model.above) <= 800
+    whole = model.read(pa.array(TEXTS := ["wba wca wda wba", "wea xx", "wfa \u0301wga e\u0301e", "", None, "\u0301 1"]))
+    monkeypatch.setattr(language_id, "CELLS", 2)
+    assert model.read(pa.array(TEXTS)) == whole == [model.read(pa.array([t], pa.string()))[0] for t in TEXTS] and [x for x, _ in whole[3:]] == ["und"] * 3
 
 
 def test_language_of_held_out_documents(spark):
