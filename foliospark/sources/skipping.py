@@ -46,18 +46,11 @@ def needed(text: str) -> list[str]:
     return sorted(found)
 
 
-def _grams(text: Column) -> Column:
-    """Grams of a text: every prefix of its words and what stands inside them."""
-    runs = F.array_distinct(F.regexp_extract_all(_lower(F.coalesce(text, F.lit(""))), F.lit(_RUN), F.lit(0)))
-    return F.flatten(
-        F.transform(
-            runs,
-            lambda w: F.concat(
-                F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(PREFIX))), lambda n: F.concat(F.lit("^"), F.substring(w, F.lit(1), n))),
-                F.when(F.length(w) >= INSIDE, F.transform(F.sequence(F.lit(1), F.length(w) - INSIDE + 1), lambda i: F.substring(w, i, F.lit(INSIDE)))).otherwise(F.array().cast("array<string>")),
-            ),
-        )
-    )
+def _grams(word: Column) -> Column:
+    """Every prefix of a word and what stands inside it."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length(word), F.lit(PREFIX))), lambda n: F.concat(F.lit("^"), F.substring(word, F.lit(1), n)))
+    inner = F.transform(F.sequence(F.lit(1), F.length(word) - INSIDE + 1), lambda i: F.substring(word, i, F.lit(INSIDE)))
+    return F.concat(prefixes, F.when(F.length(word) >= INSIDE, inner).otherwise(F.array().cast("array<string>")))
 
 
 def _plain(path: Column) -> Column:
@@ -68,13 +61,17 @@ def _plain(path: Column) -> Column:
 def build(spark: SparkSession, source: str, table: str, columns: list[str]) -> None:
     """Write the skipping table of ``source`` to ``table``: ``file, size, changed, part, bits``.
 
-    A filter is the union of its rows' bits, joined map-side; a file of any size has the same few parts.
-    Null texts have no grams; a file without any text has a row all the same, so it is known."""
+    Words of a file, then their grams, are made distinct map-side before anything is hashed, so what is
+    shuffled follows the files' vocabularies.  Null texts have no words; a file without any has a row all the same, so
+    it is known."""
     rows = spark.read.parquet(source)
+    key = ["file", "size", "changed"]
     about = [_plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("changed")]
-    text = F.concat_ws("\n", *columns)
-    grams = rows.select(*about, F.explode(F.array_distinct(F.concat(_grams(text), F.array(F.lit(""))))).alias("gram"))
-    bits = grams.select("file", "size", "changed", F.explode(_positions(F.col("gram"))).alias("at"))
+    runs = F.array_distinct(F.regexp_extract_all(_lower(F.concat_ws("\n", *columns)), F.lit(_RUN), F.lit(0)))
+    words = rows.select(*about, F.explode(runs).alias("word")).distinct()
+    grams = words.select(*key, F.explode(_grams(F.col("word"))).alias("gram")).distinct()
+    grams = grams.union(rows.select(*about, F.lit("").alias("gram")).distinct())
+    bits = grams.select(*key, F.explode(_positions(F.col("gram"))).alias("at"))
     parts = bits.groupBy("file", "size", "changed", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     parts.write.mode("overwrite").option("compression", "zstd").parquet(table)
 
