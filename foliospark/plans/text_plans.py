@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import fixed, rules, text
 from ..functions.query import QuerySpec, compile_query
 from ..operators import quality, ranks, relations, search, segment
 from ..sources import files, layout, readers, sinks, skipping
@@ -397,20 +397,75 @@ def jon13_near_words(t: Tables) -> DataFrame:
     return quality.near_words(rows, quality.vocabulary(t.benchmark, 1))
 
 
-@query()
+_CONTEXT_SQL = "(CASE WHEN start > 70 THEN '…' ELSE '' END) || replace(substr(text, greatest(start - 70, 0) + 1, least(stop + 70, length(text)) - greatest(start - 70, 0)), chr(10), ' ') || (CASE WHEN stop + 70 < length(text) THEN '…' ELSE '' END)"
+_BARE = r"regexp_replace(lower({}), '^[\x27’\-]+|[\x27’\-]+$', '', 'g')"
+
+
+def _detector_sql(least: int, shortest: int, text_sql: str = "text", longest: str = "") -> str:
+    """Tokens ``k`` of all texts with their places, words ``i`` seen ``least`` times with their inflections, and
+    ``u``, the first place in each source of every token that is no word."""
+    return rf"""
+WITH d AS (SELECT doc_id, source, {text_sql} AS text FROM documents),
+v AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM documents) GROUP BY w HAVING count(*) >= {least}{longest}),
+i AS (SELECT DISTINCT word FROM (SELECT unnest([w, w || 's', w || 'es', w || 'ed', w || 'ing', w || 'ly', w || chr(39) || 's', CASE WHEN w LIKE '%e' THEN w || 'd' END, CASE WHEN w LIKE '%e' THEN left(w, -1) || 'ing' END, CASE WHEN w LIKE '%y' THEN left(w, -1) || 'ies' END]) AS word FROM v) WHERE word <> ''),
+m AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z][A-Za-z\x27’\-]{{2,}}') AS m, regexp_split_to_array(text, '[A-Za-z][A-Za-z\x27’\-]{{2,}}') AS g FROM d),
+k AS (SELECT *, CAST(sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS stop, {_BARE.format("token")} AS bare
+      FROM (SELECT doc_id, source, unnest(m) AS token, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS pos FROM m)),
+u AS (SELECT doc_id, source, token, pos, stop - length(token) AS start, stop FROM k
+      WHERE length(token) >= {shortest} AND NOT regexp_matches(token, '[0-9]') AND (token <> upper(token) OR lower(token) = upper(token)) AND bare NOT IN (SELECT word FROM i)
+      QUALIFY row_number() OVER (PARTITION BY source, token ORDER BY CAST(doc_id AS VARCHAR), pos) = 1),
+"""
+
+
+@query(
+    _detector_sql(50, 5, longest=" AND length(w) >= 5")
+    + """
+n AS (SELECT t, w, CAST(levenshtein(t, w) AS INTEGER) AS distance FROM (SELECT DISTINCT lower(token) AS t FROM u) JOIN v ON abs(length(t) - length(w)) <= 2 WHERE levenshtein(t, w) <= 2),
+b AS (SELECT *, row_number() OVER o AS r, lead(distance) OVER o AS next_distance FROM n WINDOW o AS (PARTITION BY t ORDER BY distance, w)),
+c AS (SELECT * FROM b WHERE r = 1 AND distance > 0 AND (distance = 1 OR next_distance IS NULL) AND NOT (distance = 1 AND (w = t || 's' OR t = w || 's' OR w = t || 'd' OR t = w || 'd')))
+SELECT source AS contract_id, token, CASE WHEN regexp_matches(token, '^[A-Z]') THEN upper(left(w, 1)) || substr(w, 2) ELSE w END AS candidate, distance, next_distance FROM u JOIN c ON c.t = lower(u.token)
+"""
+)
 def win06_clear_winner(t: Tables) -> DataFrame:
     words = quality.vocabulary(clauses(t), 50).where("length(word) >= 5").select("word")
     return quality.fuzzy_suspects(scanned(t), words, words).select("contract_id", "token", "candidate", "distance", "next_distance")
 
 
-@query()
-def qry20_substitutions(t: Tables) -> DataFrame:
-    return quality.suspects(scanned(t), quality.vocabulary(clauses(t), 50)).select("contract_id", "token", "suggestions", "context")
+def _suggested() -> Column:
+    """Suggestions as one text, each with its rule."""
+    return F.array_join(F.transform("suggestions", lambda x: F.concat(x["candidate"], F.lit(" ("), x["rule"], F.lit(")"))), "; ").alias("suggestions")
 
 
-@query()
+@query(
+    _detector_sql(50, 4)
+    + f"""
+a AS (SELECT token, candidate, arg_min(rule, k * 1000 + o) AS rule, min(k) AS k FROM (
+      SELECT token, left(token, o - 1) || new || substr(token, o + length(old)) AS candidate, old || '→' || new AS rule, k, o
+      FROM (SELECT token, old, new, k, unnest(range(1, length(token) + 1)) AS o FROM (SELECT DISTINCT token FROM u), (VALUES {", ".join(f"({k}, '{old}', '{new}')" for k, (old, new) in enumerate(fixed.CONFUSIONS))}) r(k, old, new))
+      WHERE substr(lower(token), o, length(old)) = old) WHERE candidate <> token GROUP BY ALL),
+s AS (SELECT token, string_agg(candidate || ' (' || rule || ')', '; ' ORDER BY k, candidate) AS suggestions FROM a WHERE {_BARE.format("candidate")} IN (SELECT word FROM i) GROUP BY token)
+SELECT u.source AS contract_id, token, suggestions, {_CONTEXT_SQL} AS context FROM u JOIN s USING (token) JOIN d USING (doc_id)
+"""
+)
+def qry20_substitutions(t: Tables) -> DataFrame:
+    return quality.suspects(scanned(t), quality.vocabulary(clauses(t), 50)).select("contract_id", "token", _suggested(), "context")
+
+
+@query(
+    _detector_sql(200, 5)
+    + f"""
+x AS (SELECT token, unnest(range(length(token) + 1)) AS o FROM (SELECT DISTINCT token FROM u)),
+a AS (SELECT token, w, arg_min(rule, k) AS rule, min(k) AS k FROM (
+      SELECT token, left(lower(token), o) || c || substr(lower(token), o + 1) AS w, 'insert ' || chr(39) || c || chr(39) || ' at ' || o AS rule, o * 100 + ascii(c) - 97 AS k FROM (SELECT *, unnest({sorted(fixed.DROPPED_LETTERS)}) AS c FROM x)
+      UNION ALL SELECT token, left(lower(token), o) || substr(lower(token), o + 2), 'drop char at ' || o, o + 1000000 FROM x WHERE o < length(token))
+      WHERE w <> '' AND w <> lower(token) GROUP BY ALL),
+e AS (SELECT token, CASE WHEN regexp_matches(token, '^[A-Z]') THEN upper(left(w, 1)) || substr(w, 2) ELSE w END AS candidate, rule, k FROM a),
+s AS (SELECT token, array_to_string(list(candidate || ' (' || rule || ')' ORDER BY k, candidate)[1:3], '; ') AS suggestions FROM e WHERE {_BARE.format("candidate")} IN (SELECT word FROM i) GROUP BY token)
+SELECT u.source AS contract_id, token, suggestions FROM u JOIN s USING (token)
+"""
+)
 def qry20_drops(t: Tables) -> DataFrame:
-    return quality.suspects(scanned(t), quality.vocabulary(clauses(t), 200), "drops").select("contract_id", "token", "suggestions")
+    return quality.suspects(scanned(t), quality.vocabulary(clauses(t), 200), "drops").select("contract_id", "token", _suggested())
 
 
 @query()
@@ -418,9 +473,19 @@ def qry20_fragments(t: Tables) -> DataFrame:
     return quality.fragments(scanned(t), quality.vocabulary(clauses(t), 200))
 
 
-@query()
+@query(
+    _detector_sql(200, 3, "replace(text, '. T', 'T')")
+    + f"""
+c AS (SELECT *, regexp_extract(token, '([a-z]{{2,}})([A-Z][a-z]{{2,}})', 1) AS a, regexp_extract(token, '([a-z]{{2,}})([A-Z][a-z]{{2,}})', 2) AS b FROM k
+      QUALIFY row_number() OVER (PARTITION BY source, token ORDER BY CAST(doc_id AS VARCHAR), pos) = 1),
+w AS (SELECT *, stop - length(token) AS start FROM c WHERE a <> '' AND {_BARE.format("a")} IN (SELECT word FROM i) AND {_BARE.format("b")} IN (SELECT word FROM i) AND bare NOT IN (SELECT word FROM i))
+SELECT w.source AS contract_id, CAST(doc_id AS VARCHAR) AS id, token AS original, regexp_replace(token, '^(.*?[a-z]{{2,}})([A-Z][a-z]{{2,}})', '\\1 \\2') AS candidate, 'split' AS rule, {_CONTEXT_SQL} AS context FROM w JOIN d USING (doc_id)
+"""
+)
 def qry20_missing_spaces(t: Tables) -> DataFrame:
-    return quality.missing_spaces(scanned(t), quality.vocabulary(clauses(t), 200))
+    """Sentences that lost what stands between them."""
+    run_on = scanned(t).withColumn("text", F.replace("text", F.lit(". T"), F.lit("T")))
+    return quality.missing_spaces(run_on, quality.vocabulary(clauses(t), 200)).select("contract_id", "id", "original", "candidate", "rule", "context")
 
 
 @query("""
@@ -445,9 +510,11 @@ def _pieces(t: Tables) -> DataFrame:
     """Texts as pages of a fixed-width font: ``page, row, length, cells``, a line a row, cut at its separators."""
     rows = t.documents.select(F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row", "line"))
     rows = rows.select("page", "row", F.length("line").alias("length"), F.split("line", r" \| ").alias("cut"))
-    lengths = F.transform("cut", F.length)
-    start = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + 3 * i
-    return rows.select("page", "row", "length", "cut", F.transform("cut", lambda x, i: F.struct((6.0 * start(i)).alias("x0"), (6.0 * (start(i) + F.length(x))).alias("x1"), x.alias("text"))).alias("cells"))
+    rows = rows.withColumn("sizes", F.transform("cut", F.length))
+    start = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, x: a + x) + 3 * i
+    cells = F.transform("cut", lambda x, i: F.struct((6.0 * start(i)).alias("x0"), x.alias("text")))
+    # read three times below, so written once
+    return Shared(t.spark, "pieces").save(rows.select("page", "row", "length", cells.alias("cells")), "rows")
 
 
 @query(r"""
@@ -473,10 +540,9 @@ def src08_masked_text(t: Tables) -> DataFrame:
     rows = _pieces(t)
     inset = F.when(F.col("row") % 2 == 0, 1.0).otherwise(2.0)
     top = F.col("row") * 10.0
-    pieces = rows.select("page", top.alias("top"), (top + 8).alias("bottom"), F.explode("cells").alias("c")).select("page", "top", "bottom", "c.*").where("text <> ''")
-    cells = F.slice("cells", 2, 1_000_000)
-    table = F.concat(F.lit("| "), F.array_join(F.slice("cut", 2, 1_000_000), " | "), F.lit(" |"))
-    boxes = rows.where(F.size("cut") > 1).select("page", (top + 1).alias("top"), (top + 7).alias("bottom"), (F.get(cells, F.lit(0))["x0"] + inset).alias("x0"), (6.0 * F.col("length") - inset).alias("x1"), table.alias("markdown"))
+    pieces = rows.select("page", top.alias("top"), (top + 8).alias("bottom"), F.explode("cells").alias("c")).select("page", "top", "bottom", "c.x0", (F.col("c.x0") + 6.0 * F.length("c.text")).alias("x1"), "c.text").where("text <> ''")
+    table = F.concat(F.lit("| "), F.array_join(F.transform(F.slice("cells", 2, 1_000_000), lambda x: x["text"]), " | "), F.lit(" |"))
+    boxes = rows.where(F.size("cells") > 1).select("page", (top + 1).alias("top"), (top + 7).alias("bottom"), (F.get("cells", F.lit(1))["x0"] + inset).alias("x0"), (6.0 * F.col("length") - inset).alias("x1"), table.alias("markdown"))
     pages = rows.groupBy("page").agg(F.greatest(F.lit(612.0), 6.0 * F.max("length")).alias("width"))
     return layout.page_texts(pieces, boxes, pages).select(F.col("page").alias("doc_id"), "columns", "text")
 

@@ -46,21 +46,19 @@ def column_counts(pieces: DataFrame, pages: DataFrame, page: str = "page", width
     return wide.join(n, page, "left").select(page, "width", F.when(two, 2).otherwise(1).alias("columns"))
 
 
-def lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, top, line``: pieces of equal ``keys`` joined to lines.
+def lines(pieces: DataFrame, page: str = "page", side: str = "side") -> DataFrame:
+    """``page, side, top, line``: pieces of a page's side joined to lines.
 
     Tops that follow each other without a gap form a line; its pieces stand from left to right, with a
-    space where they are apart.  Only different tops go through the window, a page's lines at most.
+    space where they are apart.  A page is sorted once, in one task; what follows is grouped where it lies.
     """
-    tops = pieces.groupBy(*keys, "top").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    order = Window.partitionBy(*keys).orderBy("top")
-    fresh = F.coalesce(F.col("top") - F.lag("top").over(order) > LINE_GAP, F.lit(True))
-    tops = tops.withColumn("__new", fresh).withColumn("__line", F.max(F.when(F.col("__new"), F.col("top"))).over(order)).drop("__new")
-    placed = pieces.join(tops, [*keys, "top"])
+    order = Window.partitionBy(page).orderBy(side, "top")
+    fresh = F.coalesce((F.col(side) != F.lag(side).over(order)) | (F.col("top") - F.lag("top").over(order) > LINE_GAP), F.lit(True))
+    numbered = pieces.withColumn("__new", fresh.cast("int")).withColumn("__line", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     row = F.array_sort(F.collect_list(F.struct("x0", "x1", "text")))
     with_spaces = lambda r: F.transform(r, lambda c, i: F.concat(F.when((i > 0) & (c["x0"] - F.get(r, i - 1)["x1"] > WORD_GAP), F.lit(" ")).otherwise(F.lit("")), c["text"]))
-    joined = placed.groupBy(*keys, F.col("__line").alias("top")).agg(row.alias("__row"))
-    return joined.select(*keys, "top", F.trim(F.regexp_replace(F.array_join(with_spaces(F.col("__row")), ""), " +", " ")).alias("line")).where("line <> ''")
+    joined = numbered.groupBy(page, side, "__line").agg(F.min("top").alias("top"), row.alias("__row"))
+    return joined.select(page, side, "top", F.trim(F.regexp_replace(F.array_join(with_spaces(F.col("__row")), ""), " +", " ")).alias("line")).where("line <> ''")
 
 
 def _strip(text: Column) -> Column:
@@ -80,7 +78,7 @@ def page_texts(pieces: DataFrame, boxes: DataFrame, pages: DataFrame, page: str
     counted = column_counts(pieces, pages, page)
     free = outside(pieces, shown, page).join(counted, page)
     side = F.when((F.col("columns") == 2) & ((F.col("x0") + F.col("x1")) / 2 >= F.col("width") / 2), 1).otherwise(0)
-    rows = lines(free.select(page, side.alias("side"), "x0", "x1", "top", "text"), [page, "side"])
+    rows = lines(free.select(page, side.alias("side"), "x0", "x1", "top", "text"), page)
     body = rows.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "top", "line"))), lambda x: x["line"]), "\n").alias("__body"))
     tables = shown.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "markdown"))), lambda x: F.concat(F.lit("\n"), x["markdown"], F.lit("\n"))).alias("__tables"))
     out = counted.join(tables, page, "left").join(body, page, "left")
