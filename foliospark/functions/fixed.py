@@ -68,6 +68,17 @@ AMENDS = (
 CONSENT = r"(?i)(consent\s+determination|wage\s+indenture|comptroller\s+of\s+the\s+city\s+of\s+new\s+york|labor\s+law\s+section\s+220|section\s+220\.8)"
 UNIT_LETTER = r"(?i)(unit\s+bargaining|uniform(?:ed)?\s+officers?\s+coalition|\bUOCEA\b|\bVOCEA\b)"
 
+# Wordings at the beginning of documents, articles in texts and headings, and how far and how many are looked at.
+INDENTURE = r"\bINDENTURE\b"
+MEMORANDUM = r"(?i)memorandum\s+of\s+(?:economic\s+)?agreement"
+NO_MEMORANDUM = r"(?i)before\s+the\s+comptroller|consent\s+determination"
+EXECUTED = r"(?i)executed\s+contract"
+CONSENT_LABELS = ("consent determination", "wage indenture")
+ARTICLE_IN_TEXT = r"(?im)^\s*ARTICLE\s+(?:[IVXLC]+|\d+)\b"
+ARTICLE_HEADING = r"(?i)^\s*Article\s+(?:[IVXLC]+|\d+)\b"
+HEAD_CHARS, WORDING_CHARS, EXECUTED_CHARS, FULL_CHARS, EVIDENCE_CHARS = 700, 6000, 3000, 40000, 180
+EXECUTED_ARTICLES, MANY_ARTICLES, SOME_ARTICLES = 12, 8, 4
+
 # Letter confusions of character recognition, (read, meant).
 CONFUSIONS = [("v", "y"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("c", "e"), ("e", "c"), ("n", "u"), ("u", "n"), ("h", "b"), ("b", "h"), ("ii", "n"), ("n", "ii"), ("li", "h"), ("h", "li"), ("ti", "ii"), ("ii", "ti")]
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 from heapq import heappop, heappush
+from operator import or_
 
 import pandas as pd
 import regex
@@ -206,19 +208,21 @@ def classify_documents(docs: DataFrame) -> DataFrame:
     text, label = F.coalesce("text", F.lit("")), F.lower(F.coalesce("label", F.lit("")))
     found = F.regexp_extract(text, fixed.AMENDS, 0)
     amends = text.rlike(fixed.AMENDS)
-    in_text = F.regexp_count(text, F.lit(r"(?im)^\s*ARTICLE\s+(?:[IVXLC]+|\d+)\b"))
-    in_heads = F.size(F.filter(F.coalesce("headings", F.array().cast("array<string>")), lambda h: h.rlike(r"(?i)^\s*Article\s+(?:[IVXLC]+|\d+)\b")))
-    articles, head, length = in_text + in_heads, F.substring(text, 1, 700), F.length(text)
+    in_text = F.regexp_count(text, F.lit(fixed.ARTICLE_IN_TEXT))
+    in_heads = F.size(F.filter(F.coalesce("headings", F.array().cast("array<string>")), lambda h: h.rlike(fixed.ARTICLE_HEADING)))
+    articles, head, length = in_text + in_heads, F.substring(text, 1, fixed.HEAD_CHARS), F.length(text)
+    wording = F.substring(text, 1, fixed.WORDING_CHARS)
+    labelled = reduce(or_, [F.contains(label, F.lit(x)) for x in fixed.CONSENT_LABELS])
     kind = (
-        F.when(head.rlike(r"\bINDENTURE\b"), "consent-determination")
-        .when(head.rlike(r"(?i)memorandum\s+of\s+(?:economic\s+)?agreement") & ~head.rlike(r"(?i)before\s+the\s+comptroller|consent\s+determination"), "moa")
-        .when(F.substring(text, 1, 6000).rlike(fixed.CONSENT) | F.contains(label, F.lit("consent determination")) | F.contains(label, F.lit("wage indenture")), "consent-determination")
-        .when(F.substring(text, 1, 6000).rlike(fixed.UNIT_LETTER), "unit-agreement")
-        .when(F.substring(text, 1, 3000).rlike(r"(?i)executed\s+contract") & (articles >= 12) & ~amends, "full-agreement")
-        .when((articles >= 8) & (length > 40000), "full-agreement")
+        F.when(head.rlike(fixed.INDENTURE), "consent-determination")
+        .when(head.rlike(fixed.MEMORANDUM) & ~head.rlike(fixed.NO_MEMORANDUM), "moa")
+        .when(wording.rlike(fixed.CONSENT) | labelled, "consent-determination")
+        .when(wording.rlike(fixed.UNIT_LETTER), "unit-agreement")
+        .when(F.substring(text, 1, fixed.EXECUTED_CHARS).rlike(fixed.EXECUTED) & (articles >= fixed.EXECUTED_ARTICLES) & ~amends, "full-agreement")
+        .when((articles >= fixed.MANY_ARTICLES) & (length > fixed.FULL_CHARS), "full-agreement")
         .when(amends, "moa")
-        .when((length > 40000) & (articles >= 4), "full-agreement")
+        .when((length > fixed.FULL_CHARS) & (articles >= fixed.SOME_ARTICLES), "full-agreement")
         .otherwise("moa")
     )
-    evidence = F.when(amends, F.substring(F.trim(F.regexp_replace(found, r"[\s ]+", " ")), 1, 180))
+    evidence = F.when(amends, F.substring(F.trim(F.regexp_replace(found, r"[\s ]+", " ")), 1, fixed.EVIDENCE_CHARS))
     return docs.withColumns({"doc_type": kind, "amends_predecessor": amends, "amends_evidence": evidence, "chars": length})

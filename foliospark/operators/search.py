@@ -124,13 +124,24 @@ def table_of_contents(clauses: DataFrame) -> DataFrame:
 KEY_WORDS, SHORT_ITEMS = 5, 1000
 
 
+def _by_first_letters(docs: DataFrame, short: DataFrame, doc_id: str, item_id: str, most: int = 3) -> DataFrame:
+    """Documents that hold items as they are, met on the first ``most`` letters of an item; the texts then decide."""
+    key = F.substring("__item", 1, most)
+    keyed = short.select(item_id, "__item", key.alias("__key"))
+    sizes = sorted(r["n"] for r in keyed.select(F.length("__key").alias("n")).distinct().collect())
+    text = F.coalesce("text", F.lit(""))
+    every = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    met = docs.select(doc_id, F.explode(F.array_distinct(F.concat(*map(every, sizes)))).alias("__key")).join(keyed, "__key")
+    return met.join(docs.select(doc_id, "text"), doc_id).where(F.contains("text", F.col("__item"))).select(doc_id, item_id)
+
+
 def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) -> DataFrame:
     """``doc_id, item_id``: documents whose text holds an item's text as it is.
 
     All words of an item but its first and last stand whole in a text that holds it, so items
     and documents meet on up to ``KEY_WORDS`` of these, by hash; the texts then decide.  Runs of a
-    document are made for the lengths that items ask for.  Items of one or two words (at most
-    ``SHORT_ITEMS``, counted) are looked for in every text.
+    document are made for the lengths that items ask for.  Items of one or two words are looked for in
+    every text while they are few (``SHORT_ITEMS``, counted); more of them meet the texts on their first letters.
     """
     split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
     asked = items.select(F.col(item_id), F.col("text").alias("__item"), split("text").alias("w")).where("length(__item) > 0")
@@ -150,8 +161,9 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) ->
         out = met.join(docs.select(doc_id, "text"), doc_id).where(F.contains("text", F.col("__item"))).select(doc_id, item_id)
     few = asked.where("n <= 0").select(item_id, "__item").limit(SHORT_ITEMS + 1).collect()
     if len(few) > SHORT_ITEMS:
-        raise ValueError(f"more than {SHORT_ITEMS} items of one or two words")
-    if few:
+        short = _by_first_letters(docs, asked.where("n <= 0").select(item_id, "__item"), doc_id, item_id)
+        out = out.union(short) if sizes else short
+    elif few:
         kind = dict(items.dtypes)[item_id]
         hit = F.filter(F.array(*[F.when(F.contains("text", F.lit(r["__item"])), F.lit(r[item_id]).cast(kind)) for r in few]), lambda x: x.isNotNull())
         short = docs.select(doc_id, F.explode(hit).alias(item_id))

@@ -119,3 +119,12 @@ def test_items_that_documents_hold(spark):
     want = sorted((a, b) for a, x in docs for b, y in items if x and y and y in x)
     assert sorted(map(tuple, search.containing(d, i, "doc_id", "item_id").collect())) == want
     assert search.containing(d, i.where("item_id < 0"), "doc_id", "item_id").collect() == []
+
+
+def test_many_short_items(spark, monkeypatch):
+    """More short items than are swept at once are found all the same."""
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(["one two three", "xone twox", "é b", "ab", None, "", "a", "one  two"])], "doc_id int, text string")
+    i = spark.createDataFrame([(k, t) for k, t in enumerate(["one two", "e t", "é", "a", "ab", " b", "zz", "one two three four", "b"])], "item_id int, text string")
+    want = sorted(map(tuple, search.containing(d, i, "doc_id", "item_id").collect()))
+    monkeypatch.setattr(search, "SHORT_ITEMS", 2)
+    assert sorted(map(tuple, search.containing(d, i, "doc_id", "item_id").collect())) == want and (1, 0) in want and (7, 1) not in want
