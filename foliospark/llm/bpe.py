@@ -141,7 +141,8 @@ def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | Non
 
     ``doc_id, n_tokens, ids_sha256, decoded_sha256``.  The ids live for one document at
     a time, so memory follows the longest text, and a text may be one run of white space.  Null and empty texts have no tokens and
-    the digests of no bytes; repeated rows give repeated results; other columns are not read.
+    the digests of no bytes; repeated rows give repeated results; an empty table gives none; other
+    columns, whatever their names, are neither read nor returned.
     """
     rank_file, pattern = rank_file or rank_path(), pattern or default_pattern()
 

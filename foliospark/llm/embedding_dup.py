@@ -201,7 +201,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
     vector that is null, empty, zero, or holds a null or a non-finite number, or has no label,
     links with nothing; lengths that differ are not compared.  Repeated rows are equal
     vectors and link with each other.  A row without id counts for no one: no links, null
-    component, kept.  Memory: a task holds at most two blocks of a leaf.
+    component, kept.  An empty table gives no rows; other columns, whatever their names, are not
+    read.  Memory: a task holds at most two blocks of a leaf.
     """
     spark = vectors.sparkSession
     base = scratch.save(_read(vectors), "vectors")

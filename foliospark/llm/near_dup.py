@@ -340,7 +340,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ``component_id`` is the smallest id reachable by links, ``kept`` whether that is the
     document's own.  Null, empty and wordless texts have no shingles and are linked with
     nothing.  Rows that repeat an id and its text fall together.  A row without id takes
-    no part: its component is null and it is kept.  An empty table gives no rows.
+    no part: its component is null and it is kept.  An empty table gives no rows.  Ids
+    are taken to name one text each.  Texts are read whole, however long; other columns, whatever their
+    names, are neither read nor returned.
     """
     spark = docs.sparkSession
     all_rows = scratch.save(summaries(docs), "summaries")

@@ -311,7 +311,9 @@ def pack(docs: DataFrame, scratch: Scratch, sequence: int = SEQUENCE, path: str
     curve fills its sequences without a gap; what is left at its end goes into
     sequences whose lengths are powers of two, so nothing is padded.  A null or empty
     text is its end id alone; repeated rows are packed each time.  Ranges are cut on
-    (curve, doc_id), so a large group of copies spreads over several.
+    (curve, doc_id), so a large group of copies spreads over several; rows equal in both lie in one range,
+    in no stated order.  An empty table gives no rows; a long text spans as many sequences as it needs; other
+    columns, whatever their names, are neither read nor returned.
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession

@@ -125,7 +125,8 @@ def verdicts(docs: DataFrame, scratch: Scratch, host: str = "source", max_rate:
     ``kept`` is false where the base rule failed or the host's shrunken rate is above
     ``max_rate``.  A document without a host is judged by the base rule alone.  Repeated
     rows give repeated verdicts; an empty table gives none.  Counts are written once and
-    read for both the host rates and the verdicts, so texts are read once.
+    read for both the host rates and the verdicts, so texts are read once.  Null texts have no words; texts
+    are counted whole; other columns, whatever their names, are neither read nor returned.
     """
     counts = scratch.save(base_counts(docs, host), "rule-counts")
     hosts = host_rates(counts, scratch).select("host", F.col("rate").alias("host_rate"), F.col("n").cast("long").alias("host_docs"))

@@ -96,5 +96,8 @@ def quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def token_counts(docs: DataFrame, scratch: Scratch, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Histogram and suffix sums of all documents; the histogram is written, so texts are encoded once."""
+    """Histogram and suffix sums of all documents; the histogram is written, so texts are encoded once.
+
+    Null and empty texts have length 0; repeated rows count each time; an empty table gives no rows; texts are encoded
+    whole; columns other than the text are not read."""
     return suffix_sums(scratch.save(histogram(docs, rank_file, pattern), "lengths"))

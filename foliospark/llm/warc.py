@@ -172,7 +172,8 @@ def write(pages: DataFrame, scratch: Scratch, name: str = "archives", date: str
     """Write one record per page and return the folder of archives.
 
     A null html is an empty payload, always stored.  Of pages with equal payloads, that
-    with the smallest id is stored; rows that repeat its id are stored again.
+    with the smallest id is stored; rows that repeat its id are stored again.  An empty table gives an empty
+    folder; pages are stored whole; other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     seen = scratch.save(digests(pages), "digests")

@@ -303,7 +303,7 @@ def classify(docs: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS, least:
     ``weak_label`` is the posterior that the text is good given its votes, ``score`` the
     scorer's probability, ``kept`` whether it reaches ``least``.  Null and empty texts get no
     vote and the score of an empty text; repeated rows get equal scores; an empty table gives no
-    rows.  The driver gets at most 3^10 vote patterns and ``fit_rows`` feature rows.
+    rows; texts are read whole; other columns, whatever their names, are neither read nor returned.  The driver gets at most 3^10 vote patterns and ``fit_rows`` feature rows.
     """
     spark = docs.sparkSession
     rows = scratch.save(read(docs), "votes")
