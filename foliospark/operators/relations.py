@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 
 def lookup(rows: DataFrame, dimension: DataFrame, on: str, ordinal: str | None = None) -> DataFrame:
-    """Left join to a dimension in which the last row of a key counts."""
-    if ordinal:
-        others = [c for c in dimension.columns if c not in (on, ordinal)]
-        dimension = dimension.groupBy(on).agg(*[F.max_by(F.struct(c), ordinal)[c].alias(c) for c in others])
-    return rows.join(dimension, on, "left")
+    """Left join to a dimension in which the last row of a key counts, so rows never multiply.
+
+    Without ``ordinal`` the last is that with the largest columns, in their order."""
+    others = [c for c in dimension.columns if c not in (on, ordinal)]
+    if not others:
+        return rows
+    last = F.max_by(F.struct(*others), ordinal) if ordinal else F.max(F.struct(*others))
+    one = dimension.groupBy(on).agg(last.alias("__last"))
+    return rows.join(one, on, "left").select(*rows.columns, *[F.col(f"__last.`{c}`").alias(c) for c in others])
 
 
 def overlay(rows: DataFrame, curated: DataFrame, on: str, flag: str = "curated") -> DataFrame:

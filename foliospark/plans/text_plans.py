@@ -313,10 +313,50 @@ def cas01_headings(t: Tables) -> DataFrame:
     return kinds.where("h.level = 'article' AND h.num = '1' AND h.title = 'LICENSE'").groupBy("doc_id").agg(F.max(F.lit(1)).alias("articles"))
 
 
-@query()
+def _made(t: Tables) -> DataFrame:
+    """Documents whose license lines are headings of four kinds."""
+    said = F.regexp_replace("text", r"(?m)^Released under .*$", "ARTICLE IV - LICENSE")
+    said = F.regexp_replace(said, r"(?m)^This work .*$", "Section 2.1: Works")
+    said = F.regexp_replace(F.regexp_replace(said, r"(?m)^Thth.*$", "3. TERMS AND HOURS"), r"(?m)^An[a-z]* .*$", "GENERAL PROVISIONS")
+    return t.documents.select(F.col("doc_id").cast("string").alias("contract_id"), F.col("source").alias("label"), said.alias("text"))
+
+
+_SEGMENTS = rf"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS c, source AS label, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^Released under .*$', 'ARTICLE IV - LICENSE', 'g'),
+      '(?m)^This work .*$', 'Section 2.1: Works', 'g'), '(?m)^Thth.*$', '3. TERMS AND HOURS', 'g'), '(?m)^An[a-z]* .*$', 'GENERAL PROVISIONS', 'g') AS text FROM documents),
+p AS (SELECT c, unnest(string_split(text, chr(12))) AS body, unnest(range(len(string_split(text, chr(12))))) + 1 AS page FROM d),
+l AS (SELECT c, page, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS k FROM p),
+s AS (SELECT *, regexp_replace(line, '^[\s]+|[\s]+$', '', 'g') AS s FROM l),
+h AS (SELECT *, CASE WHEN s = '' OR contains(s, '....') THEN NULL WHEN regexp_matches(s, $a${fixed.ARTICLE_LINE}$a$) THEN 1 WHEN regexp_matches(s, $a${fixed.SECTION_LINE}$a$) THEN 2
+      WHEN regexp_matches(s, $a${fixed.NUMBERED_LINE}$a$) AND length(s) <= 80 THEN 3 WHEN regexp_matches(s, $a${fixed.CAPITALS_LINE}$a$) AND length(s) BETWEEN 5 AND 60 THEN 4 END AS h FROM s),
+n AS (SELECT *, CASE h WHEN 1 THEN regexp_extract(s, $a${fixed.ARTICLE_LINE}$a$, 1) WHEN 2 THEN regexp_extract(s, $a${fixed.SECTION_LINE}$a$, 1) WHEN 3 THEN regexp_extract(s, $a${fixed.NUMBERED_LINE}$a$, 1) ELSE '' END AS num,
+      trim(CASE h WHEN 1 THEN regexp_extract(s, $a${fixed.ARTICLE_LINE}$a$, 2) WHEN 2 THEN regexp_extract(s, $a${fixed.SECTION_LINE}$a$, 2) WHEN 3 THEN regexp_extract(s, $a${fixed.NUMBERED_LINE}$a$, 2) ELSE regexp_extract(s, $a${fixed.CAPITALS_LINE}$a$, 1) END) AS title,
+      count(h) OVER (PARTITION BY c ORDER BY page, k ROWS UNBOUNDED PRECEDING) AS span FROM h),
+g AS (SELECT c, span, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY page, k) FILTER (h IS NULL), ''), '^[\s]+|[\s]+$', '', 'g') AS text, max(h) AS h, max(num) FILTER (h IS NOT NULL) AS num, max(title) FILTER (h IS NOT NULL) AS title, min(page) AS page FROM n GROUP BY c, span),
+z AS (SELECT *, length(regexp_replace(text, '[\s]', '', 'g')) AS size FROM g),
+m AS (SELECT d.c, label, d.text, CASE WHEN max(span) = 0 THEN 'whole' WHEN any_value(length(regexp_replace(d.text, '[\s]', '', 'g'))) > 200 AND sum(CASE WHEN span > 0 OR size >= 80 THEN size ELSE 0 END) / any_value(length(regexp_replace(d.text, '[\s]', '', 'g'))) < 0.7 THEN 'pages' ELSE 'headings' END AS mode
+      FROM d JOIN z USING (c) GROUP BY ALL),
+o AS (SELECT c || '__' || (span - 1) AS id, c, span AS no, CASE WHEN h = 1 THEN 'Article ' || num || CASE WHEN title <> '' THEN ' — ' || title ELSE '' END WHEN num <> '' THEN 'Section ' || num || CASE WHEN title <> '' THEN ' — ' || title ELSE '' END ELSE title END AS heading, page, z.text FROM z JOIN m USING (c) WHERE mode = 'headings' AND span > 0 AND z.text <> ''
+      UNION ALL SELECT c || '__preamble', c, 0, label, 1, z.text FROM z JOIN m USING (c) WHERE mode = 'headings' AND span = 0 AND size >= 80
+      UNION ALL SELECT c || '__page' || page, c, page, label || ' — page ' || page, page, regexp_replace(body, '^[\s]+|[\s]+$', '', 'g') FROM p JOIN m USING (c) WHERE mode = 'pages' AND regexp_replace(body, '^[\s]+|[\s]+$', '', 'g') <> ''
+      UNION ALL SELECT c || '__whole', c, 0, label, 1, regexp_replace(text, '^[\s]+|[\s]+$', '', 'g') FROM m WHERE mode = 'whole')
+"""
+
+
+@query(_SEGMENTS + "SELECT id, c AS contract_id, CAST(no AS INTEGER) AS clause_no, heading, CAST(page AS INTEGER) AS page, CAST(length(text) AS INTEGER) AS chars FROM o")
 def cas02_segment(t: Tables) -> DataFrame:
-    made = t.documents.select(F.col("doc_id").cast("string").alias("contract_id"), F.col("source").alias("label"), F.regexp_replace("text", "(?m)^(Released under .*|This work .*)$", "ARTICLE 1 - LICENSE").alias("text"))
-    return segment.segment(made).select("id", "contract_id", "clause_no", "heading", "page", F.length("text").alias("chars"))
+    return segment.segment(_made(t)).select("id", "contract_id", "clause_no", "heading", "page", F.length("text").alias("chars"))
+
+
+@query(_SEGMENTS + r"""
+, q AS (SELECT c, sum(length(regexp_replace(text, '[\s]', '', 'g'))) AS held FROM o GROUP BY c),
+t AS (SELECT c, length(regexp_replace(text, '[\s]', '', 'g')) AS solid FROM d)
+SELECT c AS contract_id, CAST(solid AS INTEGER) AS solid, CAST(coalesce(held, 0) AS BIGINT) AS held, CASE WHEN solid > 0 THEN round(coalesce(held, 0) / solid, 6) END AS share FROM t LEFT JOIN q USING (c)
+""")
+def agg18_coverage(t: Tables) -> DataFrame:
+    """The share of every document that its clauses hold."""
+    docs = _made(t)
+    return segment.coverage(segment.segment(docs), docs).select("contract_id", "solid", "held", F.round("share", 6).alias("share"))
 
 
 @query("""

@@ -19,6 +19,7 @@ def test_last_duplicate_wins_and_first_link(spark):
     dim = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "id string, v string, n int")
     left = spark.createDataFrame([("a",), ("z",)], "id string")
     assert rows(r.lookup(left, dim, "id", "n"), "id", "v") == [("a", "new"), ("z", None)]
+    assert r.lookup(left, dim.select("id", "v"), "id").count() == left.count() and r.lookup(left, dim.select("id"), "id").columns == left.columns
     assert rows(r.first_link(dim, "id", ["n"]), "v") == [("old",)]
 
 
