@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import some
+from ..shared import Shared
 
 _BLANK = r"[\s ]"
 
@@ -65,8 +66,10 @@ def segment(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "cont
     under ``least_coverage`` of more than 200 solid characters, the document is cut by page
     instead.  ``pages(contract_id, page, ocr)`` marks recognised pages.
 
-    A document is one key: its lines are sorted once, and all other work is grouped by span.
+    A document is one key: its lines are sorted once, and all other work is grouped by span.  Spans are
+    written once, for four kinds of clauses read them.
     """
+    shared = Shared(docs.sparkSession, "segment")
     raw = lines_of(docs, id_col)
     trimmed = raw.withColumn("h", heading_kind(_strip(F.col("line"))))
     marked = spans(trimmed, F.col("h").isNotNull(), id_col)
@@ -74,12 +77,13 @@ def segment(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "cont
     grouped = marked.groupBy(id_col, "span").agg(_strip(body).alias("text"), F.max("h").alias("h"), F.min("page").alias("page"))
     carry = Window.partitionBy(id_col).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     article = F.when(F.col("h.level") == "article", F.struct(F.col("h.num").alias("n"), F.col("h.title").alias("t")))
-    grouped = grouped.withColumn("a", F.last(article, ignorenulls=True).over(carry))
+    grouped = grouped.withColumn("a", F.last(article, ignorenulls=True).over(carry)).withColumn("size", _solid(F.col("text")))
+    grouped = shared.save(grouped, "spans")
     whole = docs.select(F.col(id_col), "label", _solid(F.coalesce("text", F.lit(""))).alias("solid"))
-    counted = grouped.groupBy(id_col).agg(F.max("span").alias("n_headings"), F.sum(F.when(F.col("span") > 0, _solid(F.col("text"))).when(_solid(F.col("text")) >= 80, _solid(F.col("text"))).otherwise(0)).alias("held"))
+    counted = grouped.groupBy(id_col).agg(F.max("span").alias("n_headings"), F.sum(F.when((F.col("span") > 0) | (F.col("size") >= 80), F.col("size")).otherwise(0)).alias("held"))
     info = whole.join(counted, id_col, "left")
     mode = F.when(F.coalesce("n_headings", F.lit(0)) == 0, "whole").when((F.col("solid") > 200) & (F.col("held") / F.col("solid") < least_coverage), "pages").otherwise("headings")
-    info = info.select(id_col, "label", mode.alias("mode"))
+    info = shared.save(info.select(id_col, "label", mode.alias("mode")), "modes")
     named = grouped.join(info, id_col)
 
     def clause(rows: DataFrame, no: Column, ident: Column, heading: Column, text: Column, page: Column, art=None, sec=None) -> DataFrame:
@@ -94,7 +98,7 @@ def segment(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "cont
     heading = F.when(is_article, F.concat(F.lit("Article "), F.col("h.num"), dash)).when(section.isNotNull(), F.concat(F.lit("Section "), section, dash)).otherwise(F.col("h.title"))
     number = (F.col("span") - 1).cast("string")
     sections = clause(headed, F.col("span"), number, heading, F.col("text"), F.col("page"), (F.col("a.n"), F.col("a.t")), (section, F.when(~is_article, F.col("h.title"))))
-    before = named.where("mode = 'headings' AND span = 0").where(_solid(F.col("text")) >= 80)
+    before = named.where("mode = 'headings' AND span = 0").where("size >= 80")
     preamble = clause(before, F.lit(0), F.lit("preamble"), F.col("label"), F.col("text"), F.lit(1))
     single = clause(docs.join(info.drop("label"), id_col).where("mode = 'whole'"), F.lit(0), F.lit("whole"), F.col("label"), _strip(F.coalesce("text", F.lit(""))), F.lit(1))
     paged = docs.join(info.drop("label"), id_col).where("mode = 'pages'").select(id_col, "label", F.posexplode(F.split("text", "\f")).alias("p", "body"))

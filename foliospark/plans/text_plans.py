@@ -318,7 +318,9 @@ def _made(t: Tables) -> DataFrame:
     said = F.regexp_replace("text", r"(?m)^Released under .*$", "ARTICLE IV - LICENSE")
     said = F.regexp_replace(said, r"(?m)^This work .*$", "Section 2.1: Works")
     said = F.regexp_replace(F.regexp_replace(said, r"(?m)^Thth.*$", "3. TERMS AND HOURS"), r"(?m)^An[a-z]* .*$", "GENERAL PROVISIONS")
-    return t.documents.select(F.col("doc_id").cast("string").alias("contract_id"), F.col("source").alias("label"), said.alias("text"))
+    made = t.documents.select(F.col("doc_id").cast("string").alias("contract_id"), F.col("source").alias("label"), said.alias("text"))
+    # read several times by the segmenter, so written once
+    return Shared(t.spark, "made").save(made, "documents")
 
 
 _SEGMENTS = rf"""

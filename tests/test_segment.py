@@ -59,3 +59,9 @@ def test_relabel_is_idempotent(spark):
     twice = segment.relabel(once, **RULES)
     assert sorted(map(tuple, twice.select(cols).collect()), key=repr) == sorted(map(tuple, once.select(cols).collect()), key=repr)
     assert once.where("heading = 'Pay'").first()["heading_raw"] is None
+
+
+def test_spans_are_written_once_and_read_by_every_kind_of_clause(spark):
+    docs = spark.createDataFrame([("a", "L", "ARTICLE I - PAY\nText of pay.")], "contract_id string, label string, text string")
+    plan = segment.segment(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate posexplode(split(text") <= 1
