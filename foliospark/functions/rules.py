@@ -31,17 +31,37 @@ def sector_of(label: Column) -> Column:
     return first_match(F.lower(label), fixed.SECTORS, "other")
 
 
+_WORD_START = re.compile(r"\\b([A-Za-z])(?![?*{])")
+
+
+def any_of(patterns: list[str]) -> str:
+    """A pattern that is found where one of ``patterns`` is, in either case of ASCII letters where case is ignored.
+
+    Patterns that all start a word with a letter share their first tests, so most places of a text are passed
+    by at one look."""
+    flat = [re.sub(r"\\.|\[[^\]]*\]", "", p) for p in patterns]
+    while any("(" in x for x in flat) and flat != (fewer := [re.sub(r"\([^()]*\)", "", x) for x in flat]):
+        flat = fewer
+    starts = [_WORD_START.match(p) for p in patterns]
+    if not patterns or not all(starts) or any(c in x for x in flat for c in "|()"):
+        return "|".join(f"(?:{p})" for p in patterns)
+    letters = "".join(sorted({c for m in starts for c in (m[1].lower(), m[1].upper())}))
+    return f"(?=[{letters}])\\b(?:{'|'.join(f'(?:{p[2:]})' for p in patterns)})"
+
+
 def tags(text: Column, topics: dict[str, list[str]], most: int | None = fixed.TAG_CHARS, ignore_case: bool = True) -> Column:
     """All topics with a pattern in the first characters of a text, in table order."""
     head = F.substring(text, 1, most) if most else text
     flag = "(?i)" if ignore_case else ""
-    return F.filter(F.array(*[F.when(head.rlike(flag + "|".join(f"(?:{p})" for p in patterns)), F.lit(topic)) for topic, patterns in topics.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(head.rlike(flag + any_of(patterns)), F.lit(topic)) for topic, patterns in topics.items()]), lambda x: x.isNotNull())
 
 
 def clause_topics(clauses: DataFrame, topics: dict[str, list[str]] = fixed.TOPICS) -> DataFrame:
     """Clauses with the topics of their heading and text."""
     blob = F.concat(F.coalesce("heading", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return clauses.withColumn("topics", tags(blob, topics))
+    # a column of its own, for every topic looks at it and none should make it anew
+    headed = clauses.withColumn("__head", F.substring(blob, 1, fixed.TAG_CHARS))
+    return headed.withColumn("topics", tags(F.col("__head"), topics)).drop("__head")
 
 
 def order_rules(rules: list[tuple[str, str, list[str]]], order: str = "list") -> list[tuple[str, str, list[str]]]:

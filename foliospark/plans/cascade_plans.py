@@ -33,7 +33,8 @@ def cas03_all_topics(t: Tables) -> DataFrame:
     """All topics of the table on texts that speak of them."""
     said = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), zip(WORDS, PHRASES, strict=True), F.col("text"))
     tagged = rules.clause_topics(t.documents.select("doc_id", F.col("lang").alias("heading"), said.alias("text")))
-    return tagged.select("doc_id", F.explode("topics").alias("topic"))
+    # outer, for a plain explode is preceded by a filter that finds all topics once more, from texts replaced once a topic
+    return tagged.select("doc_id", F.explode_outer("topics").alias("topic")).where("topic IS NOT NULL")
 
 
 #: Names of units, one for each nation.

@@ -123,3 +123,15 @@ def test_many_rules_on_a_long_text():
     chain = [(f"w{k}", f"w{k + 1}", []) for k in range(20_000)]
     text, n, tried = rules.RuleIndex(chain).correct("w0 " + "plain words " * 50_000, "x")
     assert text.startswith("w20000 plain") and n == tried == 20_000
+
+
+def test_patterns_that_start_words_share_their_first_tests(spark):
+    from foliospark.functions import fixed, rules
+
+    assert all(rules.any_of(p).startswith("(?=[") for p in fixed.TOPICS.values())
+    assert rules.any_of([r"\bno|so", r"\bx"]) == r"(?:\bno|so)|(?:\bx)"
+    assert rules.any_of([r"\bx?y"]) == r"(?:\bx?y)" and rules.any_of([r"\$[0-9]"]) == r"(?:\$[0-9])"
+    texts = ["Wages", "xwages wage", "O.T. due", "éwages", "no-strike; RIF", "step 5", "", "_tour tour_ TOUR", "unsalary", "child\nbonding and DEI"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)), F.lit(k)) for k, ps in fixed.TOPICS.items()]))
+    assert df.where(rules.tags(F.col("t"), fixed.TOPICS) != plain).count() == 0
