@@ -26,16 +26,22 @@ def field_kinds(rows: DataFrame, record: str = "record", depth: int = 3) -> Data
     A field whose value is null is one of kind ``null``, one that is absent does not count; so the two are told
     apart.  Null and broken records and records that are no objects have no fields.  Names join with
     dots.  Values are exploded and counted map-side, whatever the fields are, so none is listed beforehand.
+    A record is parsed once: every level is exploded from the one above, and a field with fields of its own
+    counts in the first row of these.
     """
     spark = rows.sparkSession
-    level = rows.select(F.col(record).alias("v")).where(F.is_variant_null("v") == F.lit(False)).select(F.lit("").alias("at"), "v")
-    found: DataFrame | None = None
-    for _ in range(depth):
-        inner = level.where(_kind(F.col("v")) == "object").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        level = inner.select(F.concat("at", F.when(F.col("at") == "", "").otherwise("."), "key").alias("at"), F.col("value").alias("v"))
-        counted = level.groupBy(F.col("at").alias("path"), _kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-        found = counted if found is None else found.union(counted)
-    return found
+    level = rows.select(F.col(record).alias("v"), _kind(F.col(record)).alias("kind")).where("kind = 'object'")
+    done: list[str] = []
+    for k in range(depth):
+        opened = level.withColumn("v", F.when(F.col("kind") == "object", F.col("v"))).lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+        path = F.concat(F.col(f"path{k - 1}"), F.lit("."), F.col("key")) if k else F.col("key")
+        first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        kept = [F.when(first, F.col(f"f{j}")).alias(f"f{j}") for j in range(k)]
+        below = opened.select(*kept, path.alias(f"path{k}"), F.col("value").alias("v"), F.when(F.col("pos").isNotNull(), _kind(F.col("value"))).alias("kind"))
+        done.append(f"f{k}")
+        level = below.withColumn(f"f{k}", F.when(F.col("kind").isNotNull(), F.struct(F.col(f"path{k}").alias("path"), F.col("kind").alias("kind"))))
+    every = level.select(F.explode(F.array(*done)).alias("f")).where("f IS NOT NULL")
+    return every.groupBy("f.path", "f.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def field(record: str, path: str, kind: str) -> Column:

@@ -126,3 +126,14 @@ def test_stream_adds_each_document_once(spark, tmp_path):
     put("2.json", "b", "c")
     assert run() == [("a", 3), ("b", 3), ("c", 3)]
     assert run() == [("a", 3), ("b", 3), ("c", 3)]
+
+
+def test_field_kinds_explode_a_record_once(spark):
+    """Fields of three depths, with fields of their own counted once, from one pass over the records."""
+    from foliospark.sources import fields
+
+    rows = spark.createDataFrame([(x,) for x in ['{"a": {"b": {"c": 1, "d": {"e": 2}}, "x": null}, "y": []}', '{"a": {}, "y": [1, 2]}', '{"a": 1}', "[1]", "broken", None, "{}"]], "j string")
+    found = fields.field_kinds(fields.records(rows, "j"))
+    want = {("a", "object", 2), ("a", "number", 1), ("y", "array", 2), ("a.b", "object", 1), ("a.x", "null", 1), ("a.b.c", "number", 1), ("a.b.d", "object", 1)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
