@@ -2,8 +2,11 @@
 
 After Christiani and Pagh's Chosen Path and its recursive form, CPSJoin.  Independent
 trees branch documents by minwise shingles: a node holds the documents that chose the same
-shingles on the way to it.  Small nodes are compared exhaustively on sketches.  Large nodes
-compare with pivots and branch again by further shingles.  The pairs found only say
+shingles on the way to it.  Small nodes are compared exhaustively on sketches.  A large
+node is compared in blocks that share pivots; then what is not yet in its largest class is compared
+with all of the node, or, while that is many documents, all of the node branches again by
+further shingles.  No document stops before its node is done, and on the last level nothing branches:
+everything is compared.  The pairs found only say
 which documents must meet: these are brought together and every link is confirmed on the full
 shingle sets.  Documents with equal sets are one document to all of this.
 
@@ -30,10 +33,11 @@ TREES = 10
 #: Minwise values of a sketch.  A pair is dropped if fewer than ``AGREE`` agree: at the
 #: threshold 48 of 64 do on average, with a standard deviation of 3.5.
 SKETCH, AGREE = 64, 28
-#: Documents from which a node is large; its pivots; its children by branch; levels of a tree.
+#: Documents of a small node and of a block; pivots that meet every block of a large one; its children by
+#: branch; levels of a tree.
 NODE, PIVOTS, BRANCHES, LEVELS = 128, 8, 2, 4
-#: A document that agrees with a pivot in so many values need not branch further.
-CLOSE = 46
+#: Documents outside its largest class with which a node branches, and of each side where they meet all of it.
+REST = 1024
 #: Documents and bytes of sets that one confirming task holds at once.
 BLOCK, BLOCK_BYTES = 256, 48_000_000
 #: Pivots that meet every block of a large group.
@@ -155,22 +159,57 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _alike(sketches: np.ndarray, sizes: np.ndarray, i: int, least: int = AGREE) -> np.ndarray:
-    """Which documents may be linked with document i, by sketch and size."""
-    agree = (sketches == sketches[i]).sum(axis=1) >= least
-    small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-    return agree & (100 * small >= PERCENT * large)
+def _alike(sketches: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, size: int) -> np.ndarray:
+    """Which documents may be linked with one that has a sketch and a size."""
+    # the bytes of a row of truths are added up eight at a time
+    agree = (sketches == sketch).view("u8").sum(axis=1) * _U(0x0101010101010101) >> _U(56)
+    return (agree >= AGREE) & (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size))
+
+
+class _Node:
+    """Documents of a node or a part of it, by sketches; rows: id, size, sketch."""
+
+    def __init__(self, rows: list[tuple], classes: list | None = None):
+        self.ids = [r[0] for r in rows]
+        self.sizes = np.array([r[1] for r in rows])
+        self.sketches = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), SKETCH)
+        self.cls = np.arange(len(rows)) if classes is None else np.unique(np.array(classes, "i8"), return_inverse=True)[1]
+        self.edges: list[tuple[int, int]] = []
+
+    def meet(self, i: int, sketches: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> None:
+        """Join document i with those of ``others``, which have ``sketches`` and ``sizes``, that may be linked with it."""
+        cls = self.cls
+        j = others[_alike(sketches, sizes, self.sketches[i], self.sizes[i])]
+        j = j[cls[j] != cls[i]]
+        while len(j):
+            self.edges.append((self.ids[i], self.ids[j[0]]))
+            cls[cls == cls[j[0]]] = cls[i]
+            j = j[cls[j] != cls[i]]
 
 
 def _small_node(rows: list[tuple]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a node that may be linked."""
-    sketches = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), SKETCH)
-    sizes = np.array([r[2] for r in rows])
-    ids, forest, out = [r[1] for r in rows], Forest(len(rows)), []
+    """A spanning forest of the pairs of a node, or of a block with its pivots, that may be linked."""
+    node, every = _Node(rows), np.arange(len(rows))
     for i in range(len(rows) - 1):
-        for j in np.flatnonzero(_alike(sketches[i:], sizes[i:], 0)[1:]).tolist():
-            if forest.join(i, i + 1 + j):
-                out.append((ids[i], ids[i + 1 + j]))
+        node.meet(i, node.sketches[i + 1 :], node.sizes[i + 1 :], every[i + 1 :])
+    return node.edges
+
+
+def _rest_of_node(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Rows: id, size, sketch, class so far, side.  Edges that span classes across the sides."""
+    node = _Node(rows, [r[3] for r in rows])
+    right = np.array([i for i, r in enumerate(rows) if r[4]], "i8")
+    sketches, sizes = node.sketches[right], node.sizes[right]
+    for i, r in enumerate(rows):
+        if not r[4] and len(right):
+            node.meet(i, sketches, sizes, right)
+    return node.edges
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
     return out
 
 
@@ -183,64 +222,72 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     entries = reps.select(F.explode("paths").alias("node"), "rep")
     found = []
     for level in range(1, LEVELS + 1):
-        entries = scratch.save(entries, f"nodes-{level}") if level > 1 else entries
-        least = [F.min(F.struct(F.xxhash64("rep", "node", F.lit(j)).alias("h"), "rep"))["rep"].alias(f"p{j}") for j in range(PIVOTS)]
-        nodes = scratch.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *least).where("c > 1"), f"sizes-{level}")
-        sized = entries.join(nodes.select("node", "c"), "node")
-        small = sized.where(F.col("c") <= NODE).join(sketches, "rep").select("node", "rep", "n", "sketch")
-        found.append(scratch.save(small.repartition("node").sortWithinPartitions("node").mapInArrow(lean(lambda it: _edges(_small_node(r) for r in _groups(it, 1))), "a long, b long").distinct(), f"found-{level}"))
-        large = nodes.where(F.col("c") > NODE)
-        if not large.limit(1).count():
+        nodes = scratch.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"sizes-{level}")
+        small, large = (entries.join(nodes.where(size).select("node"), "node").join(sketches, "rep").select("node", "rep", "n", "sketch") for size in (F.col("c") <= NODE, F.col("c") > NODE))
+        found.append(scratch.save(_confirm(small, ["node"], ["rep", "n", "sketch"], _small_node).distinct(), f"found-{level}"))
+        if not nodes.where(F.col("c") > NODE).limit(1).count():
             break
-        pivots = large.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{j}") for j in range(PIVOTS)]))).alias("rep")).join(sketches, "rep")
-        pivots = pivots.groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sketch")).alias("pivots"))
-        met = sized.where(F.col("c") > NODE).join(pivots, "node").join(sketches, "rep").select("node", "rep", "n", "sketch", "pivots.rep", "pivots.n", "pivots.sketch")
-        tested = scratch.save(_large_nodes(met.toDF("node", "rep", "n", "sketch", "p_rep", "p_n", "p_sketch"), level == LEVELS), f"large-{level}")
-        found.append(tested.where("b IS NOT NULL").select("a", "b"))
-        entries = tested.select(F.explode("children").alias("node"), F.col("a").alias("rep"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        more, entries = _large_nodes(scratch.save(large, f"large-{level}"), found, level, scratch)
+        found += more
+        scratch.drop(f"large-{level}")
+        if entries is None:
+            break
+    return _union(found)
+
 
+def _large_nodes(members: DataFrame, found: list[DataFrame], level: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """Edges of large nodes, and what goes on to the next level.
 
-def _large_nodes(met: DataFrame, last: bool) -> DataFrame:
-    """Each document ``a`` of a large node against the node's pivots: the pivot ``b`` that it agrees
-    best with, if it may be linked with one; and, unless it is close to one, its ``children``.
-    A row a document, and a row where pivots join.  A node of the last level has pivots only; the
-    other trees cover what its pivots miss."""
+    ``members`` has ``node, rep, n, sketch``, ``found`` the edges so far.  Blocks of a node are compared
+    within and with its pivots.  What is then outside the node's largest class meets all of
+    the node, block by block.  A node where that is more than ``REST`` documents
+    branches instead, with all its documents, unless the level is the last.
+    """
+    fields = ["rep", "n", "sketch"]
+    least = [F.min(F.struct(F.xxhash64("rep", "node", F.lit(j)).alias("h"), "rep"))["rep"].alias(f"p{j}") for j in range(PIVOTS)]
+    sizes = scratch.save(members.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *least), f"large-sizes-{level}")
+    pivots = F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])
+    cut = members.join(sizes, "node").withColumn("q", F.ceil(F.col("c") / NODE).cast("int"))
+    block = F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")
+    cut = cut.withColumn("block", F.explode(F.when(F.array_contains(pivots, F.col("rep")), F.sequence(F.lit(0), F.col("q") - 1)).otherwise(F.array(block))))
+    edges = [scratch.save(_confirm(cut, ["node", "block"], fields, _small_node), f"blocks-{level}")]
+
+    labels = components(scratch, _union(found + edges), f"classes-{level}")
+    known = scratch.save(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("cls")), f"node-classes-{level}")
+    main = known.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "cls"))["cls"].alias("main"))
+    rest = scratch.save(known.join(main, "node").where("cls <> main").select("node", "rep"), f"rest-{level}")
+    counts = scratch.save(rest.groupBy("node").agg(F.count(F.lit(1)).alias("r")).join(sizes.select("node", "c"), "node"), f"rest-sizes-{level}")
+
+    branching = F.lit(False) if level == LEVELS else F.col("r") > REST
+    ends = counts.where(~branching).select("node", F.ceil(F.col("r") / REST).cast("int").alias("rq"), F.ceil(F.col("c") / REST).cast("int").alias("q"))
+    whole = members.join(ends, "node").join(known, ["node", "rep"])
+    left = whole.join(rest, ["node", "rep"], "left_semi").withColumn("rb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rq")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("side", F.lit(0))
+    right = whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rq") - 1))).withColumn("side", F.lit(1))
+    names = ["node", "rb", "block", *fields, "cls", "side"]
+    edges.append(scratch.save(_confirm(left.select(names).union(right.select(names)), names[:3], names[3:], _rest_of_node), f"rests-{level}"))
+    going = counts.where(branching).select("node")
+    if not going.limit(1).count():
+        return edges, None
+    return edges, scratch.save(_children(members.join(going, "node").select("node", "rep", "sketch")), f"nodes-{level + 1}")
+
+
+def _children(members: DataFrame) -> DataFrame:
+    """The nodes to which documents branch, by the values of their sketches at places that a node chooses."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined: dict[int, Forest] = {}  # which pivots of a node this task has joined already
         for b in batches:
-            out = []
-            for node, rep, n, sk, p_rep, p_n, p_sk in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = np.frombuffer(sk, "<u2")
-                agree = (np.frombuffer(b"".join(p_sk), "<u2").reshape(-1, SKETCH) == own).sum(axis=1)
-                p_n = np.array(p_n)
-                fits = 100 * np.minimum(p_n, n) >= PERCENT * np.maximum(p_n, n)
-                linked = np.flatnonzero((agree >= AGREE) & fits).tolist()
-                b_rep = None
-                if linked:
-                    best = max(linked, key=lambda k: agree[k])
-                    if p_rep[best] != rep:
-                        b_rep = p_rep[best]
-                    if len(joined) > 10_000:
-                        joined.clear()
-                    forest = joined.setdefault(node, Forest(len(p_rep)))
-                    out += [(p_rep[best], p_rep[k], None) for k in linked if forest.join(best, k)]
-                children = None
-                if not last and (rep in p_rep or not (fits & (agree >= CLOSE)).any()):
-                    seed = int(mix(np.array([node], "i8").view("u8"))[0])
-                    at = [(seed >> (8 * j)) % SKETCH for j in range(BRANCHES)]
-                    children = mix(np.array([seed ^ (int(own[c]) << 20 | c << 8 | j) for j, c in enumerate(at)], "u8")).astype("i8")
-                if b_rep is not None or children is not None:
-                    out.append((rep, b_rep, children))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["a", "b", "children"])
-
-    return met.mapInArrow(run, "a long, b long, children array<long>")
+            if not b.num_rows:
+                continue
+            seed = mix(b.column(0).to_numpy().view("u8"))
+            own = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, SKETCH)
+            for j in range(BRANCHES):
+                at = (seed >> _U(8 * j)) % _U(SKETCH)
+                value = own[np.arange(len(own)), at.astype("i8")].astype("u8")
+                node = mix(seed ^ (value << _U(20) | at << _U(8) | _U(j))).view("i8")
+                yield pa.RecordBatch.from_arrays([pa.array(node), b.column(1)], ["node", "rep"])
+
+    return members.mapInArrow(run, "node long, rep long")
 
 
 class _Group:
@@ -266,7 +313,7 @@ class _Group:
 
     def confirm(self, i: int, others: np.ndarray) -> None:
         """Link document i with those of ``others`` that are not yet in its class and are similar."""
-        alike = others[_alike(self.sketches[np.append(i, others)], self.sizes[np.append(i, others)], 0)[1:]]
+        alike = others[_alike(self.sketches[others], self.sizes[others], self.sketches[i], self.sizes[i])]
         for j in alike.tolist():
             if self.forest.root(i) != self.forest.root(j) and self.linked(i, j):
                 self.forest.join(i, j)

@@ -110,3 +110,45 @@ def test_components(spark, seed, local, monkeypatch):
                     todo += near[x]
     got = components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
     assert {r["id"]: r["component_id"] for r in got.collect()} == want
+
+
+def met(spark, rows, paths=(1,)):
+    """Classes of documents that must meet: rows of id, size and sketch, all in the same nodes."""
+    reps = spark.createDataFrame([(i, n, list(paths), bytearray(b"".join(v.to_bytes(2, "little") for v in s))) for i, n, s in rows], "rep long, n long, paths array<long>, sketch binary")
+    scratch = Scratch(spark, "t")
+    found = components(scratch, near_dup.candidates(reps, scratch), "found")
+    return {r["id"]: r["component_id"] for r in found.collect()}
+
+
+def other(rng, sketch, k):
+    """A sketch that differs in k values."""
+    out = list(sketch)
+    for at in rng.sample(range(near_dup.SKETCH), k):
+        out[at] = rng.randrange(30_000, 60_000)
+    return out
+
+
+def test_close_to_a_pivot_and_still_met(spark):
+    """A document near the pivots may be linked with one that no pivot fits, for its size."""
+    rng = random.Random(8)
+    base = [rng.randrange(30_000) for _ in range(near_dup.SKETCH)]
+    rows = [(i, 100, other(rng, base, 2)) for i in range(300)]
+    x = other(rng, base, 12)
+    rows += [(1000, 80, x), (1001, 64, other(rng, x, 12))]
+    got = met(spark, rows)
+    assert got[1000] == 0 and got[1001] == 0
+
+
+@pytest.mark.parametrize("rest", [16, 1024])
+@pytest.mark.parametrize("levels", [1, 3])
+def test_pairs_of_a_large_node_that_no_pivot_finds(spark, levels, rest, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEVELS", levels)
+    monkeypatch.setattr(near_dup, "REST", rest)
+    rng = random.Random(9)
+    rows = []
+    for k in range(200):
+        one = [rng.randrange(30_000) for _ in range(near_dup.SKETCH)]
+        rows += [(2 * k, 90, one), (2 * k + 1, 100, other(rng, one, 16))]
+    # in one tree while nothing branches, in many where a pair may choose different values
+    got = met(spark, rows, (1,) if levels == 1 or rest > 400 else range(1, 9))
+    assert got == {i: i // 2 * 2 for i in range(400)}
