@@ -62,9 +62,10 @@ def split_words(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(texts, " ")
 
 
-def release() -> None:
-    """Give freed memory back to the system."""
-    gc.collect()
+def release(collect: bool = True) -> None:
+    """Give freed memory back to the system; without ``collect``, only what no cycle holds."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

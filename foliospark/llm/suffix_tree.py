@@ -39,6 +39,8 @@ FLOOR = 2
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
+#: Buckets from which a length asks in two rounds.
+SPLIT_BUCKETS = 3
 #: Bytes of texts that are taken apart at once, unless one text has more.
 SLICE_BYTES = 2_000_000
 #: Chunks that a task works through, one after another.
@@ -90,14 +92,6 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-class _Numbers(dict):
-    """Local numbers of words in the order they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 2
-        return n
-
-
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys in about ascending order, and which of them each one is.
 
@@ -207,8 +201,7 @@ class Chunk:
 
         What is kept of a text are pieces; a token that waits has ``reach`` before it there, or all."""
         self.waiting = waiting
-        edge = np.zeros(len(self.words) + 1, "i4")
-        np.add.at(edge, np.maximum(waiting - reach, self.starts[self.doc[waiting]]), 1)
+        edge = np.bincount(np.maximum(waiting - reach, self.starts[self.doc[waiting]]), minlength=len(self.words) + 1)
         edge[waiting + 1] -= 1
         need = np.cumsum(edge[:-1]) > 0
         if need.mean() > 0.7:
@@ -266,21 +259,30 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId() << 24
-        index = _Numbers()
-        texts: list[np.ndarray] = []
+        coded: list[pa.DictionaryArray] = []
+        counts: list[np.ndarray] = []
         marks: list[bool] = []
         ids: list = []
         seen, id_arrow = 0, None
 
         def close() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in texts], "<u4")
+            sizes = (np.concatenate(counts) + 2).astype("<u4")
             n = len(sizes)
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index), "<u8", len(index))
+            # words are numbered in the order they are met
+            one = pa.chunked_array(coded).unify_dictionaries()
+            kinds = one.chunk(0).dictionary.cast(pa.binary()).to_pylist()
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), "<u8", len(kinds))
+            words = np.empty(int(sizes.sum(dtype="i8")), "<u4")
+            last = np.cumsum(sizes, dtype="i8") - 1
+            inner = np.ones(len(words), bool)
+            inner[last] = inner[last + 1 - sizes] = False
+            words[inner] = np.concatenate([c.indices.to_numpy() for c in one.chunks]).astype("<u4") + np.uint32(2)
+            words[last + 1 - sizes], words[last] = _START, _END
             # the two marks can be no word, as words hold no white space
             hashes = np.concatenate([np.array([xxhash.xxh3_64_intdigest(b" start"), xxhash.xxh3_64_intdigest(b" end")], "<u8"), hashes])
             mark = np.array(marks, "u1")
             none = np.zeros(0, "<u4")
-            chunk = Chunk(words=np.concatenate(texts), sizes=sizes, number=np.arange(n, dtype="<u4"), hashes=hashes, counts=np.zeros(0, "<u8"), held=mark, n_tokens=(sizes - 1).astype("<u4"), n_known=none, base=np.zeros(0), score=np.zeros(n), waiting=none, seen=none, logp=np.zeros(0, "<f4"), asks=np.zeros(0, "u1"))
+            chunk = Chunk(words=words, sizes=sizes, number=np.arange(n, dtype="<u4"), hashes=hashes, counts=np.zeros(0, "<u8"), held=mark, n_tokens=(sizes - 1).astype("<u4"), n_known=none, base=np.zeros(0), score=np.zeros(n), waiting=none, seen=none, logp=np.zeros(0, "<f4"), asks=np.zeros(0, "u1"))
             train = mark == 0
             return _batch([(shard, _CHUNK, None, int((sizes[train] - 1).sum(dtype="i8")), int(train.sum()), chunk.dump(), ids)], id_arrow)
 
@@ -289,26 +291,21 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             docs, held = b.column(0).to_pylist(), b.column(2).to_pylist()
             for first, part in slices(b.column(1), SLICE_BYTES):
                 lists = split_words(part)
-                coded = lists.flatten().dictionary_encode()
-                known = coded.dictionary.cast(pa.binary()).to_pylist()
-                local = np.fromiter((index[w] if w else 0 for w in known), "<u4", len(known))
-                flat = local[coded.indices.to_numpy()]
-                # empty words, which are no tokens, have number 0
-                ends = np.cumsum(flat > 0)[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1]
-                flat, at = flat[flat > 0], 0
-                for end in ends.tolist():
-                    one = np.empty(end - at + 2, "<u4")
-                    one[0], one[1:-1], one[-1] = _START, flat[at:end], _END
-                    texts.append(one)
-                    at = end
+                every = lists.flatten().dictionary_encode()
+                flat = every.indices.to_numpy()
+                # empty words are no tokens
+                full = flat != pc.index(every.dictionary, "").as_py()
+                counts.append(np.diff(np.cumsum(full)[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1], prepend=0))
+                flat = flat[full]
+                coded.append(pa.DictionaryArray.from_arrays(pa.array(flat), every.dictionary))
                 marks += held[first : first + len(part)]
                 ids += docs[first : first + len(part)]
                 seen += len(flat) + 2 * len(part)
                 if seen >= chunk_tokens:
                     yield close()
                     shard, seen = shard + 1, 0
-                    index, texts, marks, ids = _Numbers(), [], [], []
-        if texts:
+                    coded, counts, marks, ids = [], [], [], []
+        if counts:
             yield close()
 
     return picked.mapInArrow(run, _schema(id_type))
@@ -328,24 +325,27 @@ def _ask_words(buckets: int):
     return run
 
 
-def _ask(length: int, buckets: int, n: int, v: int, top: int):
-    """Questions of every chunk: occurrences of (context, next) of a length, and its waiting contexts, which are one shorter."""
+def _ask(length: int, kinds: tuple[int, ...], buckets: int, n: int, v: int, top: int):
+    """Questions of every chunk, of some kinds: occurrences of (context, next) of a length, and its waiting contexts,
+    which are one shorter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             c = Chunk.load(row[5])
             c.place(n, v, top)
-            at, keys, which = c.pairs(length)
-            out = _rows(row[0], _PAIRS, keys, buckets, np.bincount(which, weights=c.train[at], minlength=len(keys)).astype("<u8"))
-            if length > 1:
+            out = []
+            if _PAIRS in kinds:
+                at, keys, which = c.pairs(length)
+                out += _rows(row[0], _PAIRS, keys, buckets, np.bincount(which, weights=c.train[at], minlength=len(keys)).astype("<u8"))
+            if _CONTEXTS in kinds:
                 keys, which = c.contexts(length - 1)
                 train = c.train[c.waiting].astype(float)
                 seen = np.maximum(c.seen.astype(float), 1.0)
                 # what the occurrences here add to the context's divergence and to its different next tokens
                 more = train * (np.log(seen) - c.so_far() * _LN10)
-                total, gain, kinds = (np.bincount(which, weights=w, minlength=len(keys)) for w in (train, more, train / seen))
-                out += _rows(row[0], _CONTEXTS, keys, buckets, total.astype("<u8"), gain.astype("<f4"), kinds.astype("<f4"))
+                total, gain, different = (np.bincount(which, weights=w, minlength=len(keys)) for w in (train, more, train / seen))
+                out += _rows(row[0], _CONTEXTS, keys, buckets, total.astype("<u8"), gain.astype("<f4"), different.astype("<f4"))
             if out:
                 yield _batch(out, _ids_type(row[6].type))
 
@@ -453,7 +453,7 @@ def _learn(length: int, n: int, v: int, top: int, floor: int, reach: int):
         ids = state.column("ids")
         out = _batch([(state.column("shard")[0].as_py(), _CHUNK, None, states, left, c.dump(), ids[0].as_py())], ids.type.value_type)
         del c, found, parts
-        release()
+        release(collect=False)
         return pa.Table.from_batches([out])
 
     return run
@@ -469,14 +469,14 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
     A text is never cut, so a chunk holds at least one whole text; memory follows the longest.
     Columns other than ``doc_id`` and ``text`` are not read.
 
-    Chunks are bucketed by number, so only questions and answers are shuffled, and a length's
-    shuffles and tables go before the next but one.
+    Chunks are bucketed by number from the first on, so only questions and answers are shuffled, and a
+    length's shuffles and tables go before the next but one.
     """
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     schema = _schema(id_type)
     with scratch.batches(TEXT_ROWS):
-        state = scratch.save(chunks(docs, chunk_tokens), "lm-chunks")
+        state = scratch.save_bucketed(chunks(docs, chunk_tokens), "lm-chunks", "shard", max(1, docs.rdd.getNumPartitions()))
     sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n = sums["n"]
     parts = max(1, -(-sums["chunks"] // CHUNKS_A_TASK))
@@ -493,12 +493,19 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
         seen = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
         v, top = seen["v"], seen["most"] * buckets + 1
         for length in range(1, depth + 2):
-            answers = asked(_ask(length, buckets, n, v, top), f"lm-answers-{length}")
-            scratch.sweep()
-            every = answers.union(words) if length == 1 else answers
+            # while there are many questions, one kind is answered and its shuffle gone before the other is asked
+            rounds = [(_PAIRS,)] if length == 1 else [(_PAIRS, _CONTEXTS)] if buckets <= SPLIT_BUCKETS else [(_PAIRS,), (_CONTEXTS,)]
+            every, names = None, []
+            for k, kinds in enumerate(rounds):
+                names.append(f"lm-answers-{length}-{k}")
+                answers = asked(_ask(length, kinds, buckets, n, v, top), names[-1])
+                every = answers if every is None else every.union(answers)
+                scratch.sweep()
+            if length == 1:
+                every, names = every.union(words), [*names, "lm-words"]
             both = state.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_learn(length, n, v, top, floor, depth + 1), schema)
             state = scratch.save_bucketed(both, f"lm-{length}", "shard", parts)
-            scratch.drop(before, f"lm-answers-{length}", *(["lm-words"] if length == 1 else []))
+            scratch.drop(before, *names)
             before = f"lm-{length}"
             del answers, every, both
             scratch.sweep()
