@@ -83,6 +83,7 @@ class Scratch:
         self.spark = spark
         self.saved: set[str] = set()
         self.tables: set[str] = set()
+        self.codec = "zstd"
         ship(spark)
         # whole texts are wide rows: fewer of them a batch bound what JVM and Python hold at once
         if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
@@ -99,14 +100,14 @@ class Scratch:
         self.saved.add(name)
         # an explicit schema spares the job that infers it and lets empty tables be read
         path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", self.codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """A table whose rows lie by ``key``, so that what groups or joins by it need not shuffle it again."""
         table = self._table(name)
         self.tables.add(name)
-        df.write.mode("overwrite").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        df.write.mode("overwrite").option("compression", self.codec).option("path", self.path(name)).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
         return self.spark.table(table)
 
     def _table(self, name: str) -> str:
@@ -133,6 +134,15 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    @contextmanager
+    def plain(self) -> Iterator[None]:
+        """Tables as they are, where their columns are compressed already."""
+        before, self.codec = self.codec, "uncompressed"
+        try:
+            yield
+        finally:
+            self.codec = before
+
     @contextmanager
     def batches(self, rows: int) -> Iterator[None]:
         """Arrow batches of at most so many rows for the jobs that run inside; the session's own size afterwards."""

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ FLOOR = 2
 DIVERGENCE = 1.0
 #: Tokens in a chunk of documents, and in a bucket of questions.
 CHUNK_TOKENS, BUCKET_TOKENS = 1_500_000, 4_000_000
-#: Buckets from which a length asks in two rounds.
-SPLIT_BUCKETS = 3
+#: A length asks in two rounds if more than so many buckets and so large a share of all tokens are left.
+SPLIT_BUCKETS, SPLIT_SHARE = 3, 0.5
 #: Bytes of texts that are taken apart at once, unless one text has more.
 SLICE_BYTES = 2_000_000
 #: Chunks that a task works through, one after another.
@@ -64,28 +65,36 @@ def _schema(id_type: str) -> str:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: planes of equal significance lie together, compressed."""
+    """Arrays as bytes: planes of equal significance lie together, compressed; of unsigned numbers only the planes that hold any bits."""
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
+        used = a.itemsize
+        if a.dtype.kind == "u":
+            used = -(-int(a.max(initial=0)).bit_length() // 8)
         parts = np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize)
-        planes = np.empty((a.itemsize, len(a)), "u1")
-        for j in range(a.itemsize):
+        planes = np.empty((used, len(a)), "u1")
+        for j in range(used):
             planes[j] = parts[:, j]
-        data = pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
-        out += [struct.pack("<3sQQ", a.dtype.str.encode(), len(a), len(data)), data]
+        data = pa.compress(planes, codec="zstd", asbytes=True) if planes.size else b""
+        out += [struct.pack("<3sBQQ", a.dtype.str.encode(), used, len(a), len(data)), data]
     return b"".join(out)
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 1
-    for _ in range(data[0]):
-        kind, n, packed = struct.unpack_from("<3sQQ", data, at)
-        at += 19
+def unpack(data: bytes | memoryview, without: tuple[int, ...] = ()) -> list[np.ndarray | None]:
+    """The arrays; none in the place of those that are not asked for."""
+    out, at, view = [], 1, memoryview(data)
+    for place in range(view[0]):
+        kind, used, n, packed = struct.unpack_from("<3sBQQ", view, at)
+        at += 20
+        if place in without:
+            out.append(None)
+            at += packed
+            continue
         kind = np.dtype(kind.decode())
-        parts = np.empty((n, kind.itemsize), "u1")
-        if n:
-            planes = np.frombuffer(pa.decompress(data[at : at + packed], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), "u1").reshape(kind.itemsize, n)
-            for j in range(kind.itemsize):
+        parts = (np.empty if used == kind.itemsize else np.zeros)((n, kind.itemsize), "u1")
+        if n and used:
+            planes = np.frombuffer(pa.decompress(view[at : at + packed], decompressed_size=n * used, codec="zstd"), "u1").reshape(used, n)
+            for j in range(used):
                 parts[:, j] = planes[j]
         at += packed
         out.append(parts.reshape(-1).view(kind))
@@ -93,37 +102,48 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in about ascending order, and which of them each one is.
+    """Keys in ascending order, and which of them each one is.
 
-    Sorts the upper bits with the position in the lower: a key can come twice where another
-    one with the same upper bits lies between, which whoever adds up keys does not mind."""
+    Sorts the upper bits with the position in the lower; the few runs of keys that differ in
+    their lower bits only are put in order afterwards."""
     n = len(keys)
     if not n:
-        return keys, np.zeros(0, "u4")
+        return keys, np.zeros(0, "i8")
     low = _U((1 << max(n - 1, 1).bit_length()) - 1)
-    order = (np.sort((keys & ~low) | np.arange(n, dtype="u8")) & low).astype("i8")
+    order = keys & ~low
+    order |= np.arange(n, dtype="u8")
+    order.sort()
+    order &= low
+    order = order.view("i8")
     keys = keys[order]
     first = np.ones(n, bool)
     np.not_equal(keys[1:], keys[:-1], out=first[1:])
-    which = np.empty(n, "u4")
-    which[order] = np.cumsum(first, dtype="u4") - np.uint32(1)
+    behind = np.flatnonzero(first[1:]) + 1
+    if len(odd := behind[(keys[behind] ^ keys[behind - 1]) <= low]):
+        # all keys with the upper bits of one where they stay and the lower ones change
+        upper = keys & ~low
+        head = np.unique(upper[odd])
+        a, sizes = np.searchsorted(upper, head), np.searchsorted(upper, head, side="right")
+        sizes -= a
+        run = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        right = run[np.argsort(keys[run], kind="stable")]
+        keys[run], order[run] = keys[right], order[right]
+        np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    which = np.empty(n, "i8")
+    which[order] = np.cumsum(first) - 1
     return keys[first], which
 
 
-def exactly(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``distinct``, and no key comes twice."""
-    some, which = distinct(keys)
-    if (some[1:] > some[:-1]).all():
-        return some, which
-    some, again = np.unique(some, return_inverse=True)
-    return some, again[which]
+#: Keys that are mixed at once, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * _U(0x9E3779B97F4A7C15)
-    x ^= x >> _U(31)
+def _mix(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mix keys in place."""
+    x *= _U(0x9E3779B97F4A7C15)
+    x ^= np.right_shift(x, _U(31), out=spare)
     x *= _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+    x ^= np.right_shift(x, _U(32), out=spare)
 
 
 class Chunk:
@@ -146,8 +166,9 @@ class Chunk:
         self.waiting, self.seen, self.logp, self.asks = fields["waiting"], fields["seen"], fields["logp"], fields["asks"]
 
     @classmethod
-    def load(cls, data: bytes) -> Chunk:
-        fields = dict(zip(cls.FIELDS, unpack(data), strict=True))
+    def load(cls, data: bytes | memoryview, *without: str) -> Chunk:
+        """The chunk, whole or without some fields that nobody will read."""
+        fields = dict(zip(cls.FIELDS, unpack(data, tuple(map(cls.FIELDS.index, without))), strict=True))
         fields["waiting"] = np.cumsum(fields["waiting"], dtype="i8")
         return cls(**fields)
 
@@ -157,25 +178,50 @@ class Chunk:
         return pack(*fields.values())
 
     def place(self, n: int = 0, v: int = 0, top: int = 0) -> None:
-        """Where documents start, and for each token its document and whether it is training text;
-        the root for ``n`` training tokens of ``v`` kinds.  Numbers of words are below ``top``."""
-        self.top = top
-        self.root = np.log10((self.counts + 1.0) / (n + v + 1.0))
-        self.starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
-        self.doc = np.repeat(np.arange(len(self.sizes), dtype="i4"), self.sizes)
-        self.train = self.held[self.number][self.doc] == 0
-        self.hashed = self.hashes.astype("u8")[self.words]
+        """The root is for ``n`` training tokens of ``v`` kinds.  Numbers of words are below ``top``."""
+        self.n, self.v, self.top = n, v, top
+
+    @cached_property
+    def root(self) -> np.ndarray:
+        return np.log10((self.counts + 1.0) / (self.n + self.v + 1.0))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where texts start."""
+        return np.cumsum(self.sizes, dtype="i8") - self.sizes
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """Of each token, its text."""
+        return np.repeat(np.arange(len(self.sizes), dtype="i4"), self.sizes)
+
+    @cached_property
+    def train(self) -> np.ndarray:
+        """Of each token, whether it is training text."""
+        return np.repeat(self.held[self.number] == 0, self.sizes)
+
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        return self.hashes[self.words]
 
     def predicted(self) -> np.ndarray:
         every = np.ones(len(self.words), bool)
         every[self.starts] = False
         return np.flatnonzero(every)
 
-    def context(self, at: np.ndarray, length: int) -> np.ndarray:
-        key = np.full(len(at), length, "u8")
-        for j in range(1, length + 1):
-            key = _mix(key + self.hashed[at - j])
-        return key
+    def keys(self, at: np.ndarray, length: int, follow: bool) -> np.ndarray:
+        """Of each token its context of a length, or that and the token."""
+        out = np.full(len(at), length, "u8")
+        spare = np.empty(min(_BLOCK, len(at)), "u8")
+        for k in range(0, len(at), _BLOCK):
+            here, key = at[k : k + _BLOCK], out[k : k + _BLOCK]
+            for j in range(1, length + 1):
+                key += self.hashed[here - j]
+                _mix(key, spare[: len(key)])
+            if follow:
+                key ^= self.hashed[here].astype("u8") * _U(0xA24BAED4963EE407)
+                _mix(key, spare[: len(key)])
+        return out
 
     def so_far(self) -> np.ndarray:
         """log10 probability of the tokens that wait, by contexts of the lengths before; by the root it is not stored."""
@@ -184,23 +230,25 @@ class Chunk:
     def pairs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tokens that ask, their distinct (context, next) and which is whose."""
         at = self.predicted() if length == 1 else self.waiting[self.asks > 0]
-        return at, *distinct(_mix(self.context(at, length) ^ (self.hashed[at] * _U(0xA24BAED4963EE407))))
+        return at, *distinct(self.keys(at, length, True))
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         if length == 1:  # a word is its own context, and its number its key, spread over all buckets
             words = self.words[self.waiting - 1]
             used = np.bincount(words, minlength=len(self.hashes)) > 0
-            keys, which = exactly(self.hashes[used].astype("u8") << _U(64 - int(self.top).bit_length()))
-            place = np.zeros(len(used), "u4")
+            keys, which = distinct(self.hashes[used].astype("u8") << _U(64 - int(self.top).bit_length()))
+            place = np.zeros(len(used), "i8")
             place[used] = which
             return keys, place[words]
-        return distinct(self.context(self.waiting, length))
+        return distinct(self.keys(self.waiting, length, False))
 
     def keep(self, waiting: np.ndarray, reach: int) -> None:
         """Forget all tokens but those that wait and ``reach`` before each, and words met nowhere else.
 
         What is kept of a text are pieces; a token that waits has ``reach`` before it there, or all."""
         self.waiting = waiting
+        if len(waiting) > 0.7 * len(self.words):
+            return
         edge = np.bincount(np.maximum(waiting - reach, self.starts[self.doc[waiting]]), minlength=len(self.words) + 1)
         edge[waiting + 1] -= 1
         need = np.cumsum(edge[:-1]) > 0
@@ -219,12 +267,17 @@ class Chunk:
         self.hashes, self.counts = self.hashes[used], self.counts[used]
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Whole numbers of any kind in 32 bits where they fit."""
+    return n.astype("<u4" if n.max(initial=0) < 1 << 32 else "<u8")
+
+
 def _rows(shard: int, kind: int, keys: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple]:
     """Questions of one chunk by bucket; buckets are ranges of the hash, so sorted keys stay in order."""
-    place = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
-    cuts = np.searchsorted(place, np.arange(buckets + 1, dtype="u8"))
+    bounds = np.array([-(-(k << 32) // buckets) << 32 for k in range(buckets)], "u8")
+    cuts = [*np.searchsorted(keys, bounds).tolist(), len(keys)]
     out = []
-    for k, (a, z) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if z > a:
             out.append((shard, kind, k, z - a, None, pack(np.diff(keys[a:z], prepend=_U(0)), *(c[a:z] for c in columns)), None))
     return out
@@ -237,10 +290,10 @@ def _batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows one at a time; ids stay in Arrow."""
+    """Rows one at a time; ids and packed arrays stay in Arrow."""
     for b in batches:
         for k in range(b.num_rows):
-            yield (*(b.column(j)[k].as_py() for j in range(6)), b.column(6)[k])
+            yield (*(b.column(j)[k].as_py() for j in range(5)), memoryview(b.column(5)[k].as_buffer()), b.column(6)[k])
 
 
 def _ids_type(b: pa.DataType) -> pa.DataType:
@@ -270,7 +323,7 @@ def chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             n = len(sizes)
             # words are numbered in the order they are met
             one = pa.chunked_array(coded).unify_dictionaries()
-            kinds = one.chunk(0).dictionary.cast(pa.binary()).to_pylist()
+            kinds = one.chunk(0).dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), "<u8", len(kinds))
             words = np.empty(int(sizes.sum(dtype="i8")), "<u4")
             last = np.cumsum(sizes, dtype="i8") - 1
@@ -332,7 +385,7 @@ def _ask(length: int, kinds: tuple[int, ...], buckets: int, n: int, v: int, top:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            c = Chunk.load(row[5])
+            c = Chunk.load(row[5], *(() if _CONTEXTS in kinds else ("counts", "seen", "logp")), "n_tokens", "n_known", "base", "score")
             c.place(n, v, top)
             out = []
             if _PAIRS in kinds:
@@ -360,11 +413,11 @@ def _answer(floor: int, divergence: float, buckets: int):
     def group(rows: list[tuple]) -> list[tuple]:
         kind = rows[0][1]
         parts = [unpack(r[5]) for r in rows]
-        keys, which = exactly(np.concatenate([np.cumsum(p[0], dtype="u8") for p in parts]))
+        keys, which = distinct(np.concatenate([np.cumsum(p[0], dtype="u8") for p in parts]))
         n = np.bincount(which, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys))
         cuts = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
         if kind != _CONTEXTS:
-            found, m = [n.astype("<u8")], int((n > 0).sum())
+            found, m = [_narrow(n)], int((n > 0).sum())
             if kind == _WORDS:
                 found.append(np.arange(len(keys), dtype="<u8") * _U(buckets) + _U(rows[0][2]))
         else:
@@ -372,7 +425,7 @@ def _answer(floor: int, divergence: float, buckets: int):
             kinds = np.rint(kinds)
             total = np.maximum(n, 1.0)
             state = (n >= floor) & (gain - total * np.log(total) >= divergence * kinds)
-            found, m = [n.astype("<u8"), kinds.astype("<u8"), state.astype("u1")], 0
+            found, m = [_narrow(n), _narrow(kinds), state.astype("u1")], 0
         out = []
         for k, (r, a, z) in enumerate(zip(rows, cuts, cuts[1:], strict=False)):
             out.append((r[0], kind, r[2], *((len(keys), m) if k == 0 else (0, 0)), pack(*(f[which[a:z]] for f in found)), None))
@@ -413,30 +466,31 @@ def _learn(length: int, n: int, v: int, top: int, floor: int, reach: int):
         if not len(c.waiting):
             return 0, 0
         at, _, which = c.pairs(length)
-        seen = answers[_PAIRS][0][which] if len(at) else np.zeros(0, "<u8")
+        seen = answers[_PAIRS][0][which] if len(at) else np.zeros(0, "<u4")
         if length == 1:
             c.hashes = numbers.astype("<u4") if top < 1 << 32 else numbers
-        logp, asked, states, total = c.so_far(), c.asks > 0, 0, None
+        logp, asked, states = c.so_far(), c.asks > 0, 0
         longer = asked.copy()
         if length == 1:  # a word is as frequent a context as it is a word; starts are as many as texts
             before = c.words[c.waiting - 1]
             longer = (before == _START) | (c.counts[before] >= floor)
         else:
             _, whose = c.contexts(length - 1)
-            total, kinds, state = (x[whose] for x in answers[_CONTEXTS])
-            state = state > 0
-            t, k = total[state].astype(float), kinds[state].astype(float)
-            logp[state] = np.log10((c.seen[state] + k * 10.0 ** logp[state]) / (t + k))
-            states = int(state.sum())
-            longer &= (total >= floor) & (kinds >= 2)
+            total, kinds, state = answers[_CONTEXTS]
+            longer &= ((total >= floor) & (kinds >= 2))[whose]
+            ruled = np.flatnonzero((state > 0)[whose])
+            whose = whose[ruled]
+            t, k = total[whose].astype(float), kinds[whose].astype(float)
+            logp[ruled] = np.log((c.seen[ruled] + k * np.exp(logp[ruled] * _LN10)) / (t + k)) / _LN10
+            states = len(ruled)
         waiting, at = c.waiting, c.waiting[longer]
         seen = seen[longer[asked]]
         # a context occurs as often as its last token follows what is before it
-        known = np.full(len(c.words), floor, "u8")
-        known[at] = seen
-        asks = (known[at - 1] >= floor) & (at - c.starts[c.doc[at]] > length)
+        rare = np.zeros(len(c.words), bool)
+        rare[at] = seen < floor
+        asks = ~rare[at - 1] & (at - c.starts[c.doc[at]] > length)
         c.score = c.score + np.bincount(c.number[c.doc[waiting[~longer]]], weights=logp[~longer], minlength=len(c.score))
-        c.seen = seen.astype("<u4") if len(seen) and seen.max() < 1 << 32 else seen
+        c.seen = _narrow(seen)
         c.logp = logp[longer].astype("<f4") if length > 1 else np.zeros(0, "<f4")
         c.asks = asks.astype("u1")
         c.keep(at, reach)
@@ -446,9 +500,9 @@ def _learn(length: int, n: int, v: int, top: int, floor: int, reach: int):
         parts: dict[int, list] = {}
         order = np.lexsort((answers.column("bucket").to_numpy(), answers.column("kind").to_numpy()))
         for k in order.tolist():
-            parts.setdefault(answers.column("kind")[k].as_py(), []).append(unpack(answers.column("x")[k].as_py()))
+            parts.setdefault(answers.column("kind")[k].as_py(), []).append(unpack(answers.column("x")[k].as_buffer()))
         found = {kind: [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))] for kind, some in parts.items()}
-        c = Chunk.load(state.column("x")[0].as_py())
+        c = Chunk.load(state.column("x")[0].as_buffer())
         states, left = step(c, found)
         ids = state.column("ids")
         out = _batch([(state.column("shard")[0].as_py(), _CHUNK, None, states, left, c.dump(), ids[0].as_py())], ids.type.value_type)
@@ -475,7 +529,7 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     schema = _schema(id_type)
-    with scratch.batches(TEXT_ROWS):
+    with scratch.batches(TEXT_ROWS), scratch.plain():
         state = scratch.save_bucketed(chunks(docs, chunk_tokens), "lm-chunks", "shard", max(1, docs.rdd.getNumPartitions()))
     sums = state.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n = sums["n"]
@@ -488,13 +542,13 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
         return scratch.save(rows.mapInArrow(_answer(floor, divergence, buckets), schema), name)
 
     before = "lm-chunks"
-    with scratch.batches(CHUNK_ROWS):
+    with scratch.batches(CHUNK_ROWS), scratch.plain():
         words = asked(_ask_words(buckets), "lm-words")
         seen = words.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("v"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-        v, top = seen["v"], seen["most"] * buckets + 1
+        v, top, still = seen["v"], seen["most"] * buckets + 1, n
         for length in range(1, depth + 2):
             # while there are many questions, one kind is answered and its shuffle gone before the other is asked
-            rounds = [(_PAIRS,)] if length == 1 else [(_PAIRS, _CONTEXTS)] if buckets <= SPLIT_BUCKETS else [(_PAIRS,), (_CONTEXTS,)]
+            rounds = [(_PAIRS,)] if length == 1 else [(_PAIRS, _CONTEXTS)] if buckets <= SPLIT_BUCKETS or still <= SPLIT_SHARE * n else [(_PAIRS,), (_CONTEXTS,)]
             every, names = None, []
             for k, kinds in enumerate(rounds):
                 names.append(f"lm-answers-{length}-{k}")
@@ -512,9 +566,12 @@ def score(docs: DataFrame, scratch: Scratch, depth: int = DEPTH, floor: int = FL
             left = state.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("states"), F.coalesce(F.sum("m"), F.lit(0)).alias("left")).first()
             if not left["left"] or (length > 1 and not left["states"]):
                 break
-            buckets = -(-left["left"] // bucket_tokens) + 1
-        out = scratch.save(state.mapInArrow(_finish(n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
-        scratch.drop(before)
+            still = left["left"]
+            buckets = -(-still // bucket_tokens) + 1
+        scores = state.mapInArrow(_finish(n, v), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with scratch.batches(CHUNK_ROWS):
+        out = scratch.save(scores, "lm-scores")
+    scratch.drop(before)
     return out
 
 
