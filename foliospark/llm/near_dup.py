@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Forest, Scratch, components, lean, without
+from .common import BROADCAST_IDS, Forest, Scratch, brief, components, lean, without
 
 #: Words of a shingle, and the similarity in hundredths from which documents are linked.
 SHINGLE = 5
@@ -42,6 +42,11 @@ REST = 1024
 BLOCK, BLOCK_BYTES = 256, 48_000_000
 #: Pivots that meet every block of a large group.
 LEADERS = 16
+#: A document meets more than ``FEW`` others at once, by numbers in place of hashes, where a task's sets hold
+#: at most ``NUMBERED`` together; else one by one.
+FEW, NUMBERED = 8, 1_000_000
+#: What the hashes are made of by which pivots lead: of nodes, and of groups.
+_PIVOT, _LEADER = ("rep", "node"), ("rep",)
 
 _RNG = np.random.default_rng(20240607)
 _ODD = lambda n: _RNG.integers(1, 1 << 63, n, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -213,68 +218,83 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _heads(n: int, seeds: tuple[str, ...]) -> list:
+    """Aggregates: the least hashes of a group's documents, each that of the document which leads by it."""
+    return [F.min(F.xxhash64(*seeds, F.lit(j))).alias(f"p{j}") for j in range(n)]
+
+
+def _blocks(n: int, seeds: tuple[str, ...]):
+    """The blocks of a document among ``q``: its own, or all if it leads by one of ``n`` hashes."""
+    leads = F.lit(False)
+    for j in range(n):
+        leads = leads | (F.xxhash64(*seeds, F.lit(j)) == F.col(f"p{j}"))
+    return F.explode(F.when(leads, F.sequence(F.lit(0), F.col("q") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))))
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """Where the rest of a group meets all of it: ``rb``, ``block``, ``side``.  A row of the rest (its ``cls``
+    is not ``main``) stands on side 0 of every of ``q`` blocks, each row on side 1 of every of ``rq`` parts of the rest."""
+    place = lambda rb, block, side: F.struct(rb.cast("int").alias("rb"), block.cast("int").alias("block"), F.lit(side).alias("side"))
+    part, block = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rq")), F.pmod(F.xxhash64("rep"), F.col("q"))
+    left = F.when(F.col("cls") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: place(part, x, 0))).otherwise(F.array())
+    right = F.transform(F.sequence(F.lit(0), F.col("rq") - 1), lambda x: place(x, block, 1))
+    return rows.withColumn("at", F.explode(F.concat(left, right))).select("*", "at.*").drop("at")
+
+
+def _rest(known: DataFrame, key: str) -> DataFrame:
+    """Of each group: ``c`` documents, its largest class ``main``, and ``r`` documents outside it."""
+    classes = known.groupBy(key, "cls").agg(F.count(F.lit(1)).alias("k"))
+    most = classes.groupBy(key).agg(F.sum("k").alias("c"), F.max(F.struct("k", "cls")).alias("m"))
+    return most.select(key, "c", F.col("m.cls").alias("main"), (F.col("c") - F.col("m.k")).alias("r")).where("r > 0")
+
+
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """``(a, b)``: pairs that span the groups of documents which must be compared in full.
 
-    ``reps`` has ``rep, n, paths, sketch``.
+    ``reps`` has ``rep, n, paths, sketch``.  Small nodes and the blocks of large ones, which share pivots, are
+    compared together.  What is then outside a large node's largest class meets all of
+    the node, block by block.  A node where that is more than ``REST`` documents
+    branches instead, with all its documents, unless the level is the last.
     """
     sketches = reps.select("rep", "n", "sketch")
+    fields = ["rep", "n", "sketch"]
     entries = reps.select(F.explode("paths").alias("node"), "rep")
-    found = []
+    found: list[DataFrame] = []
     for level in range(1, LEVELS + 1):
         nodes = scratch.save(entries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"sizes-{level}")
-        small, large = (entries.join(nodes.where(size).select("node"), "node").join(sketches, "rep").select("node", "rep", "n", "sketch") for size in (F.col("c") <= NODE, F.col("c") > NODE))
-        found.append(scratch.save(_confirm(small, ["node"], ["rep", "n", "sketch"], _small_node).distinct(), f"found-{level}"))
-        if not nodes.where(F.col("c") > NODE).limit(1).count():
+        met = entries.join(nodes.where(F.col("c") <= NODE).select("node"), "node").select("node", "rep", F.lit(0).alias("block"))
+        large = nodes.where(F.col("c") > NODE)
+        some = bool(large.limit(1).count())
+        if some:
+            own = scratch.save(entries.join(large.select("node"), "node").select("node", "rep"), f"large-{level}")
+            heads = own.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("q"), *_heads(PIVOTS, _PIVOT))
+            met = met.union(own.join(heads, "node").select("node", "rep", _blocks(PIVOTS, _PIVOT).alias("block")))
+        found.append(scratch.save(_confirm(met.join(sketches, "rep"), ["node", "block"], fields, _small_node), f"found-{level}"))
+        if not some:
             break
-        more, entries = _large_nodes(scratch.save(large, f"large-{level}"), found, level, scratch)
-        found += more
+        labels = components(scratch, _union(found), f"classes-{level}")
+        found = [labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))]
+        known = own.join(sketches, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        known = scratch.save(known.select("node", *fields, F.coalesce("component_id", "rep").alias("cls")), f"node-classes-{level}")
         scratch.drop(f"large-{level}")
-        if entries is None:
+        branching = F.lit(False) if level == LEVELS else F.col("r") > REST
+        rest = scratch.save(_rest(known, "node").withColumn("branching", branching), f"rest-sizes-{level}")
+        kinds = {r["branching"] for r in rest.select("branching").distinct().collect()}
+        if False in kinds:
+            ends = rest.where("NOT branching").select("node", "main", F.ceil(F.col("r") / REST).cast("int").alias("rq"), F.ceil(F.col("c") / REST).cast("int").alias("q"))
+            found.append(scratch.save(_confirm(_sides(known.join(ends, "node")), ["node", "rb", "block"], [*fields, "cls", "side"], _rest_of_node), f"rests-{level}"))
+        if True in kinds:
+            entries = scratch.save(_children(known.join(rest.where("branching").select("node"), "node").select("node", "rep", "sketch")), f"nodes-{level + 1}")
+        scratch.drop(f"node-classes-{level}")
+        if True not in kinds:
             break
     return _union(found)
 
 
-def _large_nodes(members: DataFrame, found: list[DataFrame], level: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
-    """Edges of large nodes, and what goes on to the next level.
-
-    ``members`` has ``node, rep, n, sketch``, ``found`` the edges so far.  Blocks of a node are compared
-    within and with its pivots.  What is then outside the node's largest class meets all of
-    the node, block by block.  A node where that is more than ``REST`` documents
-    branches instead, with all its documents, unless the level is the last.
-    """
-    fields = ["rep", "n", "sketch"]
-    least = [F.min(F.struct(F.xxhash64("rep", "node", F.lit(j)).alias("h"), "rep"))["rep"].alias(f"p{j}") for j in range(PIVOTS)]
-    sizes = scratch.save(members.groupBy("node").agg(F.count(F.lit(1)).alias("c"), *least), f"large-sizes-{level}")
-    pivots = F.array(*[F.col(f"p{j}") for j in range(PIVOTS)])
-    cut = members.join(sizes, "node").withColumn("q", F.ceil(F.col("c") / NODE).cast("int"))
-    block = F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")
-    cut = cut.withColumn("block", F.explode(F.when(F.array_contains(pivots, F.col("rep")), F.sequence(F.lit(0), F.col("q") - 1)).otherwise(F.array(block))))
-    edges = [scratch.save(_confirm(cut, ["node", "block"], fields, _small_node), f"blocks-{level}")]
-
-    labels = components(scratch, _union(found + edges), f"classes-{level}")
-    known = scratch.save(members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("cls")), f"node-classes-{level}")
-    main = known.groupBy("node", "cls").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "cls"))["cls"].alias("main"))
-    rest = scratch.save(known.join(main, "node").where("cls <> main").select("node", "rep"), f"rest-{level}")
-    counts = scratch.save(rest.groupBy("node").agg(F.count(F.lit(1)).alias("r")).join(sizes.select("node", "c"), "node"), f"rest-sizes-{level}")
-
-    branching = F.lit(False) if level == LEVELS else F.col("r") > REST
-    ends = counts.where(~branching).select("node", F.ceil(F.col("r") / REST).cast("int").alias("rq"), F.ceil(F.col("c") / REST).cast("int").alias("q"))
-    whole = members.join(ends, "node").join(known, ["node", "rep"])
-    left = whole.join(rest, ["node", "rep"], "left_semi").withColumn("rb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rq")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("side", F.lit(0))
-    right = whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rq") - 1))).withColumn("side", F.lit(1))
-    names = ["node", "rb", "block", *fields, "cls", "side"]
-    edges.append(scratch.save(_confirm(left.select(names).union(right.select(names)), names[:3], names[3:], _rest_of_node), f"rests-{level}"))
-    going = counts.where(branching).select("node")
-    if not going.limit(1).count():
-        return edges, None
-    return edges, scratch.save(_children(members.join(going, "node").select("node", "rep", "sketch")), f"nodes-{level + 1}")
-
-
 def _children(members: DataFrame) -> DataFrame:
     """The nodes to which documents branch, by the values of their sketches at places that a node chooses."""
 
-    @lean
+    @brief
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -299,6 +319,8 @@ class _Group:
         self.sizes = np.array([r[1] for r in rows])
         self.sketches = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), SKETCH)
         self.sets = [np.frombuffer(r[3], "<u8") for r in rows]
+        self.lengths = np.array([len(x) for x in self.sets])
+        self.numbers: list[np.ndarray] | None = None
         self.forest = Forest(len(rows))
         self.edges: list[tuple[int, int]] = []
 
@@ -311,11 +333,29 @@ class _Group:
         both = int((b[at] == a).sum())
         return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The sizes of the intersections of set i with those of ``others``, at once."""
+        if self.numbers is None:
+            ends = np.cumsum(self.lengths)
+            at = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype("i4")
+            self.numbers, self.marked = np.split(at, ends[:-1]), np.zeros(int(at.max()) + 1, bool)
+        self.marked[self.numbers[i]] = True
+        hits = self.marked[np.concatenate([self.numbers[j] for j in others.tolist()])]
+        self.marked[self.numbers[i]] = False
+        return np.add.reduceat(hits, np.cumsum(self.lengths[others]) - self.lengths[others], dtype="i8")
+
     def confirm(self, i: int, others: np.ndarray) -> None:
         """Link document i with those of ``others`` that are not yet in its class and are similar."""
-        alike = others[_alike(self.sketches[others], self.sizes[others], self.sketches[i], self.sizes[i])]
-        for j in alike.tolist():
-            if self.forest.root(i) != self.forest.root(j) and self.linked(i, j):
+        alike = others[_alike(self.sketches[others], self.sizes[others], self.sketches[i], self.sizes[i])].tolist()
+        mine = self.forest.root(i)
+        alike = [j for j in alike if self.forest.root(j) != mine]
+        sure = len(alike) > FEW and self.lengths.sum() <= NUMBERED
+        if sure:
+            j = np.array(alike)
+            both = self.common(i, j)
+            alike = j[100 * both >= PERCENT * (self.lengths[i] + self.lengths[j] - both)].tolist()
+        for j in alike:
+            if self.forest.root(i) != self.forest.root(j) and (sure or self.linked(i, j)):
                 self.forest.join(i, j)
                 self.edges.append((self.ids[i], self.ids[j]))
 
@@ -344,40 +384,34 @@ def _two_sides(rows: list[tuple]) -> list[tuple[int, int]]:
 def _confirm(rows: DataFrame, keys: list[str], fields: list[str], work) -> DataFrame:
     dealt = rows.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys)
     n = len(keys)
-    return dealt.mapInArrow(lean(lambda it: _edges(work([r[n:] for r in g]) for g in _groups(it, n))), "a long, b long")
+    return dealt.mapInArrow(brief(lambda it: _edges(work([r[n:] for r in g]) for g in _groups(it, n))), "a long, b long")
 
 
-def confirmed(sets: DataFrame, scratch: Scratch) -> DataFrame:
+def confirmed(sets: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges that span the classes of really linked documents, within each group.
 
-    ``sets`` has ``grp, rep, n, sketch, sh``.  A group of at most ``BLOCK`` documents is compared
-    as a whole.  A larger one is cut into blocks: each is compared within and with the
-    group's leaders; then what is not yet linked to the group's largest class
+    ``sets`` has ``grp, rep, n, sketch, sh``, ``groups`` ``grp, rep, n``, a row per document.  A group of at most
+    ``BLOCK`` documents is compared as a whole.  A larger one is cut into blocks: each is compared within and with
+    the group's leaders; then what is not yet linked to the group's largest class
     is compared with all of the group, block by block.  Pairs already connected are skipped.
     """
     fields = ["rep", "n", "sketch", "sh"]
-    sizes = scratch.save(sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("q"), *[F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep"))["rep"].alias(f"p{j}") for j in range(LEADERS)]), "group-sizes")
-    small = sets.join(sizes.where("q = 1").select("grp"), "grp")
-    edges = [scratch.save(_confirm(small, ["grp"], fields, _whole_group), "confirmed-small")]
-    if not sizes.where("q > 1").limit(1).count():
-        return edges[0]
-    big = scratch.save(sets.join(sizes.where("q > 1"), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")), "big-groups")
-    leads = F.array(*[F.col(f"p{j}") for j in range(LEADERS)])
-    blocks = big.withColumn("block", F.explode(F.when(F.array_contains(leads, F.col("rep")), F.sequence(F.lit(0), F.col("q") - 1)).otherwise(F.array("block"))))
-    edges.append(scratch.save(_confirm(blocks, ["grp", "block"], fields, _whole_group), "confirmed-blocks"))
-    labels = components(scratch, edges[1], "blocks")
-    known = scratch.save(big.select("grp", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component_id", "rep").alias("cls")), "block-classes")
-    main = known.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max(F.struct("c", "cls"))["cls"].alias("main"))
-    rest = scratch.save(known.join(main, "grp").where("cls <> main").select("grp", "rep"), "unlinked")
+    width = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = scratch.save(groups.groupBy("grp").agg(width.alias("q"), *_heads(LEADERS, _LEADER)), "group-sizes")
+    blocks = sets.join(sizes, "grp").select("grp", *fields, _blocks(LEADERS, _LEADER).alias("block"))
+    edges = scratch.save(_confirm(blocks, ["grp", "block"], fields, _whole_group), "confirmed-blocks")
+    big = sizes.where("q > 1").select("grp", "q")
+    if not big.limit(1).count():
+        return edges
+    labels = components(scratch, edges, "blocks")
+    known = groups.join(big, "grp").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("grp", "rep", "q", F.coalesce("component_id", "rep").alias("cls"))
+    known = scratch.save(known, "block-classes")
+    rest = scratch.save(_rest(known, "grp").select("grp", "main", F.ceil(F.col("r") / BLOCK).cast("int").alias("rq")), "unlinked")
+    edges = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     if not rest.limit(1).count():
-        return edges[0].union(edges[1])
-    counts = rest.groupBy("grp").agg(F.count(F.lit(1)).alias("r"))
-    big = big.drop("m", *[f"p{j}" for j in range(LEADERS)]).join(known.select("rep", "cls"), "rep").join(counts.withColumn("rq", F.ceil(F.col("r") / BLOCK).cast("int")), "grp")
-    left = big.join(rest.select("rep"), "rep", "left_semi").withColumn("rb", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rq")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("side", F.lit(0))
-    right = big.withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rq") - 1))).withColumn("side", F.lit(1))
-    names = ["grp", "rb", "block", *fields, "cls", "side"]
-    edges.append(scratch.save(_confirm(left.select(names).union(right.select(names)), ["grp", "rb", "block"], [*fields, "cls", "side"], _two_sides), "confirmed-rest"))
-    return edges[0].union(edges[1]).union(edges[2])
+        return edges
+    left = _sides(sets.join(known.join(rest, "grp").select("rep", "q", "cls", "main", "rq"), "rep"))
+    return edges.union(scratch.save(_confirm(left, ["grp", "rb", "block"], [*fields, "cls", "side"], _two_sides), "confirmed-rest"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -397,8 +431,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     key = ["n_shingles", "f1", "f2"]
     reps = scratch.save(usable.groupBy(*key).agg(F.min(F.struct("doc_id", "paths", "sketch")).alias("r")).select(*key, F.col("r.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "r.paths", "r.sketch"), "representatives")
     pairs = candidates(reps.select("rep", "n", "paths", "sketch"), scratch)
-    groups = scratch.save(components(scratch, pairs, "candidates").select(F.col("id").alias("rep"), F.col("component_id").alias("grp")), "groups")
-    wanted = groups.join(reps.select("rep", "n", "sketch"), "rep")
+    found = components(scratch, pairs, "candidates").select(F.col("id").alias("rep"), F.col("component_id").alias("grp"))
+    groups = scratch.save(found.join(reps.select("rep", "n", "sketch"), "rep").select("grp", "rep", "n", "sketch"), "groups")
     # candidate documents are picked from the texts by a broadcast of checked size, else by shuffle
     side = groups.select(F.col("rep").alias("__rep"))
     if groups.count() <= BROADCAST_IDS:
@@ -412,8 +446,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
             sets = [shingles(cell.as_py(), cache).astype("<u8") for cell in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "k", "sh"])
 
-    whole = texts.mapInArrow(full, "rep long, k long, sh binary").join(wanted, "rep").where("k = n").select("grp", "rep", "n", "sketch", "sh")
-    links = confirmed(scratch.save(whole, "full-sets"), scratch)
+    whole = texts.mapInArrow(full, "rep long, k long, sh binary").join(groups, "rep").where("k = n").select("grp", "rep", "n", "sketch", "sh")
+    links = confirmed(scratch.save(whole, "full-sets"), groups.select("grp", "rep", "n"), scratch)
     classes = components(scratch, links, "links").select(F.col("id").alias("rep"), "component_id")
     scratch.keep("summaries", "representatives", "links-components")
     named = reps.select(*key, "rep").join(classes, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))

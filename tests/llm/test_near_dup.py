@@ -152,3 +152,51 @@ def test_pairs_of_a_large_node_that_no_pivot_finds(spark, levels, rest, monkeypa
     # in one tree while nothing branches, in many where a pair may choose different values
     got = met(spark, rows, (1,) if levels == 1 or rest > 400 else range(1, 9))
     assert got == {i: i // 2 * 2 for i in range(400)}
+
+
+def test_sets_met_at_once_and_one_by_one(monkeypatch):
+    """A group whose texts share a template: the same links whether sets are met at once or one by one."""
+    import numpy as np
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(120)]
+    rows = []
+    for i in range(90):
+        own = base[: rng.choice([60, 84, 104, 110])]
+        s = np.unique(np.array(own + [rng.getrandbits(63) for _ in range(120 - len(own))], "u8"))
+        rows.append((i, len(s), np.zeros(near_dup.SKETCH, "<u2").tobytes(), s.tobytes(), 0, i % 2))
+    for work, cut in ((near_dup._whole_group, 4), (near_dup._two_sides, 6)):
+        some = [(*r[:4], *([r[0], r[5]] if cut == 6 else [])) for r in rows]
+        monkeypatch.setattr(near_dup, "NUMBERED", 10**6)
+        at_once = work(some)
+        monkeypatch.setattr(near_dup, "NUMBERED", 0)
+        assert at_once and at_once == work(some)
+
+
+def test_few_jobs_for_many_levels(spark, monkeypatch):
+    """A level runs a bounded number of jobs and tables however small its nodes: with many partitions these are what it costs."""
+    monkeypatch.setattr(near_dup, "NODE", 6)
+    monkeypatch.setattr(near_dup, "REST", 16)
+    monkeypatch.setattr(near_dup, "LEADERS", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        one = [rng.randrange(30_000) for _ in range(near_dup.SKETCH)]
+        rows += [(2 * k, 90, one), (2 * k + 1, 100, other(rng, one, 16))]
+    saved = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, f=Scratch.save: saved.append(name) or f(self, df, name))
+    got = met(spark, rows, range(1, 9))
+    assert got == {i: i // 2 * 2 for i in range(120)}
+    levels = {x.rsplit("-", 1)[1] for x in saved if x.startswith("sizes-")}
+    assert "2" in levels and len([x for x in saved if re.search(r"-1(-|$)", x)]) <= 8
+
+
+def test_small_tasks_look_for_no_cycles(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(common, "release", lambda collect=True: asked.append(collect))
+    for n in (10, 10**6):
+        list(common.brief(lambda batches: batches)(iter([pa.record_batch({"a": pa.array(range(n))})])))
+    assert asked == [False, True]
