@@ -471,8 +471,8 @@ SELECT source AS contract_id, token, CASE WHEN regexp_matches(token, '^[A-Z]') T
 """
 )
 def win06_clear_winner(t: Tables) -> DataFrame:
-    words = quality.vocabulary(clauses(t), 50).where("length(word) >= 5").select("word")
-    return quality.fuzzy_suspects(scanned(t), words, words).select("contract_id", "token", "candidate", "distance", "next_distance")
+    words = Shared(t.spark, "vocabulary").save(quality.vocabulary(clauses(t), 50).where("length(word) >= 5").select("word"), "words")
+    return quality.fuzzy_words(scanned(t), words, words).select("contract_id", "token", "candidate", "distance", "next_distance")
 
 
 def _suggested() -> Column:
