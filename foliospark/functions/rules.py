@@ -56,12 +56,12 @@ def tags(text: Column, topics: dict[str, list[str]], most: int | None = fixed.TA
     return F.filter(F.array(*[F.when(head.rlike(flag + any_of(patterns)), F.lit(topic)) for topic, patterns in topics.items()]), lambda x: x.isNotNull())
 
 
-def clause_topics(clauses: DataFrame, topics: dict[str, list[str]] = fixed.TOPICS) -> DataFrame:
-    """Clauses with the topics of their heading and text."""
+def clause_topics(clauses: DataFrame, topics: dict[str, list[str]] = fixed.TOPICS, most: int | None = fixed.TAG_CHARS) -> DataFrame:
+    """Clauses with the topics of their heading and text: of the first ``most`` characters, or of all with None."""
     blob = F.concat(F.coalesce("heading", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
     # a column of its own, for every topic looks at it and none should make it anew
-    headed = clauses.withColumn("__head", F.substring(blob, 1, fixed.TAG_CHARS))
-    return headed.withColumn("topics", tags(F.col("__head"), topics)).drop("__head")
+    headed = clauses.withColumn("__head", F.substring(blob, 1, most) if most else blob)
+    return headed.withColumn("topics", tags(F.col("__head"), topics, None)).drop("__head")
 
 
 def order_rules(rules: list[tuple[str, str, list[str]]], order: str = "list") -> list[tuple[str, str, list[str]]]:

@@ -23,16 +23,16 @@ def _literal(text: str) -> str:
 _PLAIN = "translate({}, 'àâáäçéèêëîïíìñôöóòùûüúÿßÀÂÁÄÇÉÈÊËÎÏÍÌÑÔÖÓÒÙÛÜÚŸœŒæÆ', repeat('x', 60))"
 _PHRASED = reduce(lambda sql, pair: f"replace({sql}, ' {pair[0]} ', {_literal(f' {pair[1]} ')})", zip(WORDS, PHRASES, strict=True), "text")
 _TOPICS_SQL = f"""
-WITH b AS (SELECT doc_id, {_PLAIN.format(f"substr(lang || chr(10) || {_PHRASED}, 1, {fixed.TAG_CHARS})")} AS t FROM documents),
+WITH b AS (SELECT doc_id, {_PLAIN.format(f"lang || chr(10) || {_PHRASED}")} AS t FROM documents),
 g AS (SELECT doc_id, unnest([{", ".join(f"CASE WHEN regexp_matches(t, {_literal('(?i)' + '|'.join(f'(?:{p})' for p in patterns))}) THEN {_literal(topic)} END" for topic, patterns in fixed.TOPICS.items())}]) AS topic FROM b)
 """
 
 
 @query(_TOPICS_SQL + "SELECT doc_id, topic FROM g WHERE topic IS NOT NULL")
 def cas03_all_topics(t: Tables) -> DataFrame:
-    """All topics of the table on texts that speak of them."""
+    """All topics of the table on whole texts that speak of them."""
     said = reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), zip(WORDS, PHRASES, strict=True), F.col("text"))
-    tagged = rules.clause_topics(t.documents.select("doc_id", F.col("lang").alias("heading"), said.alias("text")))
+    tagged = rules.clause_topics(t.documents.select("doc_id", F.col("lang").alias("heading"), said.alias("text")), most=None)
     # outer, for a plain explode is preceded by a filter that finds all topics once more, from texts replaced once a topic
     return tagged.select("doc_id", F.explode_outer("topics").alias("topic")).where("topic IS NOT NULL")
 

@@ -103,6 +103,24 @@ def test_tagger_cap_and_order(spark):
     assert got == [["wages", "overtime", "sick-leave"], [], [], []]
 
 
+def test_topics_of_whole_texts(spark, tmp_path):
+    """What stands behind the tagger's cut counts where all of a text is asked for, in the query and in its SQL."""
+    from foliospark.plans import catalog
+
+    late = "x" * 20_000 + " overtime, with pay " + "y " * 20_000 + "TELEWORK"
+    spark.createDataFrame([(1, late, "en"), (2, "", "wage"), (3, None, "en"), (4, "no topic", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["topics"] for r in rules.clause_topics(df.withColumnRenamed("lang", "heading"), most=None).collect()}
+    assert got == {1: ["overtime", "telework"], 2: ["wages"], 3: [], 4: []}
+    found = sorted(map(tuple, catalog.QUERIES["cas03_all_topics"](spark, str(tmp_path)).collect()))
+    assert found == [(1, "longevity"), (1, "overtime"), (1, "telework"), (2, "wages")]
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.sql(catalog.ORACLES["cas03_all_topics"]).fetchall()) == found
+
+
 def test_highlight_and_snippet(spark):
     df = spark.createDataFrame([("a <b> pay & pay", "x" * 100 + " " + "y" * 80 + " " + "z" * 90 + " pay end")], "a string, b string")
     r = df.select(text.highlight("a", "pay").alias("h"), text.snippet("b", "pay").alias("s"), text.snippet("a", "pay").alias("t")).first()
