@@ -30,7 +30,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _sums(codes: np.ndarray, less: int = 0) -> np.ndarray:
     """Sums of the letters before each place, every letter weighted as if it stood ``less`` places further left."""
     n, length = codes.shape
-    weights = np.array([pow(_BASE, k - less, _RING) for k in range(length)], np.uint64)
+    weights = np.full(length, _BASE, np.uint64)
+    weights[:1] = pow(_BACK, less, _RING)
+    weights = np.cumprod(weights)
     out = np.zeros((n, length + 1), np.uint64)
     np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(_BASE)) * weights, axis=1, out=out[:, 1:])
     return out
@@ -47,15 +49,14 @@ def _deleted(codes: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield _mixed(sum((sums[k][:, edges[k + 1]] - sums[k][:, edges[k] + 1] for k in range(n + 1)), np.uint64(0)))
 
 
-def _pieces(codes: np.ndarray, length: int, most: int, shift: int) -> Iterator[np.ndarray]:
+def _pieces(sums: np.ndarray, length: int, most: int, shift: int) -> Iterator[np.ndarray]:
     """A row for each string: its parts that may be one of the ``most + 1`` pieces of a word of ``length``, up to ``shift`` places away."""
-    sums = _sums(codes)
     cuts = [length * k // (most + 1) for k in range(most + 2)]
     found = []
     for k, (start, stop) in enumerate(zip(cuts, cuts[1:])):
         which = np.uint64((length * (most + 1) + k) * _BACK % _RING)
-        for at in range(max(0, start - shift), min(start + shift, codes.shape[1] - stop + start) + 1):
-            part = (sums[:, at + stop - start] - sums[:, at]) * np.uint64(pow(_BASE, -at, _RING))
+        for at in range(max(0, start - shift), min(start + shift, sums.shape[1] - 1 - stop + start) + 1):
+            part = (sums[:, at + stop - start] - sums[:, at]) * np.uint64(pow(_BACK, at, _RING))
             found.append(_mixed(part + which))
     if found:
         yield np.stack(found, 1)
@@ -66,6 +67,7 @@ def keys(strings: list[str], most: int, listed: bool) -> Iterator[tuple[np.ndarr
 
     A string within ``most`` edits of a listed word has a hash with it in common: both come to one string by at most
     ``most`` deletions each, or, where the word is long, one of its pieces stands in the string as it is."""
+    off = 0 if listed else most
     by_length: dict[int, list[int]] = {}
     for k, s in enumerate(strings):
         by_length.setdefault(len(s), []).append(k)
@@ -74,9 +76,10 @@ def keys(strings: list[str], most: int, listed: bool) -> Iterator[tuple[np.ndarr
         for at in range(0, len(places), step):
             some = np.array(places[at : at + step])
             codes = np.frombuffer("".join(strings[k] for k in some).encode("utf-32-le"), "<u4").reshape(len(some), length)
-            if length <= LONGEST + (0 if listed else most):
+            if length <= LONGEST + off:
                 for hashes in _deleted(codes, most):
                     yield np.repeat(some, hashes.shape[1]), hashes.ravel()
-            for wanted in range(max(LONGEST + 1, length - (0 if listed else most)), length + (0 if listed else most) + 1):
-                for hashes in _pieces(codes, wanted, most, 0 if listed else most):
+            sums = _sums(codes) if length + off > LONGEST else None
+            for wanted in range(max(LONGEST + 1, length - off), length + off + 1):
+                for hashes in _pieces(sums, wanted, most, off):
                     yield np.repeat(some, hashes.shape[1]), hashes.ravel()
